@@ -170,12 +170,11 @@ def signal_bits(bars: DataFrame, horizons=(4, 8, 24), **blocks) -> DataFrame:
 
 def signal_rows(bars: DataFrame, **blocks) -> DataFrame:
     """Long table of true conditions: (series_id, bar_idx, ts, family, signal)."""
-    names = F.array(*[
-        F.struct(F.lit(f).alias("family"), F.lit(s).alias("signal"), F.lit(k).alias("k"))
-        for k, (f, s) in enumerate(condition_names())
-    ])
-    bits = signal_bits(bars, (), **blocks)
-    hit = F.filter(names, lambda s: F.bit_get(F.col("bits"), s["k"]) == 1)
-    return bits.select("series_id", "bar_idx", "ts", F.explode(hit).alias("s")).select(
+    wide = with_condition_inputs(bars, (), **blocks)
+    hit = F.array_compact(F.array(*[
+        F.when(cond, F.struct(F.lit(f).alias("family"), F.lit(s).alias("signal")))
+        for f, s, cond in condition_columns()
+    ]))
+    return wide.select("series_id", "bar_idx", "ts", F.explode(hit).alias("s")).select(
         "series_id", "bar_idx", "ts", "s.family", "s.signal"
     )

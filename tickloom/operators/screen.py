@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.functions.columns import hour_between, no_zero, two_sided_p
@@ -28,6 +29,11 @@ SUMMARY_SCHEMA = (
 )
 MERGED_SCHEMA = "series_id string, signal_id int, horizon int, scope string, n bigint, mean double, t_stat double"
 
+MERGED_ARROW = pa.schema([
+    ("series_id", pa.string()), ("signal_id", pa.int32()), ("horizon", pa.int32()), ("scope", pa.string()),
+    ("n", pa.int64()), ("mean", pa.float64()), ("t_stat", pa.float64()),
+])
+
 
 def bartlett(lag: int) -> np.ndarray:
     return 1.0 - np.arange(1, lag + 1) / (lag + 1.0)
@@ -62,7 +68,7 @@ def t_of_summary(n: int, s1: float, s2: float, cross: float, head, tail, lag: in
         spread += 2 * w * mean * mean * (n - j)
     spread += 2 * cross
     long_run = spread / n
-    return mean, mean / float(np.sqrt(long_run / n)) if long_run > 1e-18 * (1 + mean * mean) else 0.0
+    return mean, mean / float(np.sqrt(long_run / n)) if long_run > 1e-12 * s2 / n else 0.0
 
 
 def block_summaries(bits: DataFrame, horizons: Sequence[int], n_signals: int) -> DataFrame:
@@ -97,26 +103,28 @@ def block_summaries(bits: DataFrame, horizons: Sequence[int], n_signals: int) ->
 def merge_summaries(summaries: DataFrame) -> DataFrame:
     """Combine the block summaries of each condition in block order."""
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (series_id, signal_id, horizon, scope), part in pdf.sort_values("blk").groupby(
-            ["series_id", "signal_id", "horizon", "scope"]
-        ):
-            lag = int(part["lag"].iat[0])
-            n, s1, s2, cross = 0, 0.0, 0.0, 0.0
-            head, tail = np.empty(0), np.empty(0)
-            for row in part.itertuples(index=False):
-                new_head, new_tail = np.asarray(row.head, float), np.asarray(row.tail, float)
-                cross += row.cross + (seam_products(tail, new_head, lag) if n and lag else 0.0)
-                n, s1, s2 = n + row.n, s1 + row.s1, s2 + row.s2
-                head = np.concatenate([head, new_head])[:lag]
-                tail = np.concatenate([tail, new_tail])
-                tail = tail[len(tail) - min(lag, len(tail)):]
-            mean, t = t_of_summary(n, s1, s2, cross, head, tail, lag)
-            out.append((series_id, signal_id, horizon, scope, n, mean, t))
-        return pd.DataFrame(out, columns=[f.split()[0] for f in MERGED_SCHEMA.split(", ")])
-
-    return summaries.groupBy("series_id", "signal_id").applyInPandas(merge, MERGED_SCHEMA)
+    def merge(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("blk").to_pydict()
+        series_id, signal_id = rows["series_id"][0], rows["signal_id"][0]
+        fields = ("horizon", "scope", "lag", "n", "s1", "s2", "cross", "head", "tail")
+        states: dict[tuple, tuple] = {}
+        for h, scope, lag, n, s1, s2, cross, head, tail in zip(*(rows[f] for f in fields)):
+            head, tail = np.asarray(head, float), np.asarray(tail, float)
+            if (h, scope) in states:
+                _, n0, s10, s20, cross0, head0, tail0 = states[h, scope]
+                cross += cross0 + seam_products(tail0, head, lag)
+                n, s1, s2 = n0 + n, s10 + s1, s20 + s2
+                head = np.concatenate([head0, head])[:lag]
+                both = np.concatenate([tail0, tail])
+                tail = both[len(both) - min(lag, len(both)):]
+            states[h, scope] = (lag, n, s1, s2, cross, head, tail)
+        out = [
+            (series_id, signal_id, h, scope, n, *t_of_summary(n, s1, s2, cross, head, tail, lag))
+            for (h, scope), (lag, n, s1, s2, cross, head, tail) in states.items()
+        ]
+        return pa.table(dict(zip(MERGED_ARROW.names, zip(*out))), schema=MERGED_ARROW)
+
+    return summaries.groupBy("series_id", "signal_id").applyInArrow(merge, MERGED_SCHEMA)
 
 
 def check_direction(direction: str) -> None:
@@ -169,10 +177,14 @@ def screen_from_moments(moments: DataFrame, direction: str = "short", min_n: int
         limit = min_n if scope == "all" else half_n
         return F.max(F.when((F.col("scope") == scope) & (F.col("n") >= limit), F.col(value)))
 
-    base = moments.filter(F.col("signal_id") == BASELINE).select(
-        "series_id", "horizon", F.when(F.col("n") >= 10, 100 * F.col("mean")).alias("base_mean_pct")
+    # the baseline rides along over at most 550 summary rows per (series, horizon)
+    is_base = (F.col("signal_id") == BASELINE) & (F.col("n") >= 10)
+    with_base = moments.withColumn(
+        "base_mean_pct",
+        F.max(F.when(is_base, 100 * F.col("mean"))).over(Window.partitionBy("series_id", "horizon")),
     )
-    rows = moments.filter(F.col("signal_id") != BASELINE).groupBy("series_id", "signal_id", "horizon").agg(
+    rows = with_base.filter(F.col("signal_id") != BASELINE).groupBy("series_id", "signal_id", "horizon").agg(
+        F.max("base_mean_pct").alias("base_mean_pct"),
         at("all", "n").alias("n"),
         (100 * at("all", "mean")).alias("mean_fwd_pct"),
         at("all", "t_stat").alias("t_stat"),
@@ -183,7 +195,7 @@ def screen_from_moments(moments: DataFrame, direction: str = "short", min_n: int
     ).filter(F.col("n").isNotNull())
     p = two_sided_p(F.col("t_stat"))
     edge = edge_of(F.col("mean_fwd_pct"), direction)
-    return rows.join(base, ["series_id", "horizon"], "left").select(
+    return rows.select(
         "series_id", names[F.col("signal_id")]["family"].alias("family"),
         names[F.col("signal_id")]["signal"].alias("signal"), "horizon", "n", "mean_fwd_pct",
         edge.alias("edge_pct"), "t_stat", p.alias("p_value"), (p < 0.05).alias("significant"),
@@ -313,16 +325,26 @@ def stop_distance(last_atr: DataFrame, stop: float = 2.0, target: float = 4.0) -
     return last_atr.select("series_id", (stop * atr).alias("stop_distance"), (target * atr).alias("target_distance"))
 
 
-# The documented hour buckets of the session-share table (UTC).
-SESSION_BUCKETS = ((0, 7, "00-08"), (8, 11, "08-12"), (12, 19, "12-20"), (20, 23, "20-24"))
+# The hour windows (inclusive, UTC) of the documented session-share table.
+SESSION_WINDOWS = (("00-08", 0, 8), ("12-15", 12, 15), ("12-20", 12, 20), ("00-23", 0, 23))
 
 
-def session_shares(basics: DataFrame) -> DataFrame:
-    """Mean bar range per hour bucket and the bucket's share of all range."""
-    hour = F.hour("ts")
-    label = F.coalesce(*[F.when(hour.between(a, b), F.lit(name)) for a, b, name in SESSION_BUCKETS])
-    g = basics.groupBy("series_id", label.alias("bucket")).agg(
-        F.avg("range_pct").alias("avg_range_pct"), F.sum("range_pct").alias("sum_range"), F.count(F.lit(1)).alias("n")
+def session_shares(basics: DataFrame, windows=SESSION_WINDOWS) -> DataFrame:
+    """Mean bar range per hour window, with the window's share of all bars and of all range.
+
+    Windows may overlap; bars are first reduced to 24 hourly rows per series.
+    """
+    by_hour = basics.groupBy("series_id", F.hour("ts").alias("hour")).agg(
+        F.sum("range_pct").alias("range"), F.count("range_pct").alias("bars")
+    )
+    p = Window.partitionBy("series_id")
+    totals = by_hour.withColumns({"all_bars": F.sum("bars").over(p), "all_range": F.sum("range").over(p)})
+    member = F.array_compact(F.array(*[
+        F.when(F.col("hour").between(a, b), F.lit(name)) for name, a, b in windows
+    ]))
+    return totals.withColumn("bucket", F.explode(member)).groupBy("series_id", "bucket").agg(
+        F.sum("bars").alias("n"),
+        (F.sum("range") / no_zero(F.sum("bars").cast("double"))).alias("avg_range_pct"),
+        (100 * F.sum("bars") / F.max("all_bars")).alias("share_of_bars_pct"),
+        (100 * F.sum("range") / no_zero(F.max("all_range"))).alias("share_of_range_pct"),
     )
-    whole = F.sum("sum_range").over(Window.partitionBy("series_id"))
-    return g.select("series_id", "bucket", "n", "avg_range_pct", (100 * F.col("sum_range") / no_zero(whole)).alias("share_pct"))
