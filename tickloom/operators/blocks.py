@@ -114,44 +114,63 @@ def own_rows(blocked: DataFrame) -> DataFrame:
     return blocked.filter("own").drop("own")
 
 
-def path_stats(
-    df: DataFrame, keys: Sequence[str], position: str, value: str, chunk: int = 4096
+def chunk_paths(
+    df: DataFrame,
+    keys: Sequence[str],
+    position: str,
+    value: str,
+    by: Sequence[str] = (),
+    aggs: Sequence[Column] = (),
+    chunk: int = 4096,
 ) -> DataFrame:
-    """Final sum, lowest point and maximum drawdown of the running sum of ``value``.
+    """Summaries of consecutive pieces of each key's running sum of ``value``.
 
-    The path starts at 0.  Chunks of ``chunk`` consecutive positions are scanned
-    separately and their summaries are combined in a second pass, so one long
-    path is many tasks.  Returns keys, n, total, low (<= 0) and max_dd (<= 0).
+    A piece is at most ``chunk`` positions, and is also cut by the columns ``by``
+    (monotone in ``position``, such as the year).  Each row carries the piece's
+    count, sum, low point and drawdown, the path's level ``_base`` before it and the
+    peak ``_top`` so far, plus the requested ``aggs`` over its rows.  The path
+    starts at 0.
     """
-    keys = list(keys)
+    keys, by = list(keys), list(by)
     parts = df.withColumn("_chunk", F.floor(F.col(position) / chunk))
-    w = Window.partitionBy(*keys, "_chunk").orderBy(position).rowsBetween(
+    w = Window.partitionBy(*keys, *by, "_chunk").orderBy(position).rowsBetween(
         Window.unboundedPreceding, 0
     )
     run = parts.withColumn("_cum", F.sum(value).over(w))
     run = run.withColumn("_peak", F.greatest(F.lit(0.0), F.max("_cum").over(w)))
-    chunks = run.groupBy(*keys, "_chunk").agg(
+    chunks = run.groupBy(*keys, *by, "_chunk").agg(
         F.count(value).alias("_n"),
         F.sum(value).alias("_sum"),
         F.min("_cum").alias("_low"),
         F.max("_peak").alias("_high"),
         F.min(F.col("_cum") - F.col("_peak")).alias("_dd"),
+        *aggs,
     )
-    cw = Window.partitionBy(*keys).orderBy("_chunk")
-    before = cw.rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("_chunk", *by).rowsBetween(Window.unboundedPreceding, -1)
     based = chunks.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)))
-    based = based.withColumn(
-        "_top",
-        F.greatest(F.lit(0.0), F.coalesce(F.max(F.col("_base") + F.col("_high")).over(before), F.lit(0.0))),
-    )
-    return based.groupBy(*keys).agg(
+    top = F.coalesce(F.max(F.col("_base") + F.col("_high")).over(before), F.lit(0.0))
+    return based.withColumn("_top", F.greatest(F.lit(0.0), top))
+
+
+def piece_drawdown() -> Column:
+    """Deepest fall inside a piece of ``chunk_paths``, against the peak so far."""
+    return F.least(F.lit(0.0), F.least(F.col("_dd"), F.col("_base") + F.col("_low") - F.col("_top")))
+
+
+def path_stats(
+    df: DataFrame, keys: Sequence[str], position: str, value: str, chunk: int = 4096
+) -> DataFrame:
+    """Final sum, lowest point and maximum drawdown of the running sum of ``value``.
+
+    One long path is many tasks (see ``chunk_paths``).  Returns keys, n, total,
+    low (<= 0) and max_dd (<= 0).
+    """
+    keys = list(keys)
+    return chunk_paths(df, keys, position, value, chunk=chunk).groupBy(*keys).agg(
         F.sum("_n").alias("n"),
         F.sum("_sum").alias("total"),
         F.least(F.lit(0.0), F.min(F.col("_base") + F.col("_low"))).alias("low"),
-        F.least(
-            F.lit(0.0),
-            F.min(F.least(F.col("_dd"), F.col("_base") + F.col("_low") - F.col("_top"))),
-        ).alias("max_dd"),
+        F.min(piece_drawdown()).alias("max_dd"),
     )
 
 
@@ -167,17 +186,14 @@ def exact_quantiles(
 
     A bounded quantile sketch brackets each wanted rank, the bracket's values are
     counted, and the order statistics are read off inside the bracket.  ``rank``
-    is "linear" (interpolated, position p*(n-1)) or "floor" (the element at
-    min(floor(p*n), n-1)).  NULL values are ignored.
+    is "linear" (interpolated, position p*(n-1)), "floor" (the element at
+    min(floor(p*n), n-1)) or "top" (the smallest of the top max(1, floor((1-p)*n))
+    values).  Groups of at most ``accuracy`` rows are read whole.  NULL values are
+    ignored.
     """
     keys = list(keys)
     vals = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     slack = 2.0 / accuracy
-    bounds = []
-    for name, p in probs.items():
-        lo, hi = max(p - slack, 0.0), min(p + slack, 1.0)
-        bounds.append(F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p"),
-                               F.lit(lo).alias("lo"), F.lit(hi).alias("hi")))
     levels = sorted({x for p in probs.values() for x in (max(p - slack, 0.0), min(p + slack, 1.0))})
     sketch = vals.groupBy(*keys).agg(
         F.count("_v").alias("_n"),
@@ -185,16 +201,18 @@ def exact_quantiles(
         F.max("_v").alias("_max"),
         F.percentile_approx("_v", F.array(*[F.lit(x) for x in levels]), accuracy).alias("_q"),
     )
-    names = {x: F.col("_q")[i] for i, x in enumerate(levels)}
+    # the two ends of the sketch are replaced by the true extremes
+    ends = {0.0: F.col("_min"), 1.0: F.col("_max")}
+    names = {x: ends.get(x, F.col("_q")[i]) for i, x in enumerate(levels)}
+    small = F.col("_n") <= accuracy
     wanted = F.array(*[
         F.struct(
             F.lit(name).alias("name"),
             _rank(p, rank, "floor").alias("r0"),
             _rank(p, rank, "ceil").alias("r1"),
             _rank_fraction(p, rank).alias("frac"),
-            # the sketch may be one step off at the ends, so widen to the true extremes
-            (F.col("_min") if p <= slack else names[max(p - slack, 0.0)]).alias("lo"),
-            (F.col("_max") if p >= 1 - slack else names[min(p + slack, 1.0)]).alias("hi"),
+            F.when(small, F.col("_min")).otherwise(names[max(p - slack, 0.0)]).alias("lo"),
+            F.when(small, F.col("_max")).otherwise(names[min(p + slack, 1.0)]).alias("hi"),
         )
         for name, p in probs.items()
     ])
@@ -235,12 +253,14 @@ def _rank(p: float, rule: str, how: str) -> Column:
     n = F.col("_n")
     if rule == "floor":
         return F.least(F.floor(F.lit(float(p)) * n), n - 1)
+    if rule == "top":
+        return n - F.greatest(F.lit(1).cast("bigint"), F.floor(F.lit(1 - float(p)) * n + F.lit(1e-9)))
     at = F.lit(float(p)) * (n - 1)
     return F.floor(at) if how == "floor" else F.ceil(at)
 
 
 def _rank_fraction(p: float, rule: str) -> Column:
-    if rule == "floor":
+    if rule != "linear":
         return F.lit(0.0)
     at = F.lit(float(p)) * (F.col("_n") - 1)
     return at - F.floor(at)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -22,3 +24,17 @@ def build_session(master: str | None = None, app: str = "tickloom", **extra: str
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write an intermediate table that several passes read, in the session's checkpoint folder.
+
+    The folder comes from ``spark.checkpoint.dir``; only a session without one (a
+    local test) gets a temporary folder.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(
+            context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tickloom-")
+        )
+    return df.checkpoint()
