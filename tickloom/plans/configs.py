@@ -1 +1,403 @@
-QUERIES = {}
+"""Registered queries: configuration audits over a corpus derived from suppliers (configs), orders (workflows) and parts (blocks).
+
+The corpus tables are plain SQL that both engines read; only the audits differ.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tickloom.operators import configs as ops
+from tickloom.plans.common import rounded, table
+from tickloom.sources import archives as ar
+
+_LINES = "(SELECT l.*, p_type, p_brand FROM {lineitem} l JOIN {part} p ON l_partkey = p_partkey)"
+CORPUS = {
+    "blocks": f"""SELECT config_id, container, row_number() OVER (PARTITION BY config_id, container ORDER BY key) - 1 AS block_idx, key,
+        category, weight, use, probability FROM (
+      SELECT l_suppkey AS config_id, CASE WHEN p_brand = 'Brand#1' THEN 'order' WHEN p_brand = 'Brand#2' THEN 'exit' ELSE 'building' END AS container,
+        p_type || '.' || p_brand AS key, p_type AS category, CAST(count(*) AS DOUBLE) AS weight, max(l_discount) >= 0.08 AS use,
+        CASE WHEN p_brand = 'Brand#2' THEN CAST(count(*) * 10 AS STRING) END AS probability
+      FROM {_LINES} x GROUP BY l_suppkey, p_brand, p_type) b""",
+    "block_params": f"""SELECT l_suppkey AS config_id, CASE WHEN p_brand = 'Brand#1' THEN 'order' WHEN p_brand = 'Brand#2' THEN 'exit' ELSE 'building' END AS container,
+        p_type || '.' || p_brand AS block_key,
+        row_number() OVER (PARTITION BY l_suppkey, p_type, p_brand ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS param_idx,
+        '#' || CAST(l_linenumber AS STRING) || '#' AS key, 'n' || CAST(l_linenumber AS STRING) AS name, l_returnflag AS type,
+        CASE WHEN l_tax = 0 THEN 'null' END AS param_type,
+        CASE WHEN l_discount = 0 THEN '-1000001' ELSE CAST(CAST(floor(l_quantity) AS BIGINT) AS STRING) END AS min,
+        CAST(CAST(floor(l_quantity) AS BIGINT) + 10 AS STRING) AS max, CASE WHEN l_tax > 0.06 THEN 'a,b' END AS values,
+        CASE WHEN l_discount > 0.07 THEN CAST(CAST(floor(l_quantity) AS BIGINT) AS STRING) END AS default,
+        CASE WHEN l_quantity < 5 THEN '' ELSE CAST(CAST(floor(l_quantity) AS BIGINT) AS STRING) END AS value
+      FROM {_LINES} x""",
+    "options": """SELECT config_id, 'LimitTimeRange' AS key, CASE WHEN d > 0.05 THEN 'true' ELSE 'false' END AS value FROM {g}
+      UNION ALL SELECT config_id, 'SignalTimeRangeFrom', CAST((s % 12) * 3600 AS STRING) FROM {g}
+      UNION ALL SELECT config_id, 'SignalTimeRangeTo', CAST((s % 12 + n % 15) * 3600 AS STRING) FROM {g}
+      UNION ALL SELECT config_id, 'ExitOnFriday', CASE WHEN t > 0.04 THEN 'true' ELSE 'false' END FROM {g}
+      UNION ALL SELECT config_id, 'FridayExitTime', CAST(60000 + n * 20 AS STRING) FROM {g}
+      UNION ALL SELECT config_id, 'DontTradeOnWeekends', CASE WHEN s % 2 = 0 THEN 'true' ELSE 'false' END FROM {g}
+      UNION ALL SELECT config_id, 'MaxTradesPerDay', CAST(s % 14 AS STRING) FROM {g}
+      UNION ALL SELECT config_id, 'MinimumSL', CAST(s % 3 AS STRING) FROM {g}
+      UNION ALL SELECT config_id, 'PickerMaxOpenPositionsShort', CAST(n % 9 AS STRING) FROM {g}
+      UNION ALL SELECT config_id, 'PickerMaxOpenPositionsLong', CAST(s % 9 AS STRING) FROM {g} WHERE s % 4 > 0
+      UNION ALL SELECT config_id, 'RealisticGapsHandling', CASE WHEN s % 5 > 1 THEN 'true' ELSE 'false' END FROM {g}""",
+    "conditions": """SELECT l_suppkey AS config_id, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS condition_idx,
+        CASE l_returnflag WHEN 'A' THEN 'Net Profit' WHEN 'N' THEN '# Trades' ELSE 'Max Drawdown %' END AS column,
+        CASE l_returnflag WHEN 'R' THEN '<=' ELSE '>=' END AS comparator, CAST(count(*) AS STRING) AS numeric, avg(l_discount) > 0.048 AS use
+      FROM {lineitem} GROUP BY l_suppkey, l_returnflag""",
+    "ranges": """SELECT l_suppkey AS config_id, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS range_idx,
+        CAST(min(l_shipdate) + INTERVAL '120' DAY AS DATE) AS date_from,
+        CAST(min(l_shipdate) + INTERVAL '180' DAY + (CASE WHEN avg(l_tax) > 0.04 THEN INTERVAL '600' DAY ELSE INTERVAL '10' DAY END) AS DATE) AS date_to
+      FROM {lineitem} GROUP BY l_suppkey, l_returnflag HAVING avg(l_quantity) > 25""",
+    "setups": """SELECT l_suppkey AS config_id, 0 AS setup_idx, CAST(min(l_shipdate) AS DATE) AS date_from,
+        CAST(max(l_shipdate) - (CASE WHEN avg(l_tax) > 0.0405 THEN INTERVAL '1500' DAY WHEN avg(l_discount) > 0.05 THEN INTERVAL '800' DAY ELSE INTERVAL '10' DAY END) AS DATE) AS date_to,
+        {types} AS symbols
+      FROM (SELECT l.*, p_type FROM {lineitem} l JOIN {part} p ON l_partkey = p_partkey) x GROUP BY l_suppkey""",
+    "pairs": "SELECT s_suppkey AS comparison_id, s_suppkey AS a, s_suppkey + 1 AS b FROM {supplier}",
+    "triples": "SELECT s_suppkey AS comparison_id, s_suppkey AS base, s_suppkey + 1 AS generated, s_suppkey + 2 AS saved FROM {supplier}",
+    "lines": """SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS task_idx,
+        CASE l_suppkey % 5 WHEN 0 THEN 'Build' WHEN 1 THEN 'Retest' WHEN 2 THEN 'Filtering' WHEN 3 THEN 'GoToTask' ELSE 'ClearDatabanks' END AS type
+      FROM {lineitem}""",
+    "tasks": """SELECT l_orderkey AS project_id, task_idx, type, type || '-' || CAST(task_idx AS STRING) AS name,
+        type || '-' || CAST(task_idx AS STRING) AS title, l_discount > 0.02 AS active, CASE WHEN l_tax > 0.04 THEN 'tpl' ELSE '' END AS template_file,
+        CASE WHEN type = 'GoToTask' THEN 'Build-' || CAST(1 + l_partkey % 4 AS STRING) END AS goto, l_quantity > 25 AS cross_check FROM {lines}""",
+    "databanks": """SELECT l_orderkey AS project_id, task_idx, CASE WHEN type = 'Build' THEN 'output' ELSE 'input' END AS role,
+        'D' || CAST(l_partkey % 3 AS STRING) AS databank FROM {lines} WHERE type IN ('Build', 'Retest')""",
+    "task_ranges": """SELECT l_orderkey AS project_id, task_idx, 0 AS range_idx, DATE '2000-01-01' AS date_from,
+        CASE WHEN l_tax > 0.04 THEN DATE '2001-01-01' ELSE DATE '2002-01-01' END AS date_to FROM {lines}
+      UNION ALL SELECT l_orderkey, task_idx, 1, DATE '2003-01-01', CASE WHEN l_discount > 0.05 THEN DATE '2004-01-01' ELSE DATE '2005-01-01' END FROM {lines}""",
+    "task_options": """SELECT l_orderkey AS project_id, task_idx, 'LimitTimeRange' AS key, CASE WHEN l_tax > 0.02 THEN 'true' ELSE 'false' END AS value FROM {lines}
+      UNION ALL SELECT l_orderkey, task_idx, 'SignalTimeRangeFrom', CAST(l_linenumber * 3600 AS STRING) FROM {lines}""",
+    "catalogue": "SELECT p_type AS category, p_name AS name FROM {part}",
+    "names": "SELECT p_type AS category, CASE WHEN p_size % 3 = 0 THEN p_name || 'x' WHEN p_size % 3 = 1 THEN substring(p_name, 3, 5) || 'qq' ELSE p_name END AS name FROM {part}",
+    "g": """SELECT l_suppkey AS config_id, avg(l_discount) AS d, avg(l_tax) AS t, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS s
+      FROM {lineitem} GROUP BY l_suppkey""",
+}
+_BASE = ("lineitem", "part", "supplier")
+_DUCK_TYPES = "list_sort(list(DISTINCT p_type))"
+_SPARK_TYPES = "sort_array(collect_set(p_type))"
+
+
+def corpus(spark, sf, name):
+    """One corpus table as a DataFrame."""
+    text = CORPUS[name].replace("{types}", _SPARK_TYPES)
+    refs = {r: table(spark, sf, r) for r in _BASE if f"{{{r}}}" in text}
+    refs |= {r: corpus(spark, sf, r) for r in ("g", "lines") if f"{{{r}}}" in text}
+    # reserved words of the two dialects
+    text = text.replace(" AS values,", " AS `values`,").replace(" AS default,", " AS `default`,").replace(" AS column,", " AS `column`,").replace(" AS use", " AS `use`")
+    return spark.sql(text, **refs)
+
+
+def _ctes(*names: str) -> str:
+    """The same tables as CTEs of the oracle."""
+    out = []
+    for n in names:
+        text = CORPUS[n].replace("{types}", _DUCK_TYPES)
+        for r in (*_BASE, "g", "lines"):
+            text = text.replace(f"{{{r}}}", r)
+        for w in ("values", "default", "column", "use"):
+            text = text.replace(f" AS {w},", f' AS "{w}",').replace(f" AS {w}\n", f' AS "{w}"\n')
+        text = text.replace("weight, use, probability FROM", 'weight, "use", probability FROM')
+        out.append(f"{n} AS ({text})")
+    return "WITH " + ",\n".join(out)
+
+
+def building(spark, sf):
+    return corpus(spark, sf, "blocks").filter("container = 'building'")
+
+
+def params(spark, sf):
+    """Block parameters with the position of their block."""
+    b = corpus(spark, sf, "blocks").select("config_id", "container", F.col("key").alias("block_key"), "block_idx")
+    return corpus(spark, sf, "block_params").join(b, ["config_id", "container", "block_key"])
+
+
+def active_block_counts(spark, sf):
+    return ops.category_counts(building(spark, sf)).withColumn("keys", F.array_join("keys", ","))
+
+
+def active_block_list(spark, sf):
+    return ops.active_blocks(building(spark, sf), "STANDARD").select("config_id", "key", "category", "weight")
+
+
+def distinct_indicators(spark, sf):
+    d = ops.distinct_indicators(building(spark, sf), params(spark, sf).filter("container = 'building'"))
+    text = F.transform("params", lambda p: F.concat_ws("=", p["key"], p["name"], p["value"]))
+    return d.select("config_id", "key", "category", F.array_join(text, ";").alias("params"))
+
+
+def block_differences(spark, sf):
+    return ops.block_differences(building(spark, sf), corpus(spark, sf, "pairs"))
+
+
+def category_differences(spark, sf):
+    return ops.category_differences(building(spark, sf), corpus(spark, sf, "pairs"))
+
+
+def option_differences(spark, sf):
+    return ops.value_differences(corpus(spark, sf, "options"), corpus(spark, sf, "pairs"))
+
+
+def chart_lists(spark, sf):
+    c = ops.chart_lists(corpus(spark, sf, "setups"), corpus(spark, sf, "pairs"))
+    return c.select("comparison_id", F.array_join("charts_a", ",").alias("charts_a"), F.array_join("charts_b", ",").alias("charts_b"), "charts_match")
+
+
+def _drifts(spark, sf):
+    t = corpus(spark, sf, "triples")
+    settings = ops.trading_items(corpus(spark, sf, "options")).unionByName(ops.exit_items(corpus(spark, sf, "blocks")))
+    return ops.drift(settings, t).unionByName(ops.drift(ops.ranking_items(corpus(spark, sf, "conditions")), t, True))
+
+
+def setting_drift(spark, sf):
+    return _drifts(spark, sf)
+
+
+def drift_summary(spark, sf):
+    return ops.drift_summary(_drifts(spark, sf))
+
+
+def date_audit(spark, sf):
+    return rounded(ops.date_audit(corpus(spark, sf, "setups"), corpus(spark, sf, "ranges")))
+
+
+def date_findings(spark, sf):
+    return ops.date_findings(corpus(spark, sf, "setups"), corpus(spark, sf, "ranges"))
+
+
+def option_findings(spark, sf):
+    return ops.option_findings(corpus(spark, sf, "options"))
+
+
+def ranking_thresholds(spark, sf):
+    return ops.ranking_thresholds(corpus(spark, sf, "conditions"))
+
+
+def workflow_findings(spark, sf):
+    return ops.workflow_findings(*[corpus(spark, sf, n) for n in ("tasks", "databanks", "task_ranges", "task_options")])
+
+
+def workflow_digest(spark, sf):
+    return ops.workflow_digest(corpus(spark, sf, "tasks")).withColumn("steps", F.array_join("steps", ","))
+
+
+def enabled_types(spark, sf):
+    return ops.enabled_types(corpus(spark, sf, "blocks")).withColumn("types", F.array_join("types", ","))
+
+
+def enabled_checks(spark, sf):
+    """Tasks of a workflow that carry cross-checks, one check name per line status and return flag."""
+    li = table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("config_id"), F.concat_ws("/", "l_returnflag", "l_linestatus").alias("check"), (F.col("l_tax") > 0.07).alias("use"))
+    per = li.groupBy("config_id", "check").agg((F.avg(F.col("use").cast("int")) > 0.1).alias("use"))
+    return ops.enabled_checks(per).withColumn("checks", F.array_join("checks", ","))
+
+
+def name_suggestions(spark, sf):
+    return rounded(ops.name_suggestions(corpus(spark, sf, "names"), corpus(spark, sf, "catalogue")))
+
+
+def catalogue_listing(spark, sf):
+    c = ops.catalogue_listing(params(spark, sf), corpus(spark, sf, "blocks"))
+    return c.select("config_id", "container", "block_idx", "category", "key", F.array_join("params", ";").alias("params"))
+
+
+def corpus_xml(spark, sf):
+    """One builder document per supplier, written from the corpus tables."""
+    def element(tag, attributes, body=None):
+        attrs = [F.concat(F.lit(f' {a}="'), c, F.lit('"')) for a, c in attributes.items()]
+        return F.concat(F.lit(f"<{tag}"), *attrs, F.lit(">"), body if body is not None else F.lit(""), F.lit(f"</{tag}>"))
+
+    def listed(df, order, xml, out):
+        rows = df.select("config_id", F.struct(F.col(order).alias("o"), xml.alias("x")).alias("s"))
+        return rows.groupBy("config_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["x"]), "").alias(out))
+
+    p = params(spark, sf).withColumn("x", F.struct("param_idx", element("Param", {"key": F.col("key"), "name": F.col("name"), "type": F.col("type")}, F.col("value")).alias("x")))
+    p = p.groupBy("config_id", "container", "block_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda s: s["x"]), "").alias("px"))
+    b = corpus(spark, sf, "blocks").join(p, ["config_id", "container", "block_idx"], "left")
+    bx = element("Block", {"key": F.col("key"), "category": F.col("category"), "weight": F.col("weight").cast("string"), "use": F.col("use").cast("string"),
+                           "probability": F.coalesce("probability", F.lit(""))}, F.concat(F.lit("<Generated>"), F.coalesce("px", F.lit("")), F.lit("</Generated>")))
+    parts = [listed(b.filter(F.col("container") == c), "block_idx", bx, c) for c in ("building", "order", "exit")]
+    parts.append(listed(corpus(spark, sf, "options"), "key", element("Param", {"key": F.col("key")}, F.col("value")), "options"))
+    cond = F.concat(F.lit('<Condition use="'), F.col("use").cast("string"), F.lit('"><Left-Side valueType="column">'), element("Column-Value", {"column": F.col("column")}),
+                    F.lit("</Left-Side>"), element("Comparator", {"value": F.regexp_replace("comparator", "<", "&lt;")}),
+                    F.lit('<Right-Side valueType="numeric">'), element("Numeric-Value", {"value": F.col("numeric")}), F.lit("</Right-Side></Condition>"))
+    parts.append(listed(corpus(spark, sf, "conditions"), "condition_idx", cond, "conditions"))
+    rng = element("Range", {"dateFrom": F.date_format("date_from", "yyyy.MM.dd"), "dateTo": F.date_format("date_to", "yyyy.MM.dd")})
+    parts.append(listed(corpus(spark, sf, "ranges"), "range_idx", rng, "ranges"))
+    doc = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("config_id"))
+    for part in parts:
+        doc = doc.join(part, "config_id", "left")
+
+    def of(c):
+        return F.coalesce(c, F.lit(""))
+
+    xml = F.concat(
+        F.lit('<?xml version="1.0"?><Task type="Build" version="1"><Settings><Options><BuildTradingOptions><Params>'), of("options"),
+        F.lit("</Params></BuildTradingOptions></Options><Data><OutOfSample>"), of("ranges"), F.lit('</OutOfSample></Data><Rankings type="x"><Conditions>'),
+        of("conditions"), F.lit("</Conditions></Rankings><Blocks><BuildingBlocks>"), of("building"), F.lit("</BuildingBlocks><OrderTypes>"), of("order"),
+        F.lit("</OrderTypes><ExitTypes>"), of("exit"), F.lit("</ExitTypes></Blocks></Settings></Task>"))
+    return doc.select("config_id", xml.alias("xml"))
+
+
+def ingest_blocks(spark, sf):
+    b = ar.block_table(ar.parse_configs(corpus_xml(spark, sf)))
+    return b.withColumn("probability", F.nullif("probability", F.lit("")))
+
+
+def ingest_params(spark, sf):
+    p = ar.block_param_table(ar.parse_configs(corpus_xml(spark, sf)))
+    return p.select("config_id", "container", "block_idx", "block_key", "param_idx", "key", "name", "type", F.coalesce("value", F.lit("")).alias("value"))
+
+
+def ingest_settings(spark, sf):
+    """Options, ranking conditions and ranges read back from the documents, as (kind, key, value) rows."""
+    parsed = ar.parse_configs(corpus_xml(spark, sf))
+    o = ar.option_table(parsed).select("config_id", F.lit("option").alias("kind"), "key", F.concat_ws(":", "inferred_type", "value").alias("value"))
+    c = ar.condition_table(parsed).select("config_id", F.lit("condition"), "column", F.concat_ws(":", "comparator", "numeric", F.col("use").cast("string")))
+    r = ar.range_table(parsed).select("config_id", F.lit("range"), F.col("range_idx").cast("string"), F.concat_ws(":", F.col("date_from").cast("string"), F.col("date_to").cast("string")))
+    return o.union(c).union(r)
+
+
+def config_kinds(spark, sf):
+    """Document kind and declared type per supplier."""
+    parsed = ar.parse_configs(corpus_xml(spark, sf))
+    return ar.config_table(parsed).select("config_id", "type", "version", "ranking_type")
+
+
+_ROLES2 = "r AS (SELECT comparison_id, 'a' AS role, a AS config_id FROM pairs UNION ALL SELECT comparison_id, 'b', b FROM pairs)"
+_ACT = """act AS (SELECT * FROM blocks WHERE "use" AND container = 'building')"""
+_DRIFT = f"""{_ctes('g', 'options', 'blocks', 'conditions', 'triples')},
+it AS (SELECT config_id, 'trading.' || key AS key, value, 0 AS rk FROM options WHERE key <> 'MinimumSL'
+  UNION ALL SELECT config_id, 'exit.' || key, ("use"::VARCHAR) || '/' || coalesce(probability, ''), 0 FROM blocks WHERE container = 'exit'
+  UNION ALL SELECT config_id, "column" || ' ' || comparator, numeric, 1 FROM conditions WHERE "use"),
+ks AS (SELECT DISTINCT comparison_id, it.key, it.rk FROM triples JOIN it ON it.config_id IN (generated, saved)),
+dr AS (SELECT ks.comparison_id, ks.key, ks.rk, b.value AS base, g1.value AS generated, s.value AS saved FROM ks JOIN triples t ON t.comparison_id = ks.comparison_id
+  LEFT JOIN it b ON b.config_id = t.base AND b.key = ks.key LEFT JOIN it g1 ON g1.config_id = t.generated AND g1.key = ks.key
+  LEFT JOIN it s ON s.config_id = t.saved AND s.key = ks.key),
+df AS (SELECT comparison_id, key, CASE WHEN generated IS NOT DISTINCT FROM saved THEN 'same' WHEN saved IS NOT DISTINCT FROM base THEN 'reverted'
+  WHEN rk = 1 AND saved IS NULL THEN 'reverted' ELSE 'changed' END AS status, base, generated, saved FROM dr)"""
+_DATES = f"""{_ctes('setups', 'ranges')},
+o AS (SELECT config_id, sum(date_to - date_from)::BIGINT AS oos_days, count(*) AS n, min(date_from) AS a, max(date_to) AS b FROM ranges GROUP BY 1),
+j AS (SELECT s.config_id, date_from AS is_from, date_to AS is_to, (date_to - date_from)::INT AS is_days, coalesce(n, 0) AS n, oos_days, a, b
+  FROM setups s LEFT JOIN o ON o.config_id = s.config_id)"""
+_WF = _ctes("lines", "tasks", "databanks", "task_ranges", "task_options")
+_PAR = f"""{_ctes('blocks', 'block_params')},
+par AS (SELECT block_params.*, block_idx FROM block_params JOIN blocks ON blocks.config_id = block_params.config_id
+  AND blocks.container = block_params.container AND blocks.key = block_params.block_key)"""
+
+QUERIES = {
+    "active_block_counts": (active_block_counts, f"""{_ctes('blocks')}, {_ACT}
+SELECT config_id, category, count(*) AS n, string_agg(key, ',' ORDER BY key) AS keys FROM act GROUP BY 1, 2"""),
+    "active_block_list": (active_block_list, f"""{_ctes('blocks')}, {_ACT}
+SELECT config_id, key, category, weight FROM act WHERE category = 'STANDARD'"""),
+    "distinct_indicators": (distinct_indicators, f"""{_PAR}, {_ACT}
+SELECT act.config_id, act.key, act.category, coalesce(string_agg(par.key || '=' || par.name || '=' || par.value, ';' ORDER BY param_idx)
+  FILTER (par.param_type IS NULL AND par.value <> ''), '') AS params
+FROM act LEFT JOIN par ON par.config_id = act.config_id AND par.block_key = act.key AND par.container = 'building' GROUP BY 1, 2, 3"""),
+    "block_differences": (block_differences, f"""{_ctes('blocks', 'pairs')}, {_ACT}, {_ROLES2}
+SELECT comparison_id, key, CASE WHEN bool_and(role = 'a') THEN 'only_a' WHEN bool_and(role = 'b') THEN 'only_b' ELSE 'both' END AS "where"
+FROM act JOIN r ON r.config_id = act.config_id GROUP BY 1, 2"""),
+    "category_differences": (category_differences, f"""{_ctes('blocks', 'pairs')}, {_ACT}, {_ROLES2}
+SELECT comparison_id, category, sum((role = 'a')::INT)::BIGINT AS n_a, sum((role = 'b')::INT)::BIGINT AS n_b,
+  (sum((role = 'a')::INT) - sum((role = 'b')::INT))::BIGINT AS difference FROM act JOIN r ON r.config_id = act.config_id
+GROUP BY 1, 2 HAVING sum((role = 'a')::INT) <> sum((role = 'b')::INT)"""),
+    "option_differences": (option_differences, f"""{_ctes('g', 'options', 'pairs')},
+ka AS (SELECT comparison_id, key, value FROM pairs JOIN options ON config_id = a), kb AS (SELECT comparison_id, key, value FROM pairs JOIN options ON config_id = b)
+SELECT coalesce(ka.comparison_id, kb.comparison_id) AS comparison_id, coalesce(ka.key, kb.key) AS key, ka.value AS value_a, kb.value AS value_b
+FROM ka FULL JOIN kb ON ka.comparison_id = kb.comparison_id AND ka.key = kb.key WHERE ka.value IS DISTINCT FROM kb.value"""),
+    "chart_lists": (chart_lists, f"""{_ctes('setups', 'pairs')}
+SELECT comparison_id, array_to_string(x.symbols, ',') AS charts_a, array_to_string(y.symbols, ',') AS charts_b,
+  x.symbols IS NOT DISTINCT FROM y.symbols AS charts_match
+FROM pairs LEFT JOIN setups x ON x.config_id = a LEFT JOIN setups y ON y.config_id = b"""),
+    "setting_drift": (setting_drift, f"{_DRIFT} SELECT * FROM df"),
+    "drift_summary": (drift_summary, f"""{_DRIFT}
+SELECT comparison_id, sum((status = 'same')::INT)::BIGINT AS same, sum((status = 'reverted')::INT)::BIGINT AS reverted,
+  sum((status = 'changed')::INT)::BIGINT AS changed FROM df GROUP BY 1"""),
+    "date_audit": (date_audit, f"""{_DATES}
+SELECT config_id, is_days, round(is_days / 365.25::DOUBLE, 2) AS is_years,
+  CASE WHEN is_days / 365.25 < 3 THEN 'short' WHEN is_days / 365.25 < 5 THEN 'acceptable' ELSE 'good' END AS is_length, n AS n_ranges, oos_days,
+  round(100::DOUBLE * oos_days / nullif(is_days, 0), 1) AS coverage_pct, is_from, is_to, a AS oos_from, b AS oos_to FROM j"""),
+    "date_findings": (date_findings, f"""{_DATES},
+gp AS (SELECT r.*, is_from, is_to, lead(r.date_from) OVER (PARTITION BY r.config_id ORDER BY r.date_from, range_idx) - r.date_to AS gap
+  FROM ranges r JOIN j ON j.config_id = r.config_id)
+SELECT config_id, 'in_sample_short' AS code, 'error' AS severity, is_days AS days FROM j WHERE is_days / 365.25 < 3
+UNION ALL SELECT config_id, 'in_sample_acceptable', 'warning', is_days FROM j WHERE is_days / 365.25 >= 3 AND is_days / 365.25 < 5
+UNION ALL SELECT config_id, 'no_out_of_sample', 'error', NULL FROM j WHERE n = 0
+UNION ALL SELECT config_id, 'coverage_very_low', 'error', oos_days FROM j WHERE n = 1 AND oos_days / is_days::DOUBLE < 0.3
+UNION ALL SELECT config_id, 'coverage_moderate', 'warning', oos_days FROM j WHERE n = 1 AND oos_days / is_days::DOUBLE >= 0.3 AND oos_days / is_days::DOUBLE < 0.5
+UNION ALL SELECT config_id, 'ranges_outside_in_sample', 'error', NULL FROM j WHERE n > 0 AND (a - is_from < -30 OR b - is_to > 30)
+UNION ALL SELECT config_id, 'single_range_covers_all', 'warning', NULL FROM j WHERE n = 1 AND abs((b - a) - is_days) <= 30
+UNION ALL SELECT config_id, 'single_range', 'warning', NULL FROM j WHERE n = 1
+UNION ALL SELECT config_id, 'range_starts_before', 'error', is_from - date_from FROM gp WHERE is_from - date_from > 30
+UNION ALL SELECT config_id, 'range_ends_after', 'error', date_to - is_to FROM gp WHERE date_to - is_to > 30
+UNION ALL SELECT config_id, 'gap_between_ranges', 'warning', gap FROM gp WHERE gap > 30
+UNION ALL SELECT config_id, 'range_very_short', 'warning', date_to - date_from FROM gp WHERE (date_to - date_from) / 365.25 < 0.25"""),
+    "option_findings": (option_findings, f"""{_ctes('g', 'options')},
+w AS (SELECT config_id, d > 0.05 AS lim, (s % 12) * 3600 AS a, (s % 12 + n % 15) * 3600 AS b, t > 0.04 AS fri, 60000 + n * 20 AS frit,
+  s % 2 = 0 AS wk, s % 14 AS mt, s % 3 AS sl, n % 9 AS ps, CASE WHEN s % 4 > 0 THEN s % 9 ELSE 0 END AS pl, s % 5 > 1 AS gaps FROM g)
+SELECT config_id, code, 'warning' AS severity FROM (
+  SELECT config_id, 'time_range_short' AS code FROM w WHERE lim AND b - a < 14400
+  UNION ALL SELECT config_id, 'time_range_long' FROM w WHERE lim AND b - a > 43200
+  UNION ALL SELECT config_id, 'time_range_ignored' FROM w WHERE NOT lim AND (a <> 0 OR b <> 0)
+  UNION ALL SELECT config_id, 'friday_exit_late' FROM w WHERE fri AND frit > 72000
+  UNION ALL SELECT config_id, 'weekend_trading' FROM w WHERE NOT wk
+  UNION ALL SELECT config_id, 'trades_unlimited' FROM w WHERE mt = 0 UNION ALL SELECT config_id, 'trades_many' FROM w WHERE mt > 10
+  UNION ALL SELECT config_id, 'no_stop_target_limits' FROM w WHERE sl = 0
+  UNION ALL SELECT config_id, 'many_short_positions' FROM w WHERE ps > 5 UNION ALL SELECT config_id, 'many_long_positions' FROM w WHERE pl > 5
+  UNION ALL SELECT config_id, 'gaps_not_realistic' FROM w WHERE NOT gaps)"""),
+    "ranking_thresholds": (ranking_thresholds, f"""{_ctes('conditions')}
+SELECT config_id, CASE condition_idx WHEN 0 THEN 'netprofit' WHEN 1 THEN 'numberoftrades' ELSE 'maxdrawdownpct' END AS metric,
+  comparator, numeric::DOUBLE AS threshold FROM conditions WHERE "use" """),
+    "workflow_findings": (workflow_findings, f"""{_WF},
+act AS (SELECT * FROM tasks WHERE active),
+cl AS (SELECT project_id, bool_or(type = 'ClearDatabanks' AND active) AS cl_on, bool_or(type = 'ClearDatabanks') AS cl_any FROM tasks GROUP BY 1),
+gt AS (SELECT s.project_id, s.task_idx, s.active, t.task_idx AS ti, t.active AS ta FROM tasks s
+  LEFT JOIN tasks t ON t.project_id = s.project_id AND t.name = s.goto WHERE s.type = 'GoToTask'),
+bd AS (SELECT project_id, max(task_idx) AS last, min(task_idx) AS first FROM act WHERE type = 'Build' GROUP BY 1),
+rt AS (SELECT project_id, task_idx FROM act WHERE type = 'Retest')
+SELECT a.project_id, a.task_idx, 'warning' AS severity, 'retest_without_filter' AS code, 1 AS n FROM act a
+  LEFT JOIN tasks f ON f.project_id = a.project_id AND f.task_idx = a.task_idx + 1 AND f.type = 'Filtering' AND f.active
+  WHERE a.type = 'Retest' AND a.cross_check AND f.project_id IS NULL
+UNION ALL SELECT project_id, task_idx, 'error', 'goto_missing', 1 FROM gt WHERE active AND ti IS NULL
+UNION ALL SELECT project_id, task_idx, 'error', 'goto_inactive', 1 FROM gt WHERE active AND NOT ta
+UNION ALL SELECT gt.project_id, task_idx, 'warning', CASE WHEN cl_any THEN 'clear_step_inactive' ELSE 'clear_step_missing' END, 1
+  FROM gt JOIN cl ON cl.project_id = gt.project_id WHERE ti IS NOT NULL AND NOT cl_on
+UNION ALL SELECT b.project_id, b.task_idx, 'info', 'databank_mismatch', count(*) FROM act b JOIN databanks o ON o.project_id = b.project_id AND o.task_idx = b.task_idx
+  JOIN rt ON rt.project_id = b.project_id JOIN databanks i ON i.project_id = rt.project_id AND i.task_idx = rt.task_idx
+  WHERE b.type = 'Build' AND i.databank <> o.databank GROUP BY 1, 2
+UNION ALL SELECT rt.project_id, rt.task_idx, 'info', 'ranges_mismatch', count(*) FROM rt JOIN bd ON bd.project_id = rt.project_id
+  JOIN task_ranges x ON x.project_id = rt.project_id AND x.task_idx = rt.task_idx
+  JOIN task_ranges y ON y.project_id = rt.project_id AND y.task_idx = bd.last AND y.range_idx = x.range_idx
+  WHERE x.date_to <> y.date_to OR x.date_from <> y.date_from GROUP BY 1, 2
+UNION ALL SELECT project_id, task_idx, 'info', 'template_missing', 1 FROM act WHERE type = 'Build' AND template_file = ''
+UNION ALL SELECT rt.project_id, rt.task_idx, 'warning', 'window_mismatch', count(*) FROM rt JOIN bd ON bd.project_id = rt.project_id
+  JOIN task_options x ON x.project_id = rt.project_id AND x.task_idx = rt.task_idx
+  JOIN task_options y ON y.project_id = rt.project_id AND y.task_idx = bd.first AND y.key = x.key WHERE x.value <> y.value GROUP BY 1, 2"""),
+    "workflow_digest": (workflow_digest, f"""{_ctes('lines', 'tasks')}
+SELECT project_id, count(*) AS n_tasks, sum(active::INT)::BIGINT AS n_active,
+  string_agg(task_idx || ':' || type || ':' || title || ':' || CASE WHEN active THEN 'on' ELSE 'off' END, ',' ORDER BY task_idx) AS steps
+FROM tasks GROUP BY 1"""),
+    "enabled_types": (enabled_types, f"""{_ctes('blocks')}
+SELECT config_id, container, string_agg(k, ',' ORDER BY k) AS types FROM (
+  SELECT config_id, container, key || coalesce('@' || probability, '') AS k FROM blocks WHERE "use" AND container IN ('order', 'exit')) GROUP BY 1, 2"""),
+    "enabled_checks": (enabled_checks, """SELECT config_id, string_agg(k, ',' ORDER BY k) AS checks FROM (
+  SELECT l_suppkey AS config_id, l_returnflag || '/' || l_linestatus AS k FROM lineitem GROUP BY 1, 2 HAVING avg((l_tax > 0.07)::INT) > 0.1) GROUP BY 1"""),
+    "name_suggestions": (name_suggestions, f"""{_ctes('catalogue', 'names')},
+u AS (SELECT DISTINCT category, name FROM names EXCEPT SELECT category, name FROM catalogue),
+c AS (SELECT DISTINCT category, name FROM catalogue),
+s AS (SELECT u.category, u.name, c.name AS hit, 1 - levenshtein(u.name, c.name)::DOUBLE / greatest(length(u.name), length(c.name)) AS sim
+  FROM u LEFT JOIN c ON c.category = u.category QUALIFY row_number() OVER (PARTITION BY u.category, u.name ORDER BY sim DESC, hit DESC) = 1)
+SELECT category, name, CASE WHEN sim >= 0.6 THEN hit END AS suggestion, round(CASE WHEN sim >= 0.6 THEN sim END, 6) + 0.0 AS similarity FROM s"""),
+    "catalogue_listing": (catalogue_listing, f"""{_PAR}
+SELECT b.config_id, b.container, b.block_idx, b.category, b.key, coalesce(string_agg(par.key || ':' || par.type || '=' ||
+  coalesce("default", "values", CASE WHEN min <> '-1000001' THEN min || '..' || max END, ''), ';' ORDER BY param_idx), '') AS params
+FROM blocks b LEFT JOIN par ON par.config_id = b.config_id AND par.container = b.container AND par.block_idx = b.block_idx GROUP BY 1, 2, 3, 4, 5"""),
+    "ingest_blocks": (ingest_blocks, f"{_ctes('blocks')} SELECT * FROM blocks"),
+    "ingest_params": (ingest_params, f"""{_PAR}
+SELECT config_id, container, block_idx, block_key, param_idx, key, name, type, value FROM par"""),
+    "ingest_settings": (ingest_settings, f"""{_ctes('g', 'options', 'conditions', 'ranges')}
+SELECT config_id, 'option' AS kind, key, CASE WHEN value IN ('true', 'false') THEN 'bool:' ELSE 'int:' END || value AS value FROM options
+UNION ALL SELECT config_id, 'condition', "column", comparator || ':' || numeric || ':' || "use"::VARCHAR FROM conditions
+UNION ALL SELECT config_id, 'range', range_idx::VARCHAR, date_from::VARCHAR || ':' || date_to::VARCHAR FROM ranges"""),
+    "config_kinds": (config_kinds, "SELECT s_suppkey AS config_id, 'build' AS type, '1' AS version, 'x' AS ranking_type FROM supplier"),
+}
