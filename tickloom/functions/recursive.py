@@ -4,9 +4,9 @@ One grouped-map call computes all wanted columns of a block with NumPy/pandas;
 Spark cuts the blocks, and each block starts ``WARMUP`` rows early.  The folds
 forget their start: an exponential mean with weight a keeps (1-a)^k of it after
 k rows, so after the warm-up the start is far below one unit in the last place.
-``seam_gaps`` checks exactly that on real data, and ``settled_columns`` re-folds
+``seam_gaps`` checks exactly that on real data, and ``settled_indicators`` re-folds
 the blocks where it does not hold (a trend that never flips, a price that never
-moves) from the state their predecessor ended with.
+moves) with a longer one.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tickloom.operators.blocks import BLOCK_ROWS, to_blocks
+from tickloom.session import materialise
 
 WARMUP = 4096
 INPUTS = ("open", "high", "low", "close", "volume")
@@ -149,12 +150,20 @@ class BlockFold:
         return self["qqe"] - self["qqe_band"]
 
     # D11: ratcheting bands; +1 while the close holds above the lower one
-    def _supertrend(self):
+    def _bands(self):
         mid, width = (self.high + self.low) / 2, 3.0 * wilder(self["tr"], 10)
-        return self._walk(
-            _supertrend_steps,
-            zip((mid + width).tolist(), (mid - width).tolist(), self.close.tolist()),
-        )
+        rows = zip((mid + width).tolist(), (mid - width).tolist(), self.close.tolist())
+        names = ["trend", "top", "bottom"]
+        return pd.DataFrame(list(_supertrend_steps(rows)), columns=names, index=self.bars.index, dtype="float64")
+
+    def _supertrend(self):
+        return self["bands"]["trend"]
+
+    def _supertrend_top(self):
+        return self["bands"]["top"]
+
+    def _supertrend_bottom(self):
+        return self["bands"]["bottom"]
 
     # D12
     def _psar(self):
@@ -183,7 +192,7 @@ def _supertrend_steps(rows):
             elif old_floor is not None and close < old_floor:
                 trend = -1.0
         prev_close = close
-        yield trend
+        yield trend, ceiling, floor
 
 
 def _psar_steps(rows, step: float = 0.02, limit: float = 0.2):
@@ -268,3 +277,65 @@ def recursive_indicators(
 ) -> DataFrame:
     """Recursive indicators of indexed bars: one shuffle, one grouped-map call."""
     return fold_columns(to_blocks(bars, back=warmup, size=size), columns, keep=keep).drop("blk")
+
+
+def _fold_with_seams(blocked: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
+    """Own rows plus the last two warm-up rows of each block (``own`` false)."""
+    last = F.max(F.when(F.col("own"), None).otherwise(F.col("bar_idx"))).over(
+        Window.partitionBy("series_id", "blk"))
+    flagged = blocked.withColumn("_seam", ~F.col("own") & (F.col("bar_idx") >= last - 1))
+    shown = flagged.withColumns({"_own": F.col("own"), "own": F.col("own") | F.col("_seam")})
+    return fold_columns(shown, columns, keep=[*keep, "_own"])
+
+
+def _seam_columns(columns: Iterable[str]) -> list[str]:
+    """The wanted columns plus the hidden state that decides later values."""
+    wanted = list(columns)
+    return wanted + [c for c in ("supertrend_top", "supertrend_bottom") if "supertrend" in wanted]
+
+
+def _gaps(folded: DataFrame, columns: list[str], tolerance: float) -> DataFrame:
+    """Blocks whose warm-up ends elsewhere than their predecessor's own rows."""
+    differs = F.lit(False)
+    for c in columns:
+        a, b = F.col(f"w.{c}"), F.col(f"p.{c}")
+        close = F.abs(a - b) <= tolerance * F.greatest(F.lit(1.0), F.abs(a), F.abs(b))
+        differs = differs | ~F.coalesce(close, a.isNull() & b.isNull())
+    seams = folded.filter(~F.col("_own")).alias("w")
+    before = folded.filter("_own").alias("p")
+    same_bar = (F.col("w.series_id") == F.col("p.series_id")) & (F.col("w.bar_idx") == F.col("p.bar_idx"))
+    return seams.join(before, same_bar).filter(differs).select("w.series_id", "w.blk").distinct()
+
+
+def seam_gaps(
+    bars: DataFrame, columns: Iterable[str] = RECURSIVE, size: int = BLOCK_ROWS, warmup: int = WARMUP,
+    tolerance: float = 1e-9,
+) -> DataFrame:
+    """(series_id, blk) whose warm-up did not reach the state their predecessor ended with."""
+    cols = _seam_columns(columns)
+    return _gaps(_fold_with_seams(to_blocks(bars, back=warmup, size=size), cols, []), cols, tolerance)
+
+
+def settled_indicators(
+    bars: DataFrame, columns: Iterable[str] = RECURSIVE, size: int = BLOCK_ROWS, warmup: int = WARMUP,
+    keep: Iterable[str] = ("ts",), tolerance: float = 1e-9,
+) -> DataFrame:
+    """``recursive_indicators`` with every seam checked.
+
+    Blocks that disagree with their predecessor are folded again with a four times
+    longer warm-up, until all seams agree or the warm-up reaches the series start.
+    Each round writes its blocks, and only the disagreeing ones are repeated.
+    """
+    columns, keep = list(columns), list(keep)
+    cols = _seam_columns(columns)
+    longest = bars.agg(F.max("n_bars")).first()[0] or 0
+    done = materialise(_fold_with_seams(to_blocks(bars, back=warmup, size=size), cols, keep))
+    while warmup < longest:
+        bad = materialise(_gaps(done, cols, tolerance))
+        if bad.isEmpty():
+            break
+        warmup *= 4
+        again = to_blocks(bars, back=warmup, size=size).join(bad, ["series_id", "blk"], "left_semi")
+        redone = _fold_with_seams(again, cols, keep)
+        done = materialise(done.join(bad, ["series_id", "blk"], "left_anti").unionByName(redone))
+    return done.filter("_own").select("series_id", "bar_idx", *keep, *columns)

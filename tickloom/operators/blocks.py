@@ -65,15 +65,24 @@ def index_bars(bars: DataFrame, segment: str = "day") -> DataFrame:
     """Add ``bar_idx`` (position in the series) and ``n_bars``.
 
     ``segment`` is the calendar unit numbered by one task: "day" for intraday
-    bars, "year" for daily bars.
+    bars, "year" for daily bars.  Bars that carry both columns already (a stored
+    indexed table) pass through.
     """
+    if {"bar_idx", "n_bars"} <= set(bars.columns):
+        return bars
     return dense_positions(
         bars, ["series_id"], ["ts"], SEGMENTS[segment](F.col("ts")), "bar_idx", "n_bars"
     )
 
 
 def index_bars_with_vwap(bars: DataFrame) -> DataFrame:
-    """``index_bars`` plus the session VWAP, which accumulates on the same (series, day) split."""
+    """``index_bars`` plus the session VWAP, which accumulates on the same (series, day) split.
+
+    A stored table that has position and VWAP passes through.
+    """
+    if {"bar_idx", "n_bars", "vwap"} <= set(bars.columns):
+        return bars
+    bars = bars.drop("bar_idx", "n_bars")
     day = Window.partitionBy("series_id", "_seg").orderBy("ts").rowsBetween(
         Window.unboundedPreceding, 0
     )

@@ -14,6 +14,7 @@ from tickloom.functions.columns import no_zero, norm_symbol
 
 SEVERITIES = ("error", "warning", "info", "ok")
 WEEKDAYS = ("Mon", "Tue", "Wed", "Thu", "Fri")
+WEEKEND = ("Sat", "Sun")
 
 
 def point_value() -> Column:
@@ -87,35 +88,40 @@ def clock_minutes(value: Column) -> Column:
     return F.when(v >= 1440, F.floor(v / 60)).otherwise(F.floor(v / 100) * 60 + v % 100)
 
 
-def uncovered_days(windows: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Monday-Friday days on which no single session holds the entry window.
+def day_coverage(windows: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Per window and day: whether the symbol has a session that day, and one that holds the window.
 
-    Windows of symbols without any session are not judged.  The containment test
-    is a residual of an equi join on (symbol, day).
+    One equi join on (symbol, day); the containment test is an aggregate over the
+    day's sessions.
     """
-    known = sessions.select("symbol").distinct()
-    days = F.explode(F.array(*[F.lit(d) for d in WEEKDAYS]))
-    judged = windows.join(known, "symbol", "left_semi").select(
+    days = F.explode(F.array(*[F.lit(d) for d in (*WEEKDAYS, *WEEKEND)]))
+    judged = windows.select(
         "symbol", clock_minutes(F.col("window_from")).alias("a"), clock_minutes(F.col("window_to")).alias("b"), days.alias("day")
     )
-    fits = (F.col("w.symbol") == F.col("s.symbol")) & (F.col("w.day") == F.col("s.day")) & (
-        F.col("s.from_min") <= F.col("w.a")) & (F.col("w.b") <= F.col("s.to_min"))
-    covered = F.col("s.symbol").isNotNull()
-    bad = judged.alias("w").join(sessions.select("symbol", "day", "from_min", "to_min").alias("s"), fits, "left").groupBy(
-        F.col("w.symbol").alias("symbol"), F.col("w.a").alias("a"), F.col("w.b").alias("b"), F.col("w.day").alias("day")
-    ).agg(F.max(covered).alias("covered"))
-    return bad.filter(~F.col("covered")).drop("covered")
+    daily = judged.join(sessions.select("symbol", "day", "from_min", "to_min"), ["symbol", "day"], "left")
+    holds = (F.col("from_min") <= F.col("a")) & (F.col("b") <= F.col("to_min"))
+    return daily.groupBy("symbol", "a", "b", "day").agg(
+        F.max(F.col("from_min").isNotNull()).alias("has_session"), F.max(F.coalesce(holds, F.lit(False))).alias("covered"))
+
+
+def uncovered_days(windows: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Monday-Friday days on which no single session holds the entry window.
+
+    Windows of symbols without any session are not judged.
+    """
+    bad = F.array_sort(F.collect_list(F.when(~F.col("covered") & F.col("day").isin(*WEEKDAYS), F.col("day"))))
+    per = day_coverage(windows, sessions).groupBy("symbol", "a", "b").agg(
+        F.max("has_session").alias("known"), bad.alias("days"))
+    return per.filter("known").select("symbol", "a", "b", F.explode("days").alias("day"))
 
 
 def check_window_in_session(windows: DataFrame, sessions: DataFrame) -> DataFrame:
     """Error with the number of uncovered weekdays, or ok."""
-    known = sessions.select("symbol").distinct()
-    bad = uncovered_days(windows, sessions).groupBy("symbol", "a", "b").agg(F.count(F.lit(1)).alias("bad_days"))
-    judged = windows.join(known, "symbol", "left_semi").select(
-        "symbol", clock_minutes(F.col("window_from")).alias("a"), clock_minutes(F.col("window_to")).alias("b"))
-    j = judged.join(bad, ["symbol", "a", "b"], "left")
-    n = F.coalesce(F.col("bad_days"), F.lit(0))
-    return finding(j, "window_in_session", F.when(n > 0, F.lit("error")).otherwise(F.lit("ok")), n, F.lit(0))
+    per = day_coverage(windows, sessions).groupBy("symbol", "a", "b").agg(
+        F.max("has_session").alias("known"),
+        F.sum((~F.col("covered") & F.col("day").isin(*WEEKDAYS)).cast("bigint")).alias("bad_days"))
+    severity = F.when(F.col("bad_days") > 0, F.lit("error")).otherwise(F.lit("ok"))
+    return finding(per.filter("known"), "window_in_session", severity, F.col("bad_days"), F.lit(0))
 
 
 def notice_time_stop(exits: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ def naive_trades(
         to_blocks(parts, back=warmup, size=size), ["atr"], keep=["ts", "n_bars", "high", "low", "close"]
     ).withColumn("day", F.to_date("ts"))
     entries = first_per_day(folded.filter(hour_between("ts", *_bounds(window))), [])
-    traded = with_outcomes(parts, entries, rules, size)
+    traded = with_outcomes(parts, entries, rules, size, store=True)
     return traded.withColumns({
         "part": F.substring_index("series_id", "#", -1),
         "series_id": F.expr("left(series_id, length(series_id) - length(substring_index(series_id, '#', -1)) - 1)"),
@@ -108,10 +108,14 @@ def mine(
     size: int = BLOCK_ROWS,
     warmup: int = WARMUP,
 ) -> DataFrame:
-    """The matrix: all levels x triggers x exit rules, with excess over the naive baseline."""
+    """The matrix: all levels x triggers x exit rules, with excess over the naive baseline.
+
+    Entry tables are written once; pass stored indexed bars (``index_bars_with_vwap``)
+    so that they are not numbered again for every pass.
+    """
     prepared = prepare(bars, size, warmup)
     entries = cell_entries(prepared, window, split)
-    trades = with_outcomes(index_bars(bars), entries, MATRIX_RULES, size).withColumn("r", F.col(MAIN))
+    trades = with_outcomes(index_bars(bars), entries, MATRIX_RULES, size, store=True).withColumn("r", F.col(MAIN))
     matrix = matrix_stats(trades, min_n)
     base = naive_baseline(bars, window, split, size=size, warmup=warmup)
     return with_excess(matrix, base)

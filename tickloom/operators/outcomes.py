@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.operators.blocks import BLOCK_ROWS, to_blocks
+from tickloom.session import materialise
 
 ATR_FLOOR = 1e-9
 
@@ -131,9 +132,15 @@ def outcomes(indexed: DataFrame, entries: DataFrame, rules: Sequence[ExitRule],
 
 
 def with_outcomes(
-    indexed: DataFrame, entries: DataFrame, rules: Sequence[ExitRule], size: int = BLOCK_ROWS
+    indexed: DataFrame, entries: DataFrame, rules: Sequence[ExitRule], size: int = BLOCK_ROWS, store: bool = False
 ) -> DataFrame:
-    """Join each entry to the outcomes of its bar."""
+    """Join each entry to the outcomes of its bar.
+
+    Entries are read twice; ``store`` writes them once instead of deriving them
+    from the bars a second time.
+    """
+    if store:
+        entries = materialise(entries)
     return entries.join(outcome_columns(indexed, entries, rules, size), ["series_id", "entry_idx"])
 
 

@@ -9,17 +9,17 @@ from tickloom.functions.indicators import with_basics, with_forward_returns
 from tickloom.operators.blocks import index_bars, own_rows, to_blocks
 from tickloom.operators.splits import quantile_cut, position_cut
 from tickloom.plans.common import (
-    DAILY, HOURLY, bars_sql, daily_bars, hourly_bars, lag, r6, rnd, table,
+    DAILY, HOURLY, bars_sql, hourly_bars, lag, r6, rnd, rolled_daily, rolled_hourly, table,
 )
 from tickloom.sources.bars import high_water_marks, merge_latest, narrow, unseen
 
 
 def event_bars(spark, sf):
-    return hourly_bars(spark, sf)
+    return rolled_hourly(spark, sf)
 
 
 def order_bars(spark, sf):
-    return daily_bars(spark, sf)
+    return rolled_daily(spark, sf)
 
 
 def bar_basics(spark, sf):
@@ -47,7 +47,7 @@ def sample_splits(spark, sf):
 
 def _halves(spark, sf):
     """Two overlapping batches of the same bars: the later one is scaled and starts on day 10."""
-    bars = hourly_bars(spark, sf)
+    bars = rolled_hourly(spark, sf)
     stored = bars.filter(F.dayofmonth("ts") <= 20)
     landing = bars.filter(F.dayofmonth("ts") >= 10).withColumn("close", F.col("close") * 2)
     return stored, landing
@@ -67,7 +67,7 @@ def stored_marks(spark, sf):
 
 
 def narrow_bars(spark, sf):
-    b = narrow(hourly_bars(spark, sf))
+    b = narrow(rolled_hourly(spark, sf))
     return b.select("series_id", "ts", *[
         F.round(F.col(c).cast("double"), 6).alias(c) for c in ("open", "high", "low", "close", "volume")
     ])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tickloom.operators.blocks import index_bars, index_bars_with_vwap
+from tickloom.session import materialise
 from tickloom.sources.bars import bars_from_events
 
 
@@ -11,19 +13,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly bars per event type."""
+def rolled_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars per event type, straight from the events."""
     return bars_from_events(table(spark, sf_dir, "events"), "event_type", "ts", "value", "event_id")
 
 
-def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars per order priority."""
+def rolled_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars per order priority, straight from the orders."""
     return bars_from_events(
         table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderdate", "o_totalprice",
         "o_orderkey", unit="day",
     )
 
 
+def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored hourly bars with position and VWAP: several passes read them, the raw events are read once."""
+    return materialise(index_bars_with_vwap(materialise(rolled_hourly(spark, sf_dir))))
+
+
+def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored daily bars with their position."""
+    return materialise(index_bars(materialise(rolled_daily(spark, sf_dir)), "year"))
+
+
 def r6(x: Column | str, places: int = 6) -> Column:
     """Round, and turn -0.0 into 0.0."""
     return F.round(F.col(x) if isinstance(x, str) else x, places) + F.lit(0.0)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import configs as ops
 from tickloom.plans.common import rounded, table
+from tickloom.session import materialise
 from tickloom.sources import archives as ar
 
 _LINES = "(SELECT l.*, p_type, p_brand FROM {lineitem} l JOIN {part} p ON l_partkey = p_partkey)"
@@ -77,14 +78,16 @@ _DUCK_TYPES = "list_sort(list(DISTINCT p_type))"
 _SPARK_TYPES = "sort_array(collect_set(p_type))"
 
 
-def corpus(spark, sf, name):
-    """One corpus table as a DataFrame."""
+def corpus(spark, sf, name, shared=None):
+    """One corpus table as a DataFrame; ``shared`` holds tables several of them read."""
     text = CORPUS[name].replace("{types}", _SPARK_TYPES)
     refs = {r: table(spark, sf, r) for r in _BASE if f"{{{r}}}" in text}
-    refs |= {r: corpus(spark, sf, r) for r in ("g", "lines") if f"{{{r}}}" in text}
+    refs |= {r: (shared or {}).get(r) or corpus(spark, sf, r) for r in ("g", "lines") if f"{{{r}}}" in text}
     # reserved words of the two dialects
     text = text.replace(" AS values,", " AS `values`,").replace(" AS default,", " AS `default`,").replace(" AS column,", " AS `column`,").replace(" AS use", " AS `use`")
-    return spark.sql(text, **refs)
+    made = spark.sql(text, **refs)
+    # the workflow lines feed four tables, the supplier aggregate eleven rows each
+    return materialise(made) if name in ("g", "lines", "blocks") else made
 
 
 def _ctes(*names: str) -> str:
@@ -173,7 +176,8 @@ def ranking_thresholds(spark, sf):
 
 
 def workflow_findings(spark, sf):
-    return ops.workflow_findings(*[corpus(spark, sf, n) for n in ("tasks", "databanks", "task_ranges", "task_options")])
+    shared = {"lines": corpus(spark, sf, "lines")}
+    return ops.workflow_findings(*[corpus(spark, sf, n, shared) for n in ("tasks", "databanks", "task_ranges", "task_options")])
 
 
 def workflow_digest(spark, sf):

@@ -36,7 +36,7 @@ def level_entries(spark, sf):
 
 def _cell_trades(spark, sf, rules=MATRIX_RULES):
     bars = hourly_bars(spark, sf)
-    return with_outcomes(index_bars(bars), mn.cell_entries(lv.prepare(bars)), rules).withColumn("r", F.col(MAIN))
+    return with_outcomes(index_bars(bars), mn.cell_entries(lv.prepare(bars)), rules, store=True).withColumn("r", F.col(MAIN))
 
 
 def trade_outcomes(spark, sf):
@@ -78,7 +78,7 @@ def naive_baseline(spark, sf):
 def _window_trades(spark, sf, windows):
     bars = hourly_bars(spark, sf)
     e = mn.window_entries(lv.prepare(bars), windows)
-    return with_outcomes(index_bars(bars), e, MAIN_RULE).withColumn("r", F.col(MAIN))
+    return with_outcomes(index_bars(bars), e, MAIN_RULE, store=True).withColumn("r", F.col(MAIN))
 
 
 def window_scan(spark, sf):
@@ -93,7 +93,7 @@ def hour_zero_effect(spark, sf):
 def entry_hour_profile(spark, sf):
     bars = hourly_bars(spark, sf)
     e = mn.cell_entries(lv.prepare(bars), None)
-    t = with_outcomes(index_bars(bars), e, MAIN_RULE).withColumn("r", F.col(MAIN))
+    t = with_outcomes(index_bars(bars), e, MAIN_RULE, store=True).withColumn("r", F.col(MAIN))
     return rounded(tr.entry_hours(t, mn.CELL))
 
 
@@ -102,7 +102,7 @@ def _setup_trades(spark, sf):
     fired = lv.fired_signals(lv.prepare(bars), lv.setup_columns())
     e = lv.first_per_day(fired, ["signal"], check_atr=False).filter(F.hour("entry_ts").between(12, 20))
     e = e.withColumn("is_sample", F.col("entry_idx") <= F.floor((F.col("n_bars") - 1) * F.lit(0.6)))
-    return with_outcomes(index_bars(bars), e, SCHEMES)
+    return with_outcomes(index_bars(bars), e, SCHEMES, store=True)
 
 
 def named_setups(spark, sf):
@@ -128,7 +128,7 @@ def declared_signals(spark, sf):
     """The twelve declared signals, one entry per day, each under its own direction and exit scheme."""
     bars = hourly_bars(spark, sf)
     fired = lv.fired_signals(lv.prepare(bars, oscillators=True), lv.declared_columns())
-    t = with_outcomes(index_bars(bars), lv.first_per_day(fired, ["signal"]), LONG_SCHEMES)
+    t = with_outcomes(index_bars(bars), lv.first_per_day(fired, ["signal"]), LONG_SCHEMES, store=True)
     s = F.col("signal")
     r = (F.when(s.startswith("short"), F.col("short_r"))
          .when(s.isin("long_rsi_above_70", "long_cci_above_150"), F.col("slpt_r")).otherwise(F.col("long_r")))

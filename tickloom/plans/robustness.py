@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import regimes as rg
 from tickloom.operators.blocks import exact_quantiles, index_bars
-from tickloom.plans.common import DAILY, HOURLY, bars_sql, daily_bars, hourly_bars, lag, r6, rnd, roll, rounded, table
+from tickloom.session import materialise
+from tickloom.plans.common import DAILY, HOURLY, bars_sql, daily_bars, hourly_bars, lag, r6, rnd, roll, rolled_daily, rounded, table
 
 
 def _daily(spark, sf):
@@ -26,14 +27,14 @@ def structural_breaks(spark, sf):
 
 
 def series_spans(spark, sf):
-    return rg.spans(daily_bars(spark, sf))
+    return rg.spans(rolled_daily(spark, sf))
 
 
 def split_proposals(spark, sf):
     ix = _daily(spark, sf)
     span = rg.spans(ix)
     return rg.simple_split(span).unionByName(rg.walk_forward(span, 2, 3.0, 1.5)).unionByName(
-        rg.regime_proposals(span, rg.regimes(ix)))
+        rg.regime_proposals(span, materialise(rg.regimes(ix))))
 
 
 def split_recommendation(spark, sf):

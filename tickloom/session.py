@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # no Python call site per column expression: large plans build much faster
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
