@@ -97,7 +97,9 @@ def archive_kinds(members: DataFrame) -> DataFrame:
     """
     main = F.col("member") == "config.xml"
     tag = root_tag(F.col("xml"))
-    declared = F.lower(F.regexp_extract("xml", r"^[^>]*?<[A-Za-z][^>]*?\stype=\"([^\"]*)\"", 1))
+    # the type attribute of the document element, after prolog and comments
+    declared = F.lower(F.regexp_extract(
+        "xml", r"^(?s)(?:<\?.*?\?>|<!--.*?-->|[^<])*<[A-Za-z][^>]*?\stype=\"([^\"]*)\"", 1))
     n_blocks = F.regexp_count("xml", F.lit(r"<(?:[A-Za-z_][\w.-]*:)?Block[\s/>]"))
     g = members.groupBy("path").agg(
         F.max(F.when(main, tag)).alias("root"), F.max(F.when(main, declared)).alias("declared"),
@@ -109,7 +111,10 @@ def archive_kinds(members: DataFrame) -> DataFrame:
         .when(F.col("root") == "Blocks", F.lit("blocks")).when(F.col("root").isNotNull(), F.lit("builder"))
         .when(F.col("blocks") > 0, F.lit("blocks")).otherwise(F.lit("unknown"))
     )
-    typed = F.when(F.col("declared").isin(*KINDS), F.col("declared")).otherwise(F.lit("unknown"))
+    typed = (
+        F.when(F.col("declared") == "", F.lit("build")).when(F.col("declared").isin(*KINDS), F.col("declared"))
+        .otherwise(F.lit("unknown"))
+    )
     return g.select("path", kind.alias("kind"), F.when(kind == "builder", typed).alias("type"), "error")
 
 
