@@ -129,20 +129,33 @@ def condition_names() -> list[tuple[str, str]]:
     return [(family, name) for family, name, _ in condition_columns()]
 
 
-def pack(conditions: list[Column]) -> Column:
+# conditions that read a recursive indicator; all others are settled before the fold
+NEEDS_FOLD = frozenset({
+    "supertrend_down", "psar_above_close", "adx_above_25", "adx_below_20", "adx_rising", "di_minus_above_plus",
+    "di_minus_rising", "adx_25_and_di_minus", "below_sma20_and_adx_25", "rsi_falling", "rsi_below_30", "rsi_30_to_50",
+    "macd_cross_below_zero", "macd_below_zero", "macd_signal_falling", "demarker_above_07", "laguerre_falling",
+    "qqe_falling", "schaff_cross_below_50", "wave_trend_falling", "atr_rising", "atr_above_mean", "rsi_above_70",
+    "rsi_above_75", "demarker_above_08", "close_2atr_above_sma20", "close_15atr_above_vwap", "close_below_keltner",
+    "keltner_upper_falling",
+})
+
+
+def pack(conditions: dict[int, Column]) -> Column:
     """One BIGINT with bit k set where condition k holds."""
     bits = F.lit(0).cast("bigint")
-    for k, cond in enumerate(conditions):
-        bits = bits + F.when(cond, F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    for k, cond in conditions.items():
+        bits = bits + F.when(is_true(cond), F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
     return bits
 
 
 def with_condition_inputs(
     bars: DataFrame, horizons=(4, 8, 24), size: int = BLOCK_ROWS, warmup: int = WARMUP
 ) -> DataFrame:
-    """Everything the catalogue reads, one row per bar.
+    """One row per bar: ``window_bits`` (conditions without a recurrence), the recursive columns, forward returns.
 
     The window columns and the recursive fold share one shuffle on (series, block).
+    Window-only conditions are packed before the fold, so that only a dozen columns
+    cross into Python instead of all of them.
     """
     w = series_window()
     indexed = index_bars_with_vwap(bars)
@@ -154,16 +167,29 @@ def with_condition_inputs(
         **{f"{c}_lag{k}": F.lag(c, k).over(w) for c, k in WINDOW_LAGS},
         **{f"up{n}": F.sum("_up").over(w.rowsBetween(-(n - 1), 0)) for n in (3, 4)},
     })
-    cols = with_forward_returns(cols, horizons, w).drop("_up")
-    return fold_columns(cols, RECURSIVE_INPUTS, RECURSIVE_LAGS, keep=cols.columns)
+    cols = with_forward_returns(cols, horizons, w)
+    early = {k: cond for k, (_, name, cond) in enumerate(condition_columns()) if name not in NEEDS_FOLD}
+    kept = ["ts", "n_bars", "close", "sma20", "vwap", *[f"fwd{h}" for h in horizons]]
+    packed = cols.select(
+        "series_id", "blk", "bar_idx", "own", "open", "high", "low", "volume", *kept, pack(early).alias("window_bits")
+    )
+    return fold_columns(packed, RECURSIVE_INPUTS, RECURSIVE_LAGS, keep=[*kept, "window_bits"])
+
+
+def settled_conditions() -> list[tuple[str, str, Column]]:
+    """The catalogue over ``with_condition_inputs``: early conditions read their bit."""
+    return [
+        (family, name, cond if name in NEEDS_FOLD else F.bit_get(F.col("window_bits"), F.lit(k)) == 1)
+        for k, (family, name, cond) in enumerate(condition_columns())
+    ]
 
 
 def signal_bits(bars: DataFrame, horizons=(4, 8, 24), **blocks) -> DataFrame:
     """Slim table: series_id, blk, bar_idx, ts, n_bars, signal bits and forward returns."""
     wide = with_condition_inputs(bars, horizons, **blocks)
-    conds = [is_true(cond) for _, _, cond in condition_columns()]
+    late = {k: cond for k, (_, name, cond) in enumerate(condition_columns()) if name in NEEDS_FOLD}
     return wide.select(
-        "series_id", "blk", "bar_idx", "ts", "n_bars", pack(conds).alias("bits"),
+        "series_id", "blk", "bar_idx", "ts", "n_bars", (F.col("window_bits") + pack(late)).alias("bits"),
         *[f"fwd{h}" for h in horizons],
     )
 
@@ -173,7 +199,7 @@ def signal_rows(bars: DataFrame, **blocks) -> DataFrame:
     wide = with_condition_inputs(bars, (), **blocks)
     hit = F.array_compact(F.array(*[
         F.when(cond, F.struct(F.lit(f).alias("family"), F.lit(s).alias("signal")))
-        for f, s, cond in condition_columns()
+        for f, s, cond in settled_conditions()
     ]))
     return wide.select("series_id", "bar_idx", "ts", F.explode(hit).alias("s")).select(
         "series_id", "bar_idx", "ts", "s.family", "s.signal"

@@ -190,6 +190,7 @@ def exact_quantiles(
     probs: dict[str, float],
     accuracy: int = 10_000,
     rank: str = "linear",
+    count: str | None = None,
 ) -> DataFrame:
     """Exact quantiles of ``value`` per group without gathering a group in one place.
 
@@ -198,7 +199,7 @@ def exact_quantiles(
     is "linear" (interpolated, position p*(n-1)), "floor" (the element at
     min(floor(p*n), n-1)) or "top" (the smallest of the top max(1, floor((1-p)*n))
     values).  Groups of at most ``accuracy`` rows are read whole.  NULL values are
-    ignored.
+    ignored; ``count`` names an extra column with the number of values.
     """
     keys = list(keys)
     vals = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
@@ -230,20 +231,18 @@ def exact_quantiles(
     counted = vals.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     # NULL group keys must meet themselves
     cond = reduce(lambda a, b: a & b, [F.col(f"c.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys], F.lit(True))
-    inside = counted.alias("c").join(targets.alias("t"), cond).select(
-        *[F.col(f"t.{k}").alias(k) for k in keys], "name", "r0", "r1", "frac", "lo", "hi", "_v", "_c"
+    inside = counted.alias("c").join(targets.alias("t"), cond & (F.col("c._v") <= F.col("t.hi")))
+    # everything under the bracket collapses into one NULL value before the shuffle
+    collapsed = inside.select(
+        *[F.col(f"t.{k}").alias(k) for k in keys], "name", "r0", "r1", "frac", "_n",
+        F.when(F.col("_v") >= F.col("lo"), F.col("_v")).alias("_v"), "_c",
+    ).groupBy(*keys, "name", "_v").agg(
+        F.sum("_c").alias("_c"), *[F.first(c).alias(c) for c in ("r0", "r1", "frac", "_n")]
     )
-    below = inside.groupBy(*keys, "name").agg(
-        F.sum(F.when(F.col("_v") < F.col("lo"), F.col("_c")).otherwise(0)).alias("_below")
-    )
-    bracket = inside.filter(F.col("_v").between(F.col("lo"), F.col("hi")))
-    cond2 = reduce(lambda a, b: a & b, [F.col(f"b.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, "name"]])
-    ranked = bracket.alias("b").join(below.alias("s"), cond2).select(
-        *[F.col(f"b.{k}").alias(k) for k in [*keys, "name"]], "r0", "r1", "frac", "_v", "_c", "_below"
-    ).withColumn(
+    ranked = collapsed.withColumn(
         "_end",
-        F.col("_below") + F.sum("_c").over(
-            Window.partitionBy(*keys, "name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        F.sum("_c").over(
+            Window.partitionBy(*keys, "name").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
         ),
     )
     start = F.col("_end") - F.col("_c")
@@ -251,11 +250,13 @@ def exact_quantiles(
         F.max(F.when((F.col("r0") >= start) & (F.col("r0") < F.col("_end")), F.col("_v"))).alias("_a"),
         F.max(F.when((F.col("r1") >= start) & (F.col("r1") < F.col("_end")), F.col("_v"))).alias("_b"),
         F.max("frac").alias("frac"),
+        F.max("_n").alias("_n"),
     )
     solved = picked.withColumn("_x", F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("frac"))
-    return solved.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("name") == name, F.col("_x"))).alias(name) for name in probs]
-    )
+    out = [F.max(F.when(F.col("name") == name, F.col("_x"))).alias(name) for name in probs]
+    if count:
+        out.append(F.max("_n").alias(count))
+    return solved.groupBy(*keys).agg(*out)
 
 
 def _rank(p: float, rule: str, how: str) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tickloom.functions.columns import no_zero, rolling_std, series_window
 from tickloom.functions.indicators import with_slope
 from tickloom.operators.blocks import BLOCK_ROWS, exact_quantiles, own_rows, to_blocks
+from tickloom.session import materialise
 
 
 def _returns(indexed: DataFrame, back: int, size: int) -> DataFrame:
@@ -30,12 +31,12 @@ def regimes(
     """Runs of high (above the 75th percentile) and low (below the 25th) volatility of at least ``min_days``.
 
     Runs are first formed inside blocks, then joined across block edges on the
-    short table of pieces.
+    short table of pieces.  The volatility is written once: thresholds and labels
+    both read it.
     """
-    vol = volatility(indexed, window, periods_per_year, size)
-    cuts = exact_quantiles(vol, ["series_id"], "vol", {"_lo": 0.25, "_hi": 0.75})
-    counts = vol.groupBy("series_id").agg(F.count("vol").alias("_known"))
-    limits = cuts.join(counts, "series_id").filter(F.col("_known") >= 2 * window)
+    vol = materialise(volatility(indexed, window, periods_per_year, size))
+    cuts = exact_quantiles(vol, ["series_id"], "vol", {"_lo": 0.25, "_hi": 0.75}, count="_known")
+    limits = cuts.filter(F.col("_known") >= 2 * window)
     label = (
         F.when(F.col("vol") > F.col("_hi"), F.lit("high_vol"))
         .when(F.col("vol") < F.col("_lo"), F.lit("low_vol"))
@@ -80,7 +81,7 @@ def structural_breaks(
     )
     sloped = with_slope(cum, "cum", window, "slope", w)
     change = own_rows(sloped.withColumn("change", F.abs(F.col("slope") - F.lag("slope").over(w))))
-    change = change.select("series_id", "ts", "change")
+    change = materialise(change.select("series_id", "ts", "change"))
     limit = exact_quantiles(change, ["series_id"], "change", {"_limit": 0.95})
     found = change.join(limit, "series_id").filter(F.col("change") > F.col("_limit")).select(
         "series_id", "ts", F.round(F.col("change") * 10000, 2).alias("magnitude")

@@ -402,6 +402,7 @@ SELECT config_id, container, block_idx, block_key, param_idx, key, name, type, v
     "ingest_settings": (ingest_settings, f"""{_ctes('g', 'options', 'conditions', 'ranges')}
 SELECT config_id, 'option' AS kind, key, CASE WHEN value IN ('true', 'false') THEN 'bool:' ELSE 'int:' END || value AS value FROM options
 UNION ALL SELECT config_id, 'condition', "column", comparator || ':' || numeric || ':' || "use"::VARCHAR FROM conditions
-UNION ALL SELECT config_id, 'range', range_idx::VARCHAR, date_from::VARCHAR || ':' || date_to::VARCHAR FROM ranges"""),
+UNION ALL SELECT config_id, 'range', (row_number() OVER (PARTITION BY config_id ORDER BY range_idx) - 1)::VARCHAR,
+  date_from::VARCHAR || ':' || date_to::VARCHAR FROM ranges"""),
     "config_kinds": (config_kinds, "SELECT s_suppkey AS config_id, 'build' AS type, '1' AS version, 'x' AS ranking_type FROM supplier"),
 }
