@@ -30,6 +30,45 @@ WINDOW_LAGS = (
 )
 
 
+# Families and names of the catalogue, in order.
+CATALOGUE = {
+    "trend": (
+        "supertrend_down", "psar_above_close", "close_below_sma20", "sma20_falling", "aroon_down_high",
+        "aroon_down_rising_from_low", "aroon_up_falling_from_high", "close_at_20_bar_low",
+    ),
+    "strength": (
+        "adx_above_25", "adx_below_20", "adx_rising", "di_minus_above_plus", "di_minus_rising",
+        "adx_25_and_di_minus", "below_sma20_and_adx_25",
+    ),
+    "momentum": (
+        "rsi_falling", "rsi_below_30", "rsi_30_to_50", "macd_cross_below_zero", "macd_below_zero",
+        "macd_signal_falling", "stoch_d_cross_down", "williams_falling", "cci_turns_down", "demarker_above_07",
+        "laguerre_falling", "qqe_falling", "schaff_cross_below_50", "wave_trend_falling",
+    ),
+    "volatility": (
+        "atr_rising", "atr_above_mean", "bb_upper_falling", "bb_lower_falling", "bandwidth_above_mean",
+        "ulcer_above_mean",
+    ),
+    "volume": (
+        "volume_rising", "volume_above_mean", "volume_above_150pct",
+    ),
+    "vwap": (
+        "close_below_vwap", "vwap_falling", "below_falling_vwap",
+    ),
+    "candles": (
+        "doji", "shooting_star", "bearish_engulfing", "dark_cloud", "gap_above_prev_high",
+    ),
+    "extension": (
+        "rsi_above_70", "rsi_above_75", "stoch_k_above_90", "williams_above_minus10", "cci_above_150",
+        "demarker_above_08", "close_above_bb_upper", "close_2atr_above_sma20", "close_15atr_above_vwap",
+        "three_up_bars", "four_up_bars", "ret8_above_1pct", "ret24_above_2pct",
+    ),
+    "channels": (
+        "close_below_keltner", "keltner_upper_falling",
+    ),
+}
+
+
 def condition_columns() -> list[tuple[str, str, Column]]:
     """(family, name, condition) in catalogue order."""
     c = F.col
@@ -120,13 +159,13 @@ def condition_columns() -> list[tuple[str, str, Column]]:
             "keltner_upper_falling": c("keltner_upper") < c("keltner_upper_lag1"),
         },
     }
-    return [(f, name, cond) for f, group in families.items() for name, cond in group.items()]
+    return [(f, name, families[f][name]) for f, names in CATALOGUE.items() for name in names]
 
 
 
 
 def condition_names() -> list[tuple[str, str]]:
-    return [(family, name) for family, name, _ in condition_columns()]
+    return [(family, name) for family, names in CATALOGUE.items() for name in names]
 
 
 # conditions that read a recursive indicator; all others are settled before the fold
