@@ -104,18 +104,33 @@ def index_bars_with_vwap(bars: DataFrame) -> DataFrame:
 
 
 def to_blocks(
-    bars: DataFrame, back: int = 0, ahead: int = 0, size: int = BLOCK_ROWS
+    bars: DataFrame, back: int = 0, ahead: int = 0, size: int = BLOCK_ROWS, place: bool = True
 ) -> DataFrame:
     """Assign rows to blocks; rows near an edge are copied to the neighbours that look at them.
 
     Adds ``blk`` and ``own`` (false for halo copies).  ``back``/``ahead`` are the
-    numbers of earlier/later rows a block needs.
+    numbers of earlier/later rows a block needs.  ``place`` also brings each block
+    together; leave it off where more rows are added first.
     """
     first = F.expr(f"greatest(bar_idx - {ahead}, 0L) div {size}")
     last = F.expr(f"least(bar_idx + {back}, n_bars - 1) div {size}")
-    return bars.withColumn("blk", F.explode(F.sequence(first, last))).withColumn(
+    cut = bars.withColumn("blk", F.explode(F.sequence(first, last))).withColumn(
         "own", F.expr(f"bar_idx div {size}") == F.col("blk")
     )
+    return spread(cut, "series_id", "blk") if place else cut
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` for a step whose cost is per row, not per byte.
+
+    The partition count is the session's, and adaptive coalescing by size leaves it
+    alone, so a few megabytes of blocks still use all cores.
+    """
+    conf = df.sparkSession.conf
+    n = conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or conf.get(
+        "spark.sql.shuffle.partitions"
+    )
+    return df.repartition(int(n), *keys)
 
 
 def own_rows(blocked: DataFrame) -> DataFrame:

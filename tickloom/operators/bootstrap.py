@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tickloom.operators.blocks import dense_positions, path_stats
+from tickloom.operators.blocks import dense_positions, path_stats, spread
 
 
 def number_trades(trades: DataFrame, keys: Sequence[str], order: str = "entry_idx") -> DataFrame:
@@ -22,10 +22,11 @@ def resample(numbered: DataFrame, keys: Sequence[str], n_runs: int = 1000, seed:
 
     Every trade's own number serves as draw position k, so the draws are made where
     the trades lie; the drawn index is a hash of (seed, run, k), which any engine
-    reproduces, and an equi join on (keys, index) fetches the results.
+    reproduces, and an equi join on (keys, index) fetches the results.  The slim
+    trades are spread before they are multiplied.
     """
     keys = list(keys)
-    draws = numbered.select(
+    draws = spread(numbered, *keys, "seq").select(
         *keys, F.col("seq").alias("k"), "n_trades", F.explode(F.sequence(F.lit(0), F.lit(n_runs - 1))).alias("run")
     )
     text = F.concat_ws("|", F.lit(str(seed)), F.col("run").cast("string"), F.col("k").cast("string"))

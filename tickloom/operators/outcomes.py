@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tickloom.operators.blocks import BLOCK_ROWS, to_blocks
+from tickloom.operators.blocks import BLOCK_ROWS, spread, to_blocks
 from tickloom.session import materialise
 
 ATR_FLOOR = 1e-9
@@ -52,7 +52,7 @@ def entry_paths(indexed: DataFrame, entries: DataFrame, hold: int, size: int = B
     join.  An entry without later bars keeps one row with a NULL step.
     """
     bars = to_blocks(
-        indexed.select("series_id", "bar_idx", "n_bars", "high", "low", "close"), ahead=hold, size=size
+        indexed.select("series_id", "bar_idx", "n_bars", "high", "low", "close"), ahead=hold, size=size, place=False
     ).select(
         "series_id", "blk", "bar_idx", F.struct("bar_idx", "high", "low", "close").alias("bar"),
         F.lit(None).cast("double").alias("entry_price"), F.lit(None).cast("double").alias("atr"),
@@ -63,7 +63,8 @@ def entry_paths(indexed: DataFrame, entries: DataFrame, hold: int, size: int = B
         F.lit(None).cast(bars.schema["bar"].dataType).alias("bar"), "entry_price", "atr", F.lit(True).alias("is_entry"),
     )
     ahead = Window.partitionBy("series_id", "blk").orderBy("bar_idx").rangeBetween(1, hold)
-    gathered = bars.unionByName(marks).withColumn("path", F.collect_list("bar").over(ahead)).filter("is_entry")
+    together = spread(bars.unionByName(marks), "series_id", "blk")
+    gathered = together.withColumn("path", F.collect_list("bar").over(ahead)).filter("is_entry")
     return gathered.select(
         "series_id", "blk", F.col("bar_idx").alias("entry_idx"), "entry_price", "atr", F.explode_outer("path").alias("b")
     ).select(
