@@ -61,7 +61,7 @@ def day_context(bars: DataFrame) -> DataFrame:
         "prev_day_high": F.lag("_high").over(w),
         "prev_day_close": F.lag("_close").over(w),
         "_nr7": narrow,
-        "week": F.date_trunc("week", "day").cast("date"),
+        "week": F.trunc("day", "week"),
     }).withColumn("nr7", F.coalesce(F.lag("_nr7").over(w), F.lit(False)))
     ww = Window.partitionBy("series_id").orderBy("week")
     weeks = days.groupBy("series_id", "week").agg(F.min("_low").alias("_wl"), F.max("_high").alias("_wh"))

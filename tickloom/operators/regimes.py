@@ -67,7 +67,10 @@ def regimes(
 
 
 def full_days(start: Column, end: Column) -> Column:
-    return F.timestamp_diff("DAY", start, end)
+    """Whole 24-hour days between two times, independent of the session's time zone."""
+    a, b = start.cast("timestamp_ntz"), end.cast("timestamp_ntz")
+    early = (b - F.to_date(b).cast("timestamp_ntz")) < (a - F.to_date(a).cast("timestamp_ntz"))
+    return (F.datediff(b, a) - F.when(early, 1).otherwise(0)).cast("bigint")
 
 
 def structural_breaks(

@@ -31,12 +31,15 @@ def build_session(master: str | None = None, app: str = "tickloom", **extra: str
 def materialise(df: DataFrame) -> DataFrame:
     """Write an intermediate table that several passes read, in the session's checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir``; only a session without one (a
-    local test) gets a temporary folder.
+    The folder comes from ``spark.checkpoint.dir``.  Only a local session without
+    that setting (a test) gets a temporary folder; on a cluster it must be shared
+    storage, so its absence is an error.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(
-            context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tickloom-")
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder on shared storage")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="run-"))
     return df.checkpoint()

@@ -206,14 +206,14 @@ def condition_table(parsed: DataFrame) -> DataFrame:
     )
 
 
-def _sq_date(raw: str | Column) -> Column:
+def _dotted_date(raw: str | Column) -> Column:
     return F.try_to_timestamp(F.col(raw) if isinstance(raw, str) else raw, F.lit("yyyy.MM.dd")).cast("date")
 
 
 def setup_table(parsed: DataFrame) -> DataFrame:
     s = parsed.select("config_id", F.posexplode("doc.Settings.Data.Setups.Setup").alias("setup_idx", "s"))
     return s.select(
-        "config_id", "setup_idx", _sq_date("s._dateFrom").alias("date_from"), _sq_date("s._dateTo").alias("date_to"),
+        "config_id", "setup_idx", _dotted_date("s._dateFrom").alias("date_from"), _dotted_date("s._dateTo").alias("date_to"),
         F.transform("s.Chart", lambda c: c["_symbol"]).alias("symbols"),
     )
 
@@ -221,7 +221,7 @@ def setup_table(parsed: DataFrame) -> DataFrame:
 def range_table(parsed: DataFrame, settings: str = "doc.Settings", ids: tuple[str, ...] = ("config_id",)) -> DataFrame:
     r = parsed.select(*ids, F.posexplode(f"{settings}.Data.OutOfSample.Range").alias("range_idx", "r"))
     return r.select(
-        *ids, "range_idx", _sq_date("r._dateFrom").alias("date_from"), _sq_date("r._dateTo").alias("date_to"),
+        *ids, "range_idx", _dotted_date("r._dateFrom").alias("date_from"), _dotted_date("r._dateTo").alias("date_to"),
         F.col("r._type").alias("type"),
     )
 

@@ -34,6 +34,14 @@ def read_bars(spark: SparkSession, path: str, series_id: str | None = None) -> D
     return df.select("series_id", "ts", *[F.col(c).cast("double").alias(c) for c in PRICES])
 
 
+def time_bucket(ts: str | Column, unit: str) -> Column:
+    """Start of the minute, hour or day as a zone-free timestamp, whatever the session's time zone."""
+    t = F.col(ts) if isinstance(ts, str) else ts
+    parts = [F.year(t), F.month(t), F.day(t), F.hour(t), F.minute(t)]
+    kept = {"minute": 5, "hour": 4, "day": 3}[unit]
+    return F.make_timestamp_ntz(*parts[:kept], *[F.lit(0)] * (5 - kept), F.lit(0))
+
+
 def bars_from_events(
     events: DataFrame,
     series: str | Column,
@@ -50,7 +58,7 @@ def bars_from_events(
     key = F.col(series) if isinstance(series, str) else series
     at = F.struct(F.col(ts), F.col(tie))
     v = F.col(value).cast("double")
-    bucket = F.date_trunc(unit, F.col(ts)).cast("timestamp_ntz")
+    bucket = time_bucket(ts, unit)
     return events.groupBy(key.cast("string").alias("series_id"), bucket.alias("ts")).agg(
         F.min_by(v, at).alias("open"),
         F.max(v).alias("high"),
