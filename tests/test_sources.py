@@ -149,7 +149,7 @@ def test_config_tables(spark, corpus):
     assert [r.checks for r in configs.enabled_checks(archives.cross_check_table(parsed)).collect()] == [["MonteCarloRetest"]]
     assert [r.types for r in configs.enabled_types(blocks).collect()] == [["ExitAfterBars@50"]]
     codes = {r.code for r in configs.date_findings(archives.setup_table(parsed), archives.range_table(parsed)).collect()}
-    assert codes == {"in_sample_short", "gap_between_ranges", "range_very_short"}
+    assert codes == {"in_sample_short", "gap_between_ranges", "range_very_short", "walk_forward_ranges"}
     assert archives.setup_table(parsed).first().symbols == ["NAS", "US30"]
     assert "time_range_short" in {r.code for r in configs.option_findings(archives.option_table(parsed)).collect()}
 

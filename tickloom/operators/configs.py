@@ -173,12 +173,17 @@ def date_findings(setups: DataFrame, ranges: DataFrame) -> DataFrame:
         hit(~dated, "in_sample_missing", "error"),
         hit(dated & (F.col("is_length") == "short"), "in_sample_short", "error", F.col("is_days")),
         hit(dated & (F.col("is_length") == "acceptable"), "in_sample_acceptable", "warning", F.col("is_days")),
+        hit(dated & (F.col("is_length") == "good"), "in_sample_good", "info", F.col("is_days")),
         hit(dated & (F.col("n_ranges") == 0), "no_out_of_sample", "error"),
         hit(one & (cover < 0.3), "coverage_very_low", "error", F.col("oos_days")),
         hit(one & (cover >= 0.3) & (cover < 0.5), "coverage_moderate", "warning", F.col("oos_days")),
+        hit(one & (cover >= 0.5), "coverage_good", "info", F.col("oos_days")),
         hit((F.col("n_ranges") > 0) & outside, "ranges_outside_in_sample", "error"),
         hit(one & whole, "single_range_covers_all", "warning"),
+        hit(one & ~whole, "single_range_inside", "info"),
         hit(one, "single_range", "warning"),
+        hit(F.col("n_ranges") > 1, "walk_forward_ranges", "info"),
+        hit(F.col("n_ranges") >= 3, "many_ranges", "info"),
     ))).alias("f")).select("config_id", "f.*")
     r = ranges.filter("date_from IS NOT NULL AND date_to IS NOT NULL").join(a.select("config_id", "is_from", "is_to"), "config_id")
     early, late = F.datediff("is_from", "date_from"), F.datediff("date_to", "is_to")
@@ -190,20 +195,23 @@ def date_findings(setups: DataFrame, ranges: DataFrame) -> DataFrame:
         hit(F.col("_gap") > 30, "gap_between_ranges", "warning", F.col("_gap")),
         hit(days / 365.25 < 0.25, "range_very_short", "warning", days),
     ))).alias("f")).select("config_id", "f.*")
-    return config_level.unionByName(range_level)
+    broken = ranges.filter("date_from IS NULL OR date_to IS NULL").select(
+        "config_id", F.lit("range_dates_invalid").alias("code"), F.lit("error").alias("severity"), none.alias("days"))
+    return config_level.unionByName(range_level).unionByName(broken)
 
 
 def option_findings(options: DataFrame) -> DataFrame:
-    """Rule violations of trading options; absent options take their defaults."""
+    """Rule violations (warning) and notes (info) on trading options; absent options take their defaults."""
     def raw(key: str) -> Column:
         return F.max(F.when(F.col("key") == key, F.col("value")))
 
-    flags = ("LimitTimeRange", "ExitOnFriday", "DontTradeOnWeekends", "RealisticGapsHandling")
+    flags = ("LimitTimeRange", "ExitOnFriday", "DontTradeOnWeekends", "RealisticGapsHandling", "ExitAtEndOfDay")
     numbers = ("SignalTimeRangeFrom", "SignalTimeRangeTo", "FridayExitTime", "MaxTradesPerDay", "MinimumSL", "MaximumSL",
                "MinimumPT", "MaximumPT", "PickerMaxOpenPositionsShort", "PickerMaxOpenPositionsLong")
     wide = options.groupBy("config_id").agg(
         *[F.coalesce(F.lower(raw(k)) == "true", F.lit(False)).alias(k) for k in flags],
-        *[F.coalesce(raw(k).try_cast("double"), F.lit(0.0)).alias(k) for k in numbers])
+        *[F.coalesce(raw(k).try_cast("double"), F.lit(0.0)).alias(k) for k in numbers],
+        (F.coalesce(raw("Session"), F.lit("No Session")) == "No Session").alias("_no_session"))
     limited, hours = F.col("LimitTimeRange"), (F.col("SignalTimeRangeTo") - F.col("SignalTimeRangeFrom")) / 3600
     unlimited = reduce(lambda a, b: a & b, [F.col(k) == 0 for k in ("MinimumSL", "MaximumSL", "MinimumPT", "MaximumPT")])
     rules = {
@@ -219,8 +227,21 @@ def option_findings(options: DataFrame) -> DataFrame:
         "many_long_positions": F.col("PickerMaxOpenPositionsLong") > 5,
         "gaps_not_realistic": ~F.col("RealisticGapsHandling"),
     }
-    hits = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))
-    return wide.select("config_id", F.explode(hits).alias("code")).withColumn("severity", F.lit("warning"))
+    start, end = F.col("SignalTimeRangeFrom"), F.col("SignalTimeRangeTo")
+    notes = {
+        "covers_london_open": limited & (start <= 28800) & (end >= 32400),
+        "covers_new_york_open": limited & (start <= 46800) & (end >= 50400),
+        "friday_exit_off": ~F.col("ExitOnFriday"),
+        "end_of_day_exit_off": ~F.col("ExitAtEndOfDay"),
+        "trades_all_day": ~limited & F.col("_no_session"),
+    }
+
+    def entry(code: str, severity: str) -> Column:
+        return F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))
+
+    hits = F.array_compact(F.array(
+        *[F.when(c, entry(n, "warning")) for n, c in rules.items()], *[F.when(c, entry(n, "info")) for n, c in notes.items()]))
+    return wide.select("config_id", F.explode(hits).alias("f")).select("config_id", "f.*")
 
 
 def plain_name(col: Column) -> Column:

@@ -326,7 +326,12 @@ gp AS (SELECT r.*, is_from, is_to, lead(r.date_from) OVER (PARTITION BY r.config
   FROM ranges r JOIN j ON j.config_id = r.config_id)
 SELECT config_id, 'in_sample_short' AS code, 'error' AS severity, is_days AS days FROM j WHERE is_days / 365.25 < 3
 UNION ALL SELECT config_id, 'in_sample_acceptable', 'warning', is_days FROM j WHERE is_days / 365.25 >= 3 AND is_days / 365.25 < 5
+UNION ALL SELECT config_id, 'in_sample_good', 'info', is_days FROM j WHERE is_days / 365.25 >= 5
 UNION ALL SELECT config_id, 'no_out_of_sample', 'error', NULL FROM j WHERE n = 0
+UNION ALL SELECT config_id, 'coverage_good', 'info', oos_days FROM j WHERE n = 1 AND oos_days / is_days::DOUBLE >= 0.5
+UNION ALL SELECT config_id, 'single_range_inside', 'info', NULL FROM j WHERE n = 1 AND abs((b - a) - is_days) > 30
+UNION ALL SELECT config_id, 'walk_forward_ranges', 'info', NULL FROM j WHERE n > 1
+UNION ALL SELECT config_id, 'many_ranges', 'info', NULL FROM j WHERE n >= 3
 UNION ALL SELECT config_id, 'coverage_very_low', 'error', oos_days FROM j WHERE n = 1 AND oos_days / is_days::DOUBLE < 0.3
 UNION ALL SELECT config_id, 'coverage_moderate', 'warning', oos_days FROM j WHERE n = 1 AND oos_days / is_days::DOUBLE >= 0.3 AND oos_days / is_days::DOUBLE < 0.5
 UNION ALL SELECT config_id, 'ranges_outside_in_sample', 'error', NULL FROM j WHERE n > 0 AND (a - is_from < -30 OR b - is_to > 30)
@@ -339,7 +344,12 @@ UNION ALL SELECT config_id, 'range_very_short', 'warning', date_to - date_from F
     "option_findings": (option_findings, f"""{_ctes('g', 'options')},
 w AS (SELECT config_id, d > 0.05 AS lim, (s % 12) * 3600 AS a, (s % 12 + n % 15) * 3600 AS b, t > 0.04 AS fri, 60000 + n * 20 AS frit,
   s % 2 = 0 AS wk, s % 14 AS mt, s % 3 AS sl, n % 9 AS ps, CASE WHEN s % 4 > 0 THEN s % 9 ELSE 0 END AS pl, s % 5 > 1 AS gaps FROM g)
-SELECT config_id, code, 'warning' AS severity FROM (
+SELECT config_id, 'covers_london_open' AS code, 'info' AS severity FROM w WHERE lim AND a <= 28800 AND b >= 32400
+UNION ALL SELECT config_id, 'covers_new_york_open', 'info' FROM w WHERE lim AND a <= 46800 AND b >= 50400
+UNION ALL SELECT config_id, 'friday_exit_off', 'info' FROM w WHERE NOT fri
+UNION ALL SELECT config_id, 'end_of_day_exit_off', 'info' FROM w
+UNION ALL SELECT config_id, 'trades_all_day', 'info' FROM w WHERE NOT lim
+UNION ALL SELECT config_id, code, 'warning' AS severity FROM (
   SELECT config_id, 'time_range_short' AS code FROM w WHERE lim AND b - a < 14400
   UNION ALL SELECT config_id, 'time_range_long' FROM w WHERE lim AND b - a > 43200
   UNION ALL SELECT config_id, 'time_range_ignored' FROM w WHERE NOT lim AND (a <> 0 OR b <> 0)
