@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.operators import configs as ops
+from tickloom.operators.blocks import spread
 from tickloom.plans.common import rounded, table
 from tickloom.session import materialise
 from tickloom.sources import archives as ar
@@ -240,7 +241,8 @@ def corpus_xml(spark, sf):
         F.lit("</Params></BuildTradingOptions></Options><Data><OutOfSample>"), of("ranges"), F.lit('</OutOfSample></Data><Rankings type="x"><Conditions>'),
         of("conditions"), F.lit("</Conditions></Rankings><Blocks><BuildingBlocks>"), of("building"), F.lit("</BuildingBlocks><OrderTypes>"), of("order"),
         F.lit("</OrderTypes><ExitTypes>"), of("exit"), F.lit("</ExitTypes></Blocks></Settings></Task>"))
-    return doc.select("config_id", xml.alias("xml"))
+    # several tables are parsed from the same documents
+    return materialise(spread(doc.select("config_id", xml.alias("xml")), "config_id"))
 
 
 def ingest_blocks(spark, sf):

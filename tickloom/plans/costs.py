@@ -117,7 +117,9 @@ def swap_costs(spark, sf):
 def swap_drag(spark, sf):
     c = ops.swap_costs(specs(spark, sf).withColumn("price", F.col("contract") * 20), "long")
     j = strategies(spark, sf).join(c.select("symbol", "swap_per_night"), "symbol")
-    return rounded(ops.with_swap_drag(j).select("symbol", "n_trades", "total_swap", "gross_profit", "swap_share_pct"), 4)
+    return ops.with_swap_drag(j).select(
+        "symbol", "n_trades", r6("total_swap", 9).alias("total_swap"), r6("gross_profit", 4).alias("gross_profit"),
+        r6("swap_share_pct", 6).alias("swap_share_pct"))
 
 
 def swap_audit(spark, sf):
@@ -243,8 +245,8 @@ SELECT symbol, {rnd('pv', 10)} AS point_value, {rnd('swap_short * pv * 2', 10)}
   {rnd('swap_short * pv * 2 / (price * contract * 2) * 100', 10)} AS pct_night, {rnd('swap_short * pv * 2 / (price * contract * 2) * 100 * 360', 10)} AS pct_year,
   CASE WHEN pv = 0 THEN 'unknown' ELSE 'points' END AS mode FROM pv"""),
     "swap_drag": (swap_drag, f"""WITH {_COST}, {_STRAT}
-SELECT st.symbol, n_trades, {rnd('swap_long * pv * avg_nights * n_trades', 4)} AS total_swap, {rnd('gross_profit', 4)} AS gross_profit,
-  {rnd('coalesce(abs(100 * swap_long * pv * avg_nights * n_trades / nullif(gross_profit, 0)), 0)', 4)} AS swap_share_pct
+SELECT st.symbol, n_trades, {rnd('swap_long * pv * avg_nights * n_trades', 9)} AS total_swap, {rnd('gross_profit', 4)} AS gross_profit,
+  {rnd('coalesce(abs(100 * swap_long * pv * avg_nights * n_trades / nullif(gross_profit, 0)), 0)', 6)} AS swap_share_pct
 FROM st JOIN pv ON pv.symbol = st.symbol"""),
     "swap_audit": (swap_audit, f"""WITH {_COST},
 rq AS (SELECT DISTINCT 'P' || (l_partkey + l_linenumber * 300) AS symbol FROM lineitem)

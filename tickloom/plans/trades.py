@@ -60,7 +60,7 @@ def trade_stats(spark, sf):
 def trade_years(spark, sf):
     y = tr.year_stats(order_results(spark, sf), KEYS)
     return rounded(y.select("series_id", "positive_years", "years", "best_year_share_pct",
-                            F.to_json("yearly").alias("yearly")), 4)
+                            F.to_json("yearly").alias("yearly")), 0)
 
 
 def yearly_sums(spark, sf):
@@ -152,7 +152,7 @@ FROM g JOIN m USING (series_id)"""),
     "trade_years": (trade_years, f"""{_RES},
 y AS (SELECT series_id, year(entry_ts) AS y, sum(r) AS s FROM res GROUP BY 1, 2)
 SELECT series_id, sum((s > 0)::INT)::BIGINT AS positive_years, count(*) AS years,
-  {rnd('CASE WHEN sum(s) <> 0 THEN 100 * max(s) / sum(s) END', 4)} AS best_year_share_pct,
+  {rnd('CASE WHEN sum(s) <> 0 THEN 100 * max(s) / sum(s) END', 0)} AS best_year_share_pct,
   '{{' || string_agg('"' || y || '":' || (round(s, 1) + 0.0)::VARCHAR, ',' ORDER BY y) || '}}' AS yearly FROM y GROUP BY 1"""),
     "yearly_sums": (yearly_sums, f"""{_RES}
 SELECT series_id, year(entry_ts)::INT AS year, {rnd('sum(r)', 8)} AS year_r, count(r) AS year_n FROM res GROUP BY 1, 2"""),
