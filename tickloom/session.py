@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,18 +28,25 @@ def build_session(master: str | None = None, app: str = "tickloom", **extra: str
     return builder.getOrCreate()
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write an intermediate table that several passes read, in the session's checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables that every executor can reach.
 
-    The folder comes from ``spark.checkpoint.dir``.  Only a local session without
-    that setting (a test) gets a temporary folder; on a cluster it must be shared
-    storage, so its absence is an error.
+    It is ``spark.checkpoint.dir``.  Where that is unset (a test, a laptop) a folder
+    below the warehouse serves, which Spark requires to be shared anyway.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder on shared storage")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="run-"))
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate").rstrip("/")
+
+
+def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
+    """Store an intermediate table that several passes read, as Parquet in the shared folder.
+
+    Later passes read only the columns and row groups they need, and a lost executor
+    loses nothing.  ``partition_by`` splits the folder by those columns.
+    """
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    writer = df.write.option("compression", "zstd")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
