@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import decontaminate, langid
+from tickloom.llm import decontaminate, langid, packing, token_counts
 from tickloom.llm.arrowtools import id_remainder
 
 
@@ -12,12 +12,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of benchmark windows in every document."""
     parts = decontaminate.automata(_table(spark, sf_dir, "benchmark"))
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), parts).drop("items")
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens."""
+    return packing.pack(packing.token_pieces(_table(spark, sf_dir, "documents")))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from three quarters of them."""
     docs = _table(spark, sf_dir, "documents")
@@ -51,7 +61,9 @@ FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 QUERIES = {
+    "op3_token_counts": (op3_token_counts, None),
     "op7_benchmark_decontamination": (op7_benchmark_decontamination, _OP7_SQL),
+    "op8_best_fit_packing": (op8_best_fit_packing, None),
     "op9_language_id": (op9_language_id, None),
 }
 
