@@ -34,6 +34,7 @@ PART_BYTES = 1 << 20
 #: Fixed by the definition of a word: ASCII letters (lower-cased), digits and every byte of a non-ASCII character.
 _WORD_BYTES = frozenset([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
 _FOLD = bytes(b if b in _WORD_BYTES else (b + 32 if 0x41 <= b <= 0x5A else 0x20) for b in range(256))
+_ARROW = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -192,7 +193,7 @@ def _mapped(docs: DataFrame, text_col: str, keep: tuple[str, ...], parts: list[B
             texts = [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
             valid = part.column("text").is_valid().to_pylist()
             made = [row(t if v else None, *x) for t, v, x in zip(texts, valid, _scan(texts, parts))]
-            columns = [pa.array([m[j] for m in made]) for j in range(len(extra))]
+            columns = [pa.array([m[j] for m in made], _ARROW[f.dataType.simpleString()]) for j, f in enumerate(extra)]
             yield pa.RecordBatch.from_arrays([*[part.column(k) for k in names], *columns], names=[*names, *[f.name for f in extra]])
 
     out = picked.mapInArrow(run, shape)
@@ -211,10 +212,7 @@ def contamination(docs: DataFrame, parts: list[Broadcast], text_col: str = "text
              T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()),
              T.StructField("items", T.ArrayType(T.StringType()))]
 
-    def typed(*args) -> tuple:
-        return row(*args)
-
-    return _mapped(docs, text_col, keep, parts, extra, typed)
+    return _mapped(docs, text_col, keep, parts, extra, row)
 
 
 def _word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
