@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import decontaminate, langid, packing, token_counts
+from tickloom.llm import decontaminate, langid, line_dedup, packing, token_counts
 from tickloom.llm.arrowtools import id_remainder
 
 
@@ -17,6 +17,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages without the boilerplate lines of their host."""
+    pages = _table(spark, sf_dir, "pages").select(
+        "page_id", line_dedup.url_host("url").alias("host"), line_dedup.html_text("html").alias("text"))
+    out = line_dedup.drop_boilerplate(pages, "host", "text", n_lines="n_lines", n_dropped="n_dropped")
+    return out.select("page_id", "host", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of benchmark windows in every document."""
     parts = decontaminate.automata(_table(spark, sf_dir, "benchmark"))
@@ -60,8 +68,29 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+_OP4_SQL = r"""
+WITH stripped AS (
+  SELECT page_id, nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#:]+)', 1), '') AS host,
+    regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'),
+      '(?i)</?(p|div|br|li|ul|ol|nav|h[1-6]|article|title|head|header|footer|section|body|html|table|tr|td)(\s[^>]*)?/?>', chr(10), 'g'),
+      '<[^>]*>', '', 'g') AS text FROM pages),
+numbered AS (SELECT *, row_number() OVER () AS r FROM stripped),
+lines AS (SELECT r, host, i, all_lines[i] AS line, trim(all_lines[i], ' ') AS k
+  FROM (SELECT r, host, string_split(text, chr(10)) AS all_lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i
+        FROM numbered WHERE text IS NOT NULL)),
+totals AS (SELECT host, count(*) AS total FROM numbered WHERE host IS NOT NULL GROUP BY 1),
+often AS (SELECT host, k FROM (SELECT host, k, count(DISTINCT r) AS n FROM lines WHERE k <> '' AND host IS NOT NULL GROUP BY 1, 2)
+  JOIN totals USING (host) WHERE n >= 10 AND n > 0.02 * total),
+kept AS (SELECT r, count(*) FILTER (WHERE l.k <> '') AS n_lines, count(*) FILTER (WHERE o.k IS NOT NULL) AS n_dropped,
+    coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE o.k IS NULL), '') AS text
+  FROM lines l LEFT JOIN often o ON l.host = o.host AND l.k = o.k GROUP BY 1)
+SELECT page_id, host, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped,
+  length(kept.text)::BIGINT AS n_chars, md5(kept.text) AS text_md5 FROM numbered LEFT JOIN kept USING (r)
+"""
+
 QUERIES = {
     "op3_token_counts": (op3_token_counts, None),
+    "op4_line_dedup": (op4_line_dedup, _OP4_SQL),
     "op7_benchmark_decontamination": (op7_benchmark_decontamination, _OP7_SQL),
     "op8_best_fit_packing": (op8_best_fit_packing, None),
     "op9_language_id": (op9_language_id, None),
