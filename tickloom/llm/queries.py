@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import decontaminate, langid, line_dedup, packing, token_counts
+from tickloom.llm import decontaminate, langid, line_dedup, ngram_join, packing, token_counts
 from tickloom.llm.arrowtools import id_remainder
 
 
@@ -25,6 +25,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose shingle sets are similar."""
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of benchmark windows in every document."""
     parts = decontaminate.automata(_table(spark, sf_dir, "benchmark"))
@@ -91,6 +96,7 @@ SELECT page_id, host, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_droppe
 QUERIES = {
     "op3_token_counts": (op3_token_counts, None),
     "op4_line_dedup": (op4_line_dedup, _OP4_SQL),
+    "op6_ngram_jaccard_join": (op6_ngram_jaccard_join, None),
     "op7_benchmark_decontamination": (op7_benchmark_decontamination, _OP7_SQL),
     "op8_best_fit_packing": (op8_best_fit_packing, None),
     "op9_language_id": (op9_language_id, None),
