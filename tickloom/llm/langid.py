@@ -104,11 +104,13 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sampl
     hash of the text and ``sample_key``; the matrix is all that reaches the driver.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    totals = known.groupBy(F.col(lang_col).alias("lang")).count()
-    share = F.least(F.lit(1.0), F.lit(float(docs_per_language)) / F.col("count"))
+    # one number per language: the text itself is drawn where it is read, without a shuffle
+    totals = {r.lang: r["count"] for r in known.groupBy(F.col(lang_col).alias("lang")).count().collect()}
+    if not totals:
+        return [], np.zeros((BUCKETS, 0), np.float32)
+    share = F.element_at(F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, min(1.0, docs_per_language / n))]), F.col(lang_col))
     draw = F.pmod(F.xxhash64(F.col(text_col), *[F.col(c) for c in sample_key]), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw")).join(
-        totals.select("lang", share.alias("share")), "lang").where(F.col("draw") < F.col("share")).select("lang", "text")
+    sample = known.where(draw < share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
