@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import decontaminate, langid, line_dedup, ngram_join, packing, token_counts
+from tickloom.llm import decontaminate, langid, line_dedup, ngram_join, packing, token_counts, toxicity
 from tickloom.llm.arrowtools import id_remainder
 
 
@@ -12,6 +12,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from four fifths of the labelled ones."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held = id_remainder("doc_id", 5) == 0
+    model = toxicity.language_model(docs)
+    out = toxicity.score(docs, model, toxicity.train(docs.where(~held), labels.where(~held), model))
+    return out.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
@@ -94,6 +103,7 @@ SELECT page_id, host, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_droppe
 """
 
 QUERIES = {
+    "op2_toxicity": (op2_toxicity, None),
     "op3_token_counts": (op3_token_counts, None),
     "op4_line_dedup": (op4_line_dedup, _OP4_SQL),
     "op6_ngram_jaccard_join": (op6_ngram_jaccard_join, None),
