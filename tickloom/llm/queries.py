@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import decontaminate, langid, line_dedup, ngram_join, packing, token_counts, toxicity
+from tickloom.llm import decontaminate, langid, line_dedup, ngram_join, packing, token_counts, toxicity, vector_join
 from tickloom.llm.arrowtools import id_remainder
 
 
@@ -34,6 +34,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors linked by a cosine of 0.9 or more."""
+    return vector_join.link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose shingle sets are similar."""
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -106,6 +111,7 @@ QUERIES = {
     "op2_toxicity": (op2_toxicity, None),
     "op3_token_counts": (op3_token_counts, None),
     "op4_line_dedup": (op4_line_dedup, _OP4_SQL),
+    "op5_embedding_near_dedup": (op5_embedding_near_dedup, None),
     "op6_ngram_jaccard_join": (op6_ngram_jaccard_join, None),
     "op7_benchmark_decontamination": (op7_benchmark_decontamination, _OP7_SQL),
     "op8_best_fit_packing": (op8_best_fit_packing, None),
