@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import decontaminate, langid, line_dedup, ngram_join, packing, token_counts, toxicity, vector_join
+from tickloom.llm import chat_tools, decontaminate, langid, line_dedup, ngram_join, packing, token_counts, toxicity, vector_join
 from tickloom.llm.arrowtools import id_remainder
 
 
@@ -87,6 +87,61 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+#: Schemas of the tools that op10 makes of the turns of a chat.
+TOOL_SCHEMAS = [
+    ("open", '{"type":"object","required":["query","turn"],"additionalProperties":false,"properties":{"query":{"type":"string","minLength":1,"maxLength":400},"turn":{"type":"integer","minimum":0}}}'),
+    ("follow", '{"type":"object","required":["query","turn","after"],"additionalProperties":false,"properties":{"query":{"type":"string","minLength":1,"maxLength":400},"turn":{"type":"integer","minimum":1},"after":{"type":"object","required":["$result"]}}}'),
+]
+
+
+def tool_messages(conversations: DataFrame) -> DataFrame:
+    """Read every user turn as an assistant's tool call and every assistant turn as the result of the turn before.
+
+    The first turns open the chat; later ones refer to the result of turn 0.
+    """
+    call_id = F.concat_ws("-", F.lit("call"), "conv_id", "turn")
+    after = F.when(F.col("turn") > 1, F.struct(F.concat_ws("-", F.lit("call"), "conv_id", F.lit("0")).alias("$result")))
+    arguments = F.struct(F.coalesce("text", F.lit("")).alias("query"), "turn", after.alias("after"))
+    name = F.when(F.col("turn") > 1, "follow").otherwise("open")
+    called = F.to_json(F.struct(F.array(F.struct(call_id.alias("id"), name.alias("name"), arguments.alias("arguments"))).alias("tool_calls")))
+    answered = F.to_json(F.struct(
+        F.concat_ws("-", F.lit("call"), "conv_id", F.col("turn") - 1).alias("tool_call_id"), F.coalesce("text", F.lit("")).alias("content")))
+    made = F.when(F.col("role") == "user", called).when(F.col("role") == "assistant", answered)
+    role = F.when(F.col("role") == "user", "assistant").when(F.col("role") == "assistant", "tool").otherwise(F.col("role"))
+    return conversations.select("conv_id", "turn", role.alias("role"), F.coalesce(made, "text").alias("text"))
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool calls made of all conversations, linked, ordered, validated and serialised."""
+    messages = tool_messages(_table(spark, sf_dir, "conversations"))
+    out = chat_tools.linked_tools(
+        chat_tools.tool_calls(messages), chat_tools.tool_results(messages), spark.createDataFrame(TOOL_SCHEMAS, "name string, schema string"))
+    return out.select("conv_id", "call_id", "turn", "result_turn", "name", "status", "level", "valid", "errors",
+                      F.length("json").cast("long").alias("n_chars"), F.md5("json").alias("json_md5"))
+
+
+_OP10_SQL = r"""
+WITH calls AS (
+  SELECT conv_id, concat_ws('-', 'call', conv_id, turn) AS call_id, turn, CASE WHEN turn > 1 THEN 'follow' ELSE 'open' END AS name,
+    coalesce(text, '') AS q, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS nth FROM conversations WHERE role = 'user'),
+results AS (
+  SELECT conv_id, concat_ws('-', 'call', conv_id, turn - 1) AS call_id, turn AS result_turn, coalesce(text, '') AS content,
+    row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS nth FROM conversations WHERE role = 'assistant'),
+paired AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn, r.result_turn, c.name, q, content,
+    CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status
+  FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id AND c.nth = r.nth),
+written AS (
+  SELECT *, concat('{"arguments":', CASE WHEN status = 'orphan' THEN 'null' ELSE concat('{',
+      CASE WHEN name = 'follow' THEN concat('"after":{"$result":"call-', conv_id, '-0"},') ELSE '' END,
+      '"query":', to_json(q), ',"turn":', turn, '}') END, ',"id":', to_json(call_id), ',"name":', coalesce(to_json(name), 'null'),
+      ',"result":', coalesce(to_json(content), 'null'), ',"status":"', status, '"}') AS json FROM paired)
+SELECT conv_id, call_id, turn, result_turn, name, status, CASE WHEN status <> 'orphan' THEN 0 END::INTEGER AS level,
+  CASE WHEN status <> 'orphan' THEN length(q) BETWEEN 1 AND 400 END AS valid,
+  CASE WHEN status = 'orphan' THEN NULL WHEN length(q) > 400 THEN '$.query: too long' WHEN q = '' THEN '$.query: too short' ELSE '' END AS errors,
+  length(json)::BIGINT AS n_chars, md5(json) AS json_md5 FROM written
+"""
+
 _OP4_SQL = r"""
 WITH stripped AS (
   SELECT page_id, nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#:]+)', 1), '') AS host,
@@ -116,6 +171,7 @@ QUERIES = {
     "op7_benchmark_decontamination": (op7_benchmark_decontamination, _OP7_SQL),
     "op8_best_fit_packing": (op8_best_fit_packing, None),
     "op9_language_id": (op9_language_id, None),
+    "op10_chat_formatting": (op10_chat_formatting, _OP10_SQL),
 }
 
 
