@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import chat_tools, decontaminate, langid, line_dedup, ngram_join, packing, token_counts, toxicity, vector_join
+from tickloom.llm import chat_tools, decontaminate, langid, line_dedup, ngram_join, packing, suffix_dedup, token_counts, toxicity, vector_join
 from tickloom.llm.arrowtools import id_remainder
 
 
@@ -12,6 +12,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat elsewhere."""
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from four fifths of the labelled ones."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -163,6 +168,7 @@ SELECT page_id, host, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_droppe
 """
 
 QUERIES = {
+    "op1_suffix_dedup": (op1_suffix_dedup, None),
     "op2_toxicity": (op2_toxicity, None),
     "op3_token_counts": (op3_token_counts, None),
     "op4_line_dedup": (op4_line_dedup, _OP4_SQL),
