@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     groups = materialise(similarity_groups(base, "row", "text", **options))
     named = base.select("row", "id").join(groups, "row")
-    ids = named.groupBy("root").agg(F.min("id").alias("class_id"))
+    ids = materialise(named.groupBy("root").agg(F.min("id").alias("class_id")))  # stored, so that the join back is a plain one that AQE can split
     return named.join(ids, "root").select(F.col("id").alias(id_col), "class_id", "n_links", (F.col("row") == F.col("root")).alias("kept"))
 
 

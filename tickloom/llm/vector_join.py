@@ -165,7 +165,7 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     joined = rows.where(F.col("x").isNotNull()).select("row", "id", "n", "a", "b").join(merged, ["n", "a", "b"], "left").select(
         "row", "id", F.coalesce("root", "row").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     named = materialise(joined.unionByName(rows.where(F.col("x").isNull()).select("row", "id", F.col("row").alias("root"), F.lit(0).cast("long").alias("n_links"))))
-    ids = named.groupBy("root").agg(F.min("id").alias("component_id"))
+    ids = materialise(named.groupBy("root").agg(F.min("id").alias("component_id")))  # stored, so that the join back is a plain one that AQE can split
     return named.join(ids, "root").select(
         F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
