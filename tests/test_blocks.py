@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from conftest import frame, same, walk
 from tickloom.functions.conditions import signal_bits
 from tickloom.functions.indicators import LOOKBACK, with_window_indicators
-from tickloom.functions.recursive import recursive_indicators, seam_gaps, settled_indicators
+from tickloom.functions.recursive import recursive_indicators
 from tickloom.operators import levels, mining, regimes, screen
 from tickloom.operators.blocks import (
     exact_quantiles, index_bars, index_bars_with_vwap, own_rows, path_stats, to_blocks,
@@ -53,14 +53,22 @@ def test_recursive_indicators(bars):
     same(recursive_indicators(ix), recursive_indicators(ix, size=150, warmup=1400), "series_id", "bar_idx", tol=1e-7)
 
 
-def test_seams_are_reported_and_settled(spark, bars):
-    """With too short a warm-up the blocks disagree at their seams; settling repairs exactly those."""
-    ix = materialise(index_bars(bars))
-    cols = ("atr", "adx", "schaff", "supertrend", "psar", "laguerre")
-    assert seam_gaps(ix, cols, size=200, warmup=30).count() > 0
-    assert seam_gaps(ix, cols, size=200, warmup=1400).count() == 0
-    settled = settled_indicators(ix, cols, size=200, warmup=30)
-    same(recursive_indicators(ix, cols), settled, "series_id", "bar_idx", tol=1e-7)
+@pytest.mark.parametrize("kind", ["flat", "halted", "steady"])
+def test_short_warm_up_is_settled(spark, kind):
+    """Blocks whose warm-up cannot reach the state are folded from their predecessor's end."""
+    pdf = walk(900, 9)
+    if kind == "flat":  # rises, falls, then never moves again
+        pdf.loc[300:, ["open", "high", "low", "close"]] = pdf.loc[299, "close"]
+    elif kind == "halted":
+        for c in ("open", "high", "low", "close"):
+            pdf.loc[200:650, c] = pdf.loc[199, "close"]
+    else:
+        for c in ("open", "high", "low", "close"):
+            pdf[c] = np.linspace(2000, 1000, len(pdf)) + {"high": 1.0, "low": -1.0}.get(c, 0.0)
+    ix = materialise(index_bars(spark.createDataFrame(pdf).withColumn("ts", F.col("ts").cast("timestamp_ntz"))))
+    whole = recursive_indicators(ix)
+    same(whole, recursive_indicators(ix, size=100, warmup=24), "series_id", "bar_idx", tol=1e-7)
+    same(whole, recursive_indicators(ix, size=64, warmup=200), "series_id", "bar_idx", tol=1e-7)
 
 
 def test_signal_bits(bars):

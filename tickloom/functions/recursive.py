@@ -1,12 +1,12 @@
-"""Indicators defined by recurrences, folded per block of a series.
-
-One grouped-map call computes all wanted columns of a block with NumPy/pandas;
-Spark cuts the blocks, and each block starts ``WARMUP`` rows early.  The folds
-forget their start: an exponential mean with weight a keeps (1-a)^k of it after
-k rows, so after the warm-up the start is far below one unit in the last place.
-``seam_gaps`` checks exactly that on real data, and ``settled_indicators`` re-folds
-the blocks where it does not hold (a trend that never flips, a price that never
-moves) with a longer one.
+"""Indicators defined by recurrences, folded per block of a series with a checked state.
+
+One grouped-map call computes all wanted columns of a block with NumPy/pandas; Spark cuts
+the blocks.  A block starts ``WARMUP`` rows early, and most folds forget their start in
+that many rows.  None is taken on trust: every block also returns the state of each of its
+recurrences where its own rows begin and where they end.  A block whose beginning differs from its
+predecessor's end (a price that never moves, a trend that never flips) is folded again from that
+end state, which replaces the warm-up, and so is its successor if the end changes.
+``fold_columns`` is the only way to these columns, so no unchecked block can be read.
 """
 
 from __future__ import annotations
@@ -15,26 +15,19 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tickloom.operators.blocks import BLOCK_ROWS, to_blocks
 from tickloom.session import materialise
 
 WARMUP = 4096
 INPUTS = ("open", "high", "low", "close", "volume")
-
-
-def smooth(x: pd.Series, alpha: float) -> pd.Series:
-    """Exponential mean y += alpha*(x-y), started at the first value, gap-aware."""
-    return x.ewm(alpha=alpha, adjust=False).mean()
-
-
-def wilder(x: pd.Series, n: int) -> pd.Series:
-    return smooth(x, 1.0 / n)
-
-
-def span(x: pd.Series, n: int) -> pd.Series:
-    return smooth(x, 2.0 / (n + 1))
+#: Earlier values of each recurrence that a state carries: as many as the longest window or lag over one.
+TAIL = 24
+#: A gap of more rows than this leaves no trace of an exponential mean in double precision.
+LONGEST_GAP = 4096
+#: Relative difference up to which two states are the same.
+TOLERANCE = 1e-9
 
 
 def gap_if_zero(x: pd.Series) -> pd.Series:
@@ -42,18 +35,82 @@ def gap_if_zero(x: pd.Series) -> pd.Series:
 
 
 class BlockFold:
-    """Lazily computed recursive indicators of one block; shared parts are computed once."""
+    """Lazily computed recursive indicators of one block; shared parts are computed once.
 
-    def __init__(self, bars: pd.DataFrame):
-        self.bars = bars
+    ``first`` is the number of rows before the block's own ones.  With a ``seed`` (the state
+    with which the predecessor ended, by recurrence) those rows are only context: recurrences start
+    at ``first`` from the seed, and their earlier values are the seed's.
+    """
+
+    def __init__(self, bars: pd.DataFrame, first: int = 0, seed: dict[str, list[float]] | None = None, marks: tuple[int, ...] = ()):
+        self.bars, self.first, self.seed, self.marks = bars, first, seed, marks
         self.close, self.high, self.low = bars["close"], bars["high"], bars["low"]
         self._memo: dict[str, pd.Series] = {}
+        self.states: dict[int, dict[str, list[float]]] = {m: {} for m in marks}
 
     def __getitem__(self, name: str) -> pd.Series:
         if name not in self._memo:
             self._memo[name] = getattr(self, "_" + name)()
         return self._memo[name]
 
+    def _after_tail(self, tail: list[float], own: np.ndarray) -> pd.Series:
+        """Values of a recurrence on all rows: the seed's before the own rows, then the folded ones."""
+        before = np.r_[np.full(max(0, self.first - TAIL), np.nan), tail][-self.first:] if self.first else []
+        return pd.Series(np.r_[before, own], index=self.bars.index, dtype="float64")
+
+    def _tail(self, y: np.ndarray, mark: int) -> list[float]:
+        got = y[max(0, mark - TAIL + 1): mark + 1]
+        return [*[np.nan] * (TAIL - len(got)), *got]
+
+    def mean(self, name: str, x: pd.Series, alpha: float) -> pd.Series:
+        """Exponential mean y += alpha*(x-y), started at the first value; a gap lowers the weight of what came before."""
+        gap, own = 0, x
+        if self.seed is None:
+            y = x.ewm(alpha=alpha, adjust=False).mean()
+        else:
+            gap, *tail = self.seed[name]
+            gap, own = int(gap), x.iloc[self.first:]
+            if np.isnan(tail[-1]):
+                folded = own.ewm(alpha=alpha, adjust=False).mean().to_numpy()
+            else:  # the old mean stands for all earlier values, followed by its gap
+                start = np.r_[tail[-1], np.full(min(gap, LONGEST_GAP), np.nan)]
+                folded = pd.Series(np.r_[start, own]).ewm(alpha=alpha, adjust=False).mean().to_numpy()[len(start):]
+            y = self._after_tail(tail, folded)
+        skipped = len(x) - len(own)
+        for mark in self.marks:
+            seen = np.flatnonzero(own.notna().to_numpy()[: max(0, mark + 1 - skipped)])
+            since = mark - skipped - seen[-1] if len(seen) else gap + max(0, mark + 1 - skipped)
+            self.states[mark][name] = [float(since), *self._tail(y.to_numpy(), mark)]
+        return y
+
+    def wilder(self, name: str, x: pd.Series, n: int) -> pd.Series:
+        return self.mean(name, x, 1.0 / n)
+
+    def span(self, name: str, x: pd.Series, n: int) -> pd.Series:
+        return self.mean(name, x, 2.0 / (n + 1))
+
+    def walk(self, name: str, step: Callable, start: tuple[float, ...], inputs: list[pd.Series], width: int) -> list[pd.Series]:
+        """Fold rows one by one: ``step(state, *row)`` gives the next state and ``width`` values."""
+        state, skipped, tails = start, 0, None
+        if self.seed is not None:
+            held = self.seed[name]
+            state, skipped = tuple(held[: len(start)]), self.first
+            tails = [held[len(start) + k * TAIL: len(start) + (k + 1) * TAIL] for k in range(width)]
+        made, kept = [], {}
+        for i, row in enumerate(zip(*[x.iloc[skipped:].tolist() for x in inputs]), skipped):
+            state, values = step(state, *row)
+            made.append(values)
+            if i in self.marks:
+                kept[i] = state
+        columns = list(zip(*made)) if made else [()] * width
+        if tails is None:
+            out = [pd.Series(c, index=self.bars.index, dtype="float64") for c in columns]
+        else:
+            out = [self._after_tail(t, np.asarray(c, float)) for t, c in zip(tails, columns)]
+        for mark, state in kept.items():
+            self.states[mark][name] = [*map(float, state), *[v for y in out for v in self._tail(y.to_numpy(), mark)]]
+        return out
+
     # shared inputs
     def _tr(self):
         prev = self.close.shift()
@@ -69,11 +126,11 @@ class BlockFold:
     # D2, D3
     def _rsi(self):
         step = self.close.diff()
-        gain, loss = wilder(step.clip(lower=0), 14), wilder((-step).clip(lower=0), 14)
+        gain, loss = self.wilder("rsi.gain", step.clip(lower=0), 14), self.wilder("rsi.loss", (-step).clip(lower=0), 14)
         return 100 - 100 / (1 + gain / gap_if_zero(loss))
 
     def _atr(self):
-        return wilder(self["tr"], 14)
+        return self.wilder("atr", self["tr"], 14)
 
     def _atr_ma(self):
         return self["atr"].rolling(20).mean()
@@ -86,34 +143,34 @@ class BlockFold:
         return plus, minus
 
     def _di_plus(self):
-        return 100 * wilder(self["dm"][0], 14) / self["atr"]
+        return 100 * self.wilder("dm.plus", self["dm"][0], 14) / self["atr"]
 
     def _di_minus(self):
-        return 100 * wilder(self["dm"][1], 14) / self["atr"]
+        return 100 * self.wilder("dm.minus", self["dm"][1], 14) / self["atr"]
 
     def _adx(self):
         p, m = self["di_plus"], self["di_minus"]
-        return wilder(100 * (p - m).abs() / gap_if_zero(p + m), 14)
+        return self.wilder("adx", 100 * (p - m).abs() / gap_if_zero(p + m), 14)
 
     # D5
     def _macd(self):
-        return span(self.close, 12) - span(self.close, 26)
+        return self.span("macd.fast", self.close, 12) - self.span("macd.slow", self.close, 26)
 
     def _macd_signal(self):
-        return span(self["macd"], 9)
+        return self.span("macd.signal", self["macd"], 9)
 
     # D6
     def _demarker(self):
         up = self.high.diff().clip(lower=0)
         down = (-self.low.diff()).clip(lower=0)
-        return wilder(up, 14) / wilder(gap_if_zero(up + down), 14)
+        return self.wilder("demarker.up", up, 14) / self.wilder("demarker.both", gap_if_zero(up + down), 14)
 
     # D7
     def _keltner_width(self):
-        return 1.5 * wilder(self["tr"], 20)
+        return 1.5 * self.wilder("keltner.range", self["tr"], 20)
 
     def _keltner_mid(self):
-        return span(self.close, 20)
+        return self.span("keltner.mid", self.close, 20)
 
     def _keltner_upper(self):
         return self["keltner_mid"] + self["keltner_width"]
@@ -123,25 +180,25 @@ class BlockFold:
 
     # D8
     def _wave_trend(self):
-        off = self["typical"] - span(self["typical"], 10)
-        return span(off / (0.015 * gap_if_zero(span(off.abs(), 10))), 21)
+        off = self["typical"] - self.span("wave.mid", self["typical"], 10)
+        return self.span("wave", off / (0.015 * gap_if_zero(self.span("wave.off", off.abs(), 10))), 21)
 
     def _wave_trend_ma(self):
         return self["wave_trend"].rolling(4).mean()
 
     # D9
     def _schaff(self):
-        line = span(self.close, 23) - span(self.close, 50)
+        line = self.span("schaff.fast", self.close, 23) - self.span("schaff.slow", self.close, 50)
         floor, top = line.rolling(10).min(), line.rolling(10).max()
         scaled = (100 * (line - floor) / gap_if_zero(top - floor)).fillna(50.0)
-        return span(span(scaled, 3), 3)
+        return self.span("schaff.outer", self.span("schaff.inner", scaled, 3), 3)
 
     # D10
     def _qqe(self):
-        return span(self["rsi"], 5)
+        return self.span("qqe", self["rsi"], 5)
 
     def _qqe_band(self):
-        return 4.236 * span(self["qqe"].diff().abs(), 14)
+        return 4.236 * self.span("qqe.band", self["qqe"].diff().abs(), 14)
 
     def _qqe_upper(self):
         return self["qqe"] + self["qqe_band"]
@@ -151,84 +208,79 @@ class BlockFold:
 
     # D11: ratcheting bands; +1 while the close holds above the lower one
     def _bands(self):
-        mid, width = (self.high + self.low) / 2, 3.0 * wilder(self["tr"], 10)
-        rows = zip((mid + width).tolist(), (mid - width).tolist(), self.close.tolist())
-        names = ["trend", "top", "bottom"]
-        return pd.DataFrame(list(_supertrend_steps(rows)), columns=names, index=self.bars.index, dtype="float64")
+        mid, width = (self.high + self.low) / 2, 3.0 * self.wilder("bands.range", self["tr"], 10)
+        return self.walk("bands", _band_step, (np.nan, np.nan, np.nan, 1.0), [mid + width, mid - width, self.close], 3)
 
     def _supertrend(self):
-        return self["bands"]["trend"]
+        return self["bands"][0]
 
     def _supertrend_top(self):
-        return self["bands"]["top"]
+        return self["bands"][1]
 
     def _supertrend_bottom(self):
-        return self["bands"]["bottom"]
+        return self["bands"][2]
 
     # D12
     def _psar(self):
-        return self._walk(_psar_steps, zip(self.high.tolist(), self.low.tolist()))
+        return self.walk("psar", _psar_step, (1.0, 0.02, np.nan, np.nan), [self.high, self.low], 1)[0]
 
     # D13
     def _laguerre(self):
-        return self._walk(_laguerre_steps, iter(self.close.tolist()))
-
-    def _walk(self, steps: Callable, rows: Iterable) -> pd.Series:
-        return pd.Series(list(steps(rows)), index=self.bars.index, dtype="float64")
-
-
-def _supertrend_steps(rows):
-    ceiling = floor = prev_close = None
-    trend = 1.0
-    for i, (up, dn, close) in enumerate(rows):
-        if i:
-            old_ceiling, old_floor = ceiling, floor
-            keep_top = ceiling is not None and up >= ceiling and prev_close <= ceiling
-            keep_bottom = floor is not None and dn <= floor and prev_close >= floor
-            ceiling = ceiling if keep_top else up
-            floor = floor if keep_bottom else dn
-            if old_ceiling is not None and close > old_ceiling:
-                trend = 1.0
-            elif old_floor is not None and close < old_floor:
-                trend = -1.0
-        prev_close = close
-        yield trend, ceiling, floor
-
-
-def _psar_steps(rows, step: float = 0.02, limit: float = 0.2):
-    rising, speed, sar, extreme = True, step, None, None
-    for high, low in rows:
-        if sar is None:
-            sar, extreme = low, high
-            yield None
-            continue
-        sar += speed * (extreme - sar)
-        crossed = low < sar if rising else high > sar
-        further = high > extreme if rising else low < extreme
-        if crossed:
-            sar, rising, speed = extreme, not rising, step
-            extreme = high if rising else low
-        elif further:
-            extreme = high if rising else low
-            speed = min(speed + step, limit)
-        yield sar
-
-
-def _laguerre_steps(rows, gamma: float = 0.7):
-    a = b = c = d = 0.0
-    last = None
-    for i, x in enumerate(rows):
-        if i:
-            a_new = (1 - gamma) * x + gamma * a
-            b_new = a - gamma * a_new + gamma * b
-            c_new = b - gamma * b_new + gamma * c
-            d_new = c - gamma * c_new + gamma * d
-            a, b, c, d = a_new, b_new, c_new, d_new
-            if a > b > c > d:
-                last = 100.0
-            elif a < b < c < d:
-                last = 0.0
-        yield last
+        return self.walk("laguerre", _laguerre_step, (0.0, 0.0, 0.0, 0.0, np.nan, 0.0), [self.close], 1)[0]
+
+
+def _band_step(state, upper, lower, close):
+    """Ratcheting bands.  State: upper band, lower band, previous close, trend.
+
+    A band only moves towards the price until the previous close has passed it; the trend turns when
+    the close passes the band of the bar before.
+    """
+    top, bottom, before, trend = state
+    if not np.isnan(before):
+        if close > top:
+            trend = 1.0
+        elif close < bottom:
+            trend = -1.0
+    if np.isnan(before):
+        top, bottom = np.nan, np.nan
+    else:
+        top = top if upper >= top and before <= top else upper
+        bottom = bottom if lower <= bottom and before >= bottom else lower
+    return (top, bottom, close, trend), (trend, top, bottom)
+
+
+def _psar_step(state, high, low, step: float = 0.02, limit: float = 0.2):
+    """Parabolic stop.  State: rising (1 or 0), speed, stop, extreme price of the trend."""
+    rising, speed, stop, extreme = state
+    if np.isnan(stop):
+        return (rising, speed, low, high), (np.nan,)
+    stop += speed * (extreme - stop)
+    adverse, favourable = (low, high) if rising else (high, low)
+    side = 1 if rising else -1
+    if side * (adverse - stop) < 0:  # crossed: turn around at the extreme
+        rising = 1.0 - rising
+        stop, extreme, speed = extreme, adverse, step
+    elif side * (favourable - extreme) > 0:
+        extreme, speed = favourable, min(speed + step, limit)
+    return (rising, speed, stop, extreme), (stop,)
+
+
+def _laguerre_step(state, x, gamma: float = 0.7):
+    """Four-stage filter.  State: the stages, the last decided value, rows seen (0 or 1).
+
+    The value is 100 while the stages fall from first to last, 0 while they rise, else the last one.
+    """
+    *stages, last, started = state
+    if started:
+        carry, new = x, []
+        for k, old in enumerate(stages):
+            now = (1 - gamma) * carry + gamma * old if k == 0 else carry[0] - gamma * carry[1] + gamma * old
+            carry = (old, now)
+            new.append(now)
+        stages = new
+        steps = np.diff(stages)
+        last = 100.0 if (steps < 0).all() else 0.0 if (steps > 0).all() else last
+    return (*stages, last, 1.0), (last,)
 
 
 RECURSIVE = (
@@ -238,34 +290,93 @@ RECURSIVE = (
 )
 
 
+def _flat(states: dict[str, list[float]]) -> list[float | None]:
+    """All states in the order of their names; a missing value is null."""
+    return [None if np.isnan(v) else v for k in sorted(states) for v in states[k]]
+
+
+def _named(flat: Iterable[float | None], like: dict[str, list[float]]) -> dict[str, list[float]]:
+    values, out, at = [np.nan if v is None else float(v) for v in flat], {}, 0
+    for k in sorted(like):
+        out[k] = values[at: at + len(like[k])]
+        at += len(like[k])
+    return out
+
+
+def _differs(a: Column, b: Column) -> Column:
+    def other(x: Column, y: Column) -> Column:
+        near = F.abs(x - y) <= TOLERANCE * F.greatest(F.abs(x), F.abs(y))
+        return ~F.coalesce(near, x.isNull() & y.isNull())
+
+    return F.exists(F.zip_with(a, b, other), lambda v: v)
+
+
 def fold_columns(
     blocked: DataFrame,
     columns: Iterable[str] = RECURSIVE,
     lags: Iterable[tuple[str, int]] = (),
     keep: Iterable[str] = (),
 ) -> DataFrame:
-    """Add recursive indicator columns to blocked bars (own rows only).
+    """Recursive indicator columns of blocked bars (own rows only), stored, with every seam settled.
 
     ``lags`` adds earlier values as ``<name>_lag<k>``; ``keep`` names the input
-    columns to pass through besides series_id, blk, bar_idx.
+    columns to pass through besides series_id, blk, bar_idx.  Blocks must start at least ``TAIL`` rows early.
     """
     columns, lags = list(columns), list(lags)
     keep = [c for c in keep if c not in ("series_id", "blk", "bar_idx", "own")]
     fields = [blocked.schema[c] for c in ("series_id", "blk", "bar_idx", *keep)]
     new = columns + [f"{c}_lag{k}" for c, k in lags]
-    schema = T.StructType(fields + [T.StructField(c, T.DoubleType()) for c in new])
+    state = [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("_start", "_end")]
+    schema = T.StructType(fields + [T.StructField(c, T.DoubleType()) for c in new] + state)
     passed = ["series_id", "blk", "bar_idx", *keep]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(pdf: pd.DataFrame, seed: list[float] | None = None) -> pd.DataFrame:
+        """Own rows; the first one carries the block's states."""
         pdf = pdf.sort_values("bar_idx", ignore_index=True)
-        block = BlockFold(pdf)
+        mine = np.flatnonzero(pdf["own"].to_numpy())
+        if not len(mine):
+            return pd.DataFrame(columns=schema.names)
+        first, end = int(mine[0]), int(mine[-1])
+        if seed is not None:
+            pdf = pdf.iloc[max(0, first - TAIL):].reset_index(drop=True)
+            end -= max(0, first - TAIL)
+            first = min(first, TAIL)
+        wanted = [*columns, *[c for c, _ in lags]]
+        marks = (first - 1, end) if first and seed is None else (end,)
+        block = BlockFold(pdf, first, marks=marks)
+        for c in wanted:
+            block[c]
+        if seed is not None:
+            shape = block.states[end]
+            block = BlockFold(pdf, first, _named(seed, shape), marks)
         made = {c: block[c] for c in columns}
         made |= {f"{c}_lag{k}": block[c].shift(k) for c, k in lags}
-        out = pd.concat([pdf[passed], pd.DataFrame(made)], axis=1)
-        return out[pdf["own"]]
-
-    needed = dict.fromkeys([*passed, "own", *INPUTS])
-    return blocked.select(*needed).groupBy("series_id", "blk").applyInPandas(fold, schema)
+        out = pd.concat([pdf[passed], pd.DataFrame(made)], axis=1)[pdf["own"]].reset_index(drop=True)
+        out["_start"] = pd.Series([seed if seed is not None else _flat(block.states[first - 1]) if first else None] + [None] * (len(out) - 1), dtype=object)
+        out["_end"] = pd.Series([_flat(block.states[end])] + [None] * (len(out) - 1), dtype=object)
+        return out
+
+    def again(_key, pdf: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or not len(seeds):
+            return pd.DataFrame(columns=schema.names)
+        return fold(pdf, [None if v is None or np.isnan(v) else float(v) for v in seeds["seed"].iloc[0]])
+
+    needed = list(dict.fromkeys([*passed, "own", *INPUTS]))
+    slim, key = blocked.select(*needed), ["series_id", "blk"]
+    done = materialise(slim.groupBy(*key).applyInPandas(lambda pdf: fold(pdf), schema))
+    while True:
+        states = done.filter("_end IS NOT NULL")
+        ends = states.select("series_id", (F.col("blk") + 1).alias("blk"), F.col("_end").alias("seed"))
+        bad = states.filter("blk > 0").join(ends, key).filter(_differs(F.col("_start"), F.col("seed"))).select(*key, "seed")
+        if not states.filter("blk > 0").limit(1).count():
+            break
+        bad = materialise(bad)
+        if bad.isEmpty():
+            break
+        wrong = slim.join(bad.select(*key), key, "left_semi")
+        redone = wrong.groupBy(*key).cogroup(bad.groupBy(*key)).applyInPandas(again, schema)
+        done = materialise(done.join(bad.select(*key), key, "left_anti").unionByName(redone))
+    return done.select(*passed, *new)
 
 
 def recursive_indicators(
@@ -275,67 +386,5 @@ def recursive_indicators(
     warmup: int = WARMUP,
     keep: Iterable[str] = ("ts",),
 ) -> DataFrame:
-    """Recursive indicators of indexed bars: one shuffle, one grouped-map call."""
-    return fold_columns(to_blocks(bars, back=warmup, size=size), columns, keep=keep).drop("blk")
-
-
-def _fold_with_seams(blocked: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
-    """Own rows plus the last two warm-up rows of each block (``own`` false)."""
-    last = F.max(F.when(F.col("own"), None).otherwise(F.col("bar_idx"))).over(
-        Window.partitionBy("series_id", "blk"))
-    flagged = blocked.withColumn("_seam", ~F.col("own") & (F.col("bar_idx") >= last - 1))
-    shown = flagged.withColumns({"_own": F.col("own"), "own": F.col("own") | F.col("_seam")})
-    return fold_columns(shown, columns, keep=[*keep, "_own"])
-
-
-def _seam_columns(columns: Iterable[str]) -> list[str]:
-    """The wanted columns plus the hidden state that decides later values."""
-    wanted = list(columns)
-    return wanted + [c for c in ("supertrend_top", "supertrend_bottom") if "supertrend" in wanted]
-
-
-def _gaps(folded: DataFrame, columns: list[str], tolerance: float) -> DataFrame:
-    """Blocks whose warm-up ends elsewhere than their predecessor's own rows."""
-    differs = F.lit(False)
-    for c in columns:
-        a, b = F.col(f"w.{c}"), F.col(f"p.{c}")
-        close = F.abs(a - b) <= tolerance * F.greatest(F.lit(1.0), F.abs(a), F.abs(b))
-        differs = differs | ~F.coalesce(close, a.isNull() & b.isNull())
-    seams = folded.filter(~F.col("_own")).alias("w")
-    before = folded.filter("_own").alias("p")
-    same_bar = (F.col("w.series_id") == F.col("p.series_id")) & (F.col("w.bar_idx") == F.col("p.bar_idx"))
-    return seams.join(before, same_bar).filter(differs).select("w.series_id", "w.blk").distinct()
-
-
-def seam_gaps(
-    bars: DataFrame, columns: Iterable[str] = RECURSIVE, size: int = BLOCK_ROWS, warmup: int = WARMUP,
-    tolerance: float = 1e-9,
-) -> DataFrame:
-    """(series_id, blk) whose warm-up did not reach the state their predecessor ended with."""
-    cols = _seam_columns(columns)
-    return _gaps(_fold_with_seams(to_blocks(bars, back=warmup, size=size), cols, []), cols, tolerance)
-
-
-def settled_indicators(
-    bars: DataFrame, columns: Iterable[str] = RECURSIVE, size: int = BLOCK_ROWS, warmup: int = WARMUP,
-    keep: Iterable[str] = ("ts",), tolerance: float = 1e-9,
-) -> DataFrame:
-    """``recursive_indicators`` with every seam checked.
-
-    Blocks that disagree with their predecessor are folded again with a four times
-    longer warm-up, until all seams agree or the warm-up reaches the series start.
-    Each round writes its blocks, and only the disagreeing ones are repeated.
-    """
-    columns, keep = list(columns), list(keep)
-    cols = _seam_columns(columns)
-    longest = bars.agg(F.max("n_bars")).first()[0] or 0
-    done = materialise(_fold_with_seams(to_blocks(bars, back=warmup, size=size), cols, keep))
-    while warmup < longest:
-        bad = materialise(_gaps(done, cols, tolerance))
-        if bad.isEmpty():
-            break
-        warmup *= 4
-        again = to_blocks(bars, back=warmup, size=size).join(bad, ["series_id", "blk"], "left_semi")
-        redone = _fold_with_seams(again, cols, keep)
-        done = materialise(done.join(bad, ["series_id", "blk"], "left_anti").unionByName(redone))
-    return done.filter("_own").select("series_id", "bar_idx", *keep, *columns)
+    """Recursive indicators of indexed bars: one shuffle, one grouped-map call, seams settled."""
+    return fold_columns(to_blocks(bars, back=max(warmup, TAIL), size=size), columns, keep=keep).drop("blk")
