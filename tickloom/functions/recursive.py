@@ -27,7 +27,7 @@ TAIL = 24
 #: A gap of more rows than this leaves no trace of an exponential mean in double precision.
 LONGEST_GAP = 4096
 #: Relative difference up to which two states are the same.
-TOLERANCE = 1e-9
+TOLERANCE = 1e-12
 
 
 def gap_if_zero(x: pd.Series) -> pd.Series:

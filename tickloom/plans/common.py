@@ -27,13 +27,28 @@ def rolled_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored hourly bars with position and VWAP: several passes read them, the raw events are read once."""
-    return materialise(index_bars_with_vwap(materialise(rolled_hourly(spark, sf_dir))))
+    """Stored hourly bars with position and VWAP: several passes read them."""
+    return materialise(index_bars_with_vwap(rolled_hourly(spark, sf_dir)))
+
+
+def minute_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored minute bars with position and VWAP, for the queries that cut series into small blocks."""
+    events = table(spark, sf_dir, "events")
+    return materialise(index_bars_with_vwap(bars_from_events(events, "event_type", "ts", "value", "event_id", unit="minute")))
+
+
+def by_minute(sql: str) -> str:
+    """An oracle over hourly bars, over minute bars instead."""
+    return sql.replace("date_trunc('hour', ts) AS ts", "date_trunc('minute', ts) AS ts")
+
+
+#: Blocks far smaller than a series, with a warm-up that alone would not reach the right state.
+SMALL_BLOCKS = {"size": 150, "warmup": 60}
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored daily bars with their position."""
-    return materialise(index_bars(materialise(rolled_daily(spark, sf_dir)), "year"))
+    return materialise(index_bars(rolled_daily(spark, sf_dir), "year"))
 
 
 def r6(x: Column | str, places: int = 6) -> Column:

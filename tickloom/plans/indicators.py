@@ -10,7 +10,7 @@ from tickloom.functions.indicators import LOOKBACK, with_basics, with_slope, wit
 from tickloom.functions.recursive import RECURSIVE, recursive_indicators
 from tickloom.operators.blocks import index_bars, index_bars_with_vwap, own_rows, to_blocks
 from tickloom.plans.common import (
-    DAILY, bars_sql, daily_bars, hourly_bars, lag, r6, rnd, roll, rounded,
+    DAILY, SMALL_BLOCKS, bars_sql, by_minute, daily_bars, hourly_bars, lag, minute_bars, r6, rnd, roll, rounded,
 )
 from tickloom.plans.oracle_indicators import (
     CONDITION_SQL, PREPARED, RECURSIVE_WITH, WINDOWED, condition_input_sql,
@@ -33,6 +33,11 @@ def recursive_columns(spark, sf):
     return rounded(recursive_indicators(index_bars(hourly_bars(spark, sf))))
 
 
+def recursive_columns_blocks(spark, sf):
+    """Recursive indicators of minute bars cut into small blocks."""
+    return rounded(recursive_indicators(minute_bars(spark, sf), **SMALL_BLOCKS))
+
+
 def entry_conditions(spark, sf):
     return signal_rows(hourly_bars(spark, sf))
 
@@ -100,14 +105,17 @@ sig AS (SELECT series_id, bar_idx, ts, hr, n_bars, close, s.family AS family, s.
 
 _SIG = condition_rows_sql()
 
+_RECURSIVE_SQL = f"""{RECURSIVE_WITH}
+SELECT rin.series_id, rin.bar_idx, ts, {_REC} FROM rin
+JOIN idx ON idx.series_id = rin.series_id AND idx.bar_idx = rin.bar_idx"""
+
 QUERIES = {
     "rolling_indicators": (rolling_indicators, f"""WITH {bars_sql()},
 {PREPARED},
 {WINDOWED}
 SELECT series_id, ts, bar_idx, {_FIRST} FROM win"""),
-    "recursive_indicators": (recursive_columns, f"""{RECURSIVE_WITH}
-SELECT rin.series_id, rin.bar_idx, ts, {_REC} FROM rin
-JOIN idx ON idx.series_id = rin.series_id AND idx.bar_idx = rin.bar_idx"""),
+    "recursive_indicators": (recursive_columns, _RECURSIVE_SQL),
+    "recursive_indicators_blocks": (recursive_columns_blocks, by_minute(_RECURSIVE_SQL)),
     "entry_conditions": (entry_conditions, f"{_SIG} SELECT series_id, bar_idx, ts, family, signal FROM sig"),
     "condition_counts": (condition_counts, f"""{_SIG}
 SELECT series_id, family, signal, count(*) AS n, min(bar_idx) AS first_idx, max(bar_idx) AS last_idx

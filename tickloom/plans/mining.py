@@ -11,7 +11,7 @@ from tickloom.operators.blocks import index_bars
 from tickloom.operators.outcomes import (
     MAIN, MATRIX_RULES, SCHEMES, TRAILS, ExitRule, one_at_a_time, outcomes, with_outcomes,
 )
-from tickloom.plans.common import DAILY, bars_sql, daily_bars, hourly_bars, r6, rnd, rounded
+from tickloom.plans.common import DAILY, SMALL_BLOCKS, bars_sql, daily_bars, hourly_bars, r6, rnd, rounded
 from tickloom.plans.oracle_levels import LEVEL_CTES, atr_sql, entries_sql, outcome_sql
 from tickloom.plans.oracle_indicators import PREPARED
 from tickloom.session import materialise
@@ -45,7 +45,7 @@ def trade_outcomes(spark, sf):
 
 
 def daily_outcomes(spark, sf):
-    """Every tenth daily bar as a long and a short entry under six rules with shorter holds."""
+    """Every daily bar as a long and a short entry under six rules with shorter holds."""
     from tickloom.functions.recursive import recursive_indicators
 
     ix = index_bars(daily_bars(spark, sf), "year")
@@ -65,6 +65,11 @@ def level_matrix(spark, sf):
     return rounded(mn.mine(hourly_bars(spark, sf), min_n=MIN_N))
 
 
+def level_matrix_blocks(spark, sf):
+    """The matrix over series cut into small blocks."""
+    return rounded(mn.mine(hourly_bars(spark, sf), min_n=MIN_N, **SMALL_BLOCKS))
+
+
 def gated_matrix(spark, sf):
     g = mn.apply_gates(mn.mine(hourly_bars(spark, sf), min_n=MIN_N), min_n=20)
     return g.select("series_id", "level", "trigger", "n", r6("excess").alias("excess"),
@@ -253,6 +258,10 @@ fired AS (
 trd AS (SELECT ent.*, CASE WHEN signal LIKE 'short%' THEN short_r WHEN signal IN ('long_rsi_above_70', 'long_cci_above_150')
     THEN slpt_r ELSE long_r END AS r FROM ent JOIN outc ON outc.series_id = ent.series_id AND outc.entry_idx = ent.entry_idx)"""
 
+_MATRIX_SQL = f"""{_MATRIX}
+SELECT series_id, level, trigger, n, trails_positive, positive_years, years, n_base,
+  {', '.join(f'{rnd(c)} AS {c}' for c in _MCOLS)} FROM mtx"""
+
 QUERIES = {
     "day_context": (day_context, f"""{_LV}
 SELECT d3.series_id, d3.day, s.orb_low, s.orb_high, s.ib_low, s.ib_high, s.so AS session_open,
@@ -273,9 +282,8 @@ ent AS (SELECT pre.series_id, pre.bar_idx AS entry_idx, close AS entry_price, at
   JOIN ra ON ra.series_id = pre.series_id AND ra.bar_idx = pre.bar_idx WHERE atr > 1e-9),
 {outcome_sql('outc', 'ent', DAILY_RULES)}
 SELECT series_id, entry_idx, rule, {rnd('r')} AS r FROM (UNPIVOT outc ON COLUMNS(* EXCLUDE (series_id, entry_idx)) INTO NAME rule VALUE r)"""),
-    "level_matrix": (level_matrix, f"""{_MATRIX}
-SELECT series_id, level, trigger, n, trails_positive, positive_years, years, n_base,
-  {', '.join(f'{rnd(c)} AS {c}' for c in _MCOLS)} FROM mtx"""),
+    "level_matrix": (level_matrix, _MATRIX_SQL),
+    "level_matrix_blocks": (level_matrix_blocks, _MATRIX_SQL),
     "gated_matrix": (gated_matrix, f"""{_MATRIX},
 gt AS (SELECT *, list_filter([CASE WHEN n >= 20 THEN 'sample' END, CASE WHEN excess > 0 THEN 'beats_naive' END,
   CASE WHEN excess_is > 0 AND excess_oos > 0 THEN 'both_halves' END, CASE WHEN trails_positive >= 3 THEN 'stable' END,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.indicators import with_basics
 from tickloom.operators import screen as ops
 from tickloom.operators.blocks import index_bars, own_rows, to_blocks
-from tickloom.plans.common import bars_sql, hourly_bars, lag, p_value_sql, r6, rnd, roll, rounded
+from tickloom.plans.common import SMALL_BLOCKS, bars_sql, hourly_bars, lag, p_value_sql, r6, rnd, roll, rounded
 from tickloom.plans.indicators import atr_and_trend, condition_rows_sql
 
 MIN_N = 30
@@ -33,6 +33,11 @@ def signal_screen(spark, sf):
     return rounded(ops.screen(hourly_bars(spark, sf), min_n=MIN_N), 5)
 
 
+def signal_screen_blocks(spark, sf):
+    """The screen over series cut into small blocks."""
+    return rounded(ops.screen(hourly_bars(spark, sf), min_n=MIN_N, **SMALL_BLOCKS), 5)
+
+
 def screen_highlights(spark, sf):
     top = ops.highlights(ops.screen(hourly_bars(spark, sf), min_n=MIN_N))
     return top.select("series_id", "highlight", "rank", "family", "signal", "horizon", "n",
@@ -118,6 +123,9 @@ prof AS (SELECT series_id, hour, n, round(rg, 3) AS avg_range_pct, round(m * 100
   round(t, 2) AS t_stat, round({p_value_sql('t')}, 4) AS p_value, {p_value_sql('t')} < 0.05 AS significant,
   row_number() OVER (PARTITION BY series_id ORDER BY round(rg, 3) DESC, hour) <= 5 AS most_volatile FROM pt)"""
 
+_SCREEN_SQL = f"""{_SCREEN}
+SELECT series_id, family, signal, horizon, n, significant, favourable, {_R5} FROM scr"""
+
 QUERIES = {
     "newey_west": (newey_west, f"""{_OBS}
 SELECT series_id, horizon, scope, count(*) AS signals, sum(n)::BIGINT AS n, {rnd('sum(t)', 4)} AS sum_t,
@@ -125,8 +133,8 @@ SELECT series_id, horizon, scope, count(*) AS signals, sum(n)::BIGINT AS n, {rnd
     "baseline_drift": (baseline_drift, f"""{_OBS}, {_BASE}
 SELECT series_id, horizon, n, {rnd('100 * m')} AS mean_fwd_pct, {rnd('t')} AS t_stat,
   {rnd(p_value_sql('t'))} AS p_value FROM base"""),
-    "signal_screen": (signal_screen, f"""{_SCREEN}
-SELECT series_id, family, signal, horizon, n, significant, favourable, {_R5} FROM scr"""),
+    "signal_screen": (signal_screen, _SCREEN_SQL),
+    "signal_screen_blocks": (signal_screen_blocks, _SCREEN_SQL),
     "screen_highlights": (screen_highlights, f"""{_SCREEN},
 tag AS (SELECT *, 'significant' AS highlight FROM scr WHERE significant AND favourable
   UNION ALL SELECT *, 'robust' FROM scr WHERE significant AND favourable AND -is_mean_pct > 0 AND -oos_mean_pct > 0
