@@ -7,8 +7,7 @@ searched whole.  Only runs of words that all occur in some item can match, so on
 are streamed.
 
 The items are a test set, not a corpus: they are read in parts of ``PART_BYTES`` of text and
-each part's automaton is broadcast by itself, so a task holds one of them at a time however
-many items there are.
+each part's automaton is broadcast in its compact serial form; a task unpacks one of them at a time.
 
 Defined results: null and empty texts have no words and are never hit; null and wordless
 items occur nowhere; items with equal text are all reported; repeated rows are judged
@@ -18,8 +17,10 @@ alike; an empty benchmark hits nothing.  Null item ids are left out of the list
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -151,23 +152,26 @@ def automata(items: DataFrame, id_col: str = "item_id", text_col: str = "text",
     out = []
     for part in range(n_parts):
         rows = picked.where(F.pmod(F.xxhash64("text"), F.lit(n_parts)) == part).collect()
-        out.append(context.broadcast(PhraseAutomaton([(r.item, bytes(r.text)) for r in rows], window)))
+        out.append(context.broadcast(pickle.dumps(PhraseAutomaton([(r.item, bytes(r.text)) for r in rows], window))))
     return out
 
 
+@lru_cache(1)
+def _loaded(pickled: bytes) -> PhraseAutomaton:
+    return pickle.loads(pickled)
+
+
 def _scan(texts: list[bytes], parts: list[Broadcast]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
     """For each text: number of words, merged hit runs of words, items found."""
     words = [words_of(t) for t in texts]
     hits: list[list[tuple[int, int]]] = [[] for _ in texts]
     found: list[set[str]] = [set() for _ in texts]
     for part in parts:
-        automaton = part.value
+        automaton = _loaded(part.value)
         for i, mine in enumerate(words):
             for a, b, names in automaton.matches(mine):
                 hits[i].append((a, b))
                 found[i].update(names)
-        if len(parts) > 1:
-            part.unpersist()
     out = []
     for mine, spans, names in zip(words, hits, found):
         merged: list[tuple[int, int]] = []

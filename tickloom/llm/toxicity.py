@@ -47,7 +47,7 @@ _CODE[65:91] = np.arange(1, 27)
 _CODE[128:] = 27
 _EDGE = " \t\r\n.,;:?\"'()[]{}<>#%&*=~^/\\_-"
 _SIGN = re.compile(r"[a-z][0-9@$!|+€(]|[0-9@$!|+€(][a-z]|([a-z])\1\1")
-_SPACED = re.compile(r"(?<![^\s])(?:[a-z0-9@$!|+€][ .\-_*]){3,}[a-z0-9@$!|+€](?![^\s.,;:?])")
+_SPACED = re.compile(r"(?<!\S)[a-z0-9@$!|+€]([ .\-_*])(?:[a-z0-9@$!|+€]\1){2,}[a-z0-9@$!|+€](?![^\s.,;:?])")
 _HEX = re.compile(r"[0-9].*[0-9].*[0-9].*[0-9].*[0-9].*[0-9]|://|@[a-z0-9-]+\.")
 
 
