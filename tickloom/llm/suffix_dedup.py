@@ -52,7 +52,7 @@ _MOST = 255
 
 
 def _zip(data: bytes) -> bytes:
-    return pa.Codec("zstd", 1).compress(data, asbytes=True)
+    return pa.Codec("zstd", 6).compress(data, asbytes=True)
 
 
 def _unzip(data: bytes, size: int) -> bytes:
