@@ -1,4 +1,4 @@
-"""Hand-checked values and row-loop comparisons."""
+"""Hand-checked values and comparisons with definitions."""
 
 import datetime
 import math
@@ -57,25 +57,25 @@ def test_entry_without_atr_is_skipped(spark):
     assert outcome_of(spark, [100, 101, 102], ExitRule("r"), atr=0.0) is None
 
 
-def loop_outcome(i, close, high, low, atr, rule):
-    sign = 1 if rule.long else -1
-    entry, stop, best = close[i], close[i] - sign * rule.stop * atr, close[i]
-    end = min(i + rule.hold, len(close) - 1)
-    for j in range(i + 1, end + 1):
-        if (low[j] <= stop) if rule.long else (high[j] >= stop):
-            return sign * (stop - entry) / atr
-        if rule.target is not None:
-            goal = entry + sign * rule.target * atr
-            if (high[j] >= goal) if rule.long else (low[j] <= goal):
-                return sign * (goal - entry) / atr
-        if rule.trail is not None:
-            best = max(best, high[j]) if rule.long else min(best, low[j])
-            moved = best - sign * rule.trail * atr
-            stop = max(stop, moved) if rule.long else min(stop, moved)
-    return sign * (close[end] - entry) / atr
-
-
-def test_outcomes_match_a_row_loop(spark, bars):
+def path_outcome(i, close, high, low, atr, rule):
+    """The outcome from whole paths, in units of ATR: the stop level of each bar, then the first bar that meets a level."""
+    side = 1.0 if rule.long else -1.0
+    path = slice(i + 1, min(i + rule.hold, len(close) - 1) + 1)
+    good, bad = (high, low) if rule.long else (low, high)
+    favourable, adverse = (side * (x[path] - close[i]) / atr for x in (good, bad))
+    levels = np.full(len(adverse), -rule.stop)
+    if rule.trail is not None and len(levels) > 1:
+        best = np.maximum.accumulate(np.maximum(favourable, 0.0))
+        levels[1:] = np.maximum(levels[1:], best[:-1] - rule.trail)
+    stopped = adverse <= levels
+    reached = favourable >= rule.target if rule.target is not None else np.zeros(len(levels), bool)
+    if not (stopped | reached).any():
+        return side * (close[path.stop - 1] - close[i]) / atr
+    first = int((stopped | reached).argmax())
+    return levels[first] if stopped[first] else rule.target
+
+
+def test_outcomes_match_whole_paths(spark, bars):
     rules = [ExitRule(f"r{k}", *spec) for k, spec in enumerate([
         (False, 2.0, None, 1.5, 24), (True, 2.0, None, 1.0, 24), (False, 1.0, 1.0, None, 5), (True, 1.5, 2.0, 0.5, 12), (False, 2.0, 2.0, None, 24),
     ])]
@@ -88,7 +88,7 @@ def test_outcomes_match_a_row_loop(spark, bars):
         c, h, lo = (b[x].to_numpy() for x in ("close", "high", "low"))
         a = atrs[atrs["series_id"] == s]["atr"].to_numpy()
         for rule in rules:
-            want = [loop_outcome(i, c, h, lo, a[i], rule) for i in g["entry_idx"]]
+            want = [path_outcome(i, c, h, lo, a[i], rule) for i in g["entry_idx"]]
             np.testing.assert_allclose(g[rule.name], want, atol=1e-9)
 
 
@@ -147,13 +147,12 @@ def test_p_value(spark):
     np.testing.assert_allclose(got, [math.erfc(abs(x) / math.sqrt(2)) for x in xs], rtol=2e-7)
 
 
-def newey_west(x, lag):
-    n = len(x)
-    if n < 3:
-        return 0.0
-    d = x - x.mean()
-    s = d @ d / n + sum(2 * (1 - j / (lag + 1)) * (d[j:] @ d[:-j]) / n for j in range(1, min(lag, n - 1) + 1))
-    return x.mean() / math.sqrt(s / n) if s > 0 else 0.0
+def bartlett_t(x, lag):
+    """Mean over its standard error; the long-run variance is a quadratic form with Bartlett weights."""
+    at = np.arange(len(x))
+    weights = np.clip(1 - np.abs(at[:, None] - at[None, :]) / (lag + 1), 0, None)
+    centred = x - x.mean()
+    return x.mean() / np.sqrt(centred @ weights @ centred) * len(x)
 
 
 @pytest.mark.parametrize("cuts", [[], [1], [3, 4, 9], [50, 60, 61, 62, 200]])
@@ -171,7 +170,7 @@ def test_summaries_merge_to_the_whole_statistic(cuts):
             both = np.concatenate([tail, t])
             tail = both[len(both) - min(lag, len(both)):]
         mean, t = screen.t_of_summary(n, s1, s2, cross, head, tail, lag)
-        assert mean == pytest.approx(x.mean()) and t == pytest.approx(newey_west(x, lag))
+        assert mean == pytest.approx(x.mean()) and t == pytest.approx(bartlett_t(x, lag))
 
 
 def test_newey_west_degenerate():

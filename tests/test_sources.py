@@ -169,3 +169,64 @@ def test_project_tables(spark, corpus):
     found = configs.workflow_findings(t["task"], t["task_databank"], t["task_range"], t["task_option"])
     got = sorted((r.task_idx, r.code) for r in found.collect())
     assert got == [(1, "databank_mismatch"), (1, "template_missing"), (2, "retest_without_filter"), (3, "goto_missing")]
+
+
+def test_second_parameter_spelling_and_malformed_documents(spark):
+    second = CONFIG.replace("<Param key=\"Lots\">0.5</Param>", "<Parameter key=\"Lots\">0.5</Parameter>").replace(
+        "<Param key=\"#N#\" paramType=\"null\">1</Param>", "<Parameter key=\"#N#\" paramType=\"null\">1</Parameter>")
+    docs = spark.createDataFrame([("a", CONFIG), ("b", second), ("c", CONFIG[:-30]), ("d", "no xml"), ("e", None)], "config_id string, xml string")
+    parsed = archives.parse_configs(docs)
+    assert [r.config_id for r in archives.malformed(parsed).orderBy("config_id").collect()] == ["c", "d", "e"]
+    tables = {k: sorted((tuple(r)[1:] for r in t(parsed).collect() if r.config_id == k), key=str) for k in "ab" for t in [archives.option_table]}
+    assert tables["a"] == tables["b"] and len(tables["a"]) == 4
+    params = [sorted((tuple(r)[5:] for r in archives.block_param_table(parsed).collect() if r.config_id == k), key=str) for k in "ab"]
+    assert params[0] == params[1] and len(params[0]) == 2
+
+
+def test_unreadable_members_are_rows(spark, tmp_path):
+    import io
+    import zipfile
+
+    def made(name, data):
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w") as z:
+            z.writestr(name, data)
+        return bytearray(buffer.getvalue())
+
+    latin = made("config.xml", '<?xml version="1.0" encoding="ISO-8859-1"?><a>é</a>'.encode("latin-1"))
+    wide = made("config.xml", "<a>é</a>".encode("utf-16"))
+    damaged = made("config.xml", b"<a>some text that is long enough</a>")
+    at = damaged.index(b"some text")
+    damaged[at: at + 4] = b"XXXX"
+    odd = made("config.xml", b'<?xml version="1.0" encoding="klingon"?><a/>')
+    for k, data in enumerate([latin, wide, damaged, odd, b"junk"]):
+        (tmp_path / f"{k}.cfx").write_bytes(bytes(data))
+    got = {r.path[-5]: r for r in archives.read_archives(spark, str(tmp_path)).collect()}
+    assert "é" in got["0"].xml and "é" in got["1"].xml
+    assert [got[k].error for k in "234"] == ["unreadable member", "unknown encoding", "not a ZIP archive"]
+
+
+def test_append_prunes_the_store_to_the_months_of_the_batch(spark, tmp_path, capsys):
+    store = str(tmp_path / "bars")
+    bars = as_bars(spark, walk(3000, 3))
+    src.write_bars(bars, store)
+    months = {p.name for p in (tmp_path / "bars").glob("series_id=A/*")}
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "bars").rglob("*.parquet")}
+    last = bars.agg(F.max("ts")).first()[0]
+    batch = bars.filter(F.col("ts") == F.lit(last)).withColumn("close", F.lit(1.0))
+    src.append_bars(spark, batch, store)
+    stored = spark.read.parquet(store)
+    assert stored.count() == 3000 and stored.filter("close = 1.0").count() == 1
+    kept = [p for p, t in before.items() if p.exists() and p.stat().st_mtime_ns == t]
+    assert len(months) > 3 and len(kept) == len(before) - sum(f"month={last:%Y-%m}" in str(p) for p in before)
+
+
+def test_stream_starts_on_an_empty_folder(spark, tmp_path):
+    from tickloom.streaming.landing import has_bars, merge_batch
+
+    store = tmp_path / "bars"
+    assert not has_bars(spark, str(store))
+    store.mkdir()
+    assert not has_bars(spark, str(store))
+    merge_batch(spark, as_bars(spark, walk(20, 3)), str(store))
+    assert has_bars(spark, str(store))

@@ -21,15 +21,15 @@ def resample(numbered: DataFrame, keys: Sequence[str], n_runs: int = 1000, seed:
     """``n_runs`` paths of n draws each: (keys, run, k, r).
 
     Every trade's own number serves as draw position k, so the draws are made where
-    the trades lie; the drawn index is a hash of (seed, run, k), which any engine
-    reproduces, and an equi join on (keys, index) fetches the results.  The slim
+    the trades lie; the drawn index is a hash of (seed, keys, run, k), which any engine
+    reproduces and which makes the groups' draws independent, and an equi join on (keys, index) fetches the results.  The slim
     trades are spread before they are multiplied.
     """
     keys = list(keys)
     draws = spread(numbered, *keys, "seq").select(
         *keys, F.col("seq").alias("k"), "n_trades", F.explode(F.sequence(F.lit(0), F.lit(n_runs - 1))).alias("run")
     )
-    text = F.concat_ws("|", F.lit(str(seed)), F.col("run").cast("string"), F.col("k").cast("string"))
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in keys], F.col("run").cast("string"), F.col("k").cast("string"))
     index = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint") % F.col("n_trades")
     drawn = draws.select(*keys, "run", "k", index.alias("seq"))
     return drawn.join(numbered.select(*keys, "seq", "r"), [*keys, "seq"]).select(*keys, "run", "k", "r")

@@ -16,7 +16,7 @@ from tickloom.session import materialise
 
 RULE = ExitRule("r", long=True, stop=1.5, target=2.0, trail=1.0, hold=10)
 KEYS = ["series_id"]
-N_RUNS, RUIN = 100, -60.0
+N_RUNS, RUIN = 1000, -60.0
 
 
 def daily_trades(spark, sf):
@@ -40,7 +40,7 @@ def bootstrap_report(spark, sf):
 
 
 def bootstrap_paths(spark, sf):
-    runs = bs.run_summaries(bs.resample(bs.number_trades(daily_trades(spark, sf), KEYS), KEYS, 20, 7), KEYS)
+    runs = bs.run_summaries(bs.resample(bs.number_trades(daily_trades(spark, sf), KEYS), KEYS, N_RUNS, 7), KEYS)
     return rounded(runs, 5)
 
 
@@ -99,7 +99,7 @@ num AS (SELECT series_id, r, row_number() OVER (PARTITION BY series_id ORDER BY
 def _paths(runs: int) -> str:
     return f"""{_TRADES},
 runs AS (SELECT unnest(range({runs})) AS run),
-dr AS (SELECT series_id, run, seq AS k, ('0x' || substr(md5('7|' || run || '|' || seq), 1, 15))::BIGINT % n AS pick
+dr AS (SELECT series_id, run, seq AS k, ('0x' || substr(md5('7|' || series_id || '|' || run || '|' || seq), 1, 15))::BIGINT % n AS pick
   FROM num, runs),
 pt AS (SELECT dr.series_id, run, k, num.r FROM dr JOIN num ON num.series_id = dr.series_id AND num.seq = dr.pick),
 cm AS (SELECT *, sum(r) OVER (PARTITION BY series_id, run ORDER BY k) AS eq FROM pt),
@@ -133,7 +133,7 @@ SELECT series_id, count(*) AS n_runs, max(n) AS n_trades, {rnd('100 * avg((total
   {rnd('quantile_cont(max_dd, 0.05)', 5)} AS dd_p05, {rnd('min(max_dd)', 5)} AS dd_worst,
   {rnd('quantile_cont(total, 0.05)', 5)} AS final_lo, {rnd('quantile_cont(total, 0.95)', 5)} AS final_hi,
   {rnd('avg(total)', 5)} AS final_mean, {rnd(f'100 * avg((low < {RUIN})::INT)', 5)} AS bust_rate FROM sm GROUP BY 1"""),
-    "bootstrap_paths": (bootstrap_paths, f"""{_paths(20)}
+    "bootstrap_paths": (bootstrap_paths, f"""{_paths(N_RUNS)}
 SELECT series_id, run, n, {rnd('total', 5)} AS total, {rnd('low', 5)} AS low, {rnd('max_dd', 5)} AS max_dd FROM sm"""),
     "calendar_rate": (calendar_rate, f"""{_RES}
 SELECT series_id, count(r) AS n, (max(year(entry_ts)) - min(year(entry_ts)) + 1)::INT AS years,

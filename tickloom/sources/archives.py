@@ -7,8 +7,11 @@ table is a plain select and explode.
 
 from __future__ import annotations
 
+import codecs
 import io
+import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,7 +31,7 @@ _BLOCK_PARAMS = (
 )
 _BLOCKS = (
     "struct<Block:array<struct<_key:string,_weight:string,_use:string,_category:string,_probability:string,"
-    "_indicatorMin:string,_indicatorMax:string,_indicatorStep:string,Generated:struct<Param:" + _BLOCK_PARAMS + ">>>>"
+    "_indicatorMin:string,_indicatorMax:string,_indicatorStep:string,Generated:struct<Param:" + _BLOCK_PARAMS + ",Parameter:" + _BLOCK_PARAMS + ">>>>"
 )
 _CONTAINERS = "BuildingBlocks:" + _BLOCKS + ",OrderTypes:" + _BLOCKS + ",ExitTypes:" + _BLOCKS
 # Section and check names of the configuration format.
@@ -42,7 +45,7 @@ SLPT_KEYS = (
     "MinPTATRMultiple", "MaxPTATRMultiple", "MinSLInPips", "MinPTInPips", "SLRequired", "PTRequired", "SLATR", "PTATR",
 )
 _SETTINGS = (
-    "struct<Options:struct<BuildTradingOptions:struct<Params:array<struct<Param:" + _PARAMS + ">>>>,"
+    "struct<Options:struct<BuildTradingOptions:struct<Params:array<struct<Param:" + _PARAMS + ",Parameter:" + _PARAMS + ">>>>,"
     "WhatToBuild:struct<StrategyType:struct<_type:string>,MarketSides:struct<_type:string>,SLPTOptions:struct<"
     + ",".join(f"{k}:string" for k in SLPT_KEYS) + ">,BuildMode:struct<_generationType:string,PopulationSize:string,"
     "MaxGenerations:string,CrossoverProbability:string,MutationProbability:string>>,"
@@ -54,9 +57,10 @@ _SETTINGS = (
     "Databanks:struct<Databank:array<struct<_label:string,_name:string,_value:string>>>,"
     "Blocks:struct<" + _CONTAINERS + ">,GoToTask:struct<_task:string>>"
 )
-CONFIG_XML = "_type string, _version string, Settings " + _SETTINGS
+# the corrupt record must come last: a column before the others shifts them
+CONFIG_XML = "_type string, _version string, Settings " + _SETTINGS + ", _corrupt_record string"
 BLOCKS_XML = "_type string, _version string, " + _CONTAINERS.replace("BuildingBlocks:", "BuildingBlocks ").replace(
-    ",OrderTypes:", ", OrderTypes ").replace(",ExitTypes:", ", ExitTypes ")
+    ",OrderTypes:", ", OrderTypes ").replace(",ExitTypes:", ", ExitTypes ") + ", _corrupt_record string"
 PROJECT_XML = (
     "_name string, _version string, Databanks struct<Databank:array<struct<_name:string,_position:string>>>, "
     "Tasks struct<Task:array<struct<_type:string,_name:string,_title:string,_active:string,_taskXMLFile:string,"
@@ -65,21 +69,48 @@ PROJECT_XML = (
 TASK_XML = "Settings " + _SETTINGS
 
 
+# the encoding that an XML prolog names
+_PROLOG = re.compile(rb"^\s*<\?xml[^>]*?encoding\s*=\s*[\"']([A-Za-z0-9._-]+)")
+_BOMS = ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"))
+
+
+def decoded(raw: bytes) -> str:
+    """XML text by its byte order mark, else by its prolog, else as UTF-8; bad bytes are replaced."""
+    for mark, name in _BOMS:
+        if raw.startswith(mark):
+            return raw.decode(name, "replace")
+    named = _PROLOG.match(raw[:400])
+    return raw.decode(named[1].decode() if named else "utf-8", "replace")
+
+
+def _members(path: str, content: bytes) -> Iterator[tuple]:
+    try:
+        archive = zipfile.ZipFile(io.BytesIO(content))
+    except zipfile.BadZipFile:
+        yield path, None, None, "not a ZIP archive"
+        return
+    with archive:
+        names = [m for m in archive.namelist() if m.endswith(".xml")]
+        if not names:
+            yield path, None, None, "no XML member"
+        for name in names:
+            try:
+                yield path, name, decoded(archive.read(name)), None
+            except LookupError:
+                yield path, name, None, "unknown encoding"
+            except (RuntimeError, NotImplementedError, zipfile.BadZipFile, zlib.error, EOFError):
+                yield path, name, None, "unreadable member"
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(path, member, xml, error): the XML members of every archive under ``path``."""
+    """(path, member, xml, error): the XML members of every archive under ``path``.
+
+    What cannot be read (no archive, no XML, an encrypted or damaged member, an unknown encoding) is a row with its error.
+    """
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
             for name, content in zip(batch["path"], batch["content"]):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        members = [m for m in z.namelist() if m.endswith(".xml")]
-                        rows += [(name, m, z.read(m).decode("utf-8", "replace"), None) for m in members]
-                        if not members:
-                            rows.append((name, None, None, "no XML member"))
-                except zipfile.BadZipFile:
-                    rows.append((name, None, None, "not a ZIP archive"))
-            yield pd.DataFrame(rows, columns=["path", "member", "xml", "error"])
+                yield pd.DataFrame(list(_members(name, content)), columns=["path", "member", "xml", "error"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(unpack, MEMBER_SCHEMA)
@@ -132,6 +163,18 @@ def parse_block_files(docs: DataFrame) -> DataFrame:
     return _parsed(docs, BLOCKS_XML).select("config_id", "doc")
 
 
+def malformed(parsed: DataFrame) -> DataFrame:
+    """(config_id, error) of documents that are not well-formed XML; none of their sections reach a table."""
+    bad = F.col("doc._corrupt_record").isNotNull() | F.col("doc").isNull()
+    return parsed.filter(bad).select("config_id", F.lit("malformed XML").alias("error"))
+
+
+def _params(group: str) -> Column:
+    """Both spellings of a parameter element, in one list."""
+    lists = [F.coalesce(f"{group}.{name}", F.array().cast(_PARAMS if group == "g" else _BLOCK_PARAMS)) for name in ("Param", "Parameter")]
+    return F.concat(*lists)
+
+
 def inferred_type(raw: Column) -> Column:
     """Dynamic type of a value: bool, int, float or string."""
     v = F.trim(F.regexp_replace(F.trim(raw), "^[\"']+|[\"']+$", ""))
@@ -154,7 +197,7 @@ def config_table(parsed: DataFrame) -> DataFrame:
 
 def option_table(parsed: DataFrame, settings: str = "doc.Settings", ids: tuple[str, ...] = ("config_id",)) -> DataFrame:
     groups = parsed.select(*ids, F.explode(f"{settings}.Options.BuildTradingOptions.Params").alias("g"))
-    p = groups.select(*ids, F.explode("g.Param").alias("p"))
+    p = groups.select(*ids, F.explode(_params("g")).alias("p"))
     return p.select(
         *ids, F.col("p._key").alias("key"), F.trim("p._VALUE").alias("value"), inferred_type(F.col("p._VALUE")).alias("inferred_type")
     )
@@ -187,7 +230,7 @@ def block_table(parsed: DataFrame, base: str = "doc.Settings.Blocks") -> DataFra
 def block_param_table(parsed: DataFrame, base: str = "doc.Settings.Blocks") -> DataFrame:
     p = _containers(parsed, base).select(
         "config_id", "container", "block_idx", F.col("b._key").alias("block_key"),
-        F.posexplode("b.Generated.Param").alias("param_idx", "p"))
+        F.posexplode(_params("b.Generated")).alias("param_idx", "p"))
     return p.select(
         "config_id", "container", "block_idx", "block_key", "param_idx", F.col("p._key").alias("key"),
         F.coalesce("p._name", "p._key").alias("name"), F.col("p._type").alias("type"), F.col("p._paramType").alias("param_type"),

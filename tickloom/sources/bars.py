@@ -119,15 +119,25 @@ def write_bars(bars: DataFrame, path: str, by_month: bool = True) -> None:
 
 
 def append_bars(spark: SparkSession, landing: DataFrame, path: str) -> None:
-    """Merge a landing batch into stored bars, rewriting only the months it touches."""
-    fresh = landing.select(*BAR_COLUMNS).withColumn("month", F.date_format("ts", "yyyy-MM"))
+    """Merge a landing batch into stored bars, rewriting only the partitions it touches.
+
+    A batch spans a bounded range of months; as literals they prune the scan of the store
+    to that range.  A store without months is pruned to nothing but its touched series.
+    """
     stored = spark.read.parquet(path)
-    touched = fresh.select("series_id", "month").distinct()
-    old = stored.join(touched, ["series_id", "month"], "left_semi")
+    by_month = "month" in stored.columns
+    fresh = landing.select(*BAR_COLUMNS).withColumn("month", F.date_format("ts", "yyyy-MM"))
+    keys = ["series_id", "month"] if by_month else ["series_id"]
+    if by_month:
+        span = fresh.agg(F.min("month").alias("first"), F.max("month").alias("last")).first()
+        if span["first"] is None:
+            return
+        stored = stored.withColumn("month", F.col("month").cast("string")).filter(F.col("month").between(span["first"], span["last"]))
+    old = stored.join(fresh.select(*keys).distinct(), keys, "left_semi")
     old = old.select("series_id", "ts", *[F.col(c).cast("double").alias(c) for c in PRICES])
     merged = merge_latest([old, fresh])
     # the files being replaced are also read: cut the plan before overwriting them
-    write_bars(materialise(merged), path)
+    write_bars(materialise(merged), path, by_month)
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:

@@ -6,6 +6,7 @@ rewrites only the touched months, so a replayed batch leaves the table unchanged
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,10 +21,13 @@ def landing_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def has_bars(spark: SparkSession, path: str) -> bool:
-    """Whether the store holds any file yet."""
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    """Whether the store holds any row yet; a missing or an empty folder does not."""
+    try:
+        return not spark.read.schema(BAR_SCHEMA).parquet(path).select("ts").isEmpty()
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
 
 
 def merge_batch(spark: SparkSession, batch: DataFrame, path: str) -> None:
