@@ -32,7 +32,9 @@ def resample(numbered: DataFrame, keys: Sequence[str], n_runs: int = 1000, seed:
     text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in keys], F.col("run").cast("string"), F.col("k").cast("string"))
     index = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint") % F.col("n_trades")
     drawn = draws.select(*keys, "run", "k", index.alias("seq"))
-    return drawn.join(numbered.select(*keys, "seq", "r"), [*keys, "seq"]).select(*keys, "run", "k", "r")
+    # the trades are the build side; left alone, Spark takes the draws for small, since it doesn't see what explode adds
+    fetched = numbered.select(*keys, "seq", "r").hint("shuffle_hash")
+    return drawn.join(fetched, [*keys, "seq"]).select(*keys, "run", "k", "r")
 
 
 def run_summaries(paths: DataFrame, keys: Sequence[str]) -> DataFrame:
