@@ -32,8 +32,7 @@ from tickloom.llm.arrowtools import partitions, text_slices, utf8_buffers
 
 LIMIT = 2048
 #: Text whose pre-tokens are shared out together.
-SLICE = 16 << 20
-_META = -1
+SLICE = 8 << 20
 
 
 def _default_path() -> str:
@@ -49,8 +48,8 @@ def _frequencies(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, n
             odd[i] = text
             continue
         got = [chunk_no.setdefault(w, len(chunk_no)) for w in bpe.chunks(text)]
-        terms.append(np.asarray(got, np.int64))
-        docs.append(np.full(len(got), i, np.int64))
+        terms.append(np.asarray(got, np.int32))
+        docs.append(np.full(len(got), i, np.int32))
     # chunks to pre-tokens: once per distinct chunk of the slice
     pre_no: dict[str, int] = {}
     lengths = np.zeros(len(chunk_no), np.int64)
@@ -59,13 +58,16 @@ def _frequencies(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, n
         found = bpe.pretokens(chunk)
         lengths[k] = len(found)
         flat.extend([pre_no.setdefault(p, len(pre_no)) for p in found])
-    term = np.concatenate(terms) if terms else np.zeros(0, np.int64)
-    doc = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+    term = np.concatenate(terms) if terms else np.zeros(0, np.int32)
+    doc = np.concatenate(docs) if docs else np.zeros(0, np.int32)
     starts = np.r_[0, np.cumsum(lengths)]
     n = lengths[term]
     within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    pre = np.asarray(flat, np.int64)[np.repeat(starts[term], n) + within]
-    pairs, freq = np.unique(pre * len(texts) + np.repeat(doc, n), return_counts=True)
+    pairs = np.asarray(flat, np.int64)[np.repeat(starts[term], n) + within]
+    del within
+    pairs *= len(texts)
+    pairs += np.repeat(doc, n)
+    pairs, freq = np.unique(pairs, return_counts=True)
     return list(pre_no), pairs // len(texts), pairs % len(texts), freq, odd
 
 
