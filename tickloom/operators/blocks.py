@@ -214,7 +214,8 @@ def exact_quantiles(
     is "linear" (interpolated, position p*(n-1)), "floor" (the element at
     min(floor(p*n), n-1)) or "top" (the smallest of the top max(1, floor((1-p)*n))
     values).  Groups of at most ``accuracy`` rows are read whole.  NULL values are
-    ignored; ``count`` names an extra column with the number of values.
+    ignored; ``count`` names an extra column with the number of values.  A bracket that misses
+    its rank raises an error.
     """
     keys = list(keys)
     vals = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
@@ -267,7 +268,11 @@ def exact_quantiles(
         F.max("frac").alias("frac"),
         F.max("_n").alias("_n"),
     )
-    solved = picked.withColumn("_x", F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("frac"))
+    # the sketch promises its rank error; a bracket that misses its rank must never pass for an unknown value
+    missed = F.col("_a").isNull() | F.col("_b").isNull()
+    fail = F.raise_error(F.lit("quantile bracket missed its rank: raise the accuracy"))
+    solved = picked.withColumn(
+        "_x", F.when(missed, fail.cast("double")).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("frac")))
     out = [F.max(F.when(F.col("name") == name, F.col("_x"))).alias(name) for name in probs]
     if count:
         out.append(F.max("_n").alias(count))

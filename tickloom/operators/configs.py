@@ -345,22 +345,27 @@ def enabled_types(blocks: DataFrame) -> DataFrame:
 def name_suggestions(names: DataFrame, catalogue: DataFrame, cutoff: float = 0.6) -> DataFrame:
     """Names missing from the catalogue, with the closest known name of their category.
 
-    Similarity is 1 - edit distance / longer length.  Known names travel as arrays
-    of at most a few hundred, so no name pair becomes a row and a large category is
+    Similarity is 1 - edit distance / longer length, so only names whose lengths differ by at most
+    (1 - cutoff) of the longer one can be close: those lengths are an equi-join key.  Known names travel
+    as arrays of at most a few hundred, so no name pair becomes a row and a large category is
     spread over many arrays.  ``names`` and ``catalogue``: category, name.
     """
     known = catalogue.select("category", "name").distinct()
     unknown = names.select("category", "name").distinct().join(known, ["category", "name"], "left_anti")
-    sizes = known.groupBy("category").agg(F.ceil(F.count(F.lit(1)) / NAME_BUCKET).alias("_b"))
-    arrays = known.join(sizes, "category").groupBy("category", F.pmod(F.xxhash64("name"), "_b").alias("_bucket")).agg(
+    known = known.withColumn("_len", F.length("name"))
+    sizes = known.groupBy("category", "_len").agg(F.ceil(F.count(F.lit(1)) / NAME_BUCKET).alias("_b"))
+    arrays = known.join(sizes, ["category", "_len"]).groupBy("category", "_len", F.pmod(F.xxhash64("name"), "_b").alias("_bucket")).agg(
         F.collect_list("name").alias("_known"))
+    # a hair wider than the cut-off, which is applied to the similarity itself below
+    near = F.sequence(F.floor(F.length("name") * F.lit(cutoff) - 1e-9).cast("int"), F.ceil(F.length("name") / F.lit(cutoff) + 1e-9).cast("int"))
+    unknown = unknown.withColumn("_len", F.explode(near))
 
     def score(k: Column) -> Column:
         longer = F.greatest(F.length(k), F.length("name"))
         return F.struct((1 - F.levenshtein(k, F.col("name")) / longer).alias("sim"), k.alias("to"))
 
     best = F.array_max(F.transform("_known", score))
-    scored = unknown.join(arrays, "category", "left").select("category", "name", best.alias("_m"))
+    scored = unknown.join(arrays, ["category", "_len"], "left").select("category", "name", best.alias("_m"))
     top = scored.groupBy("category", "name").agg(F.max("_m").alias("_m"))
     close = F.col("_m.sim") >= cutoff
     return top.select("category", "name", F.when(close, F.col("_m.to")).alias("suggestion"),

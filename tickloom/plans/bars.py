@@ -10,8 +10,12 @@ from tickloom.operators.blocks import index_bars, own_rows, to_blocks
 from tickloom.operators.splits import quantile_cut, position_cut
 from tickloom.plans.common import (
     DAILY, HOURLY, bars_sql, hourly_bars, lag, r6, rnd, rolled_daily, rolled_hourly, table,
+    work_folder,
 )
-from tickloom.sources.bars import high_water_marks, merge_latest, narrow, unseen
+from tickloom.sources.bars import (
+    BAR_COLUMNS, append_bars, high_water_marks, merge_latest, narrow, read_bars, unseen, write_bars,
+)
+from tickloom.streaming.landing import landing_stream, start_merge
 
 
 def event_bars(spark, sf):
@@ -66,13 +70,35 @@ def stored_marks(spark, sf):
     return high_water_marks(_halves(spark, sf)[0])
 
 
-def narrow_bars(spark, sf):
-    b = narrow(rolled_hourly(spark, sf))
+def _six_places(b):
     return b.select("series_id", "ts", *[
         F.round(F.col(c).cast("double"), 6).alias(c) for c in ("open", "high", "low", "close", "volume")
     ])
 
 
+def narrow_bars(spark, sf):
+    return _six_places(narrow(rolled_hourly(spark, sf)))
+
+
+def bar_store(spark, sf):
+    """Bars written by month, a later batch merged into the stored files, and the store read back."""
+    first, later = _halves(spark, sf)
+    path = work_folder(spark)
+    write_bars(first, path)
+    append_bars(spark, later, path)
+    return _six_places(read_bars(spark, path))
+
+
+def landing_merge(spark, sf):
+    """The same two batches through the stream of landing files."""
+    path = work_folder(spark)
+    for batch in _halves(spark, sf):
+        batch.select(*BAR_COLUMNS).write.mode("append").parquet(f"{path}/landing")
+        start_merge(landing_stream(spark, f"{path}/landing"), f"{path}/bars", f"{path}/progress").awaitTermination()
+    return _six_places(read_bars(spark, f"{path}/bars"))
+
+
+
 _COLS = "series_id, ts, open, high, low, close, volume"
 _BASIC = f"""WITH {bars_sql()}, pre AS (SELECT *, {lag('close')} AS pc FROM idx)
 SELECT series_id, ts, bar_idx, {rnd('close / nullif(pc, 0) - 1')} AS ret,
@@ -91,6 +117,10 @@ _MERGED = f"""WITH {HOURLY}, u AS (
   SELECT *, 0 AS batch FROM bars WHERE day(ts) <= 20
   UNION ALL SELECT series_id, ts, open, high, low, close * 2, volume, 1 FROM bars WHERE day(ts) >= 10)"""
 
+_STORE_SQL = f"""{_MERGED}
+SELECT series_id, ts, {', '.join(f'round({c}::FLOAT::DOUBLE, 6) AS {c}' for c in ('open', 'high', 'low', 'close', 'volume'))}
+FROM u QUALIFY row_number() OVER (PARTITION BY series_id, ts ORDER BY batch DESC) = 1"""
+
 QUERIES = {
     "event_bars": (event_bars, f"WITH {HOURLY} SELECT {_COLS} FROM bars"),
     "order_bars": (order_bars, f"WITH {DAILY} SELECT {_COLS} FROM bars"),
@@ -110,6 +140,8 @@ SELECT {_COLS} FROM u WHERE batch = 1
   AND ts > (SELECT max(s.ts) FROM u s WHERE s.batch = 0 AND s.series_id = u.series_id)"""),
     "stored_marks": (stored_marks, f"""WITH {HOURLY}
 SELECT series_id, max(ts) AS last_ts FROM bars WHERE day(ts) <= 20 GROUP BY 1"""),
+    "bar_store": (bar_store, _STORE_SQL),
+    "landing_stream": (landing_merge, _STORE_SQL),
     "narrow_bars": (narrow_bars, f"""WITH {HOURLY} SELECT series_id, ts, {', '.join(
         f'round({c}::FLOAT::DOUBLE, 6) AS {c}' for c in ('open', 'high', 'low', 'close', 'volume'))} FROM bars"""),
 }

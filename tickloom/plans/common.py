@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickloom.operators.blocks import index_bars, index_bars_with_vwap
-from tickloom.session import materialise
+from tickloom.session import materialise, shared_folder
 from tickloom.sources.bars import bars_from_events
 
 
@@ -13,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder for files that a query writes and reads back."""
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
 def rolled_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars per event type, straight from the events."""
     return bars_from_events(table(spark, sf_dir, "events"), "event_type", "ts", "value", "event_id")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.operators import results as ops
-from tickloom.plans.common import rnd, rounded, table
-from tickloom.sources.strategies import canonical_rows
+from tickloom.plans.common import rnd, rounded, table, work_folder
+from tickloom.sources.strategies import canonical_rows, read_strategies
 
 
 def raw_export(spark, sf):
@@ -49,6 +49,13 @@ def strategy_rows(spark, sf):
     return rounded(strategies(spark, sf))
 
 
+def strategy_file(spark, sf):
+    """The export written as a semicolon file and read back by the scanner."""
+    path = work_folder(spark)
+    raw_export(spark, sf).write.option("header", True).option("sep", ";").csv(path)
+    return rounded(read_strategies(spark, path)[0])
+
+
 def unmapped_columns(spark, sf):
     """Headers without a known metric, with the distinct values they hold."""
     raw = raw_export(spark, sf)
@@ -97,6 +104,7 @@ _THR = """th AS (SELECT 'profitfactor' AS metric, '>=' AS comparator, avg(profit
 
 QUERIES = {
     "strategy_rows": (strategy_rows, f"""WITH {_S} SELECT * FROM s"""),
+    "strategy_file": (strategy_file, f"""WITH {_S} SELECT * FROM s"""),
     "unmapped_columns": (unmapped_columns, "SELECT 'Stage Flag' AS header, count(DISTINCT l_returnflag) AS n_values FROM lineitem"),
     "survivor_distribution": (survivor_distribution, f"""WITH {_S}, {_LONG},
 o AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value) AS k, count(*) OVER (PARTITION BY metric) AS n FROM lm)

@@ -61,11 +61,8 @@ def canonical_rows(raw: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def read_strategies(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
-    """Scan an exported table; ``;`` or ``,`` is chosen by which occurs more often."""
-    lines = spark.read.text(path)
-    n = lines.agg(
-        F.sum(F.length("value") - F.length(F.replace("value", F.lit(";")))).alias("semi"),
-        F.sum(F.length("value") - F.length(F.replace("value", F.lit(",")))).alias("comma"),
-    ).first()
-    sep = ";" if (n["semi"] or 0) > (n["comma"] or 0) else ","
+    """Scan an exported table; the header line tells whether ``;`` or ``,`` separates."""
+    first = spark.read.text(path).first()
+    header = first.value if first else ""
+    sep = ";" if header.count(";") > header.count(",") else ","
     return canonical_rows(spark.read.option("header", True).option("sep", sep).csv(path))
