@@ -91,3 +91,13 @@ def test_pipeline_agrees_with_brute_force(spark, docs):
     packed = corpus_pipeline.STAGES[-1][1](spark, now, SF).collect()
     assert {r.doc_id for r in packed} == set(clean)
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, SF).collect()) == Counter(r.doc_id for r in packed)
+
+
+def test_stages_take_odd_and_empty_tables(spark, odd_docs, no_docs):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, no_docs, SF).count() == 0, name
+        out = stage(spark, odd_docs, SF)
+        if name == "best_fit_packing":  # long documents become several pieces
+            assert out.count() > odd_docs.count()
+        else:
+            assert out.columns == odd_docs.columns and 0 < out.count() <= odd_docs.count()
