@@ -15,6 +15,7 @@ HEADLINE = (
     "trade_stats", "bootstrap_report", "volatility_regimes", "structural_breaks", "split_proposals",
     "swap_drag", "session_windows", "registry_differences", "survivor_distribution", "price_quantiles",
     "block_differences", "workflow_findings", "ingest_blocks",
+    "recursive_indicators_blocks", "signal_screen_blocks", "level_matrix_blocks",
 )
 
 
