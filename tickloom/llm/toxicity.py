@@ -191,26 +191,32 @@ class Features:
         return out
 
 
-def _fit(rows: list[tuple[list[int], int]], width: int, weight: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression on sparse binary features by accelerated gradient steps, from given weights, with an L2 term."""
-    index = np.concatenate([np.asarray(f, np.int64) for f, _ in rows]) if rows else np.zeros(0, np.int64)
+def _fit(rows: list[tuple[list[int], int]], width: int, rounds: int = 2000, decay: float = 0.1) -> tuple[np.ndarray, float]:
+    """Logistic regression on sparse binary features by accelerated gradient steps from zero, with an L2 term."""
+    index = np.concatenate([np.asarray(f, np.int64) for f, _ in rows])
     owner = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
     y = np.array([t for _, t in rows], float)
-    w, bias = weight.copy(), -3.0
-    look, look_bias = w.copy(), bias
-    rate, decay = 4.0 / max(1, len(rows)), 1.0
-    # a step length from the largest row: each feature is 0 or 1
-    most = max([len(f) for f, _ in rows] or [1]) + 1
-    rate = 4.0 / most / max(1, len(rows)) * 10
+
+    def forward(w: np.ndarray) -> np.ndarray:
+        return np.bincount(owner, w[index], minlength=len(rows)) + w[-1]
+
+    def backward(x: np.ndarray) -> np.ndarray:
+        return np.r_[np.bincount(index, x[owner], minlength=width), x.sum()]
+
+    # the steepest curvature, by power iteration, bounds the step
+    steep = np.ones(width + 1)
+    for _ in range(30):
+        steep = backward(forward(steep / np.linalg.norm(steep)))
+    rate = 1 / (0.25 * 1.1 * np.linalg.norm(steep) + decay)
+    w = np.zeros(width + 1)
+    look = w.copy()
     for k in range(rounds):
-        z = np.bincount(owner, look[index], minlength=len(rows)) + look_bias
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        slope = np.bincount(index, (p - y)[owner], minlength=width) + decay * (look - weight) * 0.1
-        new, new_bias = look - rate * slope, look_bias - rate * (p - y).sum()
-        pull = k / (k + 3)
-        look, look_bias = new + pull * (new - w), new_bias + pull * (new_bias - bias)
-        w, bias = new, new_bias
-    return w, bias
+        p = 1 / (1 + np.exp(-np.clip(forward(look), -30, 30)))
+        slope = backward(p - y)
+        slope[:-1] += decay * look[:-1]
+        new = look - rate * slope
+        look, w = new + k / (k + 3) * (new - w), new
+    return w[:-1], float(w[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text",
@@ -270,7 +276,7 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_col: str = "
     rate = sum(y for _, y in rows) / len(rows) if rows else 0.0
     if rate in (0.0, 1.0) or not chosen:
         return {}, np.zeros(1), float(np.log((rate + 1e-9) / (1 - rate + 1e-9)))
-    weights, bias = _fit(rows, len(chosen), np.array([min(r.odds, 4.0) * 0.5 for r in found]))
+    weights, bias = _fit(rows, len(chosen))
     return chosen, weights, bias
 
 
