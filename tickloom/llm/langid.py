@@ -158,8 +158,9 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     """Return the ``keep`` columns with ``lang_pred`` and ``score``, the predicted language's posterior."""
     names, matrix = model
     shared = docs.sparkSession.sparkContext.broadcast(matrix)
-    picked = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"))
-    fields = [T.StructField(f"k{i}", picked.schema[f"k{i}"].dataType) for i in range(len(keep))]
+    names_in = ["text" if c == text_col else f"k{i}" for i, c in enumerate(keep)]  # the text travels once
+    picked = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, names_in) if k != "text"], F.col(text_col).alias("text"))
+    fields = [T.StructField(k, picked.schema[k].dataType) for k in names_in]
     shape = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,13 +180,13 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
             posterior = 1.0 / np.exp(np.minimum(sums - top[:, None], 0)).sum(axis=1)
             known = (grams > 0) & bool(names)
             yield pa.RecordBatch.from_arrays(
-                [*[part.column(f"k{i}") for i in range(len(keep))],
+                [*[part.column(k) for k in names_in],
                  pa.array([names[b] if ok else UNKNOWN for b, ok in zip(best, known)], pa.string()),
                  pa.array(np.where(known, posterior, 0.0))],
-                names=[*[f"k{i}" for i in range(len(keep))], "lang_pred", "score"])
+                names=[*names_in, "lang_pred", "score"])
 
     out = picked.mapInArrow(score, shape)
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
+    return out.select(*[F.col(k).alias(c) for c, k in zip(keep, names_in)], "lang_pred", "score")
 
 
 def accepted(min_score: float = 0.5) -> Column:
