@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from llm_helpers import items_found, near_classes, removed_bytes
-from tickloom.llm import decontaminate, langid, line_dedup, ngram_join, packing, suffix_dedup, token_counts, toxicity
+from tickloom.llm import decontaminate, langid, line_dedup, ngram_join, packing, stages, suffix_dedup, token_counts, toxicity
 
 TOKENIZER = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
 
@@ -166,6 +166,31 @@ def test_lines(spark):
     assert line_dedup.drop_boilerplate(pages.where("false"), "host", "text").count() == 0
 
 
+def test_copies_do_not_make_their_own_lines_boilerplate(spark):
+    def words(seed, n):
+        return " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 10_000, n))
+
+    copied = f"{words(7, 40)}\n{words(8, 40)}\n\n{words(9, 40)}"
+    rows = [(k, copied if k % 3 == 0 else f"menu\n{words(100 + k, 30)}") for k in range(90)]
+    turned = "\n".join(reversed(copied.split("\n")))
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in [*rows, (90, turned), (91, None), (92, "")]],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    lined = stages.line_dedup(spark, docs, "")
+    got = {r.doc_id: r for r in lined.collect()}
+    assert len(got) == 93 and all(got[k].text == copied and got[k].n_chars == len(copied) for k in range(0, 90, 3)) and got[90].text == turned
+    assert all(got[k].text == words(100 + k, 30) for k in range(90) if k % 3) and got[91].text is None and got[92].text == ""
+    once = {r.doc_id: r.text for r in stages.ngram_jaccard_join(spark, lined, "").collect()}
+    assert sum(t in (copied, turned) for t in once.values()) == 1
+
+
+@pytest.mark.parametrize(("once", "cut"), [(False, {"menu", "x"}), (True, {"menu"})])
+def test_pages_with_the_same_lines_count_once(spark, once, cut):
+    rows = [("h", f"menu\nbody {k}") for k in range(4)] + [("h", "x\nmenu")] * 3 + [("h", "menu\n x\nx")] * 3 + [(None, "x")] * 9
+    pages = spark.createDataFrame(rows, "host string, text string")
+    left = {x.strip() for r in line_dedup.drop_boilerplate(pages, "host", "text", 0.5, 2, once=once).where("host = 'h'").collect() for x in r.text.split("\n")}
+    assert {"menu", "x"} - left == cut
+
+
 def test_page_text(spark):
     html = "<html><script>x<p></script><style>p{}</style><!-- <p>no --><P class='a'>One <b>two</b></p>three<br/>four</html>"
     got = spark.createDataFrame([(html, "HTTPS://A.b.c:80/x"), (None, "nowhere")], "html string, url string").select(

@@ -10,7 +10,9 @@ whose skewed hosts AQE splits.
 Defined results: lines are compared without surrounding blanks; blank lines are never
 dropped; a page that holds a line twice counts once for it and loses both copies.  A null text stays null
 with no lines, a null host keeps every line.  A page is a row: repeated rows count as pages and stay
-rows.  Other columns, whatever their names, pass through.
+rows.  With ``once`` the pages of a host that hold the same set of lines count as one page, in the
+lines' counts and in the host's total, and all stay rows; so copies of a text do not make its own
+lines boilerplate.  Other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -47,23 +49,31 @@ def _key(line: Column) -> Column:
     return F.when(line != "", F.struct(F.xxhash64(line).alias("a"), F.crc32(line).alias("b")))
 
 
-def boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``(host, lines)``: keys of the lines on at least ``min_pages`` and more than ``max_ratio`` of a host's pages."""
+def boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES,
+                once: bool = False) -> DataFrame:
+    """``(host, lines)``: keys of the lines on at least ``min_pages`` and more than ``max_ratio`` of a host's pages.
+
+    ``once`` counts pages with the same set of lines as one.
+    """
     known = pages.where(F.col(host).isNotNull()).select(F.col(host).alias("host"), F.col(text).alias("text"))
-    totals = known.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
     keys = F.array_compact(F.array_distinct(F.transform(_lines(F.col("text")), _key)))
+    if once:
+        keys = F.coalesce(F.array_sort(keys), F.array().cast("array<struct<a:bigint,b:bigint>>"))
+        known = materialise(known.select("host", keys.alias("keys")).distinct())
+        keys = F.col("keys")
+    totals = known.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
     counts = known.select("host", F.explode(keys).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
     often = counts.where(F.col("n") >= min_pages).join(totals, "host").where(F.col("n") > F.lit(max_ratio) * F.col("total"))
     return often.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
 def drop_boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES,
-                     n_lines: str | None = None, n_dropped: str | None = None) -> DataFrame:
+                     n_lines: str | None = None, n_dropped: str | None = None, once: bool = False) -> DataFrame:
     """Return ``pages`` with the boilerplate lines cut from ``text``; optionally add both counts.
 
     ``host`` and ``text`` name columns of ``pages``; no other column is touched.
     """
-    found = materialise(boilerplate(pages, host, text, max_ratio, min_pages))
+    found = materialise(boilerplate(pages, host, text, max_ratio, min_pages, once))
     found = found.select(F.col("host").alias("__site"), F.col("lines").alias("__often"))
     joined = pages.join(found, F.col(host) == F.col("__site"), "left")
     lines = _lines(F.col(text))

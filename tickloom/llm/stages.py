@@ -14,8 +14,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut lines that are boilerplate of their source; every document stays."""
-    return with_length(lines.drop_boilerplate(docs, "source", "text")).select(*docs.columns)
+    """Cut lines that are boilerplate of their source; every document stays.
+
+    Copies count as one document: they are left to the next stage with their lines.
+    """
+    return with_length(lines.drop_boilerplate(docs, "source", "text", once=True)).select(*docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
