@@ -227,6 +227,17 @@ def test_toxic_words_are_restored_and_scored(spark, insults, odd_docs):
     assert toxicity.Words(model).restored("The 1d10t, a l.o.s.e.r") == "the idiot a loser"
 
 
+def test_heavy_disguises_are_restored(spark):
+    texts = ["asshole ass stupid idiots stupididiots idiot tass"] * 50
+    words = toxicity.Words(toxicity.language_model(spark.createDataFrame([(t,) for t in texts], "text string")))
+    assert [words.word(c) for c in ("455h013", "5tup1d1d10t5", "i" + "d" * 45 + "iot", "@$$", "i" + "d" * 100_000 + "iot")] == [
+        "asshole", "stupididiots", "idiot", "ass", "idiot"]
+    assert toxicity.disguised("5+4$") and words.spaced("an a s s here") == ["ass"] and words.spaced("an i  d  i  o  t") == ["idiot"]
+    assert words.restored("rows 1 2 3") == "rows 1 2 3"
+    plain = ["1944", "$1,234.50", "455", "10:30", "2024-01-02", "!!!", "$$$", "192.168.10.11", "http://a1b.c", "a1b2@mail8.example.com", "f47ac10b58cc4372a567", "q1" * 30]
+    assert [c for c in plain if toxicity.disguised(c)] == []
+
+
 def test_toxicity_without_labels(spark, insults):
     docs, labels = insults
     model = toxicity.language_model(docs.where("false"))

@@ -47,8 +47,12 @@ _CODE[65:91] = np.arange(1, 27)
 _CODE[128:] = 27
 _EDGE = " \t\r\n.,;:?\"'()[]{}<>#%&*=~^/\\_-"
 _SIGN = re.compile(r"[a-z][0-9@$!|+€(]|[0-9@$!|+€(][a-z]|([a-z])\1\1")
-_SPACED = re.compile(r"(?<!\S)[a-z0-9@$!|+€]([ .\-_*])(?:[a-z0-9@$!|+€]\1){2,}[a-z0-9@$!|+€](?![^\s.,;:?])")
-_HEX = re.compile(r"[0-9].*[0-9].*[0-9].*[0-9].*[0-9].*[0-9]|://|@[a-z0-9-]+\.")
+_GAP = r"[ .\-_*]"
+_SPACED = re.compile(rf"(?<!\S)[a-z0-9@$!|+€]({_GAP}{{1,3}})(?:[a-z0-9@$!|+€]\1){{1,}}[a-z0-9@$!|+€](?![^\s.,;:?])")
+_RUN = re.compile(r"(.)\1{3,}", re.S)
+_ADDRESS = re.compile(r"://|^www\.|[^@]@[a-z0-9-]+\.")
+_NUMBER = re.compile(r"[$€+(@!|]*[0-9][0-9.,:/\-]*[$€+!|]*")
+_LOOKS = re.compile(r"[0-9@$!|+€(]{3,}")
 
 
 def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -125,9 +129,24 @@ def _better(steps: dict, state: tuple[int, int, int], score: float, path: str) -
         steps[state] = score, path
 
 
+def short(chunk: str) -> str:
+    """The chunk with at most three of a repeated character; more of them say nothing more."""
+    return _RUN.sub(r"\1\1\1", chunk)
+
+
 def disguised(chunk: str) -> bool:
-    """Does a lower-cased chunk carry a sign of disguise?  Numbers, addresses and keys do not."""
-    return bool(_SIGN.search(chunk)) and len(chunk) <= 40 and not _HEX.search(chunk)
+    """Does a lower-cased chunk carry a sign of disguise?  Numbers, addresses and keys do not.
+
+    A key has over 40 characters besides repetitions, or six digits with one among them that resembles no letter.
+    A chunk of look-alikes only is a disguise unless it is written as a number is.
+    """
+    chunk = short(chunk)
+    if len(chunk) > 40 or _ADDRESS.search(chunk):
+        return False
+    if _SIGN.search(chunk):
+        return sum(c in "0123456789" for c in chunk) < 6 or not ("2" in chunk or "6" in chunk)
+    word = chunk.strip(_EDGE)
+    return bool(_LOOKS.fullmatch(word)) and len(set(word)) > 1 and not _NUMBER.fullmatch(word)
 
 
 class Words:
@@ -142,16 +161,21 @@ class Words:
         if found is None:
             if len(self.seen) >= CACHE:
                 self.seen.clear()
-            found = self.seen[chunk] = self.decoder.restore(chunk) if disguised(chunk) else chunk.strip(_EDGE + "!$@|+")
+            found = self.seen[chunk] = self.decoder.restore(short(chunk)) if disguised(chunk) else chunk.strip(_EDGE + "!$@|+")
         return found
 
+    def _joined(self, spaced: str) -> str:
+        """The word behind letters with gaps; three digits are no word."""
+        word = re.sub(_GAP, "", spaced)
+        return spaced if len(word) < 4 and word.isdigit() else self.decoder.restore(short(word))
+
     def spaced(self, text: str) -> list[str]:
         """Words written with a separator after each letter, restored."""
-        return [self.decoder.restore(re.sub(r"[ .\-_*]", "", m.group())) for m in _SPACED.finditer(text)]
+        return [self._joined(m.group()) for m in _SPACED.finditer(text)]
 
     def restored(self, text: str) -> str:
         """The whole text, lower-cased, with its disguised chunks restored."""
-        joined = _SPACED.sub(lambda m: self.decoder.restore(re.sub(r"[ .\-_*]", "", m.group())), text.lower())
+        joined = _SPACED.sub(lambda m: self._joined(m.group()), text.lower())
         return " ".join(self.word(c) if disguised(c) else c for c in joined.split())
 
 
