@@ -73,6 +73,21 @@ def test_vector_links(spark, monkeypatch, block):
     assert sum(n * c for (_, n, _), c in have.items()) >= 0.95 * sum(n * c for (_, n, _), c in want.items())
 
 
+def test_grid_is_coarser_where_the_visits_miss_the_recall(monkeypatch):
+    monkeypatch.setattr(vector_join, "MAX_VISITS", 16)
+    rng = np.random.default_rng(6)
+    sample = vector_join.unit(rng.normal(size=(2000, 16)))
+    index = vector_join.MultiIndex(sample, 1 << 25, 0.9, 0.98)
+    other = rng.normal(size=sample.shape)
+    other -= (other * sample).sum(1)[:, None] * sample
+    other = 0.91 * sample + np.sqrt(1 - 0.91 ** 2) * vector_join.unit(other)
+
+    def meet(a, b):
+        return (index.cells(a, index.visits) == index.cells(b, 1)).any(1)
+
+    assert (meet(sample, other) | meet(other, sample)).mean() >= 0.96 and index.visits <= 16
+
+
 def test_no_vectors(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vector_join.link_vectors(empty).count() == 0

@@ -3,7 +3,8 @@
 Unit vectors are halved, each half has its own codebook, and the pair of nearest codewords is
 the cell of a vector.  To find its neighbours a vector visits cells in the order of the sum of
 both half distances (multi-sequence traversal).  How many cells are visited is set on a
-bounded sample: the smallest number with which known pairs reach the target recall.  Found pairs are
+bounded sample: the smallest number with which known pairs reach the target recall.  Where ``MAX_VISITS``
+cells do not reach it, the codebooks are halved until they do; a grid of at most that many cells is visited whole.  Found pairs are
 verified by their cosine in double precision.
 
 Equal vectors are one class before anything is joined, so a vector that a third of all rows
@@ -74,9 +75,13 @@ class MultiIndex:
     def __init__(self, sample: np.ndarray, total: int, cosine: float, recall: float) -> None:
         half = sample.shape[1] // 2
         codes = int(min(MAX_CODES, max(2, np.ceil(np.sqrt(total / PER_CELL))), max(2, len(sample) // 8)))
-        self.half, self.left, self.right = half, _kmeans(sample[:, :half], codes), _kmeans(sample[:, half:], codes)
-        self.visits = 1
-        self.visits = self._calibrate(sample, cosine, recall)
+        self.half = half
+        while True:
+            self.left, self.right = _kmeans(sample[:, :half], codes), _kmeans(sample[:, half:], codes)
+            self.visits = self._calibrate(sample, cosine, recall)
+            if self.visits <= min(MAX_VISITS, len(self.left) * len(self.right)):
+                break
+            codes //= 2  # larger cells, still compared whole
 
     def cells(self, x: np.ndarray, visits: int) -> np.ndarray:
         out = [traverse(_distances(x[k: k + 512, : self.half], self.left), _distances(x[k: k + 512, self.half:], self.right), visits)
@@ -84,7 +89,7 @@ class MultiIndex:
         return np.concatenate(out)
 
     def _calibrate(self, sample: np.ndarray, cosine: float, recall: float) -> int:
-        """Visits until the target recall over the sample's own pairs and pairs placed just at the limit."""
+        """Visits until the target recall over the sample's own pairs and pairs placed just at the limit; one more than allowed if they miss it."""
         grid = len(self.left) * len(self.right)
         most = min(MAX_VISITS, grid)
         rng = np.random.default_rng(13)
@@ -104,7 +109,7 @@ class MultiIndex:
         one = np.where((ways == home[:, None]).any(1), (ways == home[:, None]).argmax(1) + 1, far)
         two = np.where((back == start[:, None]).any(1), (back == start[:, None]).argmax(1) + 1, far)
         need = np.sort(np.minimum(one, two))
-        return int(min(most, need[min(len(need) - 1, int(np.ceil(recall * len(need))) - 1)]))
+        return int(need[min(len(need) - 1, int(np.ceil(recall * len(need))) - 1)])
 
 
 def unit(vectors: list) -> np.ndarray:
