@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import frame, same, walk
+from bar_helpers import frame, same, walk
 from tickloom.functions.conditions import signal_bits
 from tickloom.functions.indicators import LOOKBACK, with_window_indicators
 from tickloom.functions.recursive import recursive_indicators

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import frame, walk
+from bar_helpers import frame, walk
 from tickloom.functions.columns import norm_symbol, number_of, text_of, two_sided_p, wilson_bounds
 from tickloom.functions.conditions import condition_names
 from tickloom.functions.indicators import with_window_indicators

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import frame, walk
+from bar_helpers import frame, walk
 from tickloom.operators import configs
 from tickloom.sources import archives, bars as src, broker, strategies
 from tickloom.streaming.landing import landing_stream, start_merge
