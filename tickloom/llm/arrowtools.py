@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: A slice of texts handled at once inside a task; a longer single text is a slice of its own.
 SLICE_BYTES = 4 << 20
@@ -54,3 +54,38 @@ def id_remainder(id_col: str, divisor: int) -> Column:
 def partitions(df: DataFrame) -> int:
     """The session's number of shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def raw_texts(column: pa.Array) -> list[bytes]:
+    """Every text's bytes; a null text is empty."""
+    data, bounds = utf8_buffers(column)
+    raw, bounds = data.tobytes(), bounds.tolist()
+    return [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+
+
+def map_texts(docs: DataFrame, text_col: str, keep: tuple[str, ...], extra: str,
+              run: Callable[[Iterator[pa.RecordBatch]], Iterator[list[pa.Array]]], limit: int = SLICE_BYTES) -> DataFrame:
+    """The ``keep`` columns of every row, then new columns that ``run`` makes of slices with a ``text`` column.
+
+    ``extra`` is the DDL of the new columns.  Columns travel under names of their own, so whatever the input's columns
+    are called, nothing clashes.
+    """
+    names = [f"k{i}" for i in range(len(keep))]
+    picked = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, names)], F.col(f"`{text_col}`").alias("text"))
+    made = T.StructType.fromDDL(extra)
+    shape = T.StructType([*[T.StructField(k, picked.schema[k].dataType) for k in names], *made])
+
+    def mapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices: list[pa.RecordBatch] = []
+
+        def noted() -> Iterator[pa.RecordBatch]:
+            for part in text_slices(batches, "text", limit):
+                slices.append(part)
+                yield part
+
+        for columns in run(noted()):
+            part = slices.pop()
+            yield pa.RecordBatch.from_arrays([*[part.column(k) for k in names], *columns], names=[*names, *made.names])
+
+    out = picked.mapInArrow(mapped, shape)
+    return out.select(*[F.col(k).alias(c) for k, c in zip(names, keep)], *made.names)
