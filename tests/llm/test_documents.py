@@ -183,12 +183,49 @@ def test_copies_do_not_make_their_own_lines_boilerplate(spark):
     assert sum(t in (copied, turned) for t in once.values()) == 1
 
 
-@pytest.mark.parametrize(("once", "cut"), [(False, {"menu", "x"}), (True, {"menu"})])
-def test_pages_with_the_same_lines_count_once(spark, once, cut):
-    rows = [("h", f"menu\nbody {k}") for k in range(4)] + [("h", "x\nmenu")] * 3 + [("h", "menu\n x\nx")] * 3 + [(None, "x")] * 9
+def test_small_and_large_hosts_lose_lines_by_the_same_share(spark):
+    sizes = {"tiny": 4, "small": 30, "large": 900}
+    rows = [(h, f"{h} menu\nbody {k}\n" + (f"seldom {k % 11}" if k % 11 else "body")) for h, n in sizes.items() for k in range(n)]
+    rows += [("one", "alone\nalone"), ("pair", "both\nfirst"), ("pair", "both\nsecond")]
     pages = spark.createDataFrame(rows, "host string, text string")
-    left = {x.strip() for r in line_dedup.drop_boilerplate(pages, "host", "text", 0.5, 2, once=once).where("host = 'h'").collect() for x in r.text.split("\n")}
-    assert {"menu", "x"} - left == cut
+    got = line_dedup.drop_boilerplate(pages, "host", "text", 0.15, n_dropped="n").groupBy("host").agg(F.sum("n").alias("n"), F.collect_list("text").alias("t")).collect()
+    by = {r.host: r for r in got}
+    assert {h: by[h].n for h in by} == {**sizes, "one": 0, "pair": 2}
+    assert by["one"].t == ["alone\nalone"] and sorted(by["pair"].t) == ["first", "second"]
+
+
+@pytest.mark.parametrize("n_copies", [30, 200])
+def test_near_copies_keep_what_they_share(spark, n_copies):
+    def words(seed, n):
+        return np.array([f"w{x}{'aegins'[x % 6]}" for x in np.random.default_rng(seed).integers(0, 5000, n)])
+
+    def near(k, base):
+        changed = base.copy()
+        changed[np.random.default_rng(k).integers(0, len(base), 2)] = f"other{k}"
+        return changed
+
+    long, lined = words(1, 150), [words(s, 25) for s in range(2, 8)]
+    texts = [f"the title\n{' '.join(near(k, long))}\nmenu" for k in range(n_copies)]
+    texts += ["\n".join(" ".join(near(k, x) if j == k % 6 else x) for j, x in enumerate(lined)) for k in range(n_copies)]
+    texts += [f"menu\n{' '.join(words(1000 + k, 40))}" for k in range(60)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    lined_docs = stages.line_dedup(spark, docs, "")
+    got = {r.doc_id: r.text for r in lined_docs.collect()}
+    for k, t in enumerate(texts):
+        assert got[k] == "\n".join(x for x in t.split("\n") if x != "menu")
+    kept = stages.ngram_jaccard_join(spark, lined_docs, "").collect()
+    assert sum(r.text.startswith("the title") for r in kept) < n_copies / 2 and sum(r.doc_id >= 2 * n_copies for r in kept) == 60
+
+
+def test_stages_leave_other_columns_alone(spark):
+    names = ["__row", "__stay", "__hits", "__site", "__often", "row", "given", "host", "site", "lines", "stay", "hits", "root"]
+    texts = ["menu\none two three four five six", "menu\none two three four five six", "menu\nanother text with some words in it", None]
+    rows = [(k, t, "en", "s", 0, *[f"{c}{k}" for c in names]) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names))
+    for out in (line_dedup.drop_boilerplate(docs, "source", "text"), stages.line_dedup(spark, docs, ""), ngram_join.keep_one(docs)):
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert [r[c] for c in names] == [f"{c}{r.doc_id}" for c in names]
 
 
 def test_page_text(spark):

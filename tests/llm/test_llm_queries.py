@@ -1,6 +1,7 @@
 """Registered queries against DuckDB where SQL can express them, and the pipeline against its stages' brute force."""
 
 import os
+import re
 from collections import Counter
 
 import public_tokenizers
@@ -70,13 +71,31 @@ def test_pipeline_agrees_with_brute_force(spark, docs):
         steps.append({r.doc_id: r for r in now.collect()})
     lang, lined, once, clean = steps
     assert set(lang) == {r.doc_id for r in docs if any(c.isalpha() for c in r.text or "")}
-    # lines on more than 2 % and at least 10 of a source's documents
-    seen, pages = Counter(), Counter(r.source for r in lang.values())
-    for r in lang.values():
-        seen.update((r.source, x) for x in {x.strip(" ") for x in r.text.split("\n")} - {""})
+    # lines on more than a tenth and at least 2 of a source's documents, copies left out
+    def often(pages, parts, total):
+        seen = Counter()
+        for r in pages:
+            seen.update((r.source, x) for x in {x.strip(" ") for x in parts(r.text)} - {""})
+        return {x for x, n in seen.items() if n >= 2 and n > 0.1 * total[x[0]]}
+
+    def split(text):
+        return text.split("\n")
+
+    def phrases(text):
+        return re.split(r"\n|(?<=[.!?;:,gly。！？]) ", text)
+
+    total = Counter(r.source for r in lang.values())
+    found = often(lang.values(), split, total)
+    holders = [r for r in lang.values() if any((r.source, x.strip(" ")) in found for x in split(r.text))]
+    common = often(holders, phrases, total)
+    size = {r.doc_id: [sum(len(x.strip(" ")) for x in phrases(r.text) if every or (r.source, x.strip(" ")) not in common) for every in (0, 1)] for r in holders}
+    copies = {k for k, (own, whole) in size.items() if 2 * own <= whole}
+    total.subtract(r.source for r in holders if r.doc_id in copies)
+    cut = found & often([r for r in lang.values() if r.doc_id not in copies], split, total)
     for k, r in lang.items():
-        kept = [x for x in r.text.split("\n") if not (seen[r.source, x.strip(" ")] >= 10 and seen[r.source, x.strip(" ")] > 0.02 * pages[r.source])]
+        kept = [x for x in split(r.text) if (r.source, x.strip(" ")) not in cut]
         assert lined[k].text == "\n".join(kept) and lined[k].n_chars == len("\n".join(kept))
+    assert sum(lined[k].text != r.text for k, r in lang.items()) > 0
     order = sorted(lined)
     _, groups = near_classes([lined[k].text for k in order], 0.8)
     assert len(once) == len({tuple(g) for g in groups})

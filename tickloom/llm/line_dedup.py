@@ -7,12 +7,16 @@ line that every page carries is gathered anywhere.  The boilerplate keys of a ho
 to the pages.  Spark picks a broadcast from the stored size, and otherwise a sort-merge join
 whose skewed hosts AQE splits.
 
+The share is the same at all sizes of a host; a line must stand on two pages at least, or every line of a host with few
+pages would be one.  With ``copies_vote=False`` a page that holds such a line is taken for a copy of others if half or more of its
+characters are phrases (cut at line ends and after certain letters and marks, so a changed word changes one) that as large a
+share of the host's pages has.  Copies count neither for their lines nor in the host's total: what near copies of a page have in common
+stays, however many they are, while a line among otherwise different texts goes.
+
 Defined results: lines are compared without surrounding blanks; blank lines are never
 dropped; a page that holds a line twice counts once for it and loses both copies.  A null text stays null
 with no lines, a null host keeps every line.  A page is a row: repeated rows count as pages and stay
-rows.  With ``once`` the pages of a host that hold the same set of lines count as one page, in the
-lines' counts and in the host's total, and all stay rows; so copies of a text do not make its own
-lines boilerplate.  Other columns, whatever their names, pass through.
+rows.  An empty table stays empty.  Other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -21,8 +25,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.session import materialise
 
-MAX_RATIO = 0.02
-MIN_PAGES = 10
+MAX_RATIO = 0.1
+MIN_PAGES = 2
 
 
 def url_host(url: Column | str) -> Column:
@@ -49,44 +53,68 @@ def _key(line: Column) -> Column:
     return F.when(line != "", F.struct(F.xxhash64(line).alias("a"), F.crc32(line).alias("b")))
 
 
-def boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES,
-                once: bool = False) -> DataFrame:
-    """``(host, lines)``: keys of the lines on at least ``min_pages`` and more than ``max_ratio`` of a host's pages.
+def _keys(parts: Column) -> Column:
+    return F.array_compact(F.array_distinct(F.transform(parts, _key)))
 
-    ``once`` counts pages with the same set of lines as one.
-    """
-    known = pages.where(F.col(host).isNotNull()).select(F.col(host).alias("host"), F.col(text).alias("text"))
-    keys = F.array_compact(F.array_distinct(F.transform(_lines(F.col("text")), _key)))
-    if once:
-        keys = F.coalesce(F.array_sort(keys), F.array().cast("array<struct<a:bigint,b:bigint>>"))
-        known = materialise(known.select("host", keys.alias("keys")).distinct())
-        keys = F.col("keys")
-    totals = known.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
-    counts = known.select("host", F.explode(keys).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+
+def _phrases(text: Column) -> Column:
+    return F.split(text, r"\n|(?<=[.!?;:,gly。！？]) ", -1)
+
+
+def _often(counts: DataFrame, totals: DataFrame, max_ratio: float, min_pages: int) -> DataFrame:
     often = counts.where(F.col("n") >= min_pages).join(totals, "host").where(F.col("n") > F.lit(max_ratio) * F.col("total"))
     return often.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
+def _counted(pages: DataFrame, keys: Column) -> DataFrame:
+    return pages.select("host", F.explode(keys).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _cut(text: Column, hits: Column) -> Column:
+    """Lines of a text that are not among ``hits``."""
+    return F.filter(_lines(text), lambda x: F.coalesce(~F.array_contains(hits, _key(x)), F.lit(True)))
+
+
+def boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES,
+                copies_vote: bool = True) -> DataFrame:
+    """``(host, lines)``: keys of the lines on at least ``min_pages`` and more than ``max_ratio`` of a host's pages."""
+    known = pages.where(F.col(f"`{host}`").isNotNull()).select(F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text"))
+    totals = known.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
+    keys = _keys(_lines(F.col("text")))
+    often = _often(_counted(known, keys), totals, max_ratio, min_pages)
+    if copies_vote:
+        return often
+    often, totals = materialise(often), materialise(totals)
+    holders = known.join(often, "host").select("host", "text", F.array_intersect(keys, F.col("lines")).alias("hits"))
+    holders = materialise(holders.where(F.size("hits") > 0))
+    common = materialise(_often(_counted(holders, _keys(_phrases(F.col("text")))), totals, max_ratio, min_pages))
+    parts = F.transform(_phrases(F.col("text")), F.trim)
+    own = F.filter(parts, lambda x: ~F.array_contains(F.col("lines"), _key(x)))
+    copy = 2 * F.length(F.array_join(own, "")) <= F.length(F.array_join(parts, ""))
+    judged = materialise(holders.join(common, "host", "left").select("host", "hits", F.coalesce(copy, F.lit(False)).alias("copy")))
+    copies = judged.where("copy").groupBy("host").agg(F.count(F.lit(1)).alias("copies"))
+    voters = totals.join(copies, "host", "left").select("host", (F.col("total") - F.coalesce("copies", F.lit(0))).alias("total"))
+    return _often(_counted(judged.where(~F.col("copy")), F.col("hits")), voters, max_ratio, min_pages)
+
+
 def drop_boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES,
-                     n_lines: str | None = None, n_dropped: str | None = None, once: bool = False) -> DataFrame:
+                     n_lines: str | None = None, n_dropped: str | None = None, copies_vote: bool = True) -> DataFrame:
     """Return ``pages`` with the boilerplate lines cut from ``text``; optionally add both counts.
 
     ``host`` and ``text`` name columns of ``pages``; no other column is touched.
     """
-    found = materialise(boilerplate(pages, host, text, max_ratio, min_pages, once))
-    found = found.select(F.col("host").alias("__site"), F.col("lines").alias("__often"))
-    joined = pages.join(found, F.col(host) == F.col("__site"), "left")
-    lines = _lines(F.col(text))
-    hits = F.array_intersect(F.transform(lines, _key), F.col("__often"))
-    stay = F.filter(lines, lambda x: F.coalesce(~F.array_contains(F.col("__hits"), _key(x)), F.lit(True)))
-    joined = joined.withColumn("__hits", F.coalesce(hits, F.array().cast("array<struct<a:bigint,b:bigint>>")))
-    joined = joined.withColumn("__stay", F.when(F.size("__hits") > 0, stay))
-    out = [F.when(F.col("__stay").isNull(), F.col(text)).otherwise(F.array_join("__stay", "\n")).alias(c) if c == text else F.col(f"`{c}`")
-           for c in pages.columns]
-    total = F.coalesce(F.size(F.filter(lines, lambda x: F.trim(x) != "")), F.lit(0)).cast("long")
-    total = F.when(F.col(text).isNull(), F.lit(0)).otherwise(total).cast("long")
+    found = materialise(boilerplate(pages, host, text, max_ratio, min_pages, copies_vote)).withColumnRenamed("host", "site")
+    given = F.struct(*[F.col(f"`{c}`") for c in pages.columns])
+    rows = pages.select(given.alias("given"), F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text"))
+    rows = rows.join(found, F.col("host") == F.col("site"), "left")
+    hits = F.array_intersect(F.transform(_lines(F.col("text")), _key), F.col("lines"))
+    rows = rows.select("given", "text", F.coalesce(hits, F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("hits"))
+    rows = rows.withColumn("stay", F.when(F.size("hits") > 0, _cut(F.col("text"), F.col("hits"))))
+    rest = F.when(F.col("stay").isNull(), F.col("text")).otherwise(F.array_join("stay", "\n"))
+    out = [rest.alias(c) if c == text else F.col(f"given.`{c}`").alias(c) for c in pages.columns]
+    lines = _lines(F.col("text"))
     if n_lines:
-        out.append(total.alias(n_lines))
+        out.append(F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.filter(lines, lambda x: F.trim(x) != ""))).cast("long").alias(n_lines))
     if n_dropped:
-        out.append(F.when(F.col("__stay").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("__stay")).cast("long").alias(n_dropped))
-    return joined.select(*out)
+        out.append(F.when(F.col("stay").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("stay")).cast("long").alias(n_dropped))
+    return rows.select(*out)

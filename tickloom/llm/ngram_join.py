@@ -192,8 +192,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The documents without all but one (the first stored) of each class; columns are as given."""
-    base = materialise(docs.withColumn("__row", F.monotonically_increasing_id()))
-    groups = similarity_groups(base, "__row", text_col, **options)
-    gone = materialise(groups.where(F.col("__row") != F.col("root")).select("__row"))
-    return base.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents without all but one (the first stored) of each class; columns are as given, whatever their names."""
+    given = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    base = materialise(docs.select(F.monotonically_increasing_id().alias("row"), given.alias("given")))
+    texts = base.select("row", F.col(f"given.`{text_col}`").alias("text"))
+    groups = similarity_groups(texts, "row", "text", **options)
+    gone = materialise(groups.where(F.col("row") != F.col("root")).select("row"))
+    return base.join(gone, "row", "left_anti").select(*[F.col(f"given.`{c}`").alias(c) for c in docs.columns])

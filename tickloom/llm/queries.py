@@ -162,7 +162,7 @@ lines AS (SELECT r, host, i, all_lines[i] AS line, trim(all_lines[i], ' ') AS k
         FROM numbered WHERE text IS NOT NULL)),
 totals AS (SELECT host, count(*) AS total FROM numbered WHERE host IS NOT NULL GROUP BY 1),
 often AS (SELECT host, k FROM (SELECT host, k, count(DISTINCT r) AS n FROM lines WHERE k <> '' AND host IS NOT NULL GROUP BY 1, 2)
-  JOIN totals USING (host) WHERE n >= 10 AND n > 0.02 * total),
+  JOIN totals USING (host) WHERE n >= 2 AND n > 0.1::DOUBLE * total),
 kept AS (SELECT r, count(*) FILTER (WHERE l.k <> '') AS n_lines, count(*) FILTER (WHERE o.k IS NOT NULL) AS n_dropped,
     coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE o.k IS NULL), '') AS text
   FROM lines l LEFT JOIN often o ON l.host = o.host AND l.k = o.k GROUP BY 1)
