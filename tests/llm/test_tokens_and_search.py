@@ -61,16 +61,18 @@ def test_few_states_are_enough_and_ids_come_early():
     for _ in range(50):
         piece = "".join(rng.choice("thequickbrown") for _ in range(60)).encode()
         assert small.ids(piece) == LIBRARY._encode_single_piece(piece)
-    assert len(small.state) <= 51
-    assert small.longest_wait <= max(map(len, RANKS))
+    assert len(small.edges) <= 51
+    piece = "".join(rng.choice("thequickbrown") for _ in range(20_000)).encode()
+    assert small.ids(piece) == LIBRARY._encode_single_piece(piece)
+    assert 0 < small.longest_wait <= max(map(len, RANKS))
 
 
 def test_one_step_a_byte_on_a_long_piece():
     made = byte_bpe.Transducer(byte_bpe.Vocabulary(PATH))
     made.ids(b"ab" * 500)
-    states = len(made.state)
+    states = len(made.edges)
     assert made.ids(b"ab" * 50_000) == LIBRARY._encode_single_piece(b"ab" * 50_000)
-    assert len(made.state) == states
+    assert len(made.edges) == states
 
 
 def test_decoder_holds_back_incomplete_characters(encoder):

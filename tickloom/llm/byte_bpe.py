@@ -3,11 +3,11 @@
 A rank file orders the merges of a byte-level BPE.  The tokens of a piece are the one sequence in
 which every two neighbours stay apart, that is, in which the merges of the two joined give the two
 again.  So each prefix of a piece has one last token, and the last token after the next byte follows
-from those of the prefixes that a longer token can still reach back to.  This is the transducer's
-state: the longest suffix read that begins some token, and the tree of tokens that end in its reach.
-What all branches of the tree have in common can no longer change and is emitted; the rest is the
-lookahead, which the length of the longest token bounds.  States and edges are made when they are first met
-(``MAX_STATES`` of them are held, then the table starts afresh), so a piece costs one step a byte, however long.
+from those of the prefixes at which a longer token may have begun.  This is the transducer's
+state: how far back such tokens may begin, the bytes since, and the last token of each of these prefixes.  An edge gives
+the last token after its byte.  Where the tokens that lead to all places of the state agree they can no longer change,
+whatever follows, and are emitted; what is held back has a bound that comes from the longest token.  States and edges are
+made when they are first met (``MAX_STATES`` of them are held, then the table starts afresh), so a piece costs one step a byte, however long.
 
 Texts are split into pieces by a pattern; a task remembers the ids of pieces it has met, at most ``CACHE``.
 Everything happens where a document is read: there is no shuffle, and nothing but the vocabulary is held.
@@ -48,124 +48,141 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Vocabulary:
-    """Tokens by bytes and by id, beginnings of tokens, and which tokens may stand side by side."""
+    """Tokens by bytes and by id, proper beginnings of tokens, and which tokens may stand side by side."""
 
     def __init__(self, path: str) -> None:
         self.ranks = read_ranks(path)
         self.token = {rank: token for token, rank in self.ranks.items()}
-        self.beginnings = {token[:k] for token in self.ranks for k in range(1, len(token) + 1)}
+        self.beginnings = {token[:k] for token in self.ranks for k in range(1, len(token))}
+        self.longest = max(map(len, self.ranks))
         if any(bytes([b]) not in self.ranks for b in range(256)):
             raise ValueError("a byte-level vocabulary has every single byte")
-        self._apart: dict[tuple[int, int], bool] = {}
+        self._halves: dict[int, tuple[int, int] | None] = {}
 
-    def merged(self, data: bytes) -> list[int]:
-        """Merge the pair of lowest rank, the leftmost first, until none is left: for a few bytes only."""
+    def merged(self, data: bytes, below: int) -> list[int]:
+        """Merge the pair of lowest rank, the leftmost first, until none below a rank is left: for a few bytes only."""
         parts = [data[k: k + 1] for k in range(len(data))]
         while len(parts) > 1:
-            rank, at = min((self.ranks.get(a + b, len(self.ranks) + 1), k) for k, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank > len(self.ranks):
+            rank, at = min((self.ranks.get(a + b, below), k) for k, (a, b) in enumerate(zip(parts, parts[1:])))
+            if rank >= below:
                 break
             parts[at: at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes a token; none for a single byte."""
+        if token not in self._halves:
+            parts = self.merged(self.token[token], token)
+            self._halves[token] = (parts[0], parts[1]) if len(parts) == 2 else None
+        return self._halves[token]
+
+    def made(self, token: int) -> bool:
+        """Whether merges ever give the token."""
+        return len(self.token[token]) == 1 or self.halves(token) is not None
+
     def apart(self, left: int, right: int) -> bool:
-        """Whether ``right`` can follow ``left`` (at a piece's start: whether it is ever the result of merges)."""
-        known = self._apart.get((left, right))
-        if known is None:
-            if len(self._apart) > 2 * MAX_STATES:
-                self._apart.clear()
-            before = [] if left == _START else [left]
-            known = self.merged(b"".join(self.token[k] for k in (*before, right))) == [*before, right]
-            self._apart[left, right] = known
-        return known
+        """Whether ``right`` can follow ``left``.
+
+        The merges of both are taken back from the last one on.  If at some time the tokens that then meet
+        at the border could merge before the merge that was taken back last, the border does not stand.
+        """
+        if left == _START:
+            return True
+        before = len(self.ranks)
+        while True:
+            if self.ranks.get(self.token[left] + self.token[right], before) < before:
+                return False
+            # of equal merges the left one came first
+            parts = self.halves(left) if left > right else self.halves(right)
+            if left > right and parts:
+                before, left = left, parts[1]
+            elif parts:
+                before, right = right + 1, parts[0]
+            elif self.halves(left if left <= right else right):  # the later one is a byte
+                if left > right:
+                    before, right = right + 1, self.halves(right)[0]
+                else:
+                    before, left = left, self.halves(left)[1]
+            else:
+                return True
 
 
 class Transducer:
-    """Deterministic states over bytes, made on demand; an edge carries the ids that are settled by its byte.
+    """Deterministic states over bytes, made on demand.
 
-    A state is ``(suffix, tree)``.  The tree lists ``(end, parent, id)`` of tokens, ends counted back from the
-    bytes read so far, the root first; the root's id is settled already.
+    A state is ``(suffix, places)``: the last bytes, and ``(bytes since, last token)`` of every prefix at which a token
+    may have begun that is longer than what follows the prefix; the furthest first, the whole input last.
     """
 
     def __init__(self, vocabulary: Vocabulary, max_states: int = MAX_STATES) -> None:
         self.words = vocabulary
         self.max_states = max_states
+        self.window = 4 * vocabulary.longest
         self.longest_wait = 0
         self._reset()
 
     def _reset(self) -> None:
-        self.number: dict[tuple, int] = {}
-        self.state: list[tuple] = []
-        self.edge: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.last: dict[int, tuple[int, ...]] = {}
-        self.start = self._intern((b"", ((0, 0, _START),)))
-
-    def _intern(self, state: tuple) -> int:
-        if state not in self.number:
-            self.number[state] = len(self.state)
-            self.state.append(state)
-        return self.number[state]
-
-    @staticmethod
-    def _path(tree: dict[int, tuple[int, int]], end: int, root: int) -> list[int]:
-        """Ends from the root (left out) to ``end``."""
-        path = []
-        while end != root:
-            path.append(end)
-            end = tree[end][0]
-        return path[::-1]
-
-    def _next(self, state: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
-        suffix, listed = state
+        self.edges: dict[tuple, dict] = {}
+        self.start = self._intern((b"", ((0, _START),)))
+
+    def _intern(self, state: tuple) -> dict:
+        """The edges of a state: byte -> (edges of the next state, last token); the state itself stands under -1."""
+        known = self.edges.get(state)
+        if known is None:
+            known = self.edges[state] = {-1: state}
+        return known
+
+    def _grow(self, edges: dict, byte: int) -> tuple[dict, int]:
+        suffix, places = edges[-1]
         suffix += bytes([byte])
-        while suffix not in self.words.beginnings:
-            suffix = suffix[1:]
-        tree = {end - 1: (parent - 1, token) for end, parent, token in listed}
-        root = listed[0][0] - 1
-        for k in range(len(suffix)):
-            token, begin = self.words.ranks.get(suffix[k:]), k - len(suffix)
-            if token is not None and self.words.apart(tree[begin][1], token) and self.words.apart(_START, token):
-                tree[0] = begin, token
-                break
-        # ends that a longer token can still begin at, and what leads to them
-        paths = [self._path(tree, end, root) for end in range(-len(suffix), 1)]
-        common = 0
-        while all(len(p) > common and p[common] == paths[0][common] for p in paths):
-            common += 1
-        settled = paths[0][:common]
-        new_root = settled[-1] if settled else root
-        ends = sorted({end for p in paths for end in p[common:]})
-        listed = ((new_root, new_root, tree[new_root][1]), *[(end, *tree[end]) for end in ends])
-        self.longest_wait = max(self.longest_wait, -new_root)
-        return (suffix, listed), tuple(tree[end][1] for end in settled)
-
-    def _grow(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        following, settled = self._next(self.state[number], byte)
-        if len(self.state) >= self.max_states:
+        ranks, beginnings, last, kept = self.words.ranks, self.words.beginnings, -1, []
+        for since, token in places:
+            piece = suffix[len(suffix) - since - 1:]
+            if last < 0:
+                rank = ranks.get(piece, -1)
+                if rank >= 0 and self.words.made(rank) and self.words.apart(token, rank):
+                    last = rank
+            if piece in beginnings:
+                kept.append((since + 1, token))
+        following = suffix[len(suffix) - kept[0][0]:] if kept else b"", (*kept, (0, last))
+        if len(self.edges) >= self.max_states:
+            for old in self.edges.values():  # states refer to each other
+                old.clear()
             self._reset()
-            return self._intern(following), settled
-        made = self.edge[number << 8 | byte] = self._intern(following), settled
+            return self._intern(following), last
+        made = edges[byte] = self._intern(following), last
         return made
 
-    def _rest(self, number: int) -> tuple[int, ...]:
-        if number not in self.last:
-            listed = self.state[number][1]
-            tree = {end: (parent, token) for end, parent, token in listed}
-            self.last[number] = tuple(tree[end][1] for end in self._path(tree, 0, listed[0][0]))
-        return self.last[number]
+    def _settle(self, out: list[int], lasts: list[int], edges: dict) -> list[int]:
+        """Emit what all places of the state have in common; the rest of ``lasts`` is held back."""
+        places = {len(lasts) - since for since, _ in edges[-1][1]}
+        while len(places) > 1:
+            furthest = max(places)
+            places.remove(furthest)
+            places.add(furthest - len(self.words.token[lasts[furthest - 1]]))
+        common = places.pop()
+        self._emit(out, lasts[:common])
+        self.longest_wait = max(self.longest_wait, len(lasts) - common)
+        return lasts[common:]
+
+    def _emit(self, out: list[int], lasts: list[int]) -> None:
+        tokens, at = [], len(lasts)
+        while at:
+            tokens.append(lasts[at - 1])
+            at -= len(self.words.token[lasts[at - 1]])
+        out += tokens[::-1]
 
     def ids(self, piece: bytes) -> list[int]:
         out: list[int] = []
-        number, edge = self.start, self.edge
-        for byte in piece:
-            found = edge.get(number << 8 | byte)
-            if found is None:
-                found = self._grow(number, byte)
-                edge = self.edge
-            number, settled = found
-            if settled:
-                out += settled
-        out += self._rest(number)
+        lasts: list[int] = []
+        edges = self.start
+        for at in range(0, len(piece), self.window):
+            if at:
+                lasts = self._settle(out, lasts, edges)
+            for byte in piece[at: at + self.window]:
+                edges, last = edges.get(byte) or self._grow(edges, byte)
+                lasts.append(last)
+        self._emit(out, lasts)
         return out
 
 
@@ -212,34 +229,38 @@ class Splitter:
             at = stop
 
 
+class _Pieces(dict):
+    """Ids of pieces as little-endian 32-bit integers, found when they are first asked for."""
+
+    def __init__(self, words: Vocabulary) -> None:
+        super().__init__()
+        self.ranks = words.ranks
+        self.packed = {rank: rank.to_bytes(4, "little") for rank in words.token}
+        self.transducer = Transducer(words)
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        data = piece.encode()
+        whole = self.ranks.get(data)  # as in the library, a piece that is a token needs no merges
+        packed = self.packed
+        self[piece] = found = packed[whole] if whole is not None else b"".join([packed[k] for k in self.transducer.ids(data)])
+        return found
+
+
 class Encoder:
     """Ids of texts under one vocabulary and pattern; a task holds one."""
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN) -> None:
         self.words = Vocabulary(path)
-        self.transducer = Transducer(self.words)
+        self.seen = _Pieces(self.words)
+        self.transducer = self.seen.transducer
         self.splitter = Splitter(pattern)
-        self.seen: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        new = {p for p in pieces if p not in self.seen}
-        if len(self.seen) + len(new) > CACHE:
-            self.seen.clear()
-            new = set(pieces)
-        for p in new:
-            data = p.encode()
-            whole = self.words.ranks.get(data)  # as in the library, a piece that is a token needs no merges
-            self.seen[p] = np.asarray(self.transducer.ids(data) if whole is None else [whole], "<u4").tobytes()
 
     def encode(self, text: str) -> Iterator[np.ndarray]:
         """Ids in order, a stretch at a time."""
         for pieces in self.splitter.pieces(text):
-            try:
-                found = [self.seen[p] for p in pieces]
-            except KeyError:
-                self._learn(pieces)
-                found = [self.seen[p] for p in pieces]
-            yield np.frombuffer(b"".join(found), "<u4")
+            yield np.frombuffer(b"".join(map(self.seen.__getitem__, pieces)), "<u4")
 
 
 class Utf8Machine:
@@ -292,9 +313,12 @@ class StreamDecoder:
 
     def feed(self, ids: np.ndarray) -> tuple[bytes, str]:
         """Bytes of the ids, and the characters that are complete by now."""
-        tokens = [self.words.token[k] for k in ids.tolist()]
-        out, at = [], 0
+        tokens = list(map(self.words.token.__getitem__, ids.tolist()))
+        data = b"".join(tokens)
         parts = np.flatnonzero(~self.whole[ids]).tolist()
+        if not parts and not self.machine.held:
+            return data, data.decode()
+        out, at = [], 0
         while at < len(tokens):
             if not self.machine.held:  # up to the next part of a character all tokens are text
                 stop = next((p for p in parts if p >= at), len(tokens)) if parts and parts[-1] >= at else len(tokens)
@@ -303,7 +327,7 @@ class StreamDecoder:
             if at < len(tokens):
                 out.append(self.machine.feed(tokens[at]))
                 at += 1
-        return b"".join(tokens), "".join(out)
+        return data, "".join(out)
 
     def finish(self) -> str:
         return self.machine.finish()
@@ -376,7 +400,7 @@ def round_trip(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
             for text in raw_texts(part.column("text")):
                 count, chars, listed, decoded = 0, 0, hashlib.sha256(), hashlib.sha256()
                 for ids in encoder.encode(text.decode("utf-8", "replace")):
-                    listed.update((b" " if count else b"") + b" ".join([decimal[k] for k in ids.tolist()]))
+                    listed.update((b" " if count else b"") + b" ".join(map(decimal.__getitem__, ids.tolist())))
                     data, said = decoder.feed(ids)
                     decoded.update(data)
                     count += len(ids)
