@@ -61,7 +61,7 @@ def test_few_states_are_enough_and_ids_come_early():
     for _ in range(50):
         piece = "".join(rng.choice("thequickbrown") for _ in range(60)).encode()
         assert small.ids(piece) == LIBRARY._encode_single_piece(piece)
-    assert len(small.edges) <= 51
+    assert len(small.states) <= 51
     piece = "".join(rng.choice("thequickbrown") for _ in range(20_000)).encode()
     assert small.ids(piece) == LIBRARY._encode_single_piece(piece)
     assert 0 < small.longest_wait <= max(map(len, RANKS))
@@ -70,9 +70,9 @@ def test_few_states_are_enough_and_ids_come_early():
 def test_one_step_a_byte_on_a_long_piece():
     made = byte_bpe.Transducer(byte_bpe.Vocabulary(PATH))
     made.ids(b"ab" * 500)
-    states = len(made.edges)
+    states = len(made.states)
     assert made.ids(b"ab" * 50_000) == LIBRARY._encode_single_piece(b"ab" * 50_000)
-    assert len(made.edges) == states
+    assert len(made.states) == states
 
 
 def test_decoder_holds_back_incomplete_characters(encoder):

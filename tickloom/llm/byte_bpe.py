@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -36,7 +37,7 @@ from tickloom.llm.arrowtools import map_texts, raw_texts
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: States of a transducer and remembered pieces of a task.
 MAX_STATES = 200_000
-CACHE = 500_000
+CACHE = 1_000_000
 #: Characters of a text that are split into pieces at once.
 CHUNK = 1 << 18
 _START = -1
@@ -58,6 +59,7 @@ class Vocabulary:
         if any(bytes([b]) not in self.ranks for b in range(256)):
             raise ValueError("a byte-level vocabulary has every single byte")
         self._halves: dict[int, tuple[int, int] | None] = {}
+        self._apart: dict[int, bool] = {}
 
     def merged(self, data: bytes, below: int) -> list[int]:
         """Merge the pair of lowest rank, the leftmost first, until none below a rank is left: for a few bytes only."""
@@ -81,13 +83,21 @@ class Vocabulary:
         return len(self.token[token]) == 1 or self.halves(token) is not None
 
     def apart(self, left: int, right: int) -> bool:
-        """Whether ``right`` can follow ``left``.
+        """Whether ``right`` is ever made and can follow ``left``."""
+        pair = left << 32 | right
+        known = self._apart.get(pair)
+        if known is None:
+            if len(self._apart) > 4 * MAX_STATES:
+                self._apart.clear()
+            known = self._apart[pair] = self.made(right) and (left == _START or self._stands(left, right))
+        return known
+
+    def _stands(self, left: int, right: int) -> bool:
+        """Whether the border between two tokens stands.
 
         The merges of both are taken back from the last one on.  If at some time the tokens that then meet
         at the border could merge before the merge that was taken back last, the border does not stand.
         """
-        if left == _START:
-            return True
         before = len(self.ranks)
         while True:
             if self.ranks.get(self.token[left] + self.token[right], before) < before:
@@ -107,81 +117,96 @@ class Vocabulary:
                 return True
 
 
-class Transducer:
-    """Deterministic states over bytes, made on demand.
+class _State(dict):
+    """Edges of a state: byte -> (next state, last token); an edge is made when it is first taken.
 
-    A state is ``(suffix, places)``: the last bytes, and ``(bytes since, last token)`` of every prefix at which a token
+    ``suffix`` holds the last bytes, ``places`` a pair (bytes since, last token) for every prefix at which a token
     may have begun that is longer than what follows the prefix; the furthest first, the whole input last.
     """
 
+    __slots__ = ("suffix", "places", "owner")
+
+    def __init__(self, suffix: bytes, places: tuple, owner: Transducer) -> None:
+        super().__init__()
+        self.suffix, self.places, self.owner = suffix, places, owner
+
+    def __missing__(self, byte: int) -> tuple[_State, int]:
+        return self.owner.grow(self, byte)
+
+
+class Transducer:
+    """Deterministic states over bytes, made on demand."""
+
     def __init__(self, vocabulary: Vocabulary, max_states: int = MAX_STATES) -> None:
         self.words = vocabulary
         self.max_states = max_states
         self.window = 4 * vocabulary.longest
         self.longest_wait = 0
-        self._reset()
-
-    def _reset(self) -> None:
-        self.edges: dict[tuple, dict] = {}
-        self.start = self._intern((b"", ((0, _START),)))
+        self.size = {rank: len(token) for rank, token in vocabulary.token.items()}
+        self.states: dict[tuple, _State] = {}
+        self.start = self._intern(b"", ((0, _START),))
 
-    def _intern(self, state: tuple) -> dict:
-        """The edges of a state: byte -> (edges of the next state, last token); the state itself stands under -1."""
-        known = self.edges.get(state)
+    def _intern(self, suffix: bytes, places: tuple) -> _State:
+        known = self.states.get((suffix, places))
         if known is None:
-            known = self.edges[state] = {-1: state}
+            known = self.states[suffix, places] = _State(suffix, places, self)
         return known
 
-    def _grow(self, edges: dict, byte: int) -> tuple[dict, int]:
-        suffix, places = edges[-1]
-        suffix += bytes([byte])
-        ranks, beginnings, last, kept = self.words.ranks, self.words.beginnings, -1, []
-        for since, token in places:
-            piece = suffix[len(suffix) - since - 1:]
+    def grow(self, state: _State, byte: int) -> tuple[_State, int]:
+        """The edge of a state for a byte."""
+        read = state.suffix + bytes([byte])
+        ranks, beginnings, last, kept, n = self.words.ranks, self.words.beginnings, -1, [], len(read) - 1
+        for since, token in state.places:
+            piece = read[n - since:]
             if last < 0:
                 rank = ranks.get(piece, -1)
-                if rank >= 0 and self.words.made(rank) and self.words.apart(token, rank):
+                if rank >= 0 and self.words.apart(token, rank):
                     last = rank
             if piece in beginnings:
                 kept.append((since + 1, token))
-        following = suffix[len(suffix) - kept[0][0]:] if kept else b"", (*kept, (0, last))
-        if len(self.edges) >= self.max_states:
-            for old in self.edges.values():  # states refer to each other
+        full = len(self.states) >= self.max_states
+        if full:
+            for old in self.states.values():  # states refer to each other
                 old.clear()
-            self._reset()
-            return self._intern(following), last
-        made = edges[byte] = self._intern(following), last
+            self.states.clear()
+            self.start = self._intern(b"", ((0, _START),))
+        made = self._intern(read[len(read) - kept[0][0]:] if kept else b"", (*kept, (0, last))), last
+        if not full:
+            state[byte] = made
         return made
 
-    def _settle(self, out: list[int], lasts: list[int], edges: dict) -> list[int]:
+    def _settle(self, out: list[int], lasts: list[int], state: _State) -> list[int]:
         """Emit what all places of the state have in common; the rest of ``lasts`` is held back."""
-        places = {len(lasts) - since for since, _ in edges[-1][1]}
+        places = {len(lasts) - since for since, _ in state.places}
         while len(places) > 1:
             furthest = max(places)
             places.remove(furthest)
-            places.add(furthest - len(self.words.token[lasts[furthest - 1]]))
+            places.add(furthest - self.size[lasts[furthest - 1]])
         common = places.pop()
         self._emit(out, lasts[:common])
         self.longest_wait = max(self.longest_wait, len(lasts) - common)
         return lasts[common:]
 
     def _emit(self, out: list[int], lasts: list[int]) -> None:
+        """Tokens back from the last one."""
         tokens, at = [], len(lasts)
         while at:
-            tokens.append(lasts[at - 1])
-            at -= len(self.words.token[lasts[at - 1]])
+            token = lasts[at - 1]
+            tokens.append(token)
+            at -= self.size[token]
         out += tokens[::-1]
 
     def ids(self, piece: bytes) -> list[int]:
         out: list[int] = []
         lasts: list[int] = []
-        edges = self.start
+        state = self.start
         for at in range(0, len(piece), self.window):
             if at:
-                lasts = self._settle(out, lasts, edges)
+                lasts = self._settle(out, lasts, state)
+            add = lasts.append
             for byte in piece[at: at + self.window]:
-                edges, last = edges.get(byte) or self._grow(edges, byte)
-                lasts.append(last)
+                state, last = state[byte]
+                add(last)
         self._emit(out, lasts)
         return out
 
@@ -199,21 +224,45 @@ def _later_characters() -> tuple[str, str]:
     return chr(codes[0]), "[" + "".join(rf"\U{r[0]:08X}-\U{r[-1]:08X}" for r in runs) + "]"
 
 
+#: Below this character all versions of the tables agree, and classes are short lists of ranges.
+_PLAIN_END = 0x530
+
+
+def _ranges(kind: str) -> str:
+    codes = np.array([c for c in range(_PLAIN_END) if regex.match(kind, chr(c))])
+    return "".join(rf"\u{r[0]:04x}-\u{r[-1]:04x}" for r in np.split(codes, np.flatnonzero(np.diff(codes) > 1) + 1))
+
+
+def _spelt_out(pattern: str) -> str:
+    """The pattern with its Unicode classes written as ranges, for texts of plain characters."""
+    out, inside, blank = [], False, _ranges(r"\s")
+    for part in regex.findall(r"\\p\{\w+\}|\\.|.", pattern, regex.DOTALL):
+        if part in "[]":
+            inside = part == "["
+        if part == r"\S" and not inside:
+            part = f"[^{blank}]"
+        elif part == r"\s" or part.startswith(r"\p{"):
+            part = _ranges(part) if inside else f"[{_ranges(part)}]"
+        out.append(part)
+    return "".join(out)
+
+
 class Splitter:
     """Cuts texts into pieces by a pattern, a bounded stretch at a time."""
 
     def __init__(self, pattern: str = public_tokenizers.PATTERN) -> None:
         self.pattern = pattern
-        self.plain = regex.compile(pattern)
+        self.plain = re.compile(_spelt_out(pattern))
+        self.full = regex.compile(pattern)
         self.edge = regex.compile(r"\S(?=\s)")
         self.older: regex.Pattern | None = None
 
-    def _chosen(self, text: str) -> regex.Pattern:
-        if text.isascii() or max(text) < "\u0530":  # older than any version of the tables
+    def _chosen(self, text: str) -> regex.Pattern | re.Pattern:
+        if text.isascii() or ord(max(text)) < _PLAIN_END:
             return self.plain
         first, later = _later_characters()
         if max(text) < first or not regex.search(later, text):
-            return self.plain
+            return self.full
         if self.older is None:
             classes = self.pattern.replace(r"\p{L}", rf"[\p{{L}}--{later}]").replace(r"\p{N}", rf"[\p{{N}}--{later}]")
             self.older = regex.compile("(?V1)" + classes)
