@@ -5,13 +5,15 @@ the blocks.  A block starts ``WARMUP`` rows early, and most folds forget their s
 that many rows.  None is taken on trust: every block also returns the state of each of its
 recurrences where its own rows begin and where they end.  A block whose beginning differs from its
 predecessor's end (a price that never moves, a trend that never flips) is folded again from that
-end state, which replaces the warm-up, and so is its successor if the end changes.
+end state, which replaces the warm-up, and so is its successor if the end changes.  Seams are compared on a
+table of one row per block, and a repair writes the repaired blocks alone.
 ``fold_columns`` is the only way to these columns, so no unchecked block can be read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -295,11 +297,21 @@ def _flat(states: dict[str, list[float]]) -> list[float | None]:
     return [None if np.isnan(v) else v for k in sorted(states) for v in states[k]]
 
 
-def _named(flat: Iterable[float | None], like: dict[str, list[float]]) -> dict[str, list[float]]:
+@lru_cache(8)
+def _state_shape(wanted: tuple[str, ...]) -> dict[str, int]:
+    """Length of the state of each recurrence that the columns need."""
+    rows = 3 * TAIL
+    block = BlockFold(pd.DataFrame({c: np.arange(1.0, rows + 1) for c in INPUTS}), marks=(rows - 1,))
+    for c in wanted:
+        block[c]
+    return {k: len(v) for k, v in block.states[rows - 1].items()}
+
+
+def _named(flat: Iterable[float | None], shape: dict[str, int]) -> dict[str, list[float]]:
     values, out, at = [np.nan if v is None else float(v) for v in flat], {}, 0
-    for k in sorted(like):
-        out[k] = values[at: at + len(like[k])]
-        at += len(like[k])
+    for k in sorted(shape):
+        out[k] = values[at: at + shape[k]]
+        at += shape[k]
     return out
 
 
@@ -323,6 +335,7 @@ def fold_columns(
     columns to pass through besides series_id, blk, bar_idx.  Blocks must start at least ``TAIL`` rows early.
     """
     columns, lags = list(columns), list(lags)
+    wanted = tuple(dict.fromkeys([*columns, *[c for c, _ in lags]]))
     keep = [c for c in keep if c not in ("series_id", "blk", "bar_idx", "own")]
     fields = [blocked.schema[c] for c in ("series_id", "blk", "bar_idx", *keep)]
     new = columns + [f"{c}_lag{k}" for c, k in lags]
@@ -341,14 +354,8 @@ def fold_columns(
             pdf = pdf.iloc[max(0, first - TAIL):].reset_index(drop=True)
             end -= max(0, first - TAIL)
             first = min(first, TAIL)
-        wanted = [*columns, *[c for c, _ in lags]]
         marks = (first - 1, end) if first and seed is None else (end,)
-        block = BlockFold(pdf, first, marks=marks)
-        for c in wanted:
-            block[c]
-        if seed is not None:
-            shape = block.states[end]
-            block = BlockFold(pdf, first, _named(seed, shape), marks)
+        block = BlockFold(pdf, first, None if seed is None else _named(seed, _state_shape(wanted)), marks)
         made = {c: block[c] for c in columns}
         made |= {f"{c}_lag{k}": block[c].shift(k) for c, k in lags}
         out = pd.concat([pdf[passed], pd.DataFrame(made)], axis=1)[pdf["own"]].reset_index(drop=True)
@@ -363,20 +370,23 @@ def fold_columns(
 
     needed = list(dict.fromkeys([*passed, "own", *INPUTS]))
     slim, key = blocked.select(*needed), ["series_id", "blk"]
-    done = materialise(slim.groupBy(*key).applyInPandas(lambda pdf: fold(pdf), schema))
+
+    def states_of(folded: DataFrame) -> DataFrame:
+        return folded.filter("_end IS NOT NULL").select(*key, "_start", "_end")
+
+    parts = [materialise(slim.groupBy(*key).applyInPandas(lambda pdf: fold(pdf), schema))]
+    states = materialise(states_of(parts[0]))  # one row per block
     while True:
-        states = done.filter("_end IS NOT NULL")
         ends = states.select("series_id", (F.col("blk") + 1).alias("blk"), F.col("_end").alias("seed"))
-        bad = states.filter("blk > 0").join(ends, key).filter(_differs(F.col("_start"), F.col("seed"))).select(*key, "seed")
-        if not states.filter("blk > 0").limit(1).count():
-            break
-        bad = materialise(bad)
+        bad = materialise(states.filter("blk > 0").join(ends, key).filter(_differs(F.col("_start"), F.col("seed"))).select(*key, "seed"))
         if bad.isEmpty():
             break
+        # only these blocks are folded and written again; what was written before is left out by key
         wrong = slim.join(bad.select(*key), key, "left_semi")
-        redone = wrong.groupBy(*key).cogroup(bad.groupBy(*key)).applyInPandas(again, schema)
-        done = materialise(done.join(bad.select(*key), key, "left_anti").unionByName(redone))
-    return done.select(*passed, *new)
+        redone = materialise(wrong.groupBy(*key).cogroup(bad.groupBy(*key)).applyInPandas(again, schema))
+        parts = [*[p.join(bad.select(*key), key, "left_anti") for p in parts], redone]
+        states = materialise(states.join(bad.select(*key), key, "left_anti").unionByName(states_of(redone)))
+    return reduce(DataFrame.unionByName, parts).select(*passed, *new)
 
 
 def recursive_indicators(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.functions.columns import no_zero, norm_symbol
 
@@ -124,9 +124,55 @@ def check_window_in_session(windows: DataFrame, sessions: DataFrame) -> DataFram
     return finding(per.filter("known"), "window_in_session", severity, F.col("bad_days"), F.lit(0))
 
 
-def notice_time_stop(exits: DataFrame) -> DataFrame:
-    """Info for every symbol with a time stop (``max_exit_bars``)."""
-    return finding(exits.filter(F.col("max_exit_bars") > 0), "time_stop", F.lit("info"), F.col("max_exit_bars"), F.lit(None))
+WEEK = 7 * 1440
+
+
+def open_spans(sessions: DataFrame) -> DataFrame:
+    """(symbol, opens, closes): when a symbol trades without a break, in minutes from Monday 00:00 over two weeks.
+
+    Sessions that touch or overlap are one span, over midnight and from Sunday to Monday too; the second week
+    gives every minute of the first a next close.  One window over a symbol's sessions of a week.
+    """
+    number = F.create_map(*[F.lit(x) for k, d in enumerate((*WEEKDAYS, *WEEKEND)) for x in (d, k)])
+    start = F.element_at(number, F.col("day")) * 1440
+    week = sessions.filter(F.col("day").isin(*WEEKDAYS, *WEEKEND)).select(
+        "symbol", (start + F.col("from_min")).alias("opens"), (start + F.col("to_min")).alias("closes")).filter("closes > opens").distinct()
+    both = week.select("symbol", F.explode(F.array(F.lit(0), F.lit(WEEK))).alias("shift"), "opens", "closes").select(
+        "symbol", (F.col("opens") + F.col("shift")).alias("opens"), (F.col("closes") + F.col("shift")).alias("closes"))
+    w = Window.partitionBy("symbol").orderBy("opens", "closes")
+    before = F.max("closes").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = both.withColumn("new", F.coalesce(F.col("opens") > before, F.lit(True)).cast("int"))
+    return marked.withColumn("span", F.sum("new").over(w)).groupBy("symbol", "span").agg(
+        F.min("opens").alias("opens"), F.max("closes").alias("closes")).drop("span")
+
+
+def time_stop_reach(windows: DataFrame, sessions: DataFrame, bar_minutes: int = 60) -> DataFrame:
+    """Per symbol and weekday: how many bars after the end of the entry window the symbol still trades.
+
+    ``bars_left`` is null on days on which the window's end lies in no session.  An equi-join by symbol with
+    its few spans; the span that holds the end is found by aggregation.
+    """
+    days = F.explode(F.array(*[F.struct(F.lit(d).alias("day"), F.lit(k * 1440).alias("start")) for k, d in enumerate(WEEKDAYS)]))
+    ends = windows.select("symbol", clock_minutes(F.col("window_to")).alias("window_end"), days.alias("d"))
+    judged = ends.select("symbol", "window_end", "d.day", (F.col("d.start") + F.col("window_end")).alias("at")).join(open_spans(sessions), "symbol")
+    holds = (F.col("opens") <= F.col("at")) & (F.col("at") < F.col("closes"))
+    left = F.floor((F.col("closes") - F.col("at")) / bar_minutes).cast("int")
+    return judged.groupBy("symbol", "window_end", "day").agg(F.max(F.when(holds, left)).alias("bars_left"))
+
+
+def notice_time_stop(exits: DataFrame, windows: DataFrame | None = None, sessions: DataFrame | None = None, bar_minutes: int = 60) -> DataFrame:
+    """Info for every symbol with a time stop (``max_exit_bars``); the limit is unknown without sessions.
+
+    With windows and sessions only symbols that have sessions are judged; the limit is the number of bars that are left before the
+    next close on the worst weekday, and a longer stop reaches over a close.
+    """
+    stops = exits.filter(F.col("max_exit_bars") > 0)
+    if windows is None or sessions is None:
+        return finding(stops, "time_stop", F.lit("info"), F.col("max_exit_bars"), F.lit(None))
+    reach = time_stop_reach(windows, sessions, bar_minutes).groupBy("symbol").agg(F.min("bars_left").alias("bars_left"))
+    known = sessions.select("symbol").distinct()
+    judged = stops.join(known, "symbol").join(reach, "symbol", "left")
+    return finding(judged, "time_stop", F.lit("info"), F.col("max_exit_bars"), F.col("bars_left"))
 
 
 def check_swap_direction(specs: DataFrame, direction: str = "short") -> DataFrame:

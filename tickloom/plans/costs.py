@@ -145,18 +145,10 @@ def break_even(spark, sf):
     return rounded(ops.break_even(ratios(spark, sf), specs(spark, sf)))
 
 
-def stress_spread(spark, sf):
-    return rounded(ops.check_stress_spread(stress(spark, sf), specs(spark, sf)))
-
-
 def swap_direction(spark, sf):
     return rounded(ops.check_swap_direction(specs(spark, sf), "both"))
 
 
-def time_stops(spark, sf):
-    return ops.notice_time_stop(exits(spark, sf))
-
-
 def findings_by_severity(spark, sf):
     sp = specs(spark, sf)
     return ops.severity_counts(ops.all_findings(
@@ -231,6 +223,9 @@ ht AS (SELECT requested, arg_min(cd.name, p) AS resolved FROM cd JOIN nm ON nm.n
 rs AS (SELECT rq.requested, coalesce(resolved, rq.requested) AS resolved, resolved IS NOT NULL AS "exists",
   CASE WHEN resolved IS NULL THEN '' ELSE substr(resolved, length(base) + 1) END AS suffix FROM rq LEFT JOIN ht ON ht.requested = rq.requested)"""
 
+STRESS_SQL = f"""WITH {_SPEC}, {_STRAT}, {_STRESS}
+SELECT * REPLACE ({rnd('value')} AS value, {rnd('"limit"')} AS "limit", {rnd('factor')} AS factor) FROM f6"""
+
 QUERIES = {
     "broker_specs": (broker_specs, f"""WITH {_SPEC}
 SELECT symbol, name, description, path, digits, point, spread, stops_level, {rnd('tick_value')} AS tick_value, tick_size, contract,
@@ -260,11 +255,7 @@ SELECT rq.symbol || 'm_exness' AS requested, rq.symbol, {rnd('swap_short * pv',
     "break_even": (break_even, f"""WITH {_SPEC}, {_STRAT}, {_BREAK}
 SELECT symbol, {rnd('rrr_from')} AS rrr_from, {rnd('rrr_to')} AS rrr_to, spread, {rnd('1 / (1 + rrr_to / 100)')} AS best_rate,
   {rnd('1 / (1 + rrr_from / 100)')} AS worst_rate, {rnd('spread / greatest(rrr_to, 1e-9)')} AS spread_extra FROM be"""),
-    "stress_spread": (stress_spread, f"""WITH {_SPEC}, {_STRAT}, {_STRESS}
-SELECT * REPLACE ({rnd('value')} AS value, {rnd('"limit"')} AS "limit", {rnd('factor')} AS factor) FROM f6"""),
     "swap_direction": (swap_direction, f"WITH {_SPEC} {_SWAPDIR.format('long')} UNION ALL {_SWAPDIR.format('short')}"),
-    "time_stops": (time_stops, """SELECT 'time_stop' AS "check", 'info' AS severity, 'P' || p_partkey AS symbol,
-  p_size::DOUBLE AS value, NULL::DOUBLE AS "limit" FROM part WHERE p_size > 25"""),
     "findings_by_severity": (findings_by_severity, f"""WITH {_SPEC}, {_STRAT}, {_TARGET}, {_SESS}, {_BREAK}, {_STRESS},
 af AS (SELECT severity FROM f1 UNION ALL SELECT severity FROM f2 UNION ALL SELECT severity FROM ({_SWAPDIR.format('short')})
   UNION ALL SELECT 'info' FROM be UNION ALL SELECT 'info' FROM part WHERE p_size > 25 UNION ALL SELECT severity FROM f6)

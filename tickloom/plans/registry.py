@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("bars", "indicators", "screen", "mining", "trades", "robustness", "costs", "results", "configs")
+MODULES = ("bars", "indicators", "screen", "mining", "trades", "robustness", "costs", "results", "configs", "archives")
 
 
 def _entries() -> dict:

@@ -102,18 +102,23 @@ def _members(path: str, content: bytes) -> Iterator[tuple]:
                 yield path, name, None, "unreadable member"
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(path, member, xml, error): the XML members of every archive under ``path``.
+def unpacked(files: DataFrame) -> DataFrame:
+    """(path, member, xml, error): the XML members of archives given as (path, content).
 
     What cannot be read (no archive, no XML, an encrypted or damaged member, an unknown encoding) is a row with its error.
     """
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
-                yield pd.DataFrame(list(_members(name, content)), columns=["path", "member", "xml", "error"])
+                for member in _members(name, content):  # one document at a time
+                    yield pd.DataFrame([member], columns=["path", "member", "xml", "error"])
+
+    return files.select("path", "content").mapInPandas(unpack, MEMBER_SCHEMA)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(unpack, MEMBER_SCHEMA)
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """The XML members of every archive under ``path``."""
+    return unpacked(spark.read.format("binaryFile").load(path))
 
 
 def root_tag(xml: Column) -> Column:

@@ -151,8 +151,8 @@ def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
 def read_trade_numbers(spark: SparkSession, path: str) -> DataFrame:
     """Trade results from text: one number per line, or the first result-like CSV column.
 
-    The first two lines tell the layout.  Returns (seq, r); ``seq`` follows the
-    order of the lines.  Lines that hold no number are dropped.
+    The first two lines tell the layout.  Returns (seq, r); ``seq`` follows the names of the
+    files and their lines.  Lines that hold no number are dropped.
     """
     lines = spark.read.text(path).filter(F.trim("value") != "")
     head = [row.value for row in lines.take(2)]
@@ -165,11 +165,8 @@ def read_trade_numbers(spark: SparkSession, path: str) -> DataFrame:
         text = F.regexp_replace(F.col(f"`{pick}`"), r"[ $]", "")
     else:
         raw, text = lines, F.trim("value")
-    parsed = raw.select(
-        F.monotonically_increasing_id().alias("_at"), text.try_cast("double").alias("r")
-    ).filter(F.col("r").isNotNull())
-    # line order: ids grow with (partition, row); number them in two levels
-    numbered = parsed.withColumn("_all", F.lit(0))
-    return dense_positions(
-        numbered, ["_all"], ["_at"], F.shiftright("_at", 16), "seq"
-    ).select("seq", "r")
+    # a piece of a file is read in order by one task, so ids grow with the lines of a piece
+    piece = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    parsed = raw.select(piece.alias("_piece"), F.monotonically_increasing_id().alias("_at"), text.try_cast("double").alias("r"))
+    numbered = parsed.filter(F.col("r").isNotNull()).withColumn("_all", F.lit(0))
+    return dense_positions(numbered, ["_all"], ["_at"], F.col("_piece"), "seq").select("seq", "r")
