@@ -5,15 +5,15 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from bar_helpers import frame, same, walk
+from bar_helpers import frame, path_outcome, same, walk
 from tickloom.functions.conditions import signal_bits
 from tickloom.functions.indicators import LOOKBACK, with_window_indicators
 from tickloom.functions.recursive import recursive_indicators
 from tickloom.operators import levels, mining, regimes, screen
 from tickloom.operators.blocks import (
-    exact_quantiles, index_bars, index_bars_with_vwap, own_rows, path_stats, to_blocks,
+    exact_quantiles, index_bars, index_bars_with_vwap, merge_tree, own_rows, path_stats, to_blocks,
 )
-from tickloom.operators.outcomes import MATRIX_RULES, SCHEMES, ExitRule, one_at_a_time, outcome_columns
+from tickloom.operators.outcomes import MATRIX_RULES, SCHEMES, ExitRule, PriceSide, _rule_results, one_at_a_time, outcome_columns
 from tickloom.session import materialise
 
 SMALL = {"size": 150, "warmup": 900}
@@ -151,6 +151,56 @@ def test_one_position_at_a_time(spark, size):
         assert list(got[got["series_id"] == s]["entry_idx"]) == want
 
 
+@pytest.mark.parametrize("fan_in", [2, 3])
+def test_positions_are_handed_down_a_tree(spark, fan_in):
+    rng = np.random.default_rng(8)
+    idx = {s: np.flatnonzero(rng.random(4000) < p) for s, p in (("dense", 0.6), ("sparse", 0.004), ("late", 0.01))}
+    idx["late"] = idx["late"][idx["late"] > 2500]
+    df = spark.createDataFrame([(s, int(i)) for s, a in idx.items() for i in a], "series_id string, entry_idx long")
+    got = frame(one_at_a_time(df, [], hold=37, size=50, fan_in=fan_in), "series_id", "entry_idx")
+    for s, a in idx.items():
+        want, busy = [], -1
+        for i in a:
+            if i > busy:
+                want.append(i)
+                busy = i + 37
+        assert list(got[got["series_id"] == s]["entry_idx"]) == want
+
+
+def test_ten_thousand_summaries_of_one_series(spark):
+    """No merge sees more than 64 blocks, and the result is that of the whole sequence."""
+    rng = np.random.default_rng(9)
+    x, lag = rng.normal(0.1, 1, 40_000), 3
+    rows = [("s", 0, b, lag + 1, "all", lag, *screen.summarise(x[4 * b: 4 * b + 4], lag)) for b in range(10_000)]
+    got = screen.merge_summaries(spark.createDataFrame(rows, screen.SUMMARY_SCHEMA)).collect()
+    mean, t = screen.t_of_summary(*screen.summarise(x, lag), lag)
+    assert [(r.n, round(r.mean, 10), round(r.t_stat, 8)) for r in got] == [(40_000, round(mean, 10), round(t, 8))]
+    sizes = []
+
+    def count(table):
+        sizes.append(table.num_rows)
+        return table.slice(0, 1)
+
+    assert [d.count() for d in merge_tree(spark.createDataFrame(rows[:300], screen.SUMMARY_SCHEMA), ["series_id"], count, 8)] == [300, 38, 5]
+
+
+@pytest.mark.parametrize("hold", [1, 2, 7, 5000])
+def test_first_hits_by_descent(hold):
+    """The first bar that meets a level, and the level, equal those of whole paths; equal prices and gaps too."""
+    rng = np.random.default_rng(hold)
+    n = 7000
+    close = np.round(100 + np.cumsum(rng.normal(0, 1, n)))
+    high, low = close + rng.integers(0, 3, n), close - rng.integers(0, 3, n)
+    at = np.r_[np.sort(rng.choice(n, 150, replace=False)), n - 1]
+    atr = rng.choice([0.5, 1.0, 4.0, 8.0], len(at))  # exact quotients: ties stay ties
+    for long in (True, False):
+        for stop, target, trail in ((2.0, None, None), (1.0, 2.0, None), (2.0, None, 1.0), (3.0, 4.0, 0.5), (50.0, None, 20.0)):
+            rule = ExitRule("r", long, stop, target, trail, hold)
+            got = _rule_results(PriceSide(low, high, close, long, hold), rule, at, close[at], atr)
+            want = [path_outcome(i, close, high, low, a, rule) if i < n - 1 else 0.0 for i, a in zip(at, atr)]
+            np.testing.assert_allclose(got, want, atol=1e-9)
+
+
 def test_levels_use_no_later_bars(spark, bars):
     """Appending bars never changes a level that was already known."""
     full = levels.level_rows(levels.prepare(bars))

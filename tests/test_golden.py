@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from bar_helpers import frame, walk
+from bar_helpers import frame, path_outcome, walk
 from tickloom.functions.columns import norm_symbol, number_of, text_of, two_sided_p, wilson_bounds
 from tickloom.functions.conditions import condition_names
 from tickloom.functions.indicators import with_window_indicators
@@ -57,24 +57,6 @@ def test_entry_without_atr_is_skipped(spark):
     assert outcome_of(spark, [100, 101, 102], ExitRule("r"), atr=0.0) is None
 
 
-def path_outcome(i, close, high, low, atr, rule):
-    """The outcome from whole paths, in units of ATR: the stop level of each bar, then the first bar that meets a level."""
-    side = 1.0 if rule.long else -1.0
-    path = slice(i + 1, min(i + rule.hold, len(close) - 1) + 1)
-    good, bad = (high, low) if rule.long else (low, high)
-    favourable, adverse = (side * (x[path] - close[i]) / atr for x in (good, bad))
-    levels = np.full(len(adverse), -rule.stop)
-    if rule.trail is not None and len(levels) > 1:
-        best = np.maximum.accumulate(np.maximum(favourable, 0.0))
-        levels[1:] = np.maximum(levels[1:], best[:-1] - rule.trail)
-    stopped = adverse <= levels
-    reached = favourable >= rule.target if rule.target is not None else np.zeros(len(levels), bool)
-    if not (stopped | reached).any():
-        return side * (close[path.stop - 1] - close[i]) / atr
-    first = int((stopped | reached).argmax())
-    return levels[first] if stopped[first] else rule.target
-
-
 def test_outcomes_match_whole_paths(spark, bars):
     rules = [ExitRule(f"r{k}", *spec) for k, spec in enumerate([
         (False, 2.0, None, 1.5, 24), (True, 2.0, None, 1.0, 24), (False, 1.0, 1.0, None, 5), (True, 1.5, 2.0, 0.5, 12), (False, 2.0, 2.0, None, 24),

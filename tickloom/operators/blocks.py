@@ -8,12 +8,17 @@ all bars is then just many blocks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tickloom.session import materialise
+
 BLOCK_ROWS = 65_536
+#: Consecutive blocks whose summaries are merged in one step.
+FAN_IN = 64
 
 SEGMENTS = {
     "day": lambda ts: F.to_date(ts),
@@ -133,6 +138,32 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(n), *keys)
 
 
+def merge_tree(
+    parts: DataFrame, keys: Sequence[str], combine: Callable[[pa.Table], pa.Table], fan_in: int = FAN_IN
+) -> list[DataFrame]:
+    """Levels of an ordered merge: ``parts``, then summaries of ``fan_in`` consecutive blocks each, and so on.
+
+    ``parts`` has the keys, ``blk`` and summary columns; ``combine`` gets the rows of up to ``fan_in`` blocks of one key, sorted
+    by block, and returns the rows of their merger (any ``blk``).  The last level has fewer than ``fan_in`` blocks a key, so
+    no task ever holds more of a key, however long its series.
+    """
+    levels = [materialise(parts)]
+    last = levels[0].agg(F.max("blk").alias("last")).first().last
+    shape, names = levels[0].schema, levels[0].columns
+
+    def merged(table: pa.Table) -> pa.Table:
+        up = table.column("up")[0]
+        out = combine(table.drop_columns(["up"]).sort_by("blk"))
+        place = pa.array([up.as_py()] * out.num_rows, pa.int64())
+        return out.set_column(out.schema.get_field_index("blk"), "blk", place).select(names)
+
+    while last is not None and last >= fan_in:
+        grouped = levels[-1].withColumn("up", F.expr(f"blk div {fan_in}")).groupBy(*keys, "up")
+        levels.append(materialise(grouped.applyInArrow(merged, shape)))
+        last //= fan_in
+    return levels
+
+
 def own_rows(blocked: DataFrame) -> DataFrame:
     """Keep each row once, in its home block."""
     return blocked.filter("own").drop("own")

@@ -85,6 +85,22 @@ def value_differences(options: DataFrame, pairs: DataFrame) -> DataFrame:
         "comparison_id", "key", F.col("_a.value").alias("value_a"), F.col("_b.value").alias("value_b"))
 
 
+def pair_summary(configs: DataFrame, blocks: DataFrame, setups: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Whether type and version agree, and how many blocks (all, active, active in both) and setups each side has."""
+    roles = _roles(pairs, ("a", "b"))
+    building = blocks.groupBy("config_id").agg(F.count(F.lit(1)).alias("total"), F.countDistinct(F.when(F.col("use"), F.col("key"))).alias("active"))
+    n_setups = setups.groupBy("config_id").agg(F.count(F.lit(1)).alias("setups"))
+    per = roles.join(configs.select("config_id", "type", "version"), "config_id", "left").join(building, "config_id", "left").join(n_setups, "config_id", "left")
+    counts = ("total", "active", "setups")
+    wide = per.groupBy("comparison_id").agg(
+        *[_side(r, F.col(c)).alias(f"{c}_{r}") for c in ("type", "version") for r in ("a", "b")],
+        *[F.coalesce(_side(r, F.col(c)), F.lit(0)).alias(f"{c}_{r}") for c in counts for r in ("a", "b")])
+    shared = block_differences(blocks, pairs).filter(F.col("where") == "both").groupBy("comparison_id").agg(F.count(F.lit(1)).alias("common"))
+    return wide.join(shared, "comparison_id", "left").select(
+        "comparison_id", F.col("type_a").eqNullSafe(F.col("type_b")).alias("type_match"), F.col("version_a").eqNullSafe(F.col("version_b")).alias("version_match"),
+        *[f"{c}_{r}" for c in ("type", *counts) for r in ("a", "b")], F.coalesce("common", F.lit(0)).alias("common"))
+
+
 def chart_lists(setups: DataFrame, pairs: DataFrame) -> DataFrame:
     """Whether both configurations chart the same symbols in the same order."""
     per = setups.groupBy("config_id").agg(F.array_sort(F.collect_list(F.struct("setup_idx", "symbols"))).alias("_s"))
@@ -127,6 +143,11 @@ def slpt_items(slpt: DataFrame) -> DataFrame:
     return slpt.filter(F.col("key").isin(*DRIFT_SLPT_KEYS)).select("config_id", F.concat(F.lit("slpt."), "key").alias("key"), "value")
 
 
+def fitness_items(fitness: DataFrame) -> DataFrame:
+    """The ranking of a configuration as one setting."""
+    return fitness.select("config_id", F.lit("fitness").alias("key"), F.concat_ws("/", "method", "use_by_index", "type").alias("value"))
+
+
 def ranking_items(conditions: DataFrame) -> DataFrame:
     kept = conditions.filter("use AND column IS NOT NULL AND numeric IS NOT NULL")
     return kept.select("config_id", F.concat_ws(" ", "column", "comparator").alias("key"), F.col("numeric").alias("value"))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.functions.columns import hour_between, no_zero, two_sided_p
 from tickloom.functions.conditions import condition_names, signal_bits
+from tickloom.operators.blocks import FAN_IN, merge_tree
 from tickloom.operators.splits import quantile_cut
 
 SCOPES = ("all", "is", "oos")
@@ -100,31 +101,42 @@ def block_summaries(bits: DataFrame, horizons: Sequence[int], n_signals: int) ->
     return bits.groupBy("series_id", "blk").applyInPandas(reduce_block, SUMMARY_SCHEMA)
 
 
-def merge_summaries(summaries: DataFrame) -> DataFrame:
-    """Combine the block summaries of each condition in block order."""
-
-    def merge(table: pa.Table) -> pa.Table:
-        rows = table.sort_by("blk").to_pydict()
-        series_id, signal_id = rows["series_id"][0], rows["signal_id"][0]
-        fields = ("horizon", "scope", "lag", "n", "s1", "s2", "cross", "head", "tail")
-        states: dict[tuple, tuple] = {}
-        for h, scope, lag, n, s1, s2, cross, head, tail in zip(*(rows[f] for f in fields)):
-            head, tail = np.asarray(head, float), np.asarray(tail, float)
-            if (h, scope) in states:
-                _, n0, s10, s20, cross0, head0, tail0 = states[h, scope]
-                cross += cross0 + seam_products(tail0, head, lag)
-                n, s1, s2 = n0 + n, s10 + s1, s20 + s2
-                head = np.concatenate([head0, head])[:lag]
-                both = np.concatenate([tail0, tail])
-                tail = both[len(both) - min(lag, len(both)):]
-            states[h, scope] = (lag, n, s1, s2, cross, head, tail)
-        out = [
-            (series_id, signal_id, h, scope, n, *t_of_summary(n, s1, s2, cross, head, tail, lag))
-            for (h, scope), (lag, n, s1, s2, cross, head, tail) in states.items()
-        ]
+_STATE = ("lag", "n", "s1", "s2", "cross", "head", "tail")
+
+
+def _in_order(table: pa.Table) -> dict[tuple, tuple]:
+    """Summaries of consecutive blocks merged, by horizon and scope."""
+    rows, states = table.to_pydict(), {}
+    for h, scope, lag, n, s1, s2, cross, head, tail in zip(rows["horizon"], rows["scope"], *(rows[f] for f in _STATE)):
+        head, tail = np.asarray(head, float), np.asarray(tail, float)
+        if (h, scope) in states:
+            _, n0, s10, s20, cross0, head0, tail0 = states[h, scope]
+            cross += cross0 + seam_products(tail0, head, lag)
+            n, s1, s2 = n0 + n, s10 + s1, s20 + s2
+            head = np.concatenate([head0, head])[:lag]
+            both = np.concatenate([tail0, tail])
+            tail = both[len(both) - min(lag, len(both)):]
+        states[h, scope] = (lag, n, s1, s2, cross, head, tail)
+    return states
+
+
+def merge_summaries(summaries: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
+    """Combine the block summaries of each condition in block order, ``fan_in`` blocks at a time."""
+    keys = ("series_id", "signal_id")
+
+    def combine(table: pa.Table) -> pa.Table:
+        states = _in_order(table)
+        first = [{**{k: table.column(k)[0].as_py() for k in keys}, "blk": 0, "horizon": h, "scope": scope,
+                  **{f: v.tolist() if isinstance(v, np.ndarray) else v for f, v in zip(_STATE, state)}} for (h, scope), state in states.items()]
+        return pa.Table.from_pylist(first, schema=table.schema)
+
+    def finish(table: pa.Table) -> pa.Table:
+        series_id, signal_id = (table.column(k)[0].as_py() for k in keys)
+        out = [(series_id, signal_id, h, scope, n, *t_of_summary(n, s1, s2, cross, head, tail, lag))
+               for (h, scope), (lag, n, s1, s2, cross, head, tail) in _in_order(table.sort_by("blk")).items()]
         return pa.table(dict(zip(MERGED_ARROW.names, zip(*out))), schema=MERGED_ARROW)
 
-    return summaries.groupBy("series_id", "signal_id").applyInArrow(merge, MERGED_SCHEMA)
+    return merge_tree(summaries, keys, combine, fan_in)[-1].groupBy(*keys).applyInArrow(finish, MERGED_SCHEMA)
 
 
 def check_direction(direction: str) -> None:

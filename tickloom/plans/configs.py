@@ -42,6 +42,13 @@ CORPUS = {
       UNION ALL SELECT config_id, 'PickerMaxOpenPositionsShort', CAST(n % 9 AS STRING) FROM {g}
       UNION ALL SELECT config_id, 'PickerMaxOpenPositionsLong', CAST(s % 9 AS STRING) FROM {g} WHERE s % 4 > 0
       UNION ALL SELECT config_id, 'RealisticGapsHandling', CASE WHEN s % 5 > 1 THEN 'true' ELSE 'false' END FROM {g}""",
+    "slpt": """SELECT config_id, 'MinSLInPips' AS key, CAST(n % 7 AS STRING) AS value FROM {g}
+      UNION ALL SELECT config_id, 'MinPTInPips', CAST(s % 5 * 10 AS STRING) FROM {g} WHERE s % 3 > 0
+      UNION ALL SELECT config_id, 'LimitSLPTRRR', CASE WHEN d > 0.05 THEN 'true' ELSE 'false' END FROM {g}
+      UNION ALL SELECT config_id, 'SLRequired', 'true' FROM {g}""",
+    "fitness": """SELECT s_suppkey AS config_id, 'F' || CAST(s_nationkey % 3 AS STRING) AS method, CASE WHEN s_suppkey % 4 = 0 THEN 'true' ELSE 'false' END AS by_index,
+        CASE WHEN s_nationkey > 5 THEN 'first' END AS type FROM {supplier}""",
+    "config": "SELECT s_suppkey AS config_id, CASE WHEN s_nationkey % 4 = 0 THEN 'retester' ELSE 'build' END AS type, CASE WHEN s_acctbal > 1000 THEN '139' END AS version FROM {supplier}",
     "conditions": """SELECT l_suppkey AS config_id, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS condition_idx,
         CASE l_returnflag WHEN 'A' THEN 'Net Profit' WHEN 'N' THEN '# Trades' ELSE 'Max Drawdown %' END AS column,
         CASE l_returnflag WHEN 'R' THEN '<=' ELSE '>=' END AS comparator, CAST(count(*) AS STRING) AS numeric, avg(l_discount) > 0.048 AS use
@@ -146,9 +153,20 @@ def chart_lists(spark, sf):
     return c.select("comparison_id", F.array_join("charts_a", ",").alias("charts_a"), F.array_join("charts_b", ",").alias("charts_b"), "charts_match")
 
 
+def pair_summary(spark, sf):
+    return ops.pair_summary(corpus(spark, sf, "config"), building(spark, sf), corpus(spark, sf, "setups"), corpus(spark, sf, "pairs"))
+
+
+def target_differences(spark, sf):
+    """Stop and target settings, and how candidates are ranked, that differ between two configurations."""
+    fitness = ops.fitness_items(corpus(spark, sf, "fitness").withColumnRenamed("by_index", "use_by_index"))
+    return ops.value_differences(corpus(spark, sf, "slpt").unionByName(fitness), corpus(spark, sf, "pairs"))
+
+
 def _drifts(spark, sf):
     t = corpus(spark, sf, "triples")
     settings = ops.trading_items(corpus(spark, sf, "options")).unionByName(ops.exit_items(corpus(spark, sf, "blocks")))
+    settings = settings.unionByName(ops.slpt_items(corpus(spark, sf, "slpt"))).unionByName(ops.fitness_items(corpus(spark, sf, "fitness").withColumnRenamed("by_index", "use_by_index")))
     return ops.drift(settings, t).unionByName(ops.drift(ops.ranking_items(corpus(spark, sf, "conditions")), t, True))
 
 
@@ -272,16 +290,20 @@ def config_kinds(spark, sf):
 
 _ROLES2 = "r AS (SELECT comparison_id, 'a' AS role, a AS config_id FROM pairs UNION ALL SELECT comparison_id, 'b', b FROM pairs)"
 _ACT = """act AS (SELECT * FROM blocks WHERE "use" AND container = 'building')"""
-_DRIFT = f"""{_ctes('g', 'options', 'blocks', 'conditions', 'triples')},
+_FIT = "SELECT config_id, 'fitness', concat_ws('/', method, by_index, type) FROM fitness"
+_DRIFT = f"""{_ctes('g', 'options', 'slpt', 'fitness', 'blocks', 'conditions', 'triples')},
 it AS (SELECT config_id, 'trading.' || key AS key, value, 0 AS rk FROM options WHERE key <> 'MinimumSL'
+  UNION ALL SELECT config_id, 'slpt.' || key, value, 0 FROM slpt WHERE key <> 'SLRequired'
+  UNION ALL SELECT *, 0 FROM ({_FIT})
   UNION ALL SELECT config_id, 'exit.' || key, ("use"::VARCHAR) || '/' || coalesce(probability, ''), 0 FROM blocks WHERE container = 'exit'
   UNION ALL SELECT config_id, "column" || ' ' || comparator, numeric, 1 FROM conditions WHERE "use"),
-ks AS (SELECT DISTINCT comparison_id, it.key, it.rk FROM triples JOIN it ON it.config_id IN (generated, saved)),
-dr AS (SELECT ks.comparison_id, ks.key, ks.rk, b.value AS base, g1.value AS generated, s.value AS saved FROM ks JOIN triples t ON t.comparison_id = ks.comparison_id
-  LEFT JOIN it b ON b.config_id = t.base AND b.key = ks.key LEFT JOIN it g1 ON g1.config_id = t.generated AND g1.key = ks.key
-  LEFT JOIN it s ON s.config_id = t.saved AND s.key = ks.key),
+ro AS (SELECT comparison_id, 'base' AS role, base AS config_id FROM triples UNION ALL SELECT comparison_id, 'generated', generated FROM triples
+  UNION ALL SELECT comparison_id, 'saved', saved FROM triples),
+dr AS (SELECT comparison_id, key, rk, max(value) FILTER (role = 'base') AS base, max(value) FILTER (role = 'generated') AS generated,
+  max(value) FILTER (role = 'saved') AS saved FROM ro JOIN it ON it.config_id = ro.config_id GROUP BY 1, 2, 3),
 df AS (SELECT comparison_id, key, CASE WHEN generated IS NOT DISTINCT FROM saved THEN 'same' WHEN saved IS NOT DISTINCT FROM base THEN 'reverted'
-  WHEN rk = 1 AND saved IS NULL THEN 'reverted' ELSE 'changed' END AS status, base, generated, saved FROM dr)"""
+  WHEN rk = 1 AND saved IS NULL THEN 'reverted' ELSE 'changed' END AS status, base, generated, saved FROM dr
+  WHERE generated IS NOT NULL OR saved IS NOT NULL)"""
 _DATES = f"""{_ctes('setups', 'ranges')},
 o AS (SELECT config_id, sum(date_to - date_from)::BIGINT AS oos_days, count(*) AS n, min(date_from) AS a, max(date_to) AS b FROM ranges GROUP BY 1),
 j AS (SELECT s.config_id, date_from AS is_from, date_to AS is_to, (date_to - date_from)::INT AS is_days, coalesce(n, 0) AS n, oos_days, a, b
@@ -315,6 +337,21 @@ FROM ka FULL JOIN kb ON ka.comparison_id = kb.comparison_id AND ka.key = kb.key
 SELECT comparison_id, array_to_string(x.symbols, ',') AS charts_a, array_to_string(y.symbols, ',') AS charts_b,
   x.symbols IS NOT DISTINCT FROM y.symbols AS charts_match
 FROM pairs LEFT JOIN setups x ON x.config_id = a LEFT JOIN setups y ON y.config_id = b"""),
+    "pair_summary": (pair_summary, f"""{_ctes('blocks', 'config', 'setups', 'pairs')}, {_ACT}, {_ROLES2},
+bb AS (SELECT config_id, count(*) AS total, count(DISTINCT key) FILTER ("use") AS active FROM blocks WHERE container = 'building' GROUP BY 1),
+st AS (SELECT config_id, count(*) AS n FROM setups GROUP BY 1),
+both_ AS (SELECT comparison_id, count(*) AS common FROM (SELECT comparison_id, key FROM (SELECT DISTINCT comparison_id, role, key FROM act JOIN r ON r.config_id = act.config_id)
+  GROUP BY 1, 2 HAVING count(*) = 2) GROUP BY 1)
+SELECT p.comparison_id, x.type IS NOT DISTINCT FROM y.type AS type_match, x.version IS NOT DISTINCT FROM y.version AS version_match, x.type AS type_a, y.type AS type_b,
+  coalesce(bx.total, 0) AS total_a, coalesce(by_.total, 0) AS total_b, coalesce(bx.active, 0) AS active_a, coalesce(by_.active, 0) AS active_b,
+  coalesce(sx.n, 0) AS setups_a, coalesce(sy.n, 0) AS setups_b, coalesce(common, 0) AS common
+FROM pairs p LEFT JOIN config x ON x.config_id = a LEFT JOIN config y ON y.config_id = b LEFT JOIN bb bx ON bx.config_id = a LEFT JOIN bb by_ ON by_.config_id = b
+  LEFT JOIN st sx ON sx.config_id = a LEFT JOIN st sy ON sy.config_id = b LEFT JOIN both_ ON both_.comparison_id = p.comparison_id"""),
+    "target_differences": (target_differences, f"""{_ctes('g', 'slpt', 'fitness', 'pairs')},
+it AS (SELECT * FROM slpt UNION ALL {_FIT}),
+ka AS (SELECT comparison_id, key, value FROM pairs JOIN it ON config_id = a), kb AS (SELECT comparison_id, key, value FROM pairs JOIN it ON config_id = b)
+SELECT coalesce(ka.comparison_id, kb.comparison_id) AS comparison_id, coalesce(ka.key, kb.key) AS key, ka.value AS value_a, kb.value AS value_b
+FROM ka FULL JOIN kb ON ka.comparison_id = kb.comparison_id AND ka.key = kb.key WHERE ka.value IS DISTINCT FROM kb.value"""),
     "setting_drift": (setting_drift, f"{_DRIFT} SELECT * FROM df"),
     "drift_summary": (drift_summary, f"""{_DRIFT}
 SELECT comparison_id, sum((status = 'same')::INT)::BIGINT AS same, sum((status = 'reverted')::INT)::BIGINT AS reverted,
