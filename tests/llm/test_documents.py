@@ -100,8 +100,37 @@ def test_one_of_each_class_stays(odd_docs):
 
 
 def test_prefixes_are_shortened_to_the_recall():
-    depth = ngram_join.prefix_depth(0.8, 16, 8, 0.995)
-    assert 1 - (1 - 0.8 ** depth) ** 16 >= 0.995 > 1 - (1 - 0.8 ** (depth + 1)) ** 16
+    assert ngram_join.depths() == [8, 7] and ngram_join.recall_at(7) >= ngram_join.RECALL > ngram_join.recall_at(8)
+    assert ngram_join.depths(0.8, 4, 8, 0.999)[-1] < 4 and ngram_join.depths(0.8, 32, 8, 0.5) == [8]
+
+
+def made_words(seed, n):
+    return [f"w{x}" for x in np.random.default_rng(seed).integers(0, 10 ** 9, n)]
+
+
+def test_pages_of_one_template_do_not_chain(spark):
+    """400 pages share 70 % of their words with all others, and no two are near: no group is verified pair by pair."""
+    head = made_words(0, 140)
+    pages = [(k, " ".join([*head, *made_words(k + 1, 60)])) for k in range(400)]
+    pages += [(1000 + k, " ".join([*made_words(5000, 200)[:-1], f"end{k}"])) for k in range(3)]
+    docs = spark.createDataFrame(pages, "row long, text string")
+    signed = ngram_join.signatures(docs, "row", "text").withColumnRenamed("row", "rep").select("rep", "labels").cache()
+    groups = ngram_join._candidate_groups(signed, 0.8, ngram_join.TREES, ngram_join.LABEL, ngram_join.RECALL)
+    assert sorted(map(tuple, groups.collect())) == [(1000 + k, 1000) for k in range(3)]
+    blocked = ngram_join._candidate_groups(signed, 0.8, ngram_join.TREES, ngram_join.LABEL, ngram_join.RECALL, block=50)
+    assert sorted(map(tuple, blocked.collect())) == [(1000 + k, 1000) for k in range(3)]
+
+
+def test_recall_of_planted_pairs(spark):
+    """Pairs at a similarity from 0.8 on are found; 300 of them lie right at the threshold."""
+    rows = []
+    for k in range(600):
+        words = made_words(10_000 + k, 204)  # 200 shingles; the last n words differ
+        n = 22 if k < 300 else 5 + k % 17
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:-n], *made_words(50_000 + k, n)]))]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert (200 - 22) / (200 + 22) >= 0.8 > (200 - 23) / (200 + 23)
+    assert sum(r.n_links == 1 for r in got) >= 0.995 * 1200 and all(r.class_id // 2 == r.doc_id // 2 for r in got)
 
 
 @pytest.mark.parametrize("part_bytes", [1 << 20, 200])

@@ -2,12 +2,14 @@
 
 Documents with equal shingle sets are one class, found by a 128-bit digest of the set, and only
 one member of a class goes on.  A forest of MinHash tries proposes candidates: each tree
-labels a class with a sequence of minima, and classes that share a prefix are neighbours in
-the sorted trie.  The prefix is shortened from the full label until pairs at the threshold
-are met with the target recall (``prefix_depth``).
-
-Neighbours are linked to the smallest of their prefix, and the components of these links are
-the candidate groups; each class ships its text to its group once.  Groups larger than a block
+labels a class with a sequence of minima, and the classes below a node of the trie share a prefix of their labels.
+Classes meet at the full label first.  The prefix is shortened, one minimum at a time, for the classes that have
+found no partner yet, until a pair at the threshold is met with the target recall (``recall_at``).
+
+Who meets is not yet linked: all minima of both labels estimate their similarity, and only estimates
+within four standard errors of the threshold go on, so pages that share a template do not chain.  In a node every class is
+compared with the smallest one; nodes in which that fails for some are compared pair by pair, in blocks.
+The components of these links are the candidate groups; each class ships its text to its group once.  Groups larger than a block
 are cut into blocks, and every pair of blocks is verified by exact set intersection, so a
 large group is many tasks and no pair is emitted: a block pair returns, per document,
 the number of links and one spanning link.
@@ -20,6 +22,7 @@ smallest non-null id of the class.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,19 +35,29 @@ from tickloom.llm.shingles import mix, shingles
 from tickloom.session import materialise
 
 THRESHOLD = 0.8
-TREES, LABEL = 16, 8
-RECALL = 0.995
-#: Classes verified against each other in one task.
-BLOCK = 256
+TREES, LABEL = 32, 8
+RECALL = 0.999
+#: Classes verified against each other in one task, and labels compared with each other.
+BLOCK, LABEL_BLOCK = 256, 1024
 _SLICE = 1 << 20
 
 
-def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, label: int = LABEL, recall: float = RECALL) -> int:
-    """Shorten the full label until a pair at the threshold shares a prefix in some tree with the target recall."""
-    depth = label
-    while depth > 1 and 1 - (1 - threshold ** depth) ** trees < recall:
-        depth -= 1
-    return depth
+def recall_at(depth: int, threshold: float = THRESHOLD, trees: int = TREES) -> float:
+    """Probability that a pair at the threshold shares a prefix of ``depth`` minima in some tree."""
+    return 1 - (1 - threshold ** depth) ** trees
+
+
+def depths(threshold: float = THRESHOLD, trees: int = TREES, label: int = LABEL, recall: float = RECALL) -> list[int]:
+    """The full label, then shorter and shorter prefixes until the target recall is met."""
+    out = [label]
+    while out[-1] > 1 and recall_at(out[-1], threshold, trees) < recall:
+        out.append(out[-1] - 1)
+    return out
+
+
+def least_estimate(threshold: float, n: int) -> float:
+    """Share of ``n`` equal minima that a pair at the threshold falls below once in 30,000 times."""
+    return threshold - 4 * math.sqrt(threshold * (1 - threshold) / n)
 
 
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +66,7 @@ def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, row: str, text: str, trees: int = TREES, label: int = LABEL) -> DataFrame:
-    """``row``, the distinct shingles' number and digest, and the labels of all trees as 32-bit minima."""
+    """``row``, the distinct shingles' number and digest, and the labels of all trees as 16-bit minima."""
     shift, factor = _seeds(trees * label)
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,10 +74,10 @@ def signatures(docs: DataFrame, row: str, text: str, trees: int = TREES, label:
             h, bounds = shingles(part.column(text).to_pylist())
             n = np.diff(bounds)
             some = np.flatnonzero(n)
-            minima = np.zeros((part.num_rows, trees * label), np.uint32)
+            minima = np.zeros((part.num_rows, trees * label), np.uint16)
             for k in range(trees * label if len(some) else 0):
                 m = np.minimum.reduceat((h ^ shift[k]) * factor[k], bounds[some])
-                minima[some, k] = (mix(m) >> np.uint64(32)).astype(np.uint32)
+                minima[some, k] = (mix(m) >> np.uint64(48)).astype(np.uint16)
             size, a, b = np.zeros(len(n), np.int64), np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
             for i in some:
                 own = np.unique(h[bounds[i]: bounds[i + 1]])
@@ -78,15 +91,71 @@ def signatures(docs: DataFrame, row: str, text: str, trees: int = TREES, label:
     return docs.select(row, text).mapInArrow(sign, f"{row} long, size long, a long, b long, labels binary")
 
 
-def _candidate_groups(classes: DataFrame, trees: int, label: int, depth: int) -> DataFrame:
-    """``(vertex, component)``: classes that are connected by shared prefixes."""
-    step = 4 * label
+def _nodes(classes: DataFrame, trees: int, label: int, depth: int) -> DataFrame:
+    """``(rep, node)``: the node of every tree that a class lies below at a depth."""
+    step = 2 * label
     prefix = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)),
-                         lambda t: F.struct(t.alias("tree"), F.substring("labels", t * step + 1, F.lit(4 * depth)).alias("prefix")))
-    keys = classes.select("rep", F.explode(prefix).alias("p")).select("rep", F.xxhash64("p.tree", "p.prefix").alias("node"))
-    heads = keys.groupBy("node").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    links = keys.join(heads, "node").where(F.col("rep") != F.col("head")).select("rep", "head")
-    return components(links, "rep", "head")
+                         lambda t: F.struct(t.alias("tree"), F.substring("labels", t * step + 1, F.lit(2 * depth)).alias("prefix")))
+    return classes.select("rep", F.explode(prefix).alias("p")).select("rep", F.xxhash64("p.tree", "p.prefix").alias("node"))
+
+
+def _minima(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
+
+
+def _close_pairs(pairs: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """The pairs ``(rep, head)`` whose labels agree in a large enough share."""
+    both = pairs.join(labels.select("rep", F.col("labels").alias("a")), "rep").join(
+        labels.select(F.col("rep").alias("head"), F.col("labels").alias("b")), "head")
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                equal = (_minima(batch.column("a")) == _minima(batch.column("b"))).mean(axis=1) >= least
+                yield batch.select(["rep", "head"]).filter(pa.array(equal))
+
+    return both.select("rep", "head", "a", "b").mapInArrow(compare, "rep long, head long")
+
+
+def _links_in_nodes(members: DataFrame, labels: DataFrame, least: float, block: int) -> DataFrame:
+    """Spanning links among the classes of each node whose labels agree, pair by pair of blocks."""
+    sizes = members.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    rows = members.join(sizes, "node").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.join(labels, "rep").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("node", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "rep", "labels")
+
+    def compare(table: pa.Table) -> pa.Table:
+        names, minima = table.column("rep").to_numpy(), _minima(table.column("labels"))
+        equal = np.zeros((len(names), len(names)), np.uint16)
+        for k in range(minima.shape[1]):
+            equal += minima[:, k, None] == minima[None, :, k]
+        root = _labels(equal >= least * minima.shape[1], names)
+        linked = names != root
+        return pa.table({"rep": names[linked], "head": root[linked]})
+
+    return rows.groupBy("node", "i", "j").applyInArrow(compare, "rep long, head long")
+
+
+def _candidate_groups(classes: DataFrame, threshold: float, trees: int, label: int, recall: float, block: int = LABEL_BLOCK) -> DataFrame:
+    """``(vertex, component)``: classes that are connected by estimated links."""
+    least, found = least_estimate(threshold, trees * label), None
+    for depth in depths(threshold, trees, label, recall):
+        keys = _nodes(classes, trees, label, depth)
+        if found is None:
+            heads = keys.groupBy("node").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        else:  # nodes with a class that has no partner yet
+            partnered = found.select("rep").union(found.select("head")).distinct().withColumn("partnered", F.lit(True))
+            keys = keys.join(partnered, "rep", "left")
+            heads = keys.groupBy("node").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n"), F.count("partnered").alias("old")).where("n > 1 and old < n")
+        # stored, so that the joins are plain ones, of which AQE splits the hot nodes
+        star = materialise(keys.join(materialise(heads.select("node", "head")), "node").where("rep <> head").select("rep", "head", "node"))
+        pairs = star.select("rep", "head").distinct()
+        close = materialise(_close_pairs(pairs, classes, least))
+        apart = materialise(star.join(close, ["rep", "head"], "left_anti").select("node", "head").distinct())
+        members = star.join(apart.select("node"), "node", "left_semi").select("node", "rep").unionByName(apart.select("node", F.col("head").alias("rep")))
+        links = close.unionByName(materialise(_links_in_nodes(members, classes, least, block)))
+        found = links if found is None else found.unionByName(links)
+    return components(found, "rep", "head")
 
 
 def _intersections(sets: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
@@ -163,8 +232,8 @@ def similarity_groups(stored: DataFrame, row: str, text: str, threshold: float =
     signed = materialise(signatures(stored, row, text, trees, label))
     classes = materialise(signed.where("size > 0").groupBy("a", "b", "size").agg(
         F.min(row).alias("rep"), F.count(F.lit(1)).alias("copies")))
-    labelled = signed.join(classes.select(F.col("rep").alias(row), "copies"), row).select(F.col(row).alias("rep"), "labels")
-    groups = materialise(_candidate_groups(labelled, trees, label, prefix_depth(threshold, trees, label, recall)))
+    labelled = materialise(signed.join(classes.select(F.col("rep").alias(row)), row).select(F.col(row).alias("rep"), "labels"))
+    groups = materialise(_candidate_groups(labelled, threshold, trees, label, recall))
     blocks = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
     members = groups.withColumnRenamed("vertex", "rep").join(blocks, "component").join(classes.select("rep", "copies"), "rep")
     members = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
