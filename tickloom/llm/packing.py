@@ -154,32 +154,27 @@ def slots(patterns: list[tuple[list[int], int]]) -> list[tuple[int, int, int, in
 def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to stored pieces with lengths from 1 to ``capacity``."""
     spark = pieces.sparkSession
-    if {"_part", "_rank", "_base", "_nth"} & set(pieces.columns):
-        raise ValueError("columns _part, _rank, _base and _nth are used by pack()")
-    stored = materialise(pieces.withColumn("_part", F.spark_partition_id()))
-    sizes = stored.groupBy(length_col, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = materialise(sizes)
-    counts = {r[0]: r[1] for r in sizes.groupBy(length_col).agg(F.sum("_n")).collect()}
+    given = F.struct(*[F.col(f"`{c}`") for c in pieces.columns])
+    stored = materialise(pieces.select(given.alias("given"), F.col(f"`{length_col}`").alias("length"), F.spark_partition_id().alias("part")))
+    sizes = materialise(stored.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")))
+    counts = {r["length"]: r.n for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = slots(plan(counts, capacity))
-    base = sizes.select(length_col, "_part", (
-        F.sum("_n").over(Window.partitionBy(length_col).orderBy("_part")) - F.col("_n")).alias("_base"))
-    inside = Window.partitionBy("_part", length_col).orderBy(*[c for c in pieces.columns if c != length_col])
-    ranked = stored.withColumn("_nth", F.row_number().over(inside) - 1).join(base, [length_col, "_part"])
+    # one row per partition and length: they grow with the pieces, so they are merged, never broadcast
+    base = sizes.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("base"))
+    inside = Window.partitionBy("part", "length").orderBy(*[F.col(f"given.`{c}`") for c in pieces.columns if c != length_col])
+    ranked = stored.withColumn("nth", F.row_number().over(inside) - 1).join(base.hint("merge"), ["part", "length"])
+    ranked = ranked.withColumn("rank", F.col("base") + F.col("nth"))
     # the slots of each length as sorted ranges of ranks: their number is bounded by the patterns and their places
     by_length: dict[int, list] = {}
     for length, first, end, sequence, offset in places:
         by_length.setdefault(length, []).append((first, end, sequence, offset))
-    rank = F.col("_base") + F.col("_nth")
-    ranked = ranked.withColumn("_rank", rank)
-
-    names = [f.name for f in pieces.schema.fields]
     shared = spark.sparkContext.broadcast({k: np.asarray(v, np.int64) for k, v in by_length.items()})
-    shape = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    shape = T.StructType([stored.schema["given"], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length = batch.column(length_col).to_numpy(zero_copy_only=False)
-            rank = batch.column("_rank").to_numpy(zero_copy_only=False)
+            length = batch.column("length").to_numpy(zero_copy_only=False)
+            rank = batch.column("rank").to_numpy(zero_copy_only=False)
             sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             order = np.argsort(length, kind="stable")
             edges = np.flatnonzero(np.r_[True, np.diff(length[order]) != 0, True]) if len(order) else []
@@ -189,7 +184,7 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY
                 k = np.searchsorted(ranges[:, 0], rank[at], "right") - 1
                 sequence[at] = ranges[k, 2] + rank[at] - ranges[k, 0]
                 offset[at] = ranges[k, 3]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in names], pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([batch.column("given"), pa.array(sequence), pa.array(offset)], names=["given", "sequence_id", "offset"])
 
-    return ranked.select(*names, "_rank").mapInArrow(place, shape)
+    made = ranked.select("given", "length", "rank").mapInArrow(place, shape)
+    return made.select(*[F.col(f"given.`{c}`").alias(c) for c in pieces.columns], "sequence_id", "offset")
