@@ -141,7 +141,7 @@ def test_tool_calls(spark, chat):
     assert by[1, "a", 1].status == "linked" and by[1, "a", 1].valid and by[1, "a", 1].result_turn == 2
     assert by[1, "a", 1].json == '{"arguments":{"n":3,"q":"é \\"x\\"\\n"},"id":"a","name":"find","result":"ok","status":"linked"}'
     assert by[1, "a", 4].status == "unanswered" and by[1, "zz", None].status == "orphan" and by[1, "zz", None].valid is None
-    assert [by[2, k, 0].level for k in "xyz"] == [2, 1, 0] and by[1, "b", 1].level == 0
+    assert [by[2, k, 0].level for k in "xyz"] == [2, 1, 0] and by[1, "b", 1].level == 1 and by[1, "a", 1].level == 0
     assert by[3, "p", 0].level is None and by[3, "q", 0].level is None
     assert by[4, "m", 0].errors == "unknown tool" and by[4, None, 0].status == "unanswered"
     assert by[4, "n", 0].errors == "$.more: unknown; $.n: out of bounds; $.q: too short; $.tags[1]: not allowed"
@@ -149,6 +149,25 @@ def test_tool_calls(spark, chat):
     assert len(rows) == 14
 
 
+def test_levels_match_a_walk(spark):
+    """Random references, back, ahead, to unknown calls and in cycles, against a depth-first walk."""
+    rng = np.random.default_rng(11)
+    needs = {c: {f"k{i}": sorted({f"k{x}" for x in rng.integers(0, 14, rng.integers(0, 3))}) for i in range(12)} for c in range(40)}
+    rows = [(c, i, "assistant", called((name, "find", {"q": [{"$result": x} for x in wanted]}))) for c, of in needs.items() for i, (name, wanted) in enumerate(of.items())]
+    rows += [(100, i, "assistant", called((f"k{i}", "find", {"q": {"$result": f"k{i - 1}"}}))) for i in range(1, 9)]
+    needs[100] = {f"k{i}": [f"k{i - 1}"] for i in range(1, 9)}
+
+    def level(c, name, above=()):
+        if name in above:
+            return None
+        below = [level(c, x, (*above, name)) for x in needs[c][name] if x in needs[c]]
+        return None if None in below else 1 + max(below) if below else 0
+
+    got = linked(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.call_id): r.level for r in got} == {(c, name): level(c, name) for c in needs for name in needs[c]}
+    assert {r.level for r in got} >= {None, 0, 1, 2, 7}
+
+
 def test_no_tool_calls(spark, chat):
     assert linked(spark, chat.where("false")).count() == 0
     assert linked(spark, chat.where("role = 'user'")).count() == 0

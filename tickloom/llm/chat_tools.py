@@ -5,10 +5,9 @@ a result a tool's text ``{"tool_call_id", "content"}``.  Both sides are hash-joi
 conversation and id; the n-th call of an id takes its n-th result.
 
 Order is topological: a call comes after the calls that its arguments refer to
-(``{"$result": "<id>"}`` at any depth).  Where every reference points back, the order of the
-messages is such an order already and level is 0 throughout.  Only conversations with a
-reference that points ahead are peeled, level by level, with one join per level; calls on a
-cycle get no level.  Records carry their sort key (level, turn, number), so no
+(``{"$result": "<id>"}`` at any depth), whether they stand before or behind it.  A call without a reference has level 0, another
+one the level after the highest that it needs.  References are peeled, level by level, with two joins per level over
+those that are left; calls on a cycle or behind one get no level.  Records carry their sort key (level, turn, number), so no
 conversation, however long, is ever gathered.
 
 Defined results: null, empty and non-JSON texts hold neither calls nor results.  Status is
@@ -21,7 +20,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -50,9 +49,16 @@ def tool_results(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
 
 def link(calls: DataFrame, results: DataFrame) -> DataFrame:
     """Full outer join of calls and results by conversation, id and repetition."""
-    a = calls.withColumn("nth", F.row_number().over(Window.partitionBy("conv_id", "call_id").orderBy("turn", "number", "name", "arguments")))
-    b = results.withColumn("nth", F.row_number().over(Window.partitionBy("conv_id", "call_id").orderBy("result_turn", "content")))
-    a, b = a.withColumn("called", F.lit(True)), b.withColumn("answered", F.lit(True))
+    named = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+
+    def numbered(rows: DataFrame, mark: str, *order: str) -> DataFrame:
+        # rows without an id are set aside: they are no group, and meet nothing
+        nth = F.row_number().over(Window.partitionBy("conv_id", "call_id").orderBy(*order))
+        known = rows.where(named).withColumn("nth", nth)
+        return known.unionByName(rows.where(~named).withColumn("nth", F.lit(None).cast("int"))).withColumn(mark, F.lit(True))
+
+    a = numbered(calls, "called", "turn", "number", "name", "arguments")
+    b = numbered(results, "answered", "result_turn", "content")
     both = a.join(b, ["conv_id", "call_id", "nth"], "full")
     status = F.when(F.col("called").isNull(), "orphan").when(F.col("answered").isNull(), "unanswered").otherwise("linked")
     return both.withColumn("status", status).drop("called", "answered")
@@ -62,33 +68,23 @@ _REFERENCE = r'"\$result"\s*:\s*"((?:[^"\\]|\\.)*)"'
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """``(conv_id, call_id, level)`` for conversations with a reference to a later call; null on and behind cycles."""
-    spark = calls.sparkSession
-    first = calls.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "number")).alias("at"))
-    uses = calls.select("conv_id", "call_id", F.explode(F.regexp_extract_all("arguments", F.lit(_REFERENCE), 1)).alias("needs")).distinct()
-    edges = uses.join(first, ["conv_id", "call_id"]).join(
-        first.select("conv_id", F.col("call_id").alias("needs"), F.col("at").alias("needed_at")), ["conv_id", "needs"])
-    edges = materialise(edges.select("conv_id", "call_id", "needs", (F.col("needed_at") >= F.col("at")).alias("ahead")))
-    odd = edges.where("ahead").select("conv_id").distinct()
-    shape = "conv_id {0}, call_id string, level int".format(calls.schema["conv_id"].dataType.simpleString())
-    if odd.isEmpty():
-        return spark.createDataFrame([], shape)
-    odd = materialise(odd)
-    edges = materialise(edges.join(odd, "conv_id").select("conv_id", "call_id", "needs"))
-    left = materialise(first.join(odd, "conv_id").select("conv_id", "call_id"))
-    done, level = None, 0
-    while True:
-        waiting = edges.select("conv_id", "call_id").distinct()
-        free = materialise(left.join(waiting, ["conv_id", "call_id"], "left_anti"))
+    """``(conv_id, call_id, level)`` of every call that refers to another one of its conversation; null on and behind cycles."""
+    known = calls.where("conv_id is not null and call_id is not null")
+    uses = known.select("conv_id", "call_id", F.explode(F.regexp_extract_all("arguments", F.lit(_REFERENCE), 1)).alias("needs")).distinct()
+    edges = materialise(uses.join(known.select("conv_id", F.col("call_id").alias("needs")).distinct(), ["conv_id", "needs"]))
+    left = materialise(edges.select("conv_id", "call_id").distinct())
+    done, level = [], 1
+    while not left.isEmpty():
+        # what waits for nobody any more holds no one up
+        edges = materialise(edges.join(left.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"], "left_semi"))
+        held = edges.select("conv_id", "call_id").distinct()
+        free = materialise(left.join(held, ["conv_id", "call_id"], "left_anti"))
         if free.isEmpty():
             break
-        found = free.withColumn("level", F.lit(level))
-        done = found if done is None else materialise(done.unionByName(found))
-        left = materialise(left.join(free, ["conv_id", "call_id"], "left_anti"))
-        edges = materialise(edges.join(free.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"], "left_anti"))
+        done.append(free.withColumn("level", F.lit(level)))
+        left = materialise(held)
         level += 1
-    rest = left.withColumn("level", F.lit(None).cast("int"))
-    return rest if done is None else done.unionByName(rest)
+    return reduce(DataFrame.unionByName, done, left.withColumn("level", F.lit(None).cast("int")))
 
 
 def canonical(value: object) -> str:
