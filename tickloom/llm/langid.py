@@ -3,12 +3,12 @@
 Character 1- to 3-grams of the lower-cased text, in which every run boundary of
 non-letters is one blank, are hashed to ``BUCKETS`` cells.  Training sums the cells of each
 language inside tasks and across them; the matrix of log probabilities (cells x languages,
-a fixed size) is broadcast, and texts are scored in batches with numpy.
+a fixed size) is broadcast, and texts are scored in batches with numpy.  All languages are taken for equally frequent.
 
 Defined results: a null text, an empty text and a text without a letter get ``und`` and
 score 0.  Ties go to the language that sorts first.  Repeated rows are scored alike.  A
 language label that is null is never learned.  Without any training row every text is
-``und``.  Very long texts are read in pieces, whole.  Columns that are not named are ignored.
+``und``.  Very long texts are read in pieces, whole; an n-gram over a seam counts once.  Columns that are not named are ignored.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], str]]:
-    """Join short texts, cut long ones; each piece begins and ends with a blank or an overlap of two characters."""
+def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], str, bool]]:
+    """Join short texts, cut long ones; the flag tells that a piece goes on where the last one ended."""
     rows: list[int] = []
     parts: list[str] = []
     size = 0
@@ -48,34 +48,43 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], str]]:
         if not text:
             continue
         if len(text) > PIECE:
-            for at in range(0, len(text), PIECE):
-                yield [i], text[max(0, at - 2): at + PIECE]
+            at = 0
+            while at < len(text):
+                # at a blank if one is near: lower-casing may look at the next letter
+                stop = max(text.rfind(" ", at + PIECE - 1000, at + PIECE), at) or at
+                stop = stop if stop > at and at + PIECE < len(text) else at + PIECE
+                yield [i], text[at:stop], at > 0
+                at = stop
             continue
         rows.append(i)
         parts.append(text.replace("\0", " "))
         size += len(text)
         if size > PIECE:
-            yield rows, "\0".join(parts)
+            yield rows, "\0".join(parts), False
             rows, parts, size = [], [], 0
     if rows:
-        yield rows, "\0".join(parts)
+        yield rows, "\0".join(parts), False
 
 
 def gram_cells(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text number, cell) of every n-gram, piece by piece; n-grams of blanks alone are left out."""
-    letters = _letters()
-    for rows, joined in _pieces(texts):
+    letters, tail = _letters(), np.zeros(0, np.uint64)
+    for rows, joined, goes_on in _pieces(texts):
         raw = np.frombuffer(joined.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         if len(rows) == 1:
             owner = np.full(len(raw), rows[0], np.int32)
         else:
             owner = np.asarray(rows, np.int32)[np.minimum(np.cumsum(raw == 0), len(rows) - 1)]
+        # the last two characters before a seam go along, and n-grams that end among them are known already
+        old = tail if goes_on else tail[:0]
         letter = letters[raw]
-        code = np.where(letter, raw, _BLANK).astype(np.uint64)
+        code = np.r_[old, np.where(letter, raw, _BLANK).astype(np.uint64)]
+        letter, owner = np.r_[old != _BLANK, letter], np.r_[np.full(len(old), rows[0], np.int32), owner]
         blank = ~letter
         keep = np.ones(len(code), bool)
         keep[1:] = letter[1:] | letter[:-1]  # runs of non-letters become one blank
         code, blank, owner = code[keep], blank[keep], owner[keep]
+        tail = code[-2:]
         if not len(code):
             continue
         mixed = code * _ODD[0]
@@ -89,6 +98,7 @@ def gram_cells(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray
             h = (h ^ (h >> np.uint64(32))) * _ODD[n - 1]
             # inside one text, and at least one letter
             ok = owner[:m] == owner[n - 1:]
+            ok[: max(0, len(old) - n + 1)] = False
             if n == 1:
                 ok &= ~blank[:m]
             elif n == 2:
