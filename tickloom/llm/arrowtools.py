@@ -56,6 +56,12 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def dealt(messages: DataFrame, n_buckets: int) -> DataFrame:
+    """Messages by ``bucket``, a task for each two where there are more buckets than the session's partitions hold in twos."""
+    n = -(-n_buckets // 2)
+    return messages.repartition(n, "bucket") if n > partitions(messages) else messages
+
+
 def raw_texts(column: pa.Array) -> list[bytes]:
     """Every text's bytes; a null text is empty."""
     data, bounds = utf8_buffers(column)

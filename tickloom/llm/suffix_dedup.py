@@ -38,11 +38,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tickloom.llm.arrowtools import partitions, utf8_buffers
+from tickloom.llm.arrowtools import dealt, partitions, utf8_buffers
 from tickloom.llm.shingles import mix
 from tickloom.session import materialise
 
 LENGTH = 200
+#: Text whose pieces share a bucket.
+BUCKET_BYTES = 32 << 20
 SLICE = 2 << 20
 _TRIGGER = 8
 #: One position in so many is a trigger, on average.
@@ -289,7 +291,7 @@ def _phrase_counts(slices: DataFrame, length: int, n_buckets: int) -> DataFrame:
              pa.array([total[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())], names=["slice", "bucket", "found"])
 
     sent = slices.select("slice", "size", "data", "own", "bounds").mapInArrow(send, "bucket int, slice string, short binary, n binary")
-    return sent.groupBy("bucket").applyInArrow(answer, "slice string, bucket int, found binary")
+    return dealt(sent, n_buckets).groupBy("bucket").applyInArrow(answer, "slice string, bucket int, found binary")
 
 
 _MESSAGE = "bucket int, slice string, phrase binary, before binary, starts binary, place binary, many binary, size long, text binary, a binary, b binary"
@@ -350,7 +352,7 @@ def _cut_slice(left: pa.Table, right: pa.Table, length: int, n_buckets: int, row
             rows[column].append(value)
 
 
-def _resolved(messages: DataFrame, length: int) -> DataFrame:
+def _resolved(messages: DataFrame, length: int, n_buckets: int) -> DataFrame:
     """``(slice, a, b)``: runs of repeated starts, found in each bucket from the order of its pieces."""
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,7 +391,7 @@ def _resolved(messages: DataFrame, length: int) -> DataFrame:
                     [pa.array([name], pa.string()), pa.array([np.concatenate(a).astype(np.uint32).tobytes()], pa.binary()),
                      pa.array([np.concatenate(b).astype(np.uint32).tobytes()], pa.binary())], names=["slice", "a", "b"])
 
-    return messages.groupBy("bucket").applyInArrow(resolve, "slice string, a binary, b binary")
+    return dealt(messages, n_buckets).groupBy("bucket").applyInArrow(resolve, "slice string, a binary, b binary")
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -402,10 +404,12 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...
     """Return the ``keep`` columns with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and optionally the bytes ``kept_text``."""
     if not _TRIGGER * 2 < length <= 1024:
         raise ValueError("length must be above 16 and at most 1024")
-    n_buckets = partitions(docs)
     slices = materialise(_pack(docs, keep, text_col, length, slice_bytes))
+    # a bucket's pieces are held by one task: their number comes from the bytes, not from the session
+    n_bytes = slices.agg(F.sum("size").alias("n")).first().n or 0
+    n_buckets = max(partitions(docs), -(-n_bytes // BUCKET_BYTES))
     counts = _phrase_counts(slices, length, n_buckets)
-    found = _resolved(_pieces(slices, counts, length, n_buckets), length)
+    found = _resolved(_pieces(slices, counts, length, n_buckets), length, n_buckets)
     kept_type = slices.schema["kept"].dataType.elementType
 
     parts_shape = T.StructType([T.StructField("doc", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("kept", kept_type),

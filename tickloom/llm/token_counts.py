@@ -28,11 +28,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tickloom.llm import bpe
-from tickloom.llm.arrowtools import partitions, text_slices, utf8_buffers
+from tickloom.llm.arrowtools import dealt, partitions, text_slices, utf8_buffers
 
 LIMIT = 2048
 #: Text whose pre-tokens are shared out together.
 SLICE = 8 << 20
+#: Text whose pre-tokens share a bucket.
+BUCKET_BYTES = 32 << 20
 
 
 def _default_path() -> str:
@@ -71,11 +73,17 @@ def _frequencies(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, n
     return list(pre_no), pairs // len(texts), pairs % len(texts), freq, odd
 
 
+def _buckets(docs: DataFrame, text_col: str) -> int:
+    """A bucket's distinct pre-tokens are held by one task: their number comes from the bytes of the texts."""
+    n_bytes = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long")).alias("n")).first().n or 0
+    return max(2 * partitions(docs), -(-n_bytes // BUCKET_BYTES))
+
+
 def count_tokens(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = LIMIT,
                  tokenizer: str | None = None, buckets: int | None = None) -> DataFrame:
     """Return the ``keep`` columns with ``n_bytes``, ``n_tokens`` and ``over_limit``."""
     path = tokenizer or _default_path()
-    n_buckets = buckets or 2 * partitions(docs)
+    n_buckets = buckets or _buckets(docs, text_col)
     picked = docs.select(
         F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]).alias("kept"), F.col(text_col).alias("text"),
         F.monotonically_increasing_id().alias("row"))
@@ -157,7 +165,7 @@ def count_tokens(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
     back = T.StructType.fromDDL("slice long, doc binary, sums binary")
     back.add("kept", T.ArrayType(kept_type)).add("bytes", T.BinaryType()).add("own", T.BinaryType())
     done = T.StructType([T.StructField("kept", kept_type), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    out = picked.mapInArrow(share, exchange).groupBy("bucket").applyInArrow(answer, back).groupBy("slice").applyInArrow(add, done)
+    out = dealt(picked.mapInArrow(share, exchange), n_buckets).groupBy("bucket").applyInArrow(answer, back).groupBy("slice").applyInArrow(add, done)
     return out.select(*[F.col(f"kept.k{i}").alias(c) for i, c in enumerate(keep)], "n_bytes", "n_tokens",
                       (F.col("n_tokens") > limit).alias("over_limit"))
 
