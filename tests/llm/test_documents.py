@@ -34,6 +34,17 @@ def test_repeated_passages(odd_docs, slice_bytes):
     assert sum(w[1] for w in want) > 5000
 
 
+def test_buckets_follow_the_bytes(odd_docs, monkeypatch):
+    """Far more buckets than partitions give the same results."""
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 1000)
+    monkeypatch.setattr(token_counts, "BUCKET_BYTES", 1000)
+    rows = texts(odd_docs)
+    want = removed_bytes([((t or "").encode()) for _, t in rows], 40)
+    assert Counter(tuple(r) for r in suffix_dedup.remove_repeats(odd_docs, length=40).collect()) == Counter((i, *w) for (i, _), w in zip(rows, want))
+    got = Counter((r.doc_id, r.n_tokens) for r in token_counts.count_tokens(odd_docs).collect())
+    assert got == Counter((i, len(ids(t))) for i, t in rows)
+
+
 def test_repeated_passages_keep_the_rest(odd_docs):
     for r in suffix_dedup.remove_repeats(odd_docs, length=40, with_text=True).collect():
         assert hashlib.sha256(bytes(r.kept_text)).hexdigest() == r.kept_sha256
@@ -176,11 +187,37 @@ def test_language_without_labels(odd_docs):
     assert {r.lang_pred for r in langid.identify(odd_docs, model).collect()} == {"und"}
 
 
-def test_long_texts_are_read_whole(spark, monkeypatch):
-    monkeypatch.setattr(langid, "PIECE", 50)
-    whole = list(langid.gram_cells(["ab cd " * 100]))
-    monkeypatch.undo()
-    assert len(whole) > 3
+def test_long_texts_are_read_whole(monkeypatch):
+    """Cut anywhere, a text has the same n-grams, each as often."""
+    odd = ["ab cd " * 100, "x   y" * 90, "é" * 300, "word ," * 60 + "  !?  " * 30 + "end", "a" + " " * 500 + "b", "no blanks" * 1 + "q" * 400]
+
+    def grams():
+        return [Counter(zip(*(np.concatenate(x).tolist() for x in zip(*langid.gram_cells([t]))))) for t in odd]
+
+    whole = grams()
+    for piece in (7, 50, 128):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        assert grams() == whole
+
+
+def test_language_is_that_of_a_dense_naive_bayes(spark):
+    """All grams counted in a dense matrix, uniform prior, half a gram added to each."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    names, matrix = langid.train(docs)
+    rows = docs.collect()
+    counts = np.zeros((langid.BUCKETS, len(names)))
+    vectors = []
+    for r in rows:
+        v = np.zeros(langid.BUCKETS)
+        for _, cells in langid.gram_cells([r.text]):
+            np.add.at(v, cells, 1)
+        vectors.append(v)
+        if r.lang in names:
+            counts[:, names.index(r.lang)] += v
+    dense = np.log(counts + 0.5) - np.log((counts + 0.5).sum(axis=0))
+    got = {r.doc_id: r for r in langid.identify(docs, (names, matrix)).collect()}
+    agree = [got[r.doc_id].lang_pred == names[int((v @ dense).argmax())] for r, v in zip(rows, vectors) if v.any()]
+    assert np.mean(agree) >= 0.99 and all(got[r.doc_id].lang_pred == langid.UNKNOWN for r, v in zip(rows, vectors) if not v.any())
 
 
 def test_lines(spark):

@@ -72,6 +72,19 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+#: All pairs: for a few hundred vectors.
+_OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
+good AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(e, e) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON links.a = reach.other),
+least AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY 1),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM least LEFT JOIN n USING (vec_id)
+"""
+
 _OP7_SQL = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -105,10 +118,12 @@ TOOL_SCHEMAS = [
 def tool_messages(conversations: DataFrame) -> DataFrame:
     """Read every user turn as an assistant's tool call and every assistant turn as the result of the turn before.
 
-    The first turns open the chat; later ones refer to the result of turn 0.
+    The first turns open the chat; of the later ones every fourth refers to the next call, which comes after it, the others
+    to the result of turn 0.
     """
     call_id = F.concat_ws("-", F.lit("call"), "conv_id", "turn")
-    after = F.when(F.col("turn") > 1, F.struct(F.concat_ws("-", F.lit("call"), "conv_id", F.lit("0")).alias("$result")))
+    needed = F.when(F.col("turn") % 4 == 0, F.col("turn") + 2).otherwise(0)
+    after = F.when(F.col("turn") > 1, F.struct(F.concat_ws("-", F.lit("call"), "conv_id", needed).alias("$result")))
     arguments = F.struct(F.coalesce("text", F.lit("")).alias("query"), "turn", after.alias("after"))
     name = F.when(F.col("turn") > 1, "follow").otherwise("open")
     called = F.to_json(F.struct(F.array(F.struct(call_id.alias("id"), name.alias("name"), arguments.alias("arguments"))).alias("tool_calls")))
@@ -129,25 +144,30 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OP10_SQL = r"""
-WITH calls AS (
+WITH RECURSIVE calls AS (
   SELECT conv_id, concat_ws('-', 'call', conv_id, turn) AS call_id, turn, CASE WHEN turn > 1 THEN 'follow' ELSE 'open' END AS name,
+    CASE WHEN turn > 1 THEN concat_ws('-', 'call', conv_id, CASE WHEN turn % 4 = 0 THEN turn + 2 ELSE 0 END) END AS needs,
     coalesce(text, '') AS q, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS nth FROM conversations WHERE role = 'user'),
 results AS (
   SELECT conv_id, concat_ws('-', 'call', conv_id, turn - 1) AS call_id, turn AS result_turn, coalesce(text, '') AS content,
     row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS nth FROM conversations WHERE role = 'assistant'),
+known AS (SELECT DISTINCT c.conv_id, c.call_id, n.call_id AS needs FROM calls c LEFT JOIN calls n ON n.conv_id = c.conv_id AND n.call_id = c.needs),
+ordered AS (
+  SELECT conv_id, call_id, 0 AS level FROM known WHERE needs IS NULL
+  UNION ALL SELECT k.conv_id, k.call_id, level + 1 FROM known k JOIN ordered o ON o.conv_id = k.conv_id AND o.call_id = k.needs),
 paired AS (
-  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn, r.result_turn, c.name, q, content,
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn, r.result_turn, c.name, c.needs, q, content,
     CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status
   FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id AND c.nth = r.nth),
 written AS (
   SELECT *, concat('{"arguments":', CASE WHEN status = 'orphan' THEN 'null' ELSE concat('{',
-      CASE WHEN name = 'follow' THEN concat('"after":{"$result":"call-', conv_id, '-0"},') ELSE '' END,
+      CASE WHEN name = 'follow' THEN concat('"after":{"$result":"', needs, '"},') ELSE '' END,
       '"query":', to_json(q), ',"turn":', turn, '}') END, ',"id":', to_json(call_id), ',"name":', coalesce(to_json(name), 'null'),
       ',"result":', coalesce(to_json(content), 'null'), ',"status":"', status, '"}') AS json FROM paired)
-SELECT conv_id, call_id, turn, result_turn, name, status, CASE WHEN status <> 'orphan' THEN 0 END::INTEGER AS level,
+SELECT conv_id, call_id, turn, result_turn, name, status, CASE WHEN status <> 'orphan' THEN level END::INTEGER AS level,
   CASE WHEN status <> 'orphan' THEN length(q) BETWEEN 1 AND 400 END AS valid,
   CASE WHEN status = 'orphan' THEN NULL WHEN length(q) > 400 THEN '$.query: too long' WHEN q = '' THEN '$.query: too short' ELSE '' END AS errors,
-  length(json)::BIGINT AS n_chars, md5(json) AS json_md5 FROM written
+  length(json)::BIGINT AS n_chars, md5(json) AS json_md5 FROM written LEFT JOIN ordered USING (conv_id, call_id)
 """
 
 _OP4_SQL = r"""
@@ -231,7 +251,7 @@ QUERIES = {
     "op2_toxicity": (op2_toxicity, None),
     "op3_token_counts": (op3_token_counts, None),
     "op4_line_dedup": (op4_line_dedup, _OP4_SQL),
-    "op5_embedding_near_dedup": (op5_embedding_near_dedup, None),
+    "op5_embedding_near_dedup": (op5_embedding_near_dedup, _OP5_SQL),
     "op6_ngram_jaccard_join": (op6_ngram_jaccard_join, None),
     "op7_benchmark_decontamination": (op7_benchmark_decontamination, _OP7_SQL),
     "op8_best_fit_packing": (op8_best_fit_packing, None),
