@@ -1,5 +1,7 @@
 """Files in, tables out: bars, trade lists, broker CSV, strategy CSV, archives, the landing stream."""
 
+import datetime
+import pathlib
 import zipfile
 
 import pandas as pd
@@ -10,6 +12,7 @@ from bar_helpers import frame, walk
 from tickloom.operators import configs
 from tickloom.sources import archives, bars as src, broker, strategies
 from tickloom.streaming.landing import landing_stream, start_merge
+from tickloom.streaming.rollup import rolled_bars, start_rollup
 
 
 def as_bars(spark, pdf):
@@ -230,3 +233,45 @@ def test_stream_starts_on_an_empty_folder(spark, tmp_path):
     assert not has_bars(spark, str(store))
     merge_batch(spark, as_bars(spark, walk(20, 3)), str(store))
     assert has_bars(spark, str(store))
+
+
+def test_rolled_bars_take_late_events_and_replays(spark, tmp_path):
+    """Late events change stored bars as long as the watermark lets them; what is later is dropped; a replay changes nothing."""
+    base, minutes = datetime.datetime(2024, 1, 1), lambda k: datetime.timedelta(minutes=k)
+    events = [(k, "A", base + minutes(7 * k), float((37 * k) % 101)) for k in range(300)]
+    late, too_late = [(900, "A", base + minutes(1700), 500.0), (901, "A", base + minutes(1701), -5.0)], [(902, "A", base, 9999.0)]
+    shape = "event_id long, event_type string, ts timestamp_ntz, value double"
+    path = str(tmp_path)
+
+    def arrive(rows, progress="progress"):
+        if rows:
+            spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(f"{path}/events")
+        stream = spark.readStream.schema(shape).parquet(f"{path}/events")
+        start_rollup(rolled_bars(stream, "event_type", "ts", "value", "event_id", delay="10 hours"), f"{path}/bars", f"{path}/{progress}").awaitTermination()
+        return frame(src.read_bars(spark, f"{path}/bars"), "series_id", "ts")
+
+    def batch(rows):
+        return frame(src.bars_from_events(spark.createDataFrame(rows, shape), "event_type", "ts", "value", "event_id"), "series_id", "ts")
+
+    pd.testing.assert_frame_equal(arrive(events), batch(events), check_dtype=False)
+    pd.testing.assert_frame_equal(arrive(late), batch(events + late), check_dtype=False)
+    pd.testing.assert_frame_equal(arrive(too_late), batch(events + late), check_dtype=False)
+    assert len(spark.read.parquet(f"{path}/events").collect()) == 303
+    again = arrive([], "another")  # all files at once, from the start
+    pd.testing.assert_frame_equal(again, batch(events + late + too_late), check_dtype=False)
+
+
+def test_intermediate_tables_can_be_removed(spark, tmp_path):
+    from tickloom import session
+
+    before = len([p for p in pathlib.Path(session.run_folder(spark).removeprefix("file:")).glob("stored-*")])
+    df = session.materialise(spark.range(5))
+    assert df.count() == 5
+    first = tmp_path / "bars"
+    pdf = walk(50, 3)
+    src.write_bars(as_bars(spark, pdf), str(first))
+    src.append_bars(spark, as_bars(spark, pdf.tail(5)), str(first))  # leaves nothing behind
+    folder = pathlib.Path(session.run_folder(spark).removeprefix("file:"))
+    assert len(list(folder.glob("stored-*"))) == before + 1
+    assert session.remove_folder(spark, df.inputFiles()[0].rsplit("/", 1)[0]) and not session.remove_folder(spark, f"{tmp_path}/none")
+    assert len(list(folder.glob("stored-*"))) == before

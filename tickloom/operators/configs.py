@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tickloom.sources.strategies import _CANONICAL
 
@@ -281,65 +281,97 @@ def ranking_thresholds(conditions: DataFrame) -> DataFrame:
         F.max_by("comparator", "condition_idx").alias("comparator"), F.max_by("threshold", "condition_idx").alias("threshold"))
 
 
+def _by_project(tasks: DataFrame, databanks: DataFrame, ranges: DataFrame, options: DataFrame) -> DataFrame:
+    """One row per project with its tasks in order; every task carries its databanks, ranges and window options.
+
+    The four tables meet in one aggregate: a project has some tens of tasks, so a row is small.
+    """
+    kinds = {
+        "task": (tasks, ("type", "name", "active", "template_file", "goto", "cross_check")), "bank": (databanks, ("role", "databank")),
+        "range": (ranges, ("range_idx", "date_from", "date_to")),
+        "option": (options.filter(F.col("key").isin("LimitTimeRange", "SignalTimeRangeFrom", "SignalTimeRangeTo")), ("key", "value")),
+    }
+    parts = []
+    for kind, (df, fields) in kinds.items():
+        empty = [F.lit(None).cast(T.StructType([other.schema[f] for f in names])).alias(k) for k, (other, names) in kinds.items() if k != kind]
+        parts.append(df.select("project_id", "task_idx", F.struct(*fields).alias(kind), *empty).select("project_id", "task_idx", *kinds))
+    rows = reduce(DataFrame.unionByName, parts)
+    lists = rows.groupBy("project_id").agg(*[
+        F.array_sort(F.collect_list(F.when(F.col(k).isNotNull(), F.struct("task_idx", k)))).alias(k) for k in kinds])
+
+    def of(kind: str, task: Column) -> Column:
+        return F.transform(F.filter(kind, lambda x: x["task_idx"] == task), lambda x: x[kind])
+
+    def whole(t: Column) -> Column:
+        return F.struct(t["task_idx"].alias("idx"), *[t["task"][f].alias(f) for f in kinds["task"][1]],
+                        *[of(k, t["task_idx"]).alias(f"{k}s") for k in ("bank", "range", "option")])
+
+    return lists.select("project_id", F.transform("task", whole).alias("tasks"))
+
+
 def workflow_findings(tasks: DataFrame, databanks: DataFrame, ranges: DataFrame, options: DataFrame) -> DataFrame:
     """Rule violations of workflows: (project_id, task_idx, severity, code, n).
 
-    ``n`` counts the offending partners (databanks, ranges, options) of a task.
+    ``n`` counts the offending partners (databanks, ranges, options) of a task.  One shuffle: the rules are expressions over a
+    project's array of tasks.
     """
+    projects = _by_project(tasks, databanks, ranges, options)
+    every = F.col("tasks")
+    active = F.filter(every, lambda t: F.coalesce(t["active"], F.lit(False)))
     one = F.lit(1).cast("bigint")
 
-    def found(df: DataFrame, severity: Column | str, code: Column | str, n: Column = one) -> DataFrame:
-        s = F.lit(severity) if isinstance(severity, str) else severity
-        c = F.lit(code) if isinstance(code, str) else code
-        return df.select("project_id", "task_idx", s.alias("severity"), c.alias("code"), n.cast("bigint").alias("n"))
-
-    active = tasks.filter("active")
-    following = tasks.select(
-        "project_id", (F.col("task_idx") - 1).alias("task_idx"), F.col("type").alias("_nt"), F.col("active").alias("_na"))
-    retests = active.filter((F.col("type") == "Retest") & F.col("cross_check")).join(following, ["project_id", "task_idx"], "left")
-    filtered = F.coalesce((F.col("_nt") == "Filtering") & F.col("_na"), F.lit(False))
-    parts = [found(retests.filter(~filtered), "warning", "retest_without_filter")]
-
-    target = tasks.groupBy("project_id", F.col("name").alias("goto")).agg(
-        F.min_by(F.struct("type", "active"), "task_idx").alias("_t"))
-    gotos = tasks.filter((F.col("type") == "GoToTask") & (F.coalesce("goto", F.lit("")) != "")).select(
-        "project_id", "task_idx", "active", "goto").join(target, ["project_id", "goto"], "left")
-    parts.append(found(gotos.filter(F.col("active") & F.col("_t").isNull()), "error", "goto_missing"))
-    parts.append(found(gotos.filter(F.col("active") & ~F.col("_t.active")), "error", "goto_inactive"))
-    clear = F.col("type") == "ClearDatabanks"
-    clears = tasks.groupBy("project_id").agg(F.max(clear & F.col("active")).alias("_on"), F.max(clear).alias("_any"))
-    loops = gotos.filter(F.col("_t.type") == "Build").join(clears, "project_id").filter(~F.col("_on"))
-    parts.append(found(loops, "warning", F.when(F.col("_any"), F.lit("clear_step_inactive")).otherwise(F.lit("clear_step_missing"))))
-
-    # each build: how many active retests read another databank than it writes
-    def bank(kind: str, role: str) -> DataFrame:
-        return active.filter(F.col("type") == kind).join(
-            databanks.filter((F.col("role") == role) & (F.coalesce("databank", F.lit("")) != "")), ["project_id", "task_idx"]
-        ).select("project_id", "task_idx", "databank")
-
-    reads = bank("Retest", "input").groupBy("project_id", "databank").agg(F.count(F.lit(1)).alias("_same"))
-    total = reads.groupBy("project_id").agg(F.sum("_same").alias("_all"))
-    off = bank("Build", "output").join(total, "project_id").join(reads, ["project_id", "databank"], "left").withColumn(
-        "_off", F.col("_all") - F.coalesce("_same", F.lit(0)))
-    parts.append(found(off.filter("_off > 0"), "info", "databank_mismatch", F.col("_off")))
-
-    builds = active.filter(F.col("type") == "Build")
-    last = builds.groupBy("project_id").agg(F.max("task_idx").alias("task_idx"))
-    cut = ["project_id", "range_idx"]
-    mine = last.join(ranges, ["project_id", "task_idx"]).select(*cut, F.col("date_from").alias("_f"), F.col("date_to").alias("_t"))
-    theirs = active.filter(F.col("type") == "Retest").select("project_id", "task_idx").join(ranges, ["project_id", "task_idx"])
-    differ = ~(F.col("date_from").eqNullSafe(F.col("_f")) & F.col("date_to").eqNullSafe(F.col("_t")))
-    moved = theirs.join(mine, cut).filter(differ).groupBy("project_id", "task_idx").agg(F.count(F.lit(1)).alias("_n"))
-    parts.append(found(moved, "info", "ranges_mismatch", F.col("_n")))
-    parts.append(found(builds.filter(F.coalesce("template_file", F.lit("")) == ""), "info", "template_missing"))
-
-    first = builds.groupBy("project_id").agg(F.min("task_idx").alias("task_idx"))
-    keys = options.filter(F.col("key").isin("LimitTimeRange", "SignalTimeRangeFrom", "SignalTimeRangeTo"))
-    wanted = first.join(keys, ["project_id", "task_idx"]).select("project_id", "key", F.col("value").alias("_v"))
-    given = active.filter(F.col("type") == "Retest").select("project_id", "task_idx").join(keys, ["project_id", "task_idx"])
-    unequal = given.join(wanted, ["project_id", "key"]).filter(F.col("value") != F.col("_v"))
-    parts.append(found(unequal.groupBy("project_id", "task_idx").agg(F.count(F.lit(1)).alias("_n")), "warning", "window_mismatch", F.col("_n")))
-    return reduce(DataFrame.unionByName, parts)
+    def of_type(array: Column, kind: str) -> Column:
+        return F.filter(array, lambda t: t["type"] == kind)
+
+    def found(t: Column, severity: str, code: Column | str, n: Column = one) -> Column:
+        code = F.lit(code) if isinstance(code, str) else code
+        return F.struct(t["idx"].alias("task_idx"), F.lit(severity).alias("severity"), code.alias("code"), n.cast("bigint").alias("n"))
+
+    def each(array: Column, severity: str, code: Column | str) -> Column:
+        return F.transform(array, lambda t: found(t, severity, code))
+
+    def counted(array: Column, severity: str, code: str, n) -> Column:
+        return F.filter(F.transform(array, lambda t: found(t, severity, code, n(t))), lambda f: f["n"] > 0)
+
+    # working arrays as columns: they are evaluated once
+    projects = projects.select("project_id", every.alias("tasks"), active.alias("active")).withColumns({
+        "builds": of_type(F.col("active"), "Build"), "retests": of_type(F.col("active"), "Retest"),
+        "gotos": F.filter("tasks", lambda t: (t["type"] == "GoToTask") & (F.coalesce(t["goto"], F.lit("")) != "")),
+        "clears": of_type(F.col("tasks"), "ClearDatabanks")})
+    builds, retests, gotos = F.col("builds"), F.col("retests"), F.col("gotos")
+
+    unfiltered = F.filter(retests, lambda r: r["cross_check"] & ~F.exists(
+        F.col("active"), lambda t: (t["idx"] == r["idx"] + 1) & (t["type"] == "Filtering")))
+
+    def target(t: Column) -> Column:
+        """The first task of that name."""
+        return F.get(F.filter("tasks", lambda o: o["name"] == t["goto"]), 0)
+
+    missing = F.filter(gotos, lambda t: t["active"] & target(t).isNull())
+    inactive = F.filter(gotos, lambda t: t["active"] & ~target(t)["active"])
+    loops = F.when(F.exists(F.col("clears"), lambda t: t["active"]), F.filter(gotos, lambda t: F.lit(False))).otherwise(
+        F.filter(gotos, lambda t: target(t)["type"] == "Build"))
+    uncleared = F.when(F.size("clears") > 0, F.lit("clear_step_inactive")).otherwise(F.lit("clear_step_missing"))
+
+    def banks(t: Column, role: str) -> Column:
+        return F.transform(F.filter(t["banks"], lambda b: (b["role"] == role) & (F.coalesce(b["databank"], F.lit("")) != "")), lambda b: b["databank"])
+
+    read = F.flatten(F.transform(retests, lambda r: banks(r, "input")))
+    off = F.flatten(F.transform(builds, lambda b: F.transform(
+        banks(b, "output"), lambda o: found(b, "info", "databank_mismatch", F.size(F.filter(read, lambda i: i != o))))))
+
+    last, first = F.get(builds, F.size(builds) - 1), F.get(builds, F.lit(0))
+    moved = F.when(F.size(builds) > 0, counted(retests, "info", "ranges_mismatch", lambda r: F.size(F.flatten(F.transform(
+        r["ranges"], lambda x: F.filter(last["ranges"], lambda y: (y["range_idx"] == x["range_idx"]) & ~(
+            x["date_from"].eqNullSafe(y["date_from"]) & x["date_to"].eqNullSafe(y["date_to"]))))))))
+    shifted = F.when(F.size(builds) > 0, counted(retests, "warning", "window_mismatch", lambda r: F.size(F.flatten(F.transform(
+        r["options"], lambda x: F.filter(first["options"], lambda y: (y["key"] == x["key"]) & (x["value"] != y["value"])))))))
+    nothing = F.array().cast("array<struct<task_idx:{},severity:string,code:string,n:bigint>>".format(tasks.schema["task_idx"].dataType.simpleString()))
+    rules = (
+        each(unfiltered, "warning", "retest_without_filter"), each(missing, "error", "goto_missing"), each(inactive, "error", "goto_inactive"),
+        each(loops, "warning", uncleared), F.filter(off, lambda f: f["n"] > 0), moved, shifted,
+        each(F.filter(builds, lambda b: F.coalesce(b["template_file"], F.lit("")) == ""), "info", "template_missing"))
+    return projects.select("project_id", F.explode(F.concat(*[F.coalesce(r, nothing) for r in rules])).alias("f")).select("project_id", "f.*")
 
 
 def workflow_digest(tasks: DataFrame) -> DataFrame:

@@ -30,8 +30,8 @@ def regimes(
 ) -> DataFrame:
     """Runs of high (above the 75th percentile) and low (below the 25th) volatility of at least ``min_days``.
 
-    Runs are first formed inside blocks, then joined across block edges on the
-    short table of pieces.  The volatility is written once: thresholds and labels
+    Runs are first formed inside blocks, then numbered across block edges on a
+    table of one row per block.  The volatility is written once: thresholds and labels
     both read it.
     """
     vol = materialise(volatility(indexed, window, periods_per_year, size))
@@ -52,9 +52,14 @@ def regimes(
         F.first("label").alias("label"), F.min("bar_idx").alias("_from"),
         F.min("ts").alias("_start"), F.max("ts").alias("_end"), F.sum("vol").alias("_vol"), F.count("vol").alias("_n"),
     )
-    pw = Window.partitionBy("series_id").orderBy("_from")
-    joined = pieces.withColumn("_new", F.when(F.col("label") == F.lag("label").over(pw), 0).otherwise(1))
-    joined = joined.withColumn("_id", F.sum("_new").over(pw.rowsBetween(Window.unboundedPreceding, 0)))
+    # a block's first run goes on where the block before ended with the same label: one row per block tells
+    pieces = materialise(pieces)
+    edges = pieces.groupBy("series_id", "blk").agg(
+        F.max("_run").alias("_runs"), F.min_by("label", "_run").alias("_first"), F.max_by("label", "_run").alias("_last"))
+    bw = Window.partitionBy("series_id").orderBy("blk")
+    goes_on = F.when(F.col("_first") == F.lag("_last").over(bw), 1).otherwise(0)
+    edges = edges.withColumn("_on", goes_on).withColumn("_base", F.sum(F.col("_runs") - F.col("_on")).over(bw) - F.col("_runs"))
+    joined = pieces.join(edges.select("series_id", "blk", "_base"), ["series_id", "blk"]).withColumn("_id", F.col("_base") + F.col("_run"))
     runs = joined.filter(F.col("label") != "normal").groupBy("series_id", "_id").agg(
         F.first("label").alias("type"), F.min("_start").alias("_s"), F.max("_end").alias("_e"),
         (F.sum("_vol") / F.sum("_n")).alias("_avg"),

@@ -16,6 +16,7 @@ from tickloom.sources.bars import (
     BAR_COLUMNS, append_bars, high_water_marks, merge_latest, narrow, read_bars, unseen, write_bars,
 )
 from tickloom.streaming.landing import landing_stream, start_merge
+from tickloom.streaming.rollup import rolled_bars, start_rollup
 
 
 def event_bars(spark, sf):
@@ -99,6 +100,18 @@ def landing_merge(spark, sf):
 
 
 
+def streamed_bars(spark, sf):
+    """Bars rolled up from a stream of three event files, of which the later ones bring late events for all bars."""
+    path = work_folder(spark)
+    events = table(spark, sf, "events").select("event_id", "event_type", "ts", "value")
+    for k in range(3):
+        events.filter(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(f"{path}/events")
+    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/events")
+    bars = rolled_bars(arriving, "event_type", "ts", "value", "event_id", delay="60 days")
+    start_rollup(bars, f"{path}/bars", f"{path}/progress").awaitTermination()
+    return _six_places(read_bars(spark, f"{path}/bars"))
+
+
 _COLS = "series_id, ts, open, high, low, close, volume"
 _BASIC = f"""WITH {bars_sql()}, pre AS (SELECT *, {lag('close')} AS pc FROM idx)
 SELECT series_id, ts, bar_idx, {rnd('close / nullif(pc, 0) - 1')} AS ret,
@@ -142,6 +155,8 @@ SELECT {_COLS} FROM u WHERE batch = 1
 SELECT series_id, max(ts) AS last_ts FROM bars WHERE day(ts) <= 20 GROUP BY 1"""),
     "bar_store": (bar_store, _STORE_SQL),
     "landing_stream": (landing_merge, _STORE_SQL),
+    "streamed_bars": (streamed_bars, f"""WITH {HOURLY} SELECT series_id, ts, {', '.join(
+        f'round({c}::FLOAT::DOUBLE, 6) AS {c}' for c in ('open', 'high', 'low', 'close', 'volume'))} FROM bars"""),
     "narrow_bars": (narrow_bars, f"""WITH {HOURLY} SELECT series_id, ts, {', '.join(
         f'round({c}::FLOAT::DOUBLE, 6) AS {c}' for c in ('open', 'high', 'low', 'close', 'volume'))} FROM bars"""),
 }

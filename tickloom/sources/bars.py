@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickloom.operators.blocks import dense_positions
-from tickloom.session import materialise
+from tickloom.session import remove_folder, store
 
 PRICES = ("open", "high", "low", "close", "volume")
 BAR_COLUMNS = ("series_id", "ts", *PRICES)
@@ -137,7 +137,9 @@ def append_bars(spark: SparkSession, landing: DataFrame, path: str) -> None:
     old = old.select("series_id", "ts", *[F.col(c).cast("double").alias(c) for c in PRICES])
     merged = merge_latest([old, fresh])
     # the files being replaced are also read: cut the plan before overwriting them
-    write_bars(materialise(merged), path, by_month)
+    held, folder = store(merged)
+    write_bars(held, path, by_month)
+    remove_folder(spark, folder)
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:

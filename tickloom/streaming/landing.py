@@ -37,8 +37,8 @@ def merge_batch(spark: SparkSession, batch: DataFrame, path: str) -> None:
         write_bars(merge_latest([batch]), path)
 
 
-def start_merge(stream: DataFrame, path: str, progress: str, available_now: bool = True) -> StreamingQuery:
+def start_merge(stream: DataFrame, path: str, progress: str, available_now: bool = True, mode: str = "append") -> StreamingQuery:
     """Run the merge; ``progress`` is the stream's checkpoint folder on shared storage."""
-    writer = stream.writeStream.foreachBatch(lambda batch, _: merge_batch(batch.sparkSession, batch, path))
+    writer = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, _: merge_batch(batch.sparkSession, batch, path))
     writer = writer.option("checkpointLocation", progress)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
