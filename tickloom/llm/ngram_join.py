@@ -139,7 +139,13 @@ def _links_in_nodes(members: DataFrame, labels: DataFrame, least: float, block:
 def _candidate_groups(classes: DataFrame, threshold: float, trees: int, label: int, recall: float, block: int = LABEL_BLOCK) -> DataFrame:
     """``(vertex, component)``: classes that are connected by estimated links."""
     least, found = least_estimate(threshold, trees * label), None
-    for depth in depths(threshold, trees, label, recall):
+    steps = depths(threshold, trees, label, recall)
+    # who is alone below the shortest prefixes of all trees meets nobody: only the others' labels are looked at again
+    shortest = _nodes(classes, trees, label, steps[-1])
+    shared = materialise(shortest.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node"))
+    met = materialise(shortest.join(shared, "node", "left_semi").select("rep").distinct())
+    classes = materialise(classes.join(met, "rep", "left_semi"))
+    for depth in steps:
         keys = _nodes(classes, trees, label, depth)
         if found is None:
             heads = keys.groupBy("node").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
