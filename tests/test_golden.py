@@ -227,6 +227,17 @@ def test_gates_fail_on_missing(spark):
     assert got == [("sample", "beats_naive", "both_halves", "stable", "directional"), ("sample", "beats_naive")]
 
 
+def test_bootstrap_runs_do_not_depend_on_the_size_of_a_group(spark, monkeypatch):
+    t = spark.createDataFrame([(c, i, float(np.sin(i * (3 if c == "a" else 5)))) for c, n in (("a", 40), ("b", 9), ("c", 1)) for i in range(n)],
+                              "series_id string, entry_idx long, r double")
+    numbered = bootstrap.number_trades(t, ["series_id"])
+    walked = frame(bootstrap.all_runs(numbered, ["series_id"], 50, 3), "series_id", "run")
+    monkeypatch.setattr(bootstrap, "GATHERED", 9)
+    mixed = frame(bootstrap.all_runs(numbered, ["series_id"], 50, 3), "series_id", "run")
+    pd.testing.assert_frame_equal(walked, mixed, atol=1e-9, check_dtype=False)
+    assert len(walked) == 150 and (walked["max_dd"] <= 0).all() and set(walked["n"]) == {40, 9, 1}
+
+
 def test_bootstrap_properties(spark):
     def report(r, **kw):
         t = spark.createDataFrame([("c", i, float(x)) for i, x in enumerate(r)], "series_id string, entry_idx long, r double")

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.operators.blocks import dense_positions, path_stats, spread
+from tickloom.session import materialise
+
+#: Trades of a group that travel in one row, and runs that one row of them serves.
+GATHERED, RUNS = 65_536, 16
 
 
 def number_trades(trades: DataFrame, keys: Sequence[str], order: str = "entry_idx") -> DataFrame:
@@ -29,14 +33,40 @@ def resample(numbered: DataFrame, keys: Sequence[str], n_runs: int = 1000, seed:
     draws = spread(numbered, *keys, "seq").select(
         *keys, F.col("seq").alias("k"), "n_trades", F.explode(F.sequence(F.lit(0), F.lit(n_runs - 1))).alias("run")
     )
-    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in keys], F.col("run").cast("string"), F.col("k").cast("string"))
-    index = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint") % F.col("n_trades")
+    index = _drawn(seed, keys, F.col("run"), F.col("k"), F.col("n_trades"))
     drawn = draws.select(*keys, "run", "k", index.alias("seq"))
     # the trades are the build side; left alone, Spark takes the draws for small, since it doesn't see what explode adds
     fetched = numbered.select(*keys, "seq", "r").hint("shuffle_hash")
     return drawn.join(fetched, [*keys, "seq"]).select(*keys, "run", "k", "r")
 
 
+def _drawn(seed: int, keys: Sequence[str], run: Column, k: Column, n: Column) -> Column:
+    """The index of draw k of a run: a hash of (seed, keys, run, k), which any engine reproduces."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in keys], run.cast("string"), k.cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint") % n
+
+
+def gathered_runs(numbered: DataFrame, keys: Sequence[str], n_runs: int, seed: int) -> DataFrame:
+    """``run_summaries`` of groups whose results fit into one row: they travel once per slice of runs, and no draw is shuffled."""
+    keys = list(keys)
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "r")))
+    held = numbered.groupBy(*keys).agg(F.transform(ordered, lambda x: x["r"]).alias("_r"))
+    slices = F.sequence(F.lit(0), F.lit(n_runs - 1), F.lit(RUNS))
+    dealt = spread(held.withColumn("_first", F.explode(slices)), *keys, "_first")
+    last = F.least(F.col("_first") + RUNS - 1, F.lit(n_runs - 1))
+    runs = dealt.select(*keys, "_r", F.explode(F.sequence(F.col("_first"), last)).alias("run"))
+    n = F.size("_r").cast("bigint")
+    start = F.struct(*[F.lit(0.0).alias(c) for c in ("total", "peak", "low", "dd")])
+
+    def step(state: Column, k: Column) -> Column:
+        total = state["total"] + F.get("_r", _drawn(seed, keys, F.col("run"), k, n).cast("int"))
+        peak = F.greatest(state["peak"], total)
+        return F.struct(total.alias("total"), peak.alias("peak"), F.least(state["low"], total).alias("low"), F.least(state["dd"], total - peak).alias("dd"))
+
+    walked = runs.select(*keys, "run", n.alias("n"), F.aggregate(F.sequence(F.lit(0).cast("bigint"), n - 1), start, step).alias("p"))
+    return walked.select(*keys, "run", "n", F.col("p.total").alias("total"), F.col("p.low").alias("low"), F.col("p.dd").alias("max_dd"))
+
+
 def run_summaries(paths: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Final level, lowest point and drawdown of each path."""
     return path_stats(paths, [*keys, "run"], "k", "r")
@@ -86,9 +116,18 @@ def bootstrap(
     trades: DataFrame, keys: Sequence[str] = ("series_id",), n_runs: int = 1000, seed: int = 1,
     order: str = "entry_idx", **report,
 ) -> DataFrame:
-    """Trades to report in one plan."""
-    numbered = number_trades(trades, keys, order)
-    return bootstrap_report(run_summaries(resample(numbered, keys, n_runs, seed), keys), keys, **report)
+    """Trades to report: groups of at most ``GATHERED`` trades are walked run by run, larger ones by joins."""
+    return bootstrap_report(all_runs(number_trades(trades, keys, order), keys, n_runs, seed), keys, **report)
+
+
+def all_runs(numbered: DataFrame, keys: Sequence[str], n_runs: int = 1000, seed: int = 1) -> DataFrame:
+    """Summary of every run of every group."""
+    numbered = materialise(numbered)
+    few = gathered_runs(numbered.filter(F.col("n_trades") <= GATHERED), keys, n_runs, seed)
+    many = numbered.filter(F.col("n_trades") > GATHERED)
+    if many.isEmpty():
+        return few
+    return few.unionByName(run_summaries(resample(many, keys, n_runs, seed), keys).select(*few.columns))
 
 
 def equity_curve(trades: DataFrame, keys: Sequence[str], position: str = "entry_idx", chunk: int = 4096) -> DataFrame:
