@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from hashlib import md5
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tickloom.operators.blocks import dense_positions, path_stats, spread
 from tickloom.session import materialise
@@ -52,19 +55,34 @@ def gathered_runs(numbered: DataFrame, keys: Sequence[str], n_runs: int, seed: i
     ordered = F.array_sort(F.collect_list(F.struct("seq", "r")))
     held = numbered.groupBy(*keys).agg(F.transform(ordered, lambda x: x["r"]).alias("_r"))
     slices = F.sequence(F.lit(0), F.lit(n_runs - 1), F.lit(RUNS))
-    dealt = spread(held.withColumn("_first", F.explode(slices)), *keys, "_first")
-    last = F.least(F.col("_first") + RUNS - 1, F.lit(n_runs - 1))
-    runs = dealt.select(*keys, "_r", F.explode(F.sequence(F.col("_first"), last)).alias("run"))
-    n = F.size("_r").cast("bigint")
-    start = F.struct(*[F.lit(0.0).alias(c) for c in ("total", "peak", "low", "dd")])
-
-    def step(state: Column, k: Column) -> Column:
-        total = state["total"] + F.get("_r", _drawn(seed, keys, F.col("run"), k, n).cast("int"))
-        peak = F.greatest(state["peak"], total)
-        return F.struct(total.alias("total"), peak.alias("peak"), F.least(state["low"], total).alias("low"), F.least(state["dd"], total - peak).alias("dd"))
-
-    walked = runs.select(*keys, "run", n.alias("n"), F.aggregate(F.sequence(F.lit(0).cast("bigint"), n - 1), start, step).alias("p"))
-    return walked.select(*keys, "run", "n", F.col("p.total").alias("total"), F.col("p.low").alias("low"), F.col("p.dd").alias("max_dd"))
+    prefix = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in keys])
+    dealt = spread(held.select(*keys, "_r", prefix.alias("_prefix"), F.explode(slices).alias("_first")), *keys, "_first")
+    names = [f"k{i}" for i in range(len(keys))]
+    rows = dealt.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keys, names)], "_r", "_prefix", "_first")
+    made = T.StructType.fromDDL("run int, n long, total double, low double, max_dd double")
+    shape = T.StructType([*[T.StructField(k, rows.schema[k].dataType) for k in names], *made])
+
+    def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = np.asarray(batch.column("_r")[i].as_py(), float)
+                first, prefix = batch.column("_first")[i].as_py(), batch.column("_prefix")[i].as_py()
+                number = [str(k).encode() for k in range(len(r))]
+                out = []
+                for run in range(first, min(first + RUNS, n_runs)):
+                    head = f"{prefix}|{run}|".encode()
+                    # the first 15 hexadecimal digits of each digest
+                    index = np.frombuffer(b"".join([md5(head + k).digest() for k in number]), ">u8")[::2] >> np.uint64(4)
+                    path = np.cumsum(r[(index % np.uint64(len(r))).astype(np.int64)])
+                    peak = np.maximum(np.maximum.accumulate(path), 0.0)
+                    out.append((run, len(r), path[-1], min(path.min(), 0.0), (path - peak).min()))
+                at = pa.array([i] * len(out))
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(k).take(at) for k in names], *[pa.array(x, kind) for x, kind in zip(
+                        zip(*out), (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))]], names=[*names, *made.names])
+
+    walked = rows.mapInArrow(walk, shape)
+    return walked.select(*[F.col(k).alias(c) for k, c in zip(names, keys)], *made.names)
 
 
 def run_summaries(paths: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -296,17 +296,17 @@ def _by_project(tasks: DataFrame, databanks: DataFrame, ranges: DataFrame, optio
         empty = [F.lit(None).cast(T.StructType([other.schema[f] for f in names])).alias(k) for k, (other, names) in kinds.items() if k != kind]
         parts.append(df.select("project_id", "task_idx", F.struct(*fields).alias(kind), *empty).select("project_id", "task_idx", *kinds))
     rows = reduce(DataFrame.unionByName, parts)
-    lists = rows.groupBy("project_id").agg(*[
-        F.array_sort(F.collect_list(F.when(F.col(k).isNotNull(), F.struct("task_idx", k)))).alias(k) for k in kinds])
+    entries = rows.groupBy("project_id").agg(F.collect_list(F.struct("task_idx", *kinds)).alias("all"))
 
     def of(kind: str, task: Column) -> Column:
-        return F.transform(F.filter(kind, lambda x: x["task_idx"] == task), lambda x: x[kind])
+        return F.transform(F.filter("all", lambda x: (x["task_idx"] == task) & x[kind].isNotNull()), lambda x: x[kind])
 
     def whole(t: Column) -> Column:
         return F.struct(t["task_idx"].alias("idx"), *[t["task"][f].alias(f) for f in kinds["task"][1]],
                         *[of(k, t["task_idx"]).alias(f"{k}s") for k in ("bank", "range", "option")])
 
-    return lists.select("project_id", F.transform("task", whole).alias("tasks"))
+    ordered = F.array_sort(F.transform(F.filter("all", lambda x: x["task"].isNotNull()), lambda x: F.struct(x["task_idx"].alias("task_idx"), x["task"].alias("task"))))
+    return entries.select("project_id", F.transform(ordered, whole).alias("tasks"))
 
 
 def workflow_findings(tasks: DataFrame, databanks: DataFrame, ranges: DataFrame, options: DataFrame) -> DataFrame:
