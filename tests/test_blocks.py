@@ -109,7 +109,7 @@ def test_regimes_and_breaks(spark):
 
 def test_path_stats_matches_a_loop(spark):
     rng = np.random.default_rng(3)
-    rows = [(k, i, float(x)) for k, n in (("a", 5000), ("b", 7), ("c", 1)) for i, x in enumerate(rng.normal(0, 1, n))]
+    rows = [(k, i * step, float(x)) for k, n, step in (("a", 5000, 1), ("b", 7, 1), ("c", 1, 1), ("sparse", 400, 50_000)) for i, x in enumerate(rng.normal(0, 1, n))]
     df = spark.createDataFrame(rows, "k string, i long, r double")
     got = frame(path_stats(df, ["k"], "i", "r", chunk=64), "k")
     for k, g in pd.DataFrame(rows, columns=["k", "i", "r"]).groupby("k"):

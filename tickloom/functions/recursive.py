@@ -28,6 +28,8 @@ INPUTS = ("open", "high", "low", "close", "volume")
 TAIL = 24
 #: A gap of more rows than this leaves no trace of an exponential mean in double precision.
 LONGEST_GAP = 4096
+#: Neighbouring blocks that a repair folds in one task, one after another.
+CHAIN = 16
 #: Relative difference up to which two states are the same.
 TOLERANCE = 1e-12
 
@@ -364,9 +366,15 @@ def fold_columns(
         return out
 
     def again(_key, pdf: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
+        """Fold neighbouring blocks one after another: each takes the new end of the one before, if that is folded here."""
         if not len(pdf) or not len(seeds):
             return pd.DataFrame(columns=schema.names)
-        return fold(pdf, [None if v is None or np.isnan(v) else float(v) for v in seeds["seed"].iloc[0]])
+        known, ends, made = dict(zip(seeds["blk"], seeds["seed"])), {}, []
+        for blk, mine in pdf.groupby("blk", sort=True):
+            seed = ends.get(blk - 1, known[blk])
+            made.append(fold(mine, [None if v is None or np.isnan(v) else float(v) for v in seed]))
+            ends[blk] = made[-1]["_end"].iat[0]
+        return pd.concat(made, ignore_index=True)
 
     needed = list(dict.fromkeys([*passed, "own", *INPUTS]))
     slim, key = blocked.select(*needed), ["series_id", "blk"]
@@ -383,7 +391,10 @@ def fold_columns(
             break
         # only these blocks are folded and written again; what was written before is left out by key
         wrong = slim.join(bad.select(*key), key, "left_semi")
-        redone = materialise(wrong.groupBy(*key).cogroup(bad.groupBy(*key)).applyInPandas(again, schema))
+        together = ["series_id", "_chain"]
+        chain = F.expr(f"blk div {CHAIN}")
+        redone = materialise(wrong.withColumn("_chain", chain).groupBy(*together).cogroup(
+            bad.withColumn("_chain", chain).groupBy(*together)).applyInPandas(again, schema))
         parts = [*[p.join(bad.select(*key), key, "left_anti") for p in parts], redone]
         states = materialise(states.join(bad.select(*key), key, "left_anti").unionByName(states_of(redone)))
     return reduce(DataFrame.unionByName, parts).select(*passed, *new)

@@ -217,16 +217,29 @@ def path_stats(
 ) -> DataFrame:
     """Final sum, lowest point and maximum drawdown of the running sum of ``value``.
 
-    One long path is many tasks (see ``chunk_paths``).  Returns keys, n, total,
+    Three levels: positions in pieces of ``chunk``, pieces in stretches of ``chunk`` pieces, stretches in paths.  So no task
+    orders more than ``chunk`` rows of a path of up to ``chunk`` cubed positions, however sparse they are.  Returns keys, n, total,
     low (<= 0) and max_dd (<= 0).
     """
     keys = list(keys)
-    return chunk_paths(df, keys, position, value, chunk=chunk).groupBy(*keys).agg(
-        F.sum("_n").alias("n"),
-        F.sum("_sum").alias("total"),
-        F.least(F.lit(0.0), F.min(F.col("_base") + F.col("_low"))).alias("low"),
-        F.min(piece_drawdown()).alias("max_dd"),
-    )
+    piece = F.floor(F.col(position) / chunk)
+    rows = df.select(*keys, piece.alias("_piece"), F.col(position).alias("_at"), F.when(F.col(value).isNotNull(), 1).otherwise(0).alias("_n"),
+                         F.coalesce(F.col(value), F.lit(0.0)).alias("_sum"))
+    rows = rows.withColumns({"_low": F.least(F.lit(0.0), F.col("_sum")), "_high": F.greatest(F.lit(0.0), F.col("_sum")), "_dd": F.least(F.lit(0.0), F.col("_sum"))})
+    level = _joined(rows, [*keys, "_piece"], "_at").withColumn("_stretch", F.floor(F.col("_piece") / chunk))
+    level = _joined(level, [*keys, "_stretch"], "_piece")
+    whole = _joined(level, keys, "_stretch")
+    return whole.select(*keys, F.col("_n").alias("n"), F.col("_sum").alias("total"), F.col("_low").alias("low"), F.col("_dd").alias("max_dd"))
+
+
+def _joined(parts: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Paths of consecutive parts as one: count, sum, lowest and highest point against the start (0 included), deepest fall."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    based = parts.withColumn("_base", F.coalesce(F.sum("_sum").over(w), F.lit(0.0)))
+    topped = based.withColumn("_top", F.greatest(F.lit(0.0), F.max(F.col("_base") + F.col("_high")).over(w)))
+    return topped.groupBy(*keys).agg(
+        F.sum("_n").alias("_n"), F.sum("_sum").alias("_sum"), F.min(F.col("_base") + F.col("_low")).alias("_low"),
+        F.max(F.col("_base") + F.col("_high")).alias("_high"), F.min(F.least(F.col("_dd"), F.col("_base") + F.col("_low") - F.col("_top"))).alias("_dd"))
 
 
 def exact_quantiles(
