@@ -361,3 +361,44 @@ def test_empty_tables(no_docs):
 def test_words_are_runs_of_letters_and_digits():
     assert decontaminate.words_of("A-b É9_x".encode()) == [b"a", b"b", "É9".encode(), b"x"]
     assert re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "a-b É9_x".encode()) == decontaminate.words_of("A-b É9_x".encode())
+
+
+def test_decoder_finds_the_best_of_all_readings():
+    """Viterbi against all readings of short chunks, under a random letter model."""
+    rng = np.random.default_rng(12)
+    model = np.log(rng.dirichlet(np.full(28, 0.2), (28, 28, 28)) + 1e-6)
+    decoder = toxicity.Decoder(model)
+
+    def readings(word):
+        """Every restored text with its best score."""
+        found = {("", (0, 0, 0)): 0.0}
+        before = ""
+        for c in word:
+            options = [(x, toxicity.DISGUISE) for x in toxicity.LOOKS.get(c, "")] + ([(c, 0.0)] if c.isalpha() else [])
+            steps = {}
+            for (path, last), score in found.items():
+                ways = [("", toxicity.REPEAT if c == before else toxicity.LITERAL)] if c == before or not options else []
+                for x, cost in [*ways, *options]:
+                    k = (ord(x) - 96 if "a" <= x <= "z" else 27) if x else None
+                    to = (path + x, (*last[1:], k) if x else last)
+                    steps[to] = max(steps.get(to, -np.inf), score + cost + (model[(*last, k)] if x else 0.0))
+            found, before = steps, c
+        return {path: score + model[(*last, 0)] for (path, last), score in found.items()}
+
+    for _ in range(200):
+        word = "".join(rng.choice(list("abilost013457@$!|+2zé"), rng.integers(1, 7)))
+        scores = readings(word.strip(toxicity._EDGE))
+        assert abs(scores[decoder.restore(word)] - max(scores.values())) < 1e-6
+
+
+def test_scores_are_those_of_the_fitted_weights(spark):
+    """A logistic score computed by hand from each text's features."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = toxicity.language_model(docs)
+    chosen, weights, bias = trained = toxicity.train(docs, labels, model)
+    features = toxicity.Features(model, chosen)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model, trained).collect()}
+    for r in docs.collect():
+        total = bias + sum(weights[k] for k in features.of(r.text))
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-total))) < 1e-6

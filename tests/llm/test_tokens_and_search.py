@@ -204,10 +204,39 @@ def items(spark, odd_docs):
     return spark.createDataFrame([(*r, 0) for r in rows], "item_id int, text string, score int")
 
 
+@pytest.mark.parametrize("stretch", [1, 9, 100, 1 << 20])
+def test_terms_are_counted_whole(monkeypatch, stretch):
+    """Frequencies of the items' terms in texts that are scanned in stretches of any length."""
+    monkeypatch.setattr(lexical_search, "_SLICE", stretch)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aab  -É1") for _ in range(rng.randint(0, 60))) for _ in range(40)] + ["", "a", " a", "a ", "a a  a"]
+    asked = lexical_search.Queries([(1, "a aa b ab É1".encode()), (2, "b 1 a".encode()), (3, b"")])
+    n, text, term, tf = lexical_search.Scanner(asked).count([t.encode() for t in texts])
+    assert n.tolist() == [len(terms(t)) for t in texts]
+    found = {(int(i), asked.terms[k].decode()): int(f) for i, k, f in zip(text, term, tf)}
+    known = {t.decode() for t in asked.terms}
+    assert found == {(i, w): f for i, t in enumerate(texts) for w, f in Counter(terms(t)).items() if w in known}
+
+
+def test_lists_are_kept_whatever_the_steps():
+    """The running lists against a sort of all scores, with many ties, in steps of any size."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    scores = rng.integers(0, 4, (500, 7))
+    ids = rng.permutation(500)
+    for step in (1, 3, 64, 500):
+        lists = lexical_search.BestDocuments(7, 10, pa.int64())
+        for lo in range(0, 500, step):
+            lists.add(scores[lo: lo + step], pa.array(ids[lo: lo + step]))
+        got = sorted(zip(*[lists.table[c].to_pylist() for c in ("q", "score", "doc")]), key=lambda r: (r[0], -r[1], r[2]))
+        want = [(q, int(scores[i, q]), int(ids[i])) for q in range(7)
+                for i in sorted((i for i in range(500) if scores[i, q] > 0), key=lambda i: (-scores[i, q], ids[i]))[:10]]
+        assert got == want
+
+
 @pytest.mark.parametrize("options", [{}, {"block_bytes": 60}, {"best": 2}])
-def test_best_documents(items, odd_docs, monkeypatch, options):
-    monkeypatch.setattr(lexical_search, "_SLICE", 200)
-    monkeypatch.setattr(lexical_search, "_CELLS", 64)
+def test_best_documents(items, odd_docs, options):
     got = lexical_search.search(items, odd_docs, **options)
     assert got.columns == ["item_id", "rank", "doc_id", "score"]
     want = best_documents([tuple(r)[:2] for r in items.collect()], [tuple(r) for r in odd_docs.select("doc_id", "text").collect()], options.get("best", 10))
