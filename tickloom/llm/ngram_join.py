@@ -142,9 +142,8 @@ def _candidate_groups(classes: DataFrame, threshold: float, trees: int, label: i
     steps = depths(threshold, trees, label, recall)
     # who is alone below the shortest prefixes of all trees meets nobody: only the others' labels are looked at again
     shortest = _nodes(classes, trees, label, steps[-1])
-    shared = materialise(shortest.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node"))
-    met = materialise(shortest.join(shared, "node", "left_semi").select("rep").distinct())
-    classes = materialise(classes.join(met, "rep", "left_semi"))
+    shared = shortest.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    classes = materialise(classes.join(shortest.join(shared, "node", "left_semi").select("rep").distinct(), "rep", "left_semi"))
     for depth in steps:
         keys = _nodes(classes, trees, label, depth)
         if found is None:
@@ -153,12 +152,11 @@ def _candidate_groups(classes: DataFrame, threshold: float, trees: int, label: i
             partnered = found.select("rep").union(found.select("head")).distinct().withColumn("partnered", F.lit(True))
             keys = keys.join(partnered, "rep", "left")
             heads = keys.groupBy("node").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n"), F.count("partnered").alias("old")).where("n > 1 and old < n")
-        # stored, so that the joins are plain ones, of which AQE splits the hot nodes
-        star = materialise(keys.join(materialise(heads.select("node", "head")), "node").where("rep <> head").select("rep", "head", "node"))
-        pairs = star.select("rep", "head").distinct()
-        close = materialise(_close_pairs(pairs, classes, least))
-        apart = materialise(star.join(close, ["rep", "head"], "left_anti").select("node", "head").distinct())
-        members = star.join(apart.select("node"), "node", "left_semi").select("node", "rep").unionByName(apart.select("node", F.col("head").alias("rep")))
+        star = materialise(keys.join(heads.select("node", "head"), "node").where("rep <> head").select("rep", "head", "node"))
+        close = materialise(_close_pairs(star.select("rep", "head").distinct(), classes, least))
+        apart = star.join(close, ["rep", "head"], "left_anti").select("node", "head").distinct()
+        members = star.select("node", "rep").unionByName(star.select("node", F.col("head").alias("rep")).distinct())
+        members = materialise(members.join(apart.select("node"), "node", "left_semi"))
         links = close.unionByName(materialise(_links_in_nodes(members, classes, least, block)))
         found = links if found is None else found.unionByName(links)
     return components(found, "rep", "head")
