@@ -149,14 +149,23 @@ def all_runs(numbered: DataFrame, keys: Sequence[str], n_runs: int = 1000, seed:
 
 
 def equity_curve(trades: DataFrame, keys: Sequence[str], position: str = "entry_idx", chunk: int = 4096) -> DataFrame:
-    """Running sum of r per key, in two levels: inside pieces, plus the pieces' starting levels."""
+    """Running sum of r per key, in three levels: inside pieces, pieces inside stretches of ``chunk`` pieces, stretches.
+
+    However sparse the positions are, no window orders more than ``chunk`` pieces of a path of up to ``chunk`` cubed positions.
+    """
     keys = list(keys)
+
+    def before(*group: str, order: str) -> Column:
+        w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_s").over(w), F.lit(0.0))
+
     parts = trades.withColumn("_chunk", F.floor(F.col(position) / chunk))
+    pieces = parts.groupBy(*keys, "_chunk").agg(F.sum("r").alias("_s")).withColumn("_stretch", F.floor(F.col("_chunk") / chunk))
+    stretches = pieces.groupBy(*keys, "_stretch").agg(F.sum("_s").alias("_s"))
+    stretches = stretches.select(*keys, "_stretch", before(*keys, order="_stretch").alias("_first"))
+    starts = pieces.withColumn("_within", before(*keys, "_stretch", order="_chunk")).join(stretches, [*keys, "_stretch"])
+    starts = starts.select(*keys, "_chunk", (F.col("_first") + F.col("_within")).alias("_start"))
     w = Window.partitionBy(*keys, "_chunk").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.groupBy(*keys, "_chunk").agg(F.sum("r").alias("_s")).select(
-        *keys, "_chunk", F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_start")
-    )
     return parts.join(starts, [*keys, "_chunk"]).withColumn(
         "equity", F.col("_start") + F.sum("r").over(w)
     ).drop("_chunk", "_start")
