@@ -212,7 +212,7 @@ def with_condition_inputs(
     packed = cols.select(
         "series_id", "blk", "bar_idx", "own", "open", "high", "low", "volume", *kept, pack(early).alias("window_bits")
     )
-    return fold_columns(packed, RECURSIVE_INPUTS, RECURSIVE_LAGS, keep=[*kept, "window_bits"])
+    return fold_columns(packed, RECURSIVE_INPUTS, RECURSIVE_LAGS, keep=[*kept, "window_bits"], size=size)
 
 
 def settled_conditions() -> list[tuple[str, str, Column]]:

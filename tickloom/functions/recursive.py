@@ -5,8 +5,8 @@ the blocks.  A block starts ``WARMUP`` rows early, and most folds forget their s
 that many rows.  None is taken on trust: every block also returns the state of each of its
 recurrences where its own rows begin and where they end.  A block whose beginning differs from its
 predecessor's end (a price that never moves, a trend that never flips) is folded again from that
-end state, which replaces the warm-up, and so is its successor if the end changes.  Seams are compared on a
-table of one row per block, and a repair writes the repaired blocks alone.
+end state, which replaces the warm-up, and so are its successors for as long as the end changes.  Seams are compared on a
+table of one row per block; a repair folds runs of neighbouring blocks in one go and writes the repaired blocks alone.
 ``fold_columns`` is the only way to these columns, so no unchecked block can be read.
 """
 
@@ -28,8 +28,9 @@ INPUTS = ("open", "high", "low", "close", "volume")
 TAIL = 24
 #: A gap of more rows than this leaves no trace of an exponential mean in double precision.
 LONGEST_GAP = 4096
-#: Neighbouring blocks that a repair folds in one task, one after another.
+#: Pieces that a repair folds in one task, one after another, and the rows of neighbouring blocks that make a piece.
 CHAIN = 16
+PIECE_ROWS = BLOCK_ROWS
 #: Relative difference up to which two states are the same.
 TOLERANCE = 1e-12
 
@@ -80,11 +81,12 @@ class BlockFold:
                 start = np.r_[tail[-1], np.full(min(gap, LONGEST_GAP), np.nan)]
                 folded = pd.Series(np.r_[start, own]).ewm(alpha=alpha, adjust=False).mean().to_numpy()[len(start):]
             y = self._after_tail(tail, folded)
-        skipped = len(x) - len(own)
+        skipped, values = len(x) - len(own), y.to_numpy()
+        seen = np.flatnonzero(own.notna().to_numpy())
         for mark in self.marks:
-            seen = np.flatnonzero(own.notna().to_numpy()[: max(0, mark + 1 - skipped)])
-            since = mark - skipped - seen[-1] if len(seen) else gap + max(0, mark + 1 - skipped)
-            self.states[mark][name] = [float(since), *self._tail(y.to_numpy(), mark)]
+            n = int(np.searchsorted(seen, mark - skipped, side="right"))
+            since = mark - skipped - seen[n - 1] if n else gap + max(0, mark + 1 - skipped)
+            self.states[mark][name] = [float(since), *self._tail(values, mark)]
         return y
 
     def wilder(self, name: str, x: pd.Series, n: int) -> pd.Series:
@@ -100,19 +102,20 @@ class BlockFold:
             held = self.seed[name]
             state, skipped = tuple(held[: len(start)]), self.first
             tails = [held[len(start) + k * TAIL: len(start) + (k + 1) * TAIL] for k in range(width)]
-        made, kept = [], {}
+        made, kept, marks = [], {}, set(self.marks)
         for i, row in enumerate(zip(*[x.iloc[skipped:].tolist() for x in inputs]), skipped):
             state, values = step(state, *row)
             made.append(values)
-            if i in self.marks:
+            if i in marks:
                 kept[i] = state
         columns = list(zip(*made)) if made else [()] * width
         if tails is None:
             out = [pd.Series(c, index=self.bars.index, dtype="float64") for c in columns]
         else:
             out = [self._after_tail(t, np.asarray(c, float)) for t, c in zip(tails, columns)]
+        values = [y.to_numpy() for y in out]
         for mark, state in kept.items():
-            self.states[mark][name] = [*map(float, state), *[v for y in out for v in self._tail(y.to_numpy(), mark)]]
+            self.states[mark][name] = [*map(float, state), *[v for y in values for v in self._tail(y, mark)]]
         return out
 
     # shared inputs
@@ -317,6 +320,13 @@ def _named(flat: Iterable[float | None], shape: dict[str, int]) -> dict[str, lis
     return out
 
 
+def _changed(a: Iterable[float | None], b: Iterable[float | None]) -> bool:
+    """``_differs`` of two states at hand."""
+    x, y = (np.array([np.nan if v is None else v for v in s], float) for s in (a, b))
+    near = np.abs(x - y) <= TOLERANCE * np.fmax(np.abs(x), np.abs(y))
+    return not (near | (np.isnan(x) & np.isnan(y))).all()
+
+
 def _differs(a: Column, b: Column) -> Column:
     def other(x: Column, y: Column) -> Column:
         near = F.abs(x - y) <= TOLERANCE * F.greatest(F.abs(x), F.abs(y))
@@ -330,12 +340,14 @@ def fold_columns(
     columns: Iterable[str] = RECURSIVE,
     lags: Iterable[tuple[str, int]] = (),
     keep: Iterable[str] = (),
+    size: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Recursive indicator columns of blocked bars (own rows only), stored, with every seam settled.
 
     ``lags`` adds earlier values as ``<name>_lag<k>``; ``keep`` names the input
-    columns to pass through besides series_id, blk, bar_idx.  Blocks must start at least ``TAIL`` rows early.
+    columns to pass through besides series_id, blk, bar_idx.  Blocks of ``size`` rows must start at least ``TAIL`` rows early.
     """
+    piece = max(1, PIECE_ROWS // size)
     columns, lags = list(columns), list(lags)
     wanted = tuple(dict.fromkeys([*columns, *[c for c, _ in lags]]))
     keep = [c for c in keep if c not in ("series_id", "blk", "bar_idx", "own")]
@@ -346,34 +358,58 @@ def fold_columns(
     passed = ["series_id", "blk", "bar_idx", *keep]
 
     def fold(pdf: pd.DataFrame, seed: list[float] | None = None) -> pd.DataFrame:
-        """Own rows; the first one carries the block's states."""
+        """Own rows; the first one of each block carries the block's states.  With a seed there may be several neighbouring blocks."""
         pdf = pdf.sort_values("bar_idx", ignore_index=True)
         mine = np.flatnonzero(pdf["own"].to_numpy())
         if not len(mine):
             return pd.DataFrame(columns=schema.names)
-        first, end = int(mine[0]), int(mine[-1])
+        first = int(mine[0])
         if seed is not None:
-            pdf = pdf.iloc[max(0, first - TAIL):].reset_index(drop=True)
-            end -= max(0, first - TAIL)
-            first = min(first, TAIL)
-        marks = (first - 1, end) if first and seed is None else (end,)
+            cut = max(0, first - TAIL)
+            pdf, mine, first = pdf.iloc[cut:].reset_index(drop=True), mine - cut, first - cut
+        blks = pdf["blk"].to_numpy()[mine]
+        last = np.r_[np.flatnonzero(blks[1:] != blks[:-1]), len(mine) - 1]  # of each block, among the own rows
+        ends = [int(mine[k]) for k in last]
+        marks = (first - 1, *ends) if first and seed is None else tuple(ends)
         block = BlockFold(pdf, first, None if seed is None else _named(seed, _state_shape(wanted)), marks)
         made = {c: block[c] for c in columns}
         made |= {f"{c}_lag{k}": block[c].shift(k) for c, k in lags}
         out = pd.concat([pdf[passed], pd.DataFrame(made)], axis=1)[pdf["own"]].reset_index(drop=True)
-        out["_start"] = pd.Series([seed if seed is not None else _flat(block.states[first - 1]) if first else None] + [None] * (len(out) - 1), dtype=object)
-        out["_end"] = pd.Series([_flat(block.states[end])] + [None] * (len(out) - 1), dtype=object)
+        begin = seed if seed is not None else _flat(block.states[first - 1]) if first else None
+        starts, stops = np.full(len(out), None, object), np.full(len(out), None, object)
+        for at, k, end in zip([0, *(last[:-1] + 1)], last, ends):
+            starts[at], stops[at] = begin, _flat(block.states[end])
+            begin = stops[at]
+        out["_start"], out["_end"] = pd.Series(starts, dtype=object), pd.Series(stops, dtype=object)
         return out
 
-    def again(_key, pdf: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
-        """Fold neighbouring blocks one after another: each takes the new end of the one before, if that is folded here."""
-        if not len(pdf) or not len(seeds):
+    def again(_key, pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        """Fold a chain of blocks again, a piece at a time, from its first wrong beginning on.
+
+        After a piece whose end is what it was, the next one with a wrong beginning follows.
+        """
+        if not len(pdf) or not len(known):
             return pd.DataFrame(columns=schema.names)
-        known, ends, made = dict(zip(seeds["blk"], seeds["seed"])), {}, []
-        for blk, mine in pdf.groupby("blk", sort=True):
-            seed = ends.get(blk - 1, known[blk])
-            made.append(fold(mine, [None if v is None or np.isnan(v) else float(v) for v in seed]))
-            ends[blk] = made[-1]["_end"].iat[0]
+        known = known.sort_values("blk", ignore_index=True)
+        blks, rows = known["blk"].tolist(), dict(list(pdf.groupby("blk")))
+        at, before, moved, made = 0, None, False, []
+        while at < len(blks):
+            follows = at > 0 and blks[at] == blks[at - 1] + 1
+            seed = before if follows and before is not None else known["seed"].iat[at]
+            if seed is None or not (known["seed"].iat[at] is not None or (follows and moved)):
+                at, before, moved = at + 1, None, False
+                continue
+            n = 1
+            while n < piece and at + n < len(blks) and blks[at + n] == blks[at] + n:
+                n += 1
+            later = [rows[b] for b in blks[at + 1: at + n]]
+            own = rows[blks[at]]
+            own = own[own["bar_idx"] <= own.loc[own["own"], "bar_idx"].max()]
+            run = pd.concat([own, *[r[r["own"]] for r in later]], ignore_index=True)
+            made.append(fold(run, [None if v is None or np.isnan(v) else float(v) for v in seed]))
+            before = next(e for e in reversed(made[-1]["_end"].tolist()) if e is not None)
+            moved = _changed(before, known["_end"].iat[at + n - 1])
+            at += n
         return pd.concat(made, ignore_index=True)
 
     needed = list(dict.fromkeys([*passed, "own", *INPUTS]))
@@ -384,19 +420,20 @@ def fold_columns(
 
     parts = [materialise(slim.groupBy(*key).applyInPandas(lambda pdf: fold(pdf), schema))]
     states = materialise(states_of(parts[0]))  # one row per block
+    together, chain = ["series_id", "_chain"], F.expr(f"blk div {CHAIN * piece}").alias("_chain")
     while True:
         ends = states.select("series_id", (F.col("blk") + 1).alias("blk"), F.col("_end").alias("seed"))
         bad = materialise(states.filter("blk > 0").join(ends, key).filter(_differs(F.col("_start"), F.col("seed"))).select(*key, "seed"))
         if bad.isEmpty():
             break
-        # only these blocks are folded and written again; what was written before is left out by key
-        wrong = slim.join(bad.select(*key), key, "left_semi")
-        together = ["series_id", "_chain"]
-        chain = F.expr(f"blk div {CHAIN}")
-        redone = materialise(wrong.withColumn("_chain", chain).groupBy(*together).cogroup(
-            bad.withColumn("_chain", chain).groupBy(*together)).applyInPandas(again, schema))
-        parts = [*[p.join(bad.select(*key), key, "left_anti") for p in parts], redone]
-        states = materialise(states.join(bad.select(*key), key, "left_anti").unionByName(states_of(redone)))
+        # of a chain, blocks from the first wrong one on are read again; those folded again are left out of what was written before, by key
+        wrong = bad.select("series_id", chain, "blk").groupBy(*together).agg(F.min("blk").alias("_from"))
+        known = states.select(*key, chain, "_end").join(wrong, together).filter("blk >= _from").join(bad, key, "left")
+        rows = slim.select("*", chain).join(wrong, together).filter("blk >= _from").drop("_from")
+        redone = materialise(rows.groupBy(*together).cogroup(known.groupBy(*together)).applyInPandas(again, schema))
+        new_states = materialise(states_of(redone))
+        parts = [*[p.join(new_states.select(*key), key, "left_anti") for p in parts], redone]
+        states = materialise(states.join(new_states.select(*key), key, "left_anti").unionByName(new_states))
     return reduce(DataFrame.unionByName, parts).select(*passed, *new)
 
 
@@ -408,4 +445,4 @@ def recursive_indicators(
     keep: Iterable[str] = ("ts",),
 ) -> DataFrame:
     """Recursive indicators of indexed bars: one shuffle, one grouped-map call, seams settled."""
-    return fold_columns(to_blocks(bars, back=max(warmup, TAIL), size=size), columns, keep=keep).drop("blk")
+    return fold_columns(to_blocks(bars, back=max(warmup, TAIL), size=size), columns, keep=keep, size=size).drop("blk")

@@ -89,7 +89,7 @@ def prepare(
     if oscillators:
         cols = with_window_indicators(cols).select(*cols.columns, "cci")
     folds = ["atr", "rsi"] if oscillators else ["atr"]
-    folded = fold_columns(cols, folds, keep=cols.columns).drop("blk").withColumns({
+    folded = fold_columns(cols, folds, keep=cols.columns, size=size).drop("blk").withColumns({
         "day": F.to_date("ts"), "hour": F.hour("ts"),
     })
     joined = folded.join(day_context(bars), ["series_id", "day"], "left")

@@ -75,7 +75,7 @@ def naive_trades(
         "volume", "_p.bar_idx", "_p.n_bars",
     )
     folded = fold_columns(
-        to_blocks(parts, back=warmup, size=size), ["atr"], keep=["ts", "n_bars", "high", "low", "close"]
+        to_blocks(parts, back=warmup, size=size), ["atr"], keep=["ts", "n_bars", "high", "low", "close"], size=size
     ).withColumn("day", F.to_date("ts"))
     entries = first_per_day(folded.filter(hour_between("ts", *_bounds(window))), [])
     traded = with_outcomes(parts, entries, rules, size, store=True)
