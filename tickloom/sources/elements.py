@@ -30,6 +30,8 @@ _ARROW = {
 }
 BATCH = 8192
 _CHUNK = 1 << 20
+#: Characters up to which a document is walked once, its rows held until its end is seen.
+_SHORT = 1 << 16
 # Sections of the configuration format.
 SECTIONS = (
     "Options", "WhatToBuild", "RiskMoneyManagement", "Data", "Rankings", "PartsToImprove", "CrossChecks", "Notes", "Blocks", "ATMs",
@@ -114,14 +116,15 @@ class _Walk:
 
 def _document_rows(xml: str) -> Iterator[list[tuple]]:
     """Rows of one document, a batch at a time."""
+    walk = _Walk()
+    short = len(xml) <= _SHORT
     try:
-        for _ in _feed(_parser(), xml):  # nothing of a broken document reaches a table
+        for _ in _feed(walk.parser if short else _parser(), xml):  # nothing of a broken document reaches a table
             pass
     except (expat.ExpatError, _Refused) as problem:
         yield [(None, None, None, None, None, None, None, "malformed XML" if isinstance(problem, expat.ExpatError) else str(problem))]
         return
-    walk = _Walk()
-    for _ in _feed(walk.parser, xml):
+    for _ in () if short else _feed(walk.parser, xml):
         if len(walk.rows) >= BATCH:
             yield walk.rows
             walk.rows = []
@@ -138,13 +141,23 @@ def element_table(docs: DataFrame, ids: tuple[str, ...] = ("config_id",), xml_co
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            held, of = [], []  # rows of short documents share a batch; ``of`` is each one's document
+
+            def ready() -> pa.RecordBatch:
+                part, at = held[:BATCH], pa.array(of[:BATCH], pa.int64())
+                del held[:BATCH], of[:BATCH]
+                return pa.RecordBatch.from_arrays(
+                    [*[batch.column(k).take(at) for k in names], *[pa.array([r[j] for r in part], kind) for j, kind in enumerate(_ARROW.values())]],
+                    names=[*names, *_ARROW])
+
             for i in range(batch.num_rows):
                 for rows in _document_rows(batch.column("xml")[i].as_py()):
-                    for at in range(0, len(rows), BATCH):
-                        part = rows[at: at + BATCH]
-                        keys = [batch.column(k).slice(i, 1).take(pa.array([0] * len(part))) for k in names]
-                        yield pa.RecordBatch.from_arrays(
-                            [*keys, *[pa.array([r[j] for r in part], kind) for j, kind in enumerate(_ARROW.values())]], names=[*names, *_ARROW])
+                    held += rows
+                    of += [i] * len(rows)
+                    while len(held) >= BATCH:
+                        yield ready()
+            if held:
+                yield ready()
 
     out = picked.mapInArrow(run, shape)
     return out.select(*[F.col(k).alias(c) for k, c in zip(names, ids)], *made.names)
