@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 
 def as_col(x: Column | str) -> Column:
@@ -83,6 +83,11 @@ def wilson_bounds(wins: Column, n: Column, z: float = 1.96) -> tuple[Column, Col
     )
 
 
+def once(df: DataFrame, *columns: Column) -> DataFrame:
+    """``select`` of columns that are costly to compute: later filters and columns read their values instead of repeating them."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def norm_symbol(name: Column | str) -> Column:
     """Strip broker suffixes (_exness, m, c) until none is left."""
     return F.regexp_replace(as_col(name), r"(_exness|[mc])+$", "")

@@ -135,8 +135,8 @@ def open_spans(sessions: DataFrame) -> DataFrame:
     """
     number = F.create_map(*[F.lit(x) for k, d in enumerate((*WEEKDAYS, *WEEKEND)) for x in (d, k)])
     start = F.element_at(number, F.col("day")) * 1440
-    week = sessions.filter(F.col("day").isin(*WEEKDAYS, *WEEKEND)).select(
-        "symbol", (start + F.col("from_min")).alias("opens"), (start + F.col("to_min")).alias("closes")).filter("closes > opens").distinct()
+    week = sessions.filter(F.col("day").isin(*WEEKDAYS, *WEEKEND) & (F.col("to_min") > F.col("from_min"))).select(
+        "symbol", (start + F.col("from_min")).alias("opens"), (start + F.col("to_min")).alias("closes")).distinct()
     both = week.select("symbol", F.explode(F.array(F.lit(0), F.lit(WEEK))).alias("shift"), "opens", "closes").select(
         "symbol", (F.col("opens") + F.col("shift")).alias("opens"), (F.col("closes") + F.col("shift")).alias("closes"))
     w = Window.partitionBy("symbol").orderBy("opens", "closes")

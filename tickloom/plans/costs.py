@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.functions.columns import norm_symbol, number_of, text_of
+from tickloom.functions.columns import norm_symbol, number_of, once, text_of
 from tickloom.operators import costs as ops
 from tickloom.plans.common import r6, rnd, rounded, table
 from tickloom.sources.broker import clean_sessions, clean_specs, one_spec_per_symbol
@@ -71,8 +71,8 @@ def stress(spark, sf):
 def sessions(spark, sf):
     to = F.col("l_linenumber") * 2 + F.floor(F.col("l_quantity") / 3)
     hour = F.lpad(F.when(to >= 24, 0).otherwise(to).cast("string"), 2, "0")
-    raw = table(spark, sf, "lineitem").select(
-        F.concat(F.lit("P"), F.col("l_partkey")).alias("symbol"), F.date_format("l_shipdate", "E").alias("day"),
+    raw = once(
+        table(spark, sf, "lineitem"), F.concat(F.lit("P"), F.col("l_partkey")).alias("symbol"), F.date_format("l_shipdate", "E").alias("day"),
         F.format_string("%02d:30", (F.col("l_linenumber") * 2).cast("int")).alias("session_from"),
         F.concat(hour, F.when(to >= 24, F.lit(":00")).otherwise(F.lit(":45"))).alias("session_to"))
     return clean_sessions(raw)

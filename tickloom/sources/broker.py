@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.functions.columns import norm_symbol
+from tickloom.functions.columns import norm_symbol, once
 
 MISSING_MARK = "NO_EXISTE"
 # Header of the specification export.
@@ -54,10 +54,10 @@ def clean_sessions(raw: DataFrame) -> DataFrame:
     def minutes(c: str):
         return F.split_part(c, F.lit(":"), F.lit(1)).cast("int") * 60 + F.split_part(c, F.lit(":"), F.lit(2)).cast("int")
 
-    start, end = minutes("session_from"), minutes("session_to")
-    return kept.select(
-        "symbol", "day", start.alias("from_min"),
-        F.when((end == 0) & (start > 0), 1440).otherwise(end).alias("to_min"),
+    read = once(kept, F.col("symbol").alias("symbol"), F.col("day").alias("day"), minutes("session_from").alias("from_min"), minutes("session_to").alias("end"))
+    return read.select(
+        "symbol", "day", "from_min",
+        F.when((F.col("end") == 0) & (F.col("from_min") > 0), 1440).otherwise(F.col("end")).alias("to_min"),
     )
 
 
