@@ -145,7 +145,7 @@ def workflow_ingest(spark, sf):
         "path", F.lit("config.xml").alias("member"), tag("Project", {"name": "p", "version": "1"}, tag("Tasks", {}, F.col("x"))).alias("xml"))
     members = materialise(docs.select("path", "member", "xml").unionByName(manifest))
     made = ar.project_tables(members)
-    banks = made["task_databank"].select("project_id", "task_idx", F.concat_ws("=", "role", "databank").alias("databank"))
+    banks = made["task_databank"].select("project_id", "task_idx", F.concat_ws("=", "role", "databank").alias("databank")).hint("merge")
     return made["task"].join(banks, ["project_id", "task_idx"], "left").select(
         "project_id", F.col("task_idx").cast("int").alias("task_idx"), "type", "name", "title", "active", "goto", "cross_check", "databank")
 

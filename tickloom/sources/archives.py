@@ -17,6 +17,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tickloom.session import materialise
+
 MEMBER_SCHEMA = "path string, member string, xml string, error string"
 
 _PARAMS = "array<struct<_key:string,_name:string,_className:string,_VALUE:string>>"
@@ -290,17 +292,21 @@ def project_tables(members: DataFrame) -> dict[str, DataFrame]:
     main = members.filter((F.col("member") == "config.xml") & (root_tag(F.col("xml")) == "Project"))
     manifest = _parsed(main, PROJECT_XML).select(
         F.col("path").alias("project_id"), F.posexplode("doc.Tasks.Task").alias("_i", "t"))
-    task = manifest.select(
+    # manifests and task documents are parsed once and stored; small files may hold many rows, so no join is chosen by their size
+    task = materialise(manifest.select(
         "project_id", (F.col("_i") + 1).alias("task_idx"), F.col("t._type").alias("type"), F.col("t._name").alias("name"),
         F.coalesce(F.nullif(F.col("t._title"), F.lit("")), F.col("t._name")).alias("title"),
         (F.lower(F.coalesce("t._active", F.lit("true"))) == "true").alias("active"),
         F.coalesce("t._templateFile", F.lit("")).alias("template_file"), F.col("t._taskXMLFile").alias("member"),
-    )
+    )).hint("merge")
     docs = members.select(F.col("path").alias("project_id"), "member", "xml")
     # a task file is <X><Settings>...</Settings></X> or a bare <Settings> element
     wrapped = F.when(root_tag(F.col("xml")) == "Settings", F.concat(
         F.lit("<Task>"), F.regexp_replace("xml", r"^\s*<\?xml[^>]*\?>", ""), F.lit("</Task>"))).otherwise(F.col("xml"))
     parsed = _parsed(task.join(docs, ["project_id", "member"]).withColumn("xml", wrapped), TASK_XML)
+    read = {s: F.col(f"doc.Settings.{s}") for s in ("Options", "CrossChecks", "Databanks", "GoToTask")}
+    read["Data"] = F.struct(F.col("doc.Settings.Data.OutOfSample").alias("OutOfSample"))
+    parsed = materialise(parsed.select(*ids, F.struct(F.struct(*[c.alias(s) for s, c in read.items()]).alias("Settings")).alias("doc"))).hint("merge")
     goto = parsed.select(*ids, F.col("doc.Settings.GoToTask._task").alias("goto"))
     checks = cross_check_table(parsed, ids=ids)
     enabled = checks.groupBy(*ids).agg(F.max("use").alias("cross_check"))
