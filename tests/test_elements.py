@@ -168,3 +168,35 @@ def test_trade_numbers_follow_files_and_lines(spark, tmp_path):
 
 def test_members_come_one_at_a_time(spark):
     assert archives.unpacked(spark.createDataFrame([("x", bytearray(b"no"))], "path string, content binary")).first().error == "not a ZIP archive"
+
+
+def test_short_documents_share_a_batch(spark, monkeypatch):
+    """Long and short documents give the same rows; short ones do not cost an Arrow batch each."""
+    import pyarrow as pa
+
+    docs = [(k, f"<a n='{k}'>" + "<b>x</b>y" * (k % 5) + ("</a>" if k % 7 else "")) for k in range(300)]
+    picked = pa.RecordBatch.from_pydict({"k0": pa.array([d[0] for d in docs], pa.int32()), "xml": [d[1] for d in docs]})
+    e = el.element_table(spark.createDataFrame(docs, "config_id int, xml string"))
+    got = sorted((r.config_id, r.error or "", r.place or "", r.tag or "", tuple(r.dewey or ())) for r in e.collect())
+    want = sorted((k, r[7] or "", r[1] or "", r[2] or "", tuple(r[0] or ())) for k, x in docs for rows in el._document_rows(x) for r in rows)
+    assert got == want
+    monkeypatch.setattr(el, "_SHORT", 0)  # walked after a first pass, as long ones are
+    assert sorted((k, r[7] or "", r[1] or "", r[2] or "", tuple(r[0] or ())) for k, x in docs for rows in el._document_rows(x) for r in rows) == want
+
+    runs, frame = [], spark.createDataFrame(docs, "config_id int, xml string")
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda _, run, shape: runs.append(run) or spark.createDataFrame([], shape))
+    el.element_table(frame)
+    made = list(runs[0]([picked]))
+    assert len(made) == 1 and made[0].num_rows == len(want)
+
+
+def test_session_texts_are_made_once(spark, tmp_path, capsys):
+    """No filter repeats the texts that the sessions are read from."""
+    from tickloom.plans import costs as plans
+
+    spark.sql("select 1L l_partkey, timestamp'2000-01-03' l_shipdate, 3 l_linenumber, 9.0D l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spans = costs.open_spans(plans.sessions(spark, str(tmp_path)))
+    spans.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("format_string") <= 1 and plan.count("date_format") <= 1
+    assert [(r.opens, r.closes) for r in spans.orderBy("opens").collect()] == [(390, 585), (390 + costs.WEEK, 585 + costs.WEEK)]
