@@ -275,3 +275,20 @@ def test_intermediate_tables_can_be_removed(spark, tmp_path):
     assert len(list(folder.glob("stored-*"))) == before + 1
     assert session.remove_folder(spark, df.inputFiles()[0].rsplit("/", 1)[0]) and not session.remove_folder(spark, f"{tmp_path}/none")
     assert len(list(folder.glob("stored-*"))) == before
+
+
+def test_workflow_documents_are_parsed_once(spark, corpus, monkeypatch, capsys):
+    plans, stored = [], archives.materialise
+
+    def seen(df, *by):
+        df.explain()
+        plans.append(capsys.readouterr().out)
+        return stored(df, *by)
+
+    monkeypatch.setattr(archives, "materialise", seen)
+    members = archives.read_archives(spark, corpus).filter(F.col("path").endswith("c.cfx"))
+    made = archives.project_tables(members)
+    for table in made.values():
+        table.explain()
+        assert "from_xml" not in (plan := capsys.readouterr().out) and "BroadcastHashJoin" not in plan
+    assert len(plans) == 2 and made["task"].count() == 3
