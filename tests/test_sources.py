@@ -292,3 +292,5 @@ def test_workflow_documents_are_parsed_once(spark, corpus, monkeypatch, capsys):
         table.explain()
         assert "from_xml" not in (plan := capsys.readouterr().out) and "BroadcastHashJoin" not in plan
     assert len(plans) == 2 and made["task"].count() == 3
+    physical = [p.split("== Initial Plan ==")[0] for p in plans]
+    assert all(p.count("from_xml") == 1 for p in physical)

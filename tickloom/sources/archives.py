@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tickloom.functions.columns import once
 from tickloom.session import materialise
 
 MEMBER_SCHEMA = "path string, member string, xml string, error string"
@@ -290,8 +291,8 @@ def project_tables(members: DataFrame) -> dict[str, DataFrame]:
     """
     ids = ("project_id", "task_idx")
     main = members.filter((F.col("member") == "config.xml") & (root_tag(F.col("xml")) == "Project"))
-    manifest = _parsed(main, PROJECT_XML).select(
-        F.col("path").alias("project_id"), F.posexplode("doc.Tasks.Task").alias("_i", "t"))
+    manifest = once(_parsed(main, PROJECT_XML), F.col("path").alias("project_id"), F.col("doc").alias("doc")).select(
+        "project_id", F.posexplode("doc.Tasks.Task").alias("_i", "t"))
     # manifests and task documents are parsed once and stored; small files may hold many rows, so no join is chosen by their size
     task = materialise(manifest.select(
         "project_id", (F.col("_i") + 1).alias("task_idx"), F.col("t._type").alias("type"), F.col("t._name").alias("name"),
