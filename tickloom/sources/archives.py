@@ -164,7 +164,19 @@ def _parsed(docs: DataFrame, schema: str) -> DataFrame:
 
 def parse_configs(docs: DataFrame) -> DataFrame:
     """Typed structs of builder documents (config_id, xml) -> (config_id, doc)."""
-    return _parsed(docs, CONFIG_XML).select("config_id", "doc")
+    return once(_parsed(docs, CONFIG_XML), F.col("config_id"), F.col("doc"))
+
+
+def sections(parsed: DataFrame, *places: str) -> DataFrame:
+    """The documents with the named sections only, each ``Section`` or ``Section.Part``, for a table that is stored."""
+    named: dict[str, list[str]] = {}
+    for section, _, part in (p.partition(".") for p in places):
+        named.setdefault(section, []).extend([part] if part else [])
+    kept = [
+        F.struct(*[F.col(f"doc.Settings.{s}.{p}").alias(p) for p in parts]).alias(s) if parts else F.col(f"doc.Settings.{s}").alias(s)
+        for s, parts in named.items()
+    ]
+    return parsed.select("config_id", F.struct(F.struct(*kept).alias("Settings")).alias("doc"))
 
 
 def parse_block_files(docs: DataFrame) -> DataFrame:
